@@ -99,3 +99,27 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 def _checksum(edges: DataFrame):
     row = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
     return row[0], row[1]
+
+
+def lower_ascii(text):
+    return F.translate(text, UPPER, LOWER)
+
+
+def found_spans(text, regex):
+    """All leftmost, non-overlapping matches of ``regex`` as ``array<struct<start,end,text>>`` in code points, natively.
+
+    ``regex`` may be a string or a column and must not match the empty string.
+    """
+    regex = F.lit(regex) if isinstance(regex, str) else regex
+    gaps, hits = F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0))
+    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    folded = F.aggregate(
+        F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))),
+        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
+        lambda s, x: F.struct(
+            (s["at"] + F.length(x["g"]) + F.length(x["h"])).alias("at"),
+            F.concat(s["spans"], F.array(F.struct((s["at"] + F.length(x["g"])).alias("start"), (s["at"] + F.length(x["g"]) + F.length(x["h"])).alias("end"), x["h"].alias("text")))).alias("spans"),
+        ),
+        lambda s: s["spans"],
+    )
+    return folded
