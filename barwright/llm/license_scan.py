@@ -150,14 +150,11 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
 def _base(text: Column) -> Column:
     """Places where the words of a fixed phrase stand consecutively; each phrase ends with ``license``."""
     words = F.filter(F.split(lower_ascii(text), f"[{NON_WORD}]+"), lambda w: w != "")
-    spots = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    before = F.concat(F.array(F.lit(""), F.lit("")), words)  # before[i + 1] and before[i] precede words[i]
-    marked = F.transform(
-        F.filter(F.zip_with(spots, F.slice(before, F.lit(1), F.size(words)), lambda s, b2: F.struct(s["w"].alias("w"), s["i"].alias("i"), b2.alias("b2"))), lambda x: F.coalesce(x["w"], F.lit("")) == "license"),
-        lambda x: F.struct(x["i"].alias("i"), F.get(before, x["i"] + 1).alias("b1"), x["b2"].alias("b2")),
-    )
+    # each word with the two before it, from three evaluations of the words
+    before = F.zip_with(F.concat(F.array(F.lit("")), words), F.concat(F.array(F.lit(""), F.lit("")), words), lambda b1, b2: F.struct(b1.alias("b1"), b2.alias("b2")))
+    placed = F.transform(F.zip_with(words, before, lambda w, b: F.struct(w.alias("w"), b["b1"].alias("b1"), b["b2"].alias("b2"))), lambda x, i: F.struct(x["w"].alias("w"), x["b1"].alias("b1"), x["b2"].alias("b2"), i.alias("i")))
     labelled = F.transform(
-        marked,
+        F.filter(placed, lambda x: F.coalesce(x["w"], F.lit("")) == "license"),
         lambda x: F.when(x["b1"] == "mit", F.struct((x["i"] - 1).alias("at"), F.lit("mit").alias("label")))
         .when(x["b1"] == "apache", F.struct((x["i"] - 1).alias("at"), F.lit("apache").alias("label")))
         .when((x["b1"] == "public") & (x["b2"] == "general"), F.struct((x["i"] - 2).alias("at"), F.lit("gpl").alias("label"))),
