@@ -45,6 +45,10 @@ def _rank(shingle: Column) -> Column:
     return shingle.bitwiseAND(F.lit((1 << 63) - 1))
 
 
+def _below(shingles: str, top: int) -> Column:
+    return F.filter(shingles, lambda x: _rank(x) <= F.lit(top))
+
+
 def item_shingles(items: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """One row per item and distinct shingle: ``item, k, n, need, shingle, rank, place, part``.
 
@@ -81,7 +85,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     found = None
     for size, top, n in lengths:
         hashes = read.select("doc", words_of(F.col("text")).alias("w")).select("doc", _shingles("w", size).alias("s"))
-        low = hashes.select("doc", F.explode(F.filter("s", lambda x, top=top: _rank(x) <= F.lit(top))).alias("shingle"))
+        low = hashes.select("doc", F.explode(_below("s", top)).alias("shingle"))
         sketch = table.where(IN_SKETCH).where(F.col("k") == size).select("shingle", "item")
         own = low.join(_small(sketch, n), "shingle").select("doc", "item")
         found = own if found is None else found.union(own)

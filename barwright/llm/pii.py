@@ -55,9 +55,13 @@ def _shape_spans(kind: str, text: Column) -> Column:
     return F.when(gate, named).otherwise(F.array().cast(_SPANS))
 
 
+def _ordered(spans: Column, order: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["kind"].alias("kind"), s["end"].alias("end"), s["text"].alias("text")))
+
+
 def base_spans(text: Column) -> Column:
     """Spans of the fixed shapes by start, then kind as in ``KINDS``; code points, end exclusive."""
-    every = F.concat(*(F.transform(_shape_spans(k, text), lambda s, n=n: F.struct(s["start"].alias("start"), F.lit(n).alias("order"), s["kind"].alias("kind"), s["end"].alias("end"), s["text"].alias("text"))) for n, k in enumerate(KINDS)))
+    every = F.concat(*(_ordered(_shape_spans(kind, text), n) for n, kind in enumerate(KINDS)))
     ordered = F.transform(F.array_sort(every), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
     return F.when(text.rlike("[0-9@]"), ordered).otherwise(F.array().cast(_SPANS))
 

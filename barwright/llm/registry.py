@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import chat_format, decontaminate, exact_dedup, license_scan, packing, pii, quality, url_filter
+from barwright.llm import chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, packing, pii, quality, url_filter
 from barwright.llm.common import table
 
 QUERIES: dict = {}
@@ -23,6 +23,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "text_score", "meta_score", "quality_score", "accepted")
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
