@@ -123,3 +123,43 @@ def found_spans(text, regex):
         lambda s: s["spans"],
     )
     return folded
+
+
+#: Rows of (say) two longs that may be broadcast: some 50 MB as a hash table.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def within_broadcast(side: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``side`` marked for broadcast if its row count, checked here, is within ``bound``; else as it is, for a shuffle join."""
+    return F.broadcast(side) if side.limit(bound + 1).count() <= bound else side
+
+
+def follow_hot(hot: DataFrame, links: DataFrame, verify, pivots: int = 3) -> DataFrame:
+    """``links(src, dst)`` with those that only the crowded signatures ``hot(sig, node)`` show.
+
+    ``verify`` turns distinct ``pairs(a, b)`` into links. Pivot rounds hold every node of a signature
+    against one of them, in an order of its own each round; signatures whose nodes are in one
+    component need no more. The last round pairs nodes across a signature's remaining components.
+    """
+    done = None
+    for turn in range(pivots + 1):
+        roots = components(links)
+        rows = hot.join(roots, hot["node"] == roots["node"], "left").select("sig", hot["node"].alias("n"), F.coalesce("root", hot["node"]).alias("root"))
+        rows = stored(rows)
+        several = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
+        rows = stored(rows.join(several, "sig", "left_semi"))
+        if not rows.take(1):
+            break
+        if turn < pivots:
+            chosen = rows.groupBy("sig").agg(F.min_by(F.struct("n", "root"), F.xxhash64("root", "n", F.lit(turn))).alias("p"))
+            pairs = rows.join(chosen, "sig").where("root <> p.root").select(F.least("n", "p.n").alias("a"), F.greatest("n", "p.n").alias("b"))
+        else:
+            other = rows.select("sig", F.col("n").alias("n2"), F.col("root").alias("root2"))
+            pairs = rows.join(other, "sig").where("root < root2").select(F.least("n", "n2").alias("a"), F.greatest("n", "n2").alias("b"))
+        pairs = pairs.distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = stored(pairs)
+        done = pairs if done is None else done.union(pairs)
+        links = stored(links.union(verify(pairs)))
+    return links

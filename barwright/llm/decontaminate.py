@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import NON_WORD, lower_ascii, stored
+from barwright.llm.common import NON_WORD, lower_ascii, stored, within_broadcast
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -92,7 +92,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     if found is None:
         found = read.select("doc").limit(0).crossJoin(table.select("item").limit(0))
     candidates = stored(found.distinct())
-    chosen = candidates.select(F.col("doc").alias("_doc")).distinct()
+    chosen = within_broadcast(stored(candidates.select(F.col("doc").alias("_doc")).distinct()))
     verified = read.join(chosen, F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
     shared = None
     for size, _, n in lengths:
@@ -117,4 +117,5 @@ def _small(side: DataFrame, rows: int) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that hold a benchmark item; rows of a null identifier stay unless one of them does."""
     gone = contained_items(docs, items, id_col, text_col, **options).select(F.col(id_col).alias("_gone")).distinct()
+    gone = within_broadcast(stored(gone))
     return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import SPACE
+from barwright.llm.common import SPACE, stored, within_broadcast
 
 #: Bytes of labels (and overhead) that one task's trie may hold before it spills subtrees.
 TRIE_BYTES = 64 << 20
@@ -165,5 +165,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without exact copies: of equal texts only the smallest identifier stays."""
-    gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"))
+    gone = within_broadcast(stored(exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import components, forget, stored
+from barwright.llm.common import components, follow_hot, forget, stored, within_broadcast
 
 #: Distinct sets that may share a signature before it is hot.
 MAX_COLD = 16
@@ -294,7 +294,7 @@ def _verified(pairs: DataFrame, profile: DataFrame, read: DataFrame, k: int, num
     )
     near = stored(near)
     wanted = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(owners, "fp").select("fp", "owner")
-    sets = read.join(wanted, read["id"] == wanted["owner"]).select("fp", "text").mapInArrow(_sets(k), "fp bigint, items array<bigint>")
+    sets = read.join(within_broadcast(stored(wanted)), F.col("id") == F.col("owner")).select("fp", "text").mapInArrow(_sets(k), "fp bigint, items array<bigint>")
     sets = stored(sets.dropDuplicates(["fp"]))
     both = near.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("fp").alias("b"), F.col("items").alias("ib")), "b")
     shared = F.size(F.array_intersect("ia", "ib"))
@@ -322,7 +322,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _verified(groups.where("b is not null").select("a", "b").distinct(), known, usable, k, num, den)
     hot = _followed(groups)
     if hot.take(1):
-        links = _follow(hot, links, known, usable, k, num, den)
+        links = follow_hot(hot, links, lambda pairs: _verified(pairs, known, usable, k, num, den))
     roots = components(links)
     labelled = known.where("fp is not null").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -335,41 +335,11 @@ def _followed(groups: DataFrame) -> DataFrame:
     """Hot rows ``sig, fp`` of sets whose cold signatures alone could miss a partner."""
     rows = groups.where("b is null").select(F.col("a").alias("fp"), "sig", "slack", F.col("sig").bitwiseAND(F.lit(255)).alias("instance"))
     short = rows.groupBy("fp", "instance").agg(F.min("slack").alias("slack"), F.count(F.lit(1)).alias("hot")).where("hot > slack").select("fp", "instance")
-    return stored(rows.join(short, ["fp", "instance"], "left_semi").select("sig", "fp"))
-
-
-def _follow(hot: DataFrame, links: DataFrame, profile: DataFrame, read: DataFrame, k: int, num: int, den: int, pivots: int = 3) -> DataFrame:
-    """``links`` with those that only hot signatures show.
-
-    Pivot rounds hold every set of a signature against one of them, in an order of its own each round;
-    sets that end in one component need no more. The last round pairs the sets of a signature across
-    its remaining components.
-    """
-    done = None
-    for turn in range(pivots + 1):
-        roots = stored(components(links))
-        rows = hot.join(roots, F.col("fp") == F.col("node"), "left").select("sig", "fp", F.coalesce("root", "fp").alias("root"))
-        open_ = rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-        rows = stored(rows.join(open_, "sig", "left_semi"))
-        if not rows.take(1):
-            break
-        if turn < pivots:
-            chosen = rows.groupBy("sig").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("root", "fp", F.lit(turn))).alias("p"))
-            pairs = rows.join(chosen, "sig").where("root <> p.root").select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b"))
-        else:
-            other = rows.select("sig", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-            pairs = rows.join(other, "sig").where("root < root2").select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        done = pairs if done is None else done.union(pairs)
-        links = stored(links.union(_verified(pairs, profile, read, k, num, den)))
-    return links
+    return stored(rows.join(short, ["fp", "instance"], "left_semi").select("sig", F.col("fp").alias("node")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document per component: the one with the smallest identifier."""
     found = similar_components(docs, id_col, text_col, **options)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    gone = within_broadcast(stored(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, packing, pii, quality, url_filter
+from barwright.llm import chat_format, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, packing, pii, quality, url_filter
 from barwright.llm.common import table
 
 QUERIES: dict = {}
@@ -94,6 +94,15 @@ FROM ds JOIN bs USING (s) JOIN bn ON bn.id = bs.id GROUP BY ds.id, bs.id HAVING
 """
 
 
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its number of lines and the numbers of those that go."""
+    docs = table(spark, sf_dir, "documents")
+    gone = line_dedup.repeated_lines(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list("pos")).alias("dropped"))
+    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines")
+    return docs.select("doc_id", n).join(gone, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))

@@ -1,3 +1,61 @@
-QUERIES = {}
+"""Corpus pipeline: quality classifier, exact dedup, near-duplicate join, decontamination, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns
+of ``documents``. Between stages the result is written as Parquet and read back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from barwright.llm import decontaminate, exact_dedup, jaccard_join, packing, quality
+from barwright.llm.common import stored, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained quality classifier accepts."""
+    return quality.classify(docs, table(spark, sf_dir, "labels")).where("accepted").select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of equal texts."""
+    return exact_dedup.keep_first(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each component of five-word shingle sets with a similarity of 0.8 or more."""
+    return jaccard_join.keep_one(docs, k=5, num=80, den=100)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their place in a training sequence."""
+    return packing.packed_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_benchmark_leaks),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Training a classifier, set similarity and tokenisation are not SQL: a brute-force version tests them.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each on the stored result of the one before."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
 ORACLES = {}
-STAGES = []
