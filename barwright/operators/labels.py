@@ -99,9 +99,9 @@ def chrono_split(df: DataFrame, fractions: dict[str, float], by=BY, order=ORDER)
     met = rows.join(total, by)
     out, edge = F.lit([*fractions][-1]), 1.0
     for name, share in reversed([*fractions.items()]):
-        out = F.when(F.col("_i") < F.floor(F.col("_n") * F.lit(round(edge, 9))), name).otherwise(out) if edge < 1 else F.lit(name)
+        out = F.when(F.col("_ix") < F.floor(F.col("_n") * F.lit(round(edge, 9))), name).otherwise(out) if edge < 1 else F.lit(name)
         edge -= share
-    return met.withColumn("split", out).drop("_i", "_n")
+    return met.withColumn("split", out).drop("_ix", "_n")
 
 
 def walk_forward(df: DataFrame, train: int, test: int, folds: int = 3, shrink: float = 0.8, least: int = 400, by=BY, order=ORDER) -> DataFrame:
@@ -114,9 +114,9 @@ def walk_forward(df: DataFrame, train: int, test: int, folds: int = 3, shrink: f
     steps = F.greatest(F.lit(0), F.ceil(F.ln(F.col("_n") / F.lit(train + folds * test)) / F.log(F.lit(shrink)) - 1e-9))
     scaled = n.withColumn("_k", F.pow(F.lit(shrink), steps)).select(*by, F.floor(train * F.col("_k") + 1e-9).alias("_train"), F.floor(test * F.col("_k") + 1e-9).alias("_test"))
     plan = scaled.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    i, start = F.col("_i"), F.col("fold") * F.col("_test")
+    i, start = F.col("_ix"), F.col("fold") * F.col("_test")
     met = rows.join(plan, by).where((i >= start) & (i < start + F.col("_train") + F.col("_test")))
-    return met.withColumn("part", F.when(i < start + F.col("_train"), "train").otherwise("test")).drop("_i", "_train", "_test")
+    return met.withColumn("part", F.when(i < start + F.col("_train"), "train").otherwise("test")).drop("_ix", "_train", "_test")
 
 
 def regime_tasks(df: DataFrame, regime: str = "regime", min_rows: int = 20, by=BY, order=ORDER) -> DataFrame:

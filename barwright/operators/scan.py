@@ -20,22 +20,22 @@ BLOCK_ROWS = 20_000
 FORGET = 60.0
 
 
-def index_rows(df: DataFrame, by: list[str], order: list[str], name: str = "_i", chunk: str = "day") -> DataFrame:
+def index_rows(df: DataFrame, by: list[str], order: list[str], name: str = "_ix", chunk: str = "day") -> DataFrame:
     """Number the rows of each key from 0 by ``order``, whose first column is a time; ties beyond ``order`` are arbitrary."""
-    rows = df.withColumn("_chunk", F.date_trunc(chunk, F.col(order[0]).cast("timestamp")))
-    inside = Window.partitionBy(*by, "_chunk").orderBy(*order)
-    across = Window.partitionBy(*by).orderBy(F.col("_chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(across), F.lit(0))).drop("_n")
-    side = counts.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_chunk"])), "_from")
+    rows = df.withColumn("_ix_chunk", F.date_trunc(chunk, F.col(order[0]).cast("timestamp")))
+    inside = Window.partitionBy(*by, "_ix_chunk").orderBy(*order)
+    across = Window.partitionBy(*by).orderBy(F.col("_ix_chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*by, "_ix_chunk").agg(F.count(F.lit(1)).alias("_ix_n")).withColumn("_ix_from", F.coalesce(F.sum("_ix_n").over(across), F.lit(0))).drop("_ix_n")
+    side = counts.select(*(F.col(c).alias(f"_ix_k{i}") for i, c in enumerate([*by, "_ix_chunk"])), "_ix_from")
     same = F.lit(True)
-    for i, c in enumerate([*by, "_chunk"]):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    numbered = rows.withColumn("_r", F.row_number().over(inside))
-    return numbered.join(side, same).withColumn(name, F.col("_from") + F.col("_r") - 1).drop("_chunk", "_r", "_from", *(f"_k{i}" for i in range(len(by) + 1)))
+    for i, c in enumerate([*by, "_ix_chunk"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_ix_k{i}"))
+    numbered = rows.withColumn("_ix_r", F.row_number().over(inside))
+    return numbered.join(side, same).withColumn(name, F.col("_ix_from") + F.col("_ix_r") - 1).drop("_ix_chunk", "_ix_r", "_ix_from", *(f"_ix_k{i}" for i in range(len(by) + 1)))
 
 
-def blocks(df: DataFrame, index: str = "_i", size: int = BLOCK_ROWS, before: int = 0, after: int = 0) -> DataFrame:
-    """Copies of rows for each block that needs them: adds ``_block`` and ``_own`` (false for halo rows)."""
+def blocks(df: DataFrame, index: str = "_ix", size: int = BLOCK_ROWS, before: int = 0, after: int = 0) -> DataFrame:
+    """Copies of rows for each block that needs them: adds ``_ix_block`` and ``_ix_own`` (false for halo rows)."""
     if max(before, after) > size:
         raise ValueError("a halo must fit into one block")
     at = F.floor(F.col(index) / size)
@@ -45,8 +45,8 @@ def blocks(df: DataFrame, index: str = "_i", size: int = BLOCK_ROWS, before: int
         F.when(inside >= size - before, F.struct((at + 1).alias("b"), F.lit(False).alias("own"))) if before else F.lit(None).cast("struct<b:bigint,own:boolean>"),
         F.when((inside < after) & (at > 0), F.struct((at - 1).alias("b"), F.lit(False).alias("own"))) if after else F.lit(None).cast("struct<b:bigint,own:boolean>"),
     )
-    dealt = df.withColumn("_s", F.explode(F.filter(spots, lambda s: s.isNotNull())))
-    return dealt.withColumns({"_block": F.col("_s.b"), "_own": F.col("_s.own")}).drop("_s")
+    dealt = df.withColumn("_ix_s", F.explode(F.filter(spots, lambda s: s.isNotNull())))
+    return dealt.withColumns({"_ix_block": F.col("_ix_s.b"), "_ix_own": F.col("_ix_s.own")}).drop("_ix_s")
 
 
 def over_blocks(df: DataFrame, columns: dict[str, Callable[[Window], Column]], by: list[str], order: list[str], before: int = 0, after: int = 0, size: int | None = None) -> DataFrame:
@@ -56,9 +56,9 @@ def over_blocks(df: DataFrame, columns: dict[str, Callable[[Window], Column]], b
     a block's edge as the series' end only if its frame would pass it, which the halo prevents.
     """
     size = size or max(BLOCK_ROWS, 4 * max(before, after))
-    dealt = blocks(index_rows(df, by, order), "_i", size, before, after)
-    w = Window.partitionBy(*by, "_block").orderBy("_i")
-    return dealt.withColumns({n: f(w) for n, f in columns.items()}).where("_own").drop("_i", "_block", "_own")
+    dealt = blocks(index_rows(df, by, order), "_ix", size, before, after)
+    w = Window.partitionBy(*by, "_ix_block").orderBy("_ix")
+    return dealt.withColumns({n: f(w) for n, f in columns.items()}).where("_ix_own").drop("_ix", "_ix_block", "_ix_own")
 
 
 def ewm(df: DataFrame, columns: dict[str, tuple[str | Column, float]], by: list[str], order: list[str], seed: str = "first", seed_rows: int = 1, size: int | None = None) -> DataFrame:
@@ -70,32 +70,32 @@ def ewm(df: DataFrame, columns: dict[str, tuple[str | Column, float]], by: list[
     """
     out = df
     for name, (x, alpha) in columns.items():
-        out = _ewm_one(out.withColumn("_x", (F.col(x) if isinstance(x, str) else x).cast("double")), name, alpha, by, order, seed, seed_rows, size).drop("_x")
+        out = _ewm_one(out.withColumn("_ew_x", (F.col(x) if isinstance(x, str) else x).cast("double")), name, alpha, by, order, seed, seed_rows, size).drop("_ew_x")
     return out
 
 
 def _ewm_one(df: DataFrame, name: str, alpha: float, by: list[str], order: list[str], seed: str, seed_rows: int, size: int | None) -> DataFrame:
     first = 0 if seed == "first" else seed_rows - 1
     if alpha >= 1:
-        return df.withColumn(name, F.last("_x", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order)))
+        return df.withColumn(name, F.last("_ew_x", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order)))
     rate = -math.log(1 - alpha)
     halo = max(1, math.ceil(FORGET / rate), first + 1)
     size = max(size or 0, halo, min(4 * halo, int(400 / rate)))
-    rows = index_rows(df.where("_x is not null"), by, order)
-    dealt = blocks(rows, "_i", size, halo)
-    w = Window.partitionBy(*by, "_block").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.min("_i").over(Window.partitionBy(*by, "_block"))
-    value = F.col("_x")
+    rows = index_rows(df.where("_ew_x is not null"), by, order)
+    dealt = blocks(rows, "_ix", size, halo)
+    w = Window.partitionBy(*by, "_ix_block").orderBy("_ix").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.min("_ix").over(Window.partitionBy(*by, "_ix_block"))
+    value = F.col("_ew_x")
     if first:
-        value = F.when(F.col("_i") == first, F.avg("_x").over(w)).when(F.col("_i") > first, value)
-    dealt = dealt.withColumns({"_p": (F.col("_i") - start).cast("double"), "_v": value})
-    weight = F.when(F.col("_i") == first, F.lit(1.0)).otherwise(F.lit(alpha))
-    dealt = dealt.withColumn(name, F.sum(F.col("_v") * weight * F.exp(F.col("_p") * rate)).over(w) * F.exp(-F.col("_p") * rate))
-    done = dealt.where("_own").drop("_p", "_v", "_i", "_block", "_own")
-    missing = df.where("_x is null")
+        value = F.when(F.col("_ix") == first, F.avg("_ew_x").over(w)).when(F.col("_ix") > first, value)
+    dealt = dealt.withColumns({"_ew_p": (F.col("_ix") - start).cast("double"), "_ew_v": value})
+    weight = F.when(F.col("_ix") == first, F.lit(1.0)).otherwise(F.lit(alpha))
+    dealt = dealt.withColumn(name, F.sum(F.col("_ew_v") * weight * F.exp(F.col("_ew_p") * rate)).over(w) * F.exp(-F.col("_ew_p") * rate))
+    done = dealt.where("_ix_own").drop("_ew_p", "_ew_v", "_ix", "_ix_block", "_ix_own")
+    missing = df.where("_ew_x is null")
     both = done.unionByName(missing.withColumn(name, F.lit(None).cast("double")))
     return both.withColumn(name, F.last(name, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order))) if not _never_null(df) else both
 
 
 def _never_null(df: DataFrame) -> bool:
-    return not df.schema["_x"].nullable
+    return not df.schema["_ew_x"].nullable

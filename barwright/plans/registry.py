@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from barwright.plans import market, study, trading
+from barwright.plans.market import flagship
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in (market, trading, study):
+    QUERIES.update(module.QUERIES)
+    ORACLES.update(module.ORACLES)
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
