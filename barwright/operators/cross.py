@@ -94,7 +94,7 @@ def param_sweep(bars: DataFrame, grid: DataFrame, observed: DataFrame, n: int =
 
     The grid (a checked, small table of thresholds) meets bars that already have their RSI, computed once.
     """
-    with_rsi = rsi(bars, "close", n)
+    with_rsi = rsi(bars, "close", n).select("symbol", "ts", "close", "volume", f"rsi_{n}")
     met = with_rsi.crossJoin(F.broadcast(grid)).withColumn("signal", F.when(F.col(f"rsi_{n}") < F.col("low"), 1).when(F.col(f"rsi_{n}") > F.col("high"), 2).otherwise(0))
     made = signal_signature(met, ["symbol", "low", "high"])
     names = ["volume_ratio", "activity"]
