@@ -63,20 +63,19 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Alternating large-star and small-star rounds: every step is a map-side combined aggregate and an
     equi-join on a node, so a hub's edges are split by skew-join handling, and nothing reaches the
-    driver but one count and one checksum a round. Self-loops and repeated or null edges are ignored.
+    driver but one flag a round. Self-loops and repeated or null edges are ignored.
     """
     current = stored(
         edges.where("src is not null and dst is not null and src <> dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct()
     )
-    mark = _checksum(current)
     for _ in range(max_rounds):
-        if mark[0] == 0:
+        if _settled(current):
             break
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u")
@@ -87,18 +86,17 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         )
         following = stored(small)
         forget(current)
-        current, before = following, mark
-        mark = _checksum(current)
-        if mark == before:
-            break
+        current = following
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _checksum(edges: DataFrame):
-    row = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-    return row[0], row[1]
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is either a root or has one edge, to a root."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    each = ends.groupBy("e.n").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
+    return not each.agg(F.max(((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).cast("int"))).first()[0]
 
 
 def lower_ascii(text):
@@ -134,12 +132,13 @@ def within_broadcast(side: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFr
     return F.broadcast(side) if side.limit(bound + 1).count() <= bound else side
 
 
-def follow_hot(hot: DataFrame, links: DataFrame, verify, pivots: int = 3) -> DataFrame:
+def follow_hot(hot: DataFrame, links: DataFrame, verify, pivots: int = 1, last=None) -> DataFrame:
     """``links(src, dst)`` with those that only the crowded signatures ``hot(sig, node)`` show.
 
     ``verify`` turns distinct ``pairs(a, b)`` into links. Pivot rounds hold every node of a signature
     against one of them, in an order of its own each round; signatures whose nodes are in one
-    component need no more. The last round pairs nodes across a signature's remaining components.
+    component need no more. The last round pairs nodes across a signature's remaining components, or
+    leaves that to ``last(rows)`` of ``sig, n, root``, which gives the links.
     """
     done = None
     for turn in range(pivots + 1):
@@ -150,6 +149,8 @@ def follow_hot(hot: DataFrame, links: DataFrame, verify, pivots: int = 3) -> Dat
         rows = stored(rows.join(several, "sig", "left_semi"))
         if not rows.take(1):
             break
+        if turn == pivots and last is not None:
+            return stored(links.union(last(rows)))
         if turn < pivots:
             chosen = rows.groupBy("sig").agg(F.min_by(F.struct("n", "root"), F.xxhash64("root", "n", F.lit(turn))).alias("p"))
             pairs = rows.join(chosen, "sig").where("root <> p.root").select(F.least("n", "p.n").alias("a"), F.greatest("n", "p.n").alias("b"))

@@ -6,10 +6,13 @@ most ``k`` elements if they are similar enough, so of more than ``k`` partitions
 some have no difference: each non-empty partition's content is a signature, and there are a few more
 partitions than needed so that some may go unused.
 
-A signature that many sets share is *hot*. A set with more than ``k`` cold signatures meets every
-partner in one of those, so hot ones are only followed for sets that have not enough; there, sets are
-held against pivots first, and only sets that are still in different components of a hot signature
-are paired. Equal sets count once throughout. Similarity is verified on the sets themselves.
+A signature that many sets share is *hot*. Similar sets have a least number of signatures in common, of
+which at most their hot ones are not seen as cold pairs; pairs that share fewer are dropped unverified. Sets
+whose hot signatures could hide a partner altogether meet again by their rarest shingles among such sets:
+each set's first shingles by rarity are as many as leave too few for a partner without any of them. What
+is still hot there is a crowd of near copies: they are held against pivots first, and only sets that are
+still in different components of a hot shingle are paired. Equal sets count once throughout. Similarity
+is verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.llm.common import components, follow_hot, forget, stored, within_broadcast
@@ -27,6 +31,11 @@ from barwright.llm.common import components, follow_hot, forget, stored, within_
 MAX_COLD = 16
 #: Bytes of text that one step of a task works on; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Rows of a document's own (identifier, size, fingerprint) travel with the signatures, marked in ``slack``.
+OWN_ROW = -2_000_000_000
+#: Sets of a block of a crowd whose members are held against each other.
+BLOCK_SETS = 512
+SIGNED = "sig bigint, fp bigint, slack int"
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -169,41 +178,28 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int64), pa.int64())
 
 
-def _profile(k: int):
-    """Per document: identifier, set size and set fingerprint (null for an empty set)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, marks = [], []
-            for _, _, data, offsets in _steps(batch):
-                for items in shingle_sets(data, offsets, k):
-                    sizes.append(len(items))
-                    marks.append(_fingerprint(items) if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64())], ["id", "n", "fp"])
-
-    return run
-
-
 def _signature_rows(k: int, num: int, den: int):
-    """Signatures of each distinct set of a partition: ``sig, fp, slack``."""
+    """Signatures of each distinct set of a partition, ``sig, fp, slack``, and each document's own row ``id, fp, OWN_ROW + n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, seen = PartEnum(num, den), set()
         for batch in batches:
-            for _, _, data, offsets in _steps(batch):
-                sigs, fps, slacks, counts = [], [], [], []
-                for items in shingle_sets(data, offsets, k):
-                    if not len(items) or (fp := _fingerprint(items)) in seen:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for begin, end, data, offsets in _steps(batch):
+                sets = shingle_sets(data, offsets, k)
+                marks = np.array([_fingerprint(x) if len(x) else 0 for x in sets], dtype=np.int64)
+                sigs, fps = [ids[begin:end].astype(np.int64).view(_U)], [marks]
+                slacks = [np.array([OWN_ROW + len(x) for x in sets], dtype=np.int32)]
+                for items, fp in zip(sets, marks.tolist(), strict=True):
+                    if not len(items) or fp in seen:
                         continue
                     if len(seen) < 1 << 20:  # copies beyond it are folded behind the shuffle
                         seen.add(fp)
                     for slack, found in scheme.signatures(items):
                         sigs.append(found)
-                        fps.append(fp)
-                        slacks.append(slack)
-                        counts.append(len(found))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(np.repeat(np.array(fps, dtype=np.int64), counts)), pa.array(np.repeat(np.array(slacks, dtype=np.int32), counts))], ["sig", "fp", "slack"])
+                        fps.append(np.full(len(found), fp, dtype=np.int64))
+                        slacks.append(np.full(len(found), slack, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(slacks))], ["sig", "fp", "slack"])
 
     return run
 
@@ -211,7 +207,8 @@ def _signature_rows(k: int, num: int, den: int):
 def _groups(max_cold: int):
     """From rows sorted by (sig, fp): pairs of sets that share a cold signature, and the rows of hot ones.
 
-    Emits ``a, b, sig, slack``: a pair where ``b`` is set, else set ``a``'s row of the hot ``sig``. A
+    Emits ``a, b, sig, slack``: a pair (with the greater slack) where ``b`` is set, else set ``a``'s row of the
+    hot ``sig``; documents' own rows pass through. A
     signature is hot if more than ``max_cold`` sets share it, or several with one of too few
     signatures. Holds one batch and the sets of one cold signature.
     """
@@ -232,13 +229,17 @@ def _groups(max_cold: int):
             at = start[cold & (count == size)]
             for x in range(size):
                 for y in range(x + 1, size):
-                    yield pack(fp[at + x], fp[at + y], sig[at], slack[at])
+                    yield pack(fp[at + x], fp[at + y], sig[at], np.maximum(slack[at + x], slack[at + y]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last signature's rows so far
         spent = None  # that signature and its last set, once it is known to be hot and its rows went out
         for batch in batches:
             sig, fp, slack = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if len(own := np.flatnonzero(slack < OWN_ROW // 2)):
+                yield pack(fp[own], None, sig[own], slack[own])
+                rest = np.flatnonzero(slack >= OWN_ROW // 2)
+                sig, fp, slack = sig[rest], fp[rest], slack[rest]
             if spent is not None:
                 same = int(np.searchsorted(sig, spent[0], side="right"))
                 if same:
@@ -294,8 +295,7 @@ def _verified(pairs: DataFrame, profile: DataFrame, read: DataFrame, k: int, num
     )
     near = stored(near)
     wanted = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(owners, "fp").select("fp", "owner")
-    sets = read.join(within_broadcast(stored(wanted)), F.col("id") == F.col("owner")).select("fp", "text").mapInArrow(_sets(k), "fp bigint, items array<bigint>")
-    sets = stored(sets.dropDuplicates(["fp"]))
+    sets = stored(_items(read, wanted, k))
     both = near.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("fp").alias("b"), F.col("items").alias("ib")), "b")
     shared = F.size(F.array_intersect("ia", "ib"))
     links = stored(both.withColumn("s", shared).where(F.col("s") * den >= (F.col("na") + F.col("nb") - F.col("s")) * num).select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -304,6 +304,10 @@ def _verified(pairs: DataFrame, profile: DataFrame, read: DataFrame, k: int, num
     return links
 
 
+def _grouped(signed: DataFrame, max_cold: int) -> DataFrame:
+    return stored(signed.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(_groups(max_cold), "a bigint, b bigint, sig bigint, slack int"))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, max_cold: int = MAX_COLD) -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_shingles, component_id``.
 
@@ -315,27 +319,116 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     read = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     usable = read.where("id is not null")
-    profile = stored(read.mapInArrow(_profile(k), "id bigint, n bigint, fp bigint"))
-    signed = usable.mapInArrow(_signature_rows(k, num, den), "sig bigint, fp bigint, slack int")
-    groups = stored(signed.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(_groups(max_cold), "a bigint, b bigint, sig bigint, slack int"))
-    known = profile.where("id is not null")
-    links = _verified(groups.where("b is not null").select("a", "b").distinct(), known, usable, k, num, den)
-    hot = _followed(groups)
-    if hot.take(1):
-        links = follow_hot(hot, links, lambda pairs: _verified(pairs, known, usable, k, num, den))
+    groups = _grouped(usable.mapInArrow(_signature_rows(k, num, den), SIGNED), max_cold)
+    profile = groups.where(f"slack < {OWN_ROW // 2}").select(F.col("sig").alias("id"), (F.col("slack") - OWN_ROW).cast("bigint").alias("n"), F.when(F.col("slack") > OWN_ROW, F.col("a")).alias("fp"))
+    instance = F.col("sig").bitwiseAND(F.lit(255)).alias("instance")
+    hot = groups.where(f"b is null and slack >= {OWN_ROW // 2}").groupBy(F.col("a").alias("fp"), instance).agg(F.min("slack").alias("slack"), F.count(F.lit(1)).alias("hot"))
+    hot = stored(hot)
+    links = _verified(_enough(groups, hot, instance), profile, usable, k, num, den)
+    crowded = stored(hot.where("hot > slack").select("fp").distinct())
+    if crowded.take(1):
+        prefixes = _rarest(crowded, profile, usable, k, num, den)
+        holders = prefixes.groupBy("sig").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+        shared = stored(prefixes.join(holders, "sig"))
+        few = shared.where(f"holders <= {max_cold}")
+        pairs = few.select("sig", F.col("node").alias("a")).join(few.select("sig", F.col("node").alias("b")), "sig").where("a < b").select("a", "b").distinct()
+        links = stored(links.union(_verified(stored(pairs), profile, usable, k, num, den)))
+        still = shared.where(f"holders > {max_cold}").select("sig", "node")
+        if still.take(1):
+            links = follow_hot(still, links, lambda found: _verified(found, profile, usable, k, num, den), last=lambda rows: _in_blocks(rows, profile, usable, k, num, den))
     roots = components(links)
-    labelled = known.where("fp is not null").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
+    labelled = profile.where("fp is not null").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("id").alias("component_id"))
     of_set = labelled.groupBy("fp").agg(F.first("root").alias("root")).join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    joined = profile.join(of_set, (F.col("fp") == F.col("_fp")) & F.col("id").isNotNull(), "left")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    joined = profile.join(of_set, F.col("fp") == F.col("_fp"), "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    lone = read.where("id is null").mapInArrow(_sizes(k), "id bigint, n bigint").select("id", "n", F.lit(None).cast("bigint").alias("component_id"))
+    return joined.unionByName(lone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _rarest(chosen: DataFrame, profile: DataFrame, read: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Stored ``sig, node``: of each chosen set the rarest shingles, one more than a similar set can lack."""
+    owners = chosen.join(profile.where("fp is not null").groupBy("fp").agg(F.min("id").alias("owner")), "fp")
+    items = stored(_items(read, owners, k).select("fp", F.size("items").alias("n"), F.explode("items").alias("item")))
+    common = items.groupBy("item").agg(F.count(F.lit(1)).alias("sets"))
+    rank = F.row_number().over(Window.partitionBy("fp").orderBy("sets", "item"))
+    first = items.join(common, "item").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.floor((F.col("n") * num + den - 1) / den) + 1)
+    return stored(first.select(F.col("item").alias("sig"), F.col("fp").alias("node")))
 
 
-def _followed(groups: DataFrame) -> DataFrame:
-    """Hot rows ``sig, fp`` of sets whose cold signatures alone could miss a partner."""
-    rows = groups.where("b is null").select(F.col("a").alias("fp"), "sig", "slack", F.col("sig").bitwiseAND(F.lit(255)).alias("instance"))
-    short = rows.groupBy("fp", "instance").agg(F.min("slack").alias("slack"), F.count(F.lit(1)).alias("hot")).where("hot > slack").select("fp", "instance")
-    return stored(rows.join(short, ["fp", "instance"], "left_semi").select("sig", F.col("fp").alias("node")))
+def _in_blocks(rows: DataFrame, profile: DataFrame, read: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links ``src, dst`` between different components of ``rows(sig, n, root)``, found block against block.
+
+    A signature's sets fall into blocks of about ``BLOCK_SETS``; each pair of blocks is one group, whose
+    overlaps are a matrix product, and only links that join components leave it. A set is copied once
+    per block of its signature, never once per other set.
+    """
+    nodes = rows.select(F.col("sig").alias("cluster"), "n", F.col("root").alias("own")).distinct()
+    sizes = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("blocks"))
+    owners = nodes.select(F.col("n").alias("fp")).distinct().join(profile.where("fp is not null").groupBy("fp").agg(F.min("id").alias("owner")), "fp")
+    placed = nodes.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks")))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    full = dealt.join(_items(read, owners, k), F.col("n") == F.col("fp")).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "own", "items")
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        items = rows["items"].to_numpy()
+        sizes = np.array([len(x) for x in items], dtype=np.int64)
+        _, codes = np.unique(np.concatenate(items), return_inverse=True)
+        at = np.repeat(np.arange(len(items)), sizes)
+        # only shingles of several sets matter; each bit of memory is (sets x such shingles) floats, in slices
+        often = np.flatnonzero(np.bincount(codes) > 1)
+        where = np.full(codes.max() + 1, -1)
+        where[often] = np.arange(len(often))
+        column = where[codes]
+        shared = np.zeros((len(items), len(items)), dtype=np.float32)
+        for low in range(0, len(often), 4096):
+            part = (column >= low) & (column < low + 4096)
+            dense = np.zeros((len(items), 4096), dtype=np.float32)
+            dense[at[part], column[part] - low] = 1
+            shared += dense @ dense.T
+        own = rows["own"].to_numpy()
+        near = shared * den >= (sizes[:, None] + sizes[None, :] - shared) * num
+        fps, parent, out = rows["fp"].to_numpy(), {}, []
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            x, y = root(own[a]), root(own[b])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((fps[a], fps[b]))
+        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
+
+    return stored(full.groupBy("cluster", "i", "j").applyInPandas(link, "src bigint, dst bigint"))
+
+
+def _items(read: DataFrame, owners: DataFrame, k: int) -> DataFrame:
+    """Sets ``fp, items`` of ``owners(fp, owner)``, each once."""
+    texts = read.join(within_broadcast(stored(owners)), F.col("id") == F.col("owner")).select("fp", "text")
+    return texts.mapInArrow(_sets(k), "fp bigint, items array<bigint>").dropDuplicates(["fp"])
+
+
+def _sizes(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(x) for _, _, data, offsets in _steps(batch) for x in shingle_sets(data, offsets, k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["id", "n"])
+
+    return run
+
+
+def _enough(groups: DataFrame, hot: DataFrame, instance) -> DataFrame:
+    """Stored ``a, b`` of pairs that share enough cold signatures in some instance to be similar.
+
+    Similar sets have at least ``slack + 1`` signatures in common, all cold but for their hot ones.
+    """
+    counted = groups.where("b is not null").groupBy("a", "b", instance).agg(F.count(F.lit(1)).alias("shared"), F.max("slack").alias("slack"))
+    side = lambda c: hot.select(F.col("fp").alias(c), "instance", F.col("hot").alias(f"hot_{c}"))
+    met = counted.join(side("a"), ["a", "instance"], "left").join(side("b"), ["b", "instance"], "left")
+    unseen = F.greatest(F.coalesce("hot_a", F.lit(0)), F.coalesce("hot_b", F.lit(0)))
+    return stored(met.where(F.col("shared") > F.col("slack") - unseen).select("a", "b").distinct())
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
