@@ -63,7 +63,9 @@ def test_triple_barrier_ties(spark):
     bars = [(at(0), 10.0, 10.0, 10.0), (at(1), 13.0, 7.0, 10.0), (at(2), 10.0, 9.0, 9.5), (at(3), 10.0, 7.0, 8.0), (at(4), 8.5, 8.0, 8.0), (at(5), 8.5, 8.0, 8.0)]
     df = spark.createDataFrame([("s", t, h, lo, c, 1.0) for t, h, lo, c in bars], "symbol string, ts timestamp, high double, low double, close double, atr_14 double")
     got = [r.label for r in labels.triple_barrier(df, horizon=3).orderBy("ts").collect()]
-    assert got == [1, 2, 0, None, None, None]
+    assert got == [1, 2, 2, None, None, None]
+    far = labels.triple_barrier(df, pt=5.0, sl=5.0, horizon=3).orderBy("ts").collect()
+    assert [r.label for r in far] == [0, 0, 0, None, None, None]
     assert [r.label for r in labels.triple_barrier(df, horizon=3, tail="zero").orderBy("ts").collect()][3:] == [0, 0, 0]
 
 
