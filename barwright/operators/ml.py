@@ -6,6 +6,7 @@ import json
 import re
 from pathlib import Path
 
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
@@ -14,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barwright.functions.scalar import both, either, gt, lt, negate, protected_div, protected_inv, protected_log, protected_sqrt, safe_ratio
 from barwright.operators.asof import new_rows
@@ -219,9 +221,6 @@ def new_formulas(candidates: DataFrame, known: DataFrame) -> DataFrame:
 
 def text_complexity(df: DataFrame, column: str) -> DataFrame:
     """Adds ``complexity`` and ``penalty``: length, bracket depth and deflated size of a formula text; quadratic above 0.7."""
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.DoubleType())
     def compressed(texts: pd.Series) -> pd.Series:
         import zlib
@@ -237,19 +236,19 @@ def text_complexity(df: DataFrame, column: str) -> DataFrame:
     return made.withColumn("penalty", F.when(F.col("complexity") > 0.7, (F.col("complexity") - 0.7) * (F.col("complexity") - 0.7)).otherwise(0.0))
 
 
-def treatment_effect(df: DataFrame, treatment: str, outcome: str, confounders: list[str], order: list[str], placebos: int = 10, seed: int = 42) -> DataFrame:
-    """One row ``effect, placebo_mean, p_value``: least-squares weight of the treatment, against hash-permuted treatments."""
+def treatment_effect(df: DataFrame, treatment: str, outcome: str, confounders: list[str], by: list[str], order: list[str], placebos: int = 10, seed: int = 42) -> DataFrame:
+    """One row ``effect, placebo_mean, p_value``: least-squares weight of the treatment, against treatments hash-permuted within each key."""
     from barwright.operators.resample import permuted
 
     names = [treatment, *confounders]
-    base = df.dropna(subset=[*names, outcome]).withColumn("_one", F.lit(1)).cache()
+    base = df.dropna(subset=[*names, outcome]).cache()
 
     def weight(rows: DataFrame) -> float:
         model = LinearRegression(featuresCol="features", labelCol=outcome, solver="normal").fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
         return float(model.coefficients[0])
 
     effect = weight(base)
-    fake = [weight(permuted(base, treatment, ["_one"], order, seed + i)) for i in range(placebos)]
+    fake = [weight(permuted(base, treatment, by, order, seed + i)) for i in range(placebos)]
     base.unpersist()
     beyond = sum(abs(f) >= abs(effect) for f in fake)
     return df.sparkSession.createDataFrame([(effect, sum(fake) / len(fake), (beyond + 1) / (placebos + 1))], "effect double, placebo_mean double, p_value double")

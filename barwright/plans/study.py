@@ -74,8 +74,8 @@ def sta2_signal_signature(spark, sf_dir):
 
 @query(SIGNALS_SQL + f""", ob AS (SELECT symbol, {SIGNATURE} FROM sg GROUP BY symbol), grid AS (SELECT * FROM (VALUES (30, 70), (40, 60), (45, 65)) AS v(low, high)),
 c AS (SELECT symbol, low, high, {SIGNATURE.replace('signal', 's2')} FROM (SELECT symbol, volume, low, high, CASE WHEN rsi_14 < low THEN 1 WHEN rsi_14 > high THEN 2 ELSE 0 END AS s2 FROM sg, grid) GROUP BY symbol, low, high),
-d AS (SELECT c.symbol, low, high, sqrt(pow(c.volume_ratio - ob.volume_ratio, 2) + pow(c.activity - ob.activity, 2)) AS distance FROM c JOIN ob USING (symbol))
-SELECT symbol, arg_min(low, (distance, low, high))::BIGINT AS low, arg_min(high, (distance, low, high))::BIGINT AS high, round(1 / (1 + min(distance)), 6) AS fit FROM d GROUP BY symbol""")
+dd AS (SELECT c.symbol, low, high, sqrt(pow(c.volume_ratio - ob.volume_ratio, 2) + pow(c.activity - ob.activity, 2)) AS distance FROM c JOIN ob USING (symbol))
+SELECT symbol, arg_min(low, (distance, low, high))::BIGINT AS low, arg_min(high, (distance, low, high))::BIGINT AS high, round(1 / (1 + min(distance)), 6) AS fit FROM dd GROUP BY symbol""")
 def sta3_param_sweep(spark, sf_dir):
     b = bars(spark, sf_dir)
     grid = spark.createDataFrame([(30, 70), (40, 60), (45, 65)], "low long, high long")
@@ -91,7 +91,7 @@ def sta4_drift_points(spark, sf_dir):
 @query()
 def sta5_treatment_effect(spark, sf_dir):
     b = indicators.shifted(bars(spark, sf_dir), {"ret": ("close", "pct", 1), "nxt": ("close", "lead", 1)}).withColumn("next_ret", F.col("nxt") - F.col("close"))
-    return ml.treatment_effect(b, "ret", "next_ret", ["volume"], ["symbol", "ts"], placebos=3)
+    return ml.treatment_effect(b, "ret", "next_ret", ["volume"], ["symbol"], ["ts"], placebos=3)
 
 
 @query("SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER (), 6) AS l_quantity FROM lineitem")
@@ -117,14 +117,14 @@ FEATURES = ["atr_ratio_14", "bb_pos", "volatility_20", "momentum_20"]
 
 @query()
 def ml2_classify(spark, sf_dir):
-    d = labelled(spark, sf_dir)
+    d = labelled(spark, sf_dir).cache()
     part = lambda p: d.where(F.col("split") == p)
     return ml.classify(part("train"), part("valid"), part("test"), FEATURES).select("symbol", "ts", "label", "probability")
 
 
 @query()
 def ml3_meta_model(spark, sf_dir):
-    d = labelled(spark, sf_dir).withColumn("label", (F.col("label") == 1).cast("int"))
+    d = labelled(spark, sf_dir).withColumn("label", (F.col("label") == 1).cast("int")).cache()
     return ml.meta_model(d.where("split = 'train'"), d.where("split = 'test'"), FEATURES).select("symbol", "ts", "label", "probability")
 
 
