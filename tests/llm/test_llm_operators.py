@@ -129,6 +129,24 @@ def test_line_dedup(spark):
     assert line_dedup.repeated_lines(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_line_dedup_follows_every_crowded_band(spark):
+    """A large family around one line: what meets in any band and is similar ends in one class."""
+    rnd = random.Random(11)
+    hub = words(rnd, 40)
+    variants = []
+    for i in range(60):
+        at = rnd.choice([n for n, c in enumerate(hub) if c != " "])
+        variants.append(hub[:at] + chr(0x100 + i) + hub[at + 1 :])
+    family = [hub, *variants]
+    rows = docs(spark, family).select("doc_id", line_dedup.bands_of("text").alias("bands")).collect()
+    bands = {r.doc_id: set(r.bands) for r in rows}
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in family]
+    with_hub = [i for i in range(1, len(family)) if bands[0] & bands[i] and len(sets[0] & sets[i]) >= 0.8 * len(sets[0] | sets[i])]
+    assert len(with_hub) > 50
+    got = {r.doc_id: r.first_doc for r in line_dedup.repeated_lines(docs(spark, family)).collect()}
+    assert {i: got.get(i) for i in with_hub} == dict.fromkeys(with_hub, 0)
+
+
 # benchmark ---------------------------------------------------------------------------------------------------
 
 
