@@ -147,6 +147,16 @@ def test_line_dedup_follows_every_crowded_band(spark):
     assert {i: got.get(i) for i in with_hub} == dict.fromkeys(with_hub, 0)
 
 
+def test_line_dedup_signs_long_lines_without_spaces(spark):
+    """Near copies of long lines without words: ideographs, URLs, base64, cells between tabs."""
+    rnd = random.Random(13)
+    alphabets = ["".join(chr(0x4E00 + i) for i in range(900)), "abcdefghijklmnop/-_%=&", "ABCDEFGHIJabcdefghij0123456789+/", "abcdefgh\t"]
+    texts = ["".join(rnd.choice(alphabets[i % 4]) for _ in range(rnd.randint(150, 400))) for i in range(24)]
+    copies = [t[: (at := rnd.randrange(len(t)))] + "#" + t[at + 1 :] for t in texts]
+    got = {r.doc_id: r.first_doc for r in line_dedup.repeated_lines(docs(spark, [*texts, *copies])).collect()}
+    assert got == {24 + i: i for i in range(24)}
+
+
 # benchmark ---------------------------------------------------------------------------------------------------
 
 
