@@ -120,16 +120,24 @@ def conformal(calibration: DataFrame, scored: DataFrame, probs: str, label: str,
 def niche_share(sets: DataFrame, key: str, items: str, fitness: str, threshold: float = 0.7) -> DataFrame:
     """``key, niche, shared_fitness``: fitness over the number of sets (itself included) of Jaccard similarity at least ``threshold``.
 
-    Sets meet through shared items, so only pairs with something in common are compared; empty sets have a niche of one.
+    Equal sets fold first. Distinct sets meet in their rarest items: similar ones share one of the first
+    ``n - ceil(threshold * n) + 1`` each, and are compared at the first they share. Empty sets have a niche of one.
     """
-    rows = sets.select(key, F.array_distinct(items).alias("_s"), fitness)
-    long = rows.select(key, F.size("_s").alias("_n"), F.explode("_s").alias("_e"))
-    right = long.toDF("_k2", "_n2", "_e")
-    near = (F.least("_n", "_n2") >= threshold * F.greatest("_n", "_n2"))
-    both_sets = long.join(right, "_e").where(near).groupBy(key, "_k2", "_n", "_n2").agg(F.count(F.lit(1)).alias("_c"))
-    alike = both_sets.where(F.col("_c") >= threshold * (F.col("_n") + F.col("_n2") - F.col("_c")))
-    n = alike.groupBy(key).agg(F.count(F.lit(1)).alias("niche"))
-    return rows.join(n, key, "left").select(key, F.greatest(F.coalesce("niche", F.lit(1)), F.lit(1)).cast("long").alias("niche"), (F.col(fitness) / F.greatest(F.coalesce("niche", F.lit(1)), F.lit(1))).alias("shared_fitness"))
+    rows = sets.select(key, F.array_sort(F.array_distinct(F.array_compact(items))).alias("_s"), fitness)
+    folded = rows.where(F.size("_s") > 0).groupBy("_s").agg(F.count(F.lit(1)).alias("_w"))
+    long = folded.select("_s", "_w", F.explode("_s").alias("_e"))
+    rare = long.groupBy("_e").agg(F.count(F.lit(1)).alias("_f"))
+    ranked = long.join(rare, "_e").groupBy("_s", "_w").agg(F.sort_array(F.collect_list(F.struct("_f", "_e"))).alias("_r"))
+    first = (F.size("_s") - F.ceil(threshold * F.size("_s") - 1e-9) + 1).cast("int")
+    left = ranked.select("_s", "_w", F.slice(F.transform("_r", lambda x: x["_e"]), F.lit(1), first).alias("_p"))
+    left = left.select("*", F.explode("_p").alias("_e"))
+    right = left.toDF("_s2", "_w2", "_p2", "_e")
+    n, m = F.size("_s"), F.size("_s2")
+    shared = F.size(F.array_intersect("_s", "_s2"))
+    near = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.get(F.array_intersect("_p", "_p2"), F.lit(0)) == F.col("_e"))
+    alike = left.join(right, "_e").where(near & (shared >= threshold * (n + m - shared)))
+    niche = alike.groupBy("_s").agg(F.sum("_w2").alias("niche"))
+    return rows.join(niche, "_s", "left").select(key, F.coalesce("niche", F.lit(1)).cast("long").alias("niche"), (F.col(fitness) / F.coalesce("niche", F.lit(1))).alias("shared_fitness"))
 
 
 def multi_hot(df: DataFrame, items: str, names: list) -> DataFrame:

@@ -224,6 +224,13 @@ def set1_2_append_aligned(spark, sf_dir):
     return aggregate.concat_all([a, b])
 
 
+@query("SELECT o_orderkey AS id, o_totalprice AS amount, NULL::INTEGER AS line FROM orders UNION ALL SELECT l_orderkey, l_quantity, l_linenumber FROM lineitem")
+def set1_2_append_aligned_whole(spark, sf_dir):
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("amount"), F.col("l_linenumber").alias("line"))
+    return aggregate.concat_all([a, b])
+
+
 @query(BARS_SQL + " SELECT symbol, ts, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 24")
 def src2_last_n(spark, sf_dir):
     from barwright.operators.perf import last_n

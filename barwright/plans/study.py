@@ -163,6 +163,13 @@ def ml7_niche_share(spark, sf_dir):
     return rounded(ml.niche_share(sets, "l_orderkey", "s", "f"), "shared_fitness")
 
 
+@query()
+def ml7_niche_share_whole(spark, sf_dir):
+    """Over every order; SQL would compare all orders with all others, so there is no twin."""
+    sets = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 20).alias("s"), F.sum("l_quantity").alias("f"))
+    return rounded(ml.niche_share(sets, "l_orderkey", "s", "f"), "shared_fitness")
+
+
 @query("SELECT l_orderkey, max((l_partkey % 20 = 3)::INT) AS has_3, max((l_partkey % 20 = 7)::INT) AS has_7 FROM lineitem GROUP BY 1")
 def ml8_multi_hot(spark, sf_dir):
     sets = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 20).alias("s"))
