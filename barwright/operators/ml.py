@@ -6,13 +6,14 @@ import json
 import re
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, LinearRegression
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -244,19 +245,36 @@ def text_complexity(df: DataFrame, column: str) -> DataFrame:
     return made.withColumn("penalty", F.when(F.col("complexity") > 0.7, (F.col("complexity") - 0.7) * (F.col("complexity") - 0.7)).otherwise(0.0))
 
 
-def treatment_effect(df: DataFrame, treatment: str, outcome: str, confounders: list[str], by: list[str], order: list[str], placebos: int = 10, seed: int = 42) -> DataFrame:
-    """One row ``effect, placebo_mean, p_value``: least-squares weight of the treatment, against treatments hash-permuted within each key."""
-    from barwright.operators.resample import permuted
+def treatment_effect(df: DataFrame, treatment: str, outcome: str, confounders: list[str], by: list[str], order: list[str], placebos: int = 99, seed: int = 42) -> DataFrame:
+    """One row ``effect, placebo_mean, p_value``: least-squares weight of the treatment, against treatments hash-permuted within each key.
 
+    All placebos are one job: the treatment is dealt anew once per replicate, and the normal equations are sums per replicate.
+    """
     names = [treatment, *confounders]
-    base = df.dropna(subset=[*names, outcome]).cache()
+    base = df.dropna(subset=[*names, outcome]).select(*dict.fromkeys([*by, *order, *names, outcome])).cache()
+    middle = base.agg(*(F.avg(c).alias(c) for c in [*names, outcome])).first()
+    centred = lambda c: F.col(c).cast("double") - F.lit(middle[c])
+    place = Window.partitionBy(*by).orderBy(*order)
+    placed = base.select(*by, F.row_number().over(place).alias("_i"), centred(treatment).alias("_x0"), *(centred(c).alias(f"_x{i}") for i, c in enumerate(confounders, 1)), centred(outcome).alias("_y"))
+    fake = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(placebos - 1))).alias("_rep"))
+    deal = Window.partitionBy(*by, "_rep").orderBy(F.xxhash64(F.lit(seed) + F.col("_rep"), *order), *order)
+    dealt = fake.select(*by, "_rep", F.row_number().over(deal).alias("_i"), centred(treatment).alias("_x0"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_i"]]
+    matched = placed.drop("_x0").alias("l").join(dealt.alias("r"), same).select("r._rep", "r._x0", *(f"l._x{i}" for i in range(1, len(names))), "l._y")
+    own = placed.select(F.lit(-1).alias("_rep"), "_x0", *(f"_x{i}" for i in range(1, len(names))), "_y")
+    cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = matched.union(own).groupBy("_rep").agg(
+        *(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"s{i}_{j}") for i, j in cells), *(F.sum(F.col(f"_x{i}") * F.col("_y")).alias(f"y{i}") for i in range(len(names)))
+    ).collect()
+    base.unpersist()
 
-    def weight(rows: DataFrame) -> float:
-        model = LinearRegression(featuresCol="features", labelCol=outcome, solver="normal").fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
-        return float(model.coefficients[0])
+    def weight(row) -> float:
+        gram = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))])
+        scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+        found = np.linalg.lstsq(gram / np.outer(scale, scale), np.array([row[f"y{i}"] for i in range(len(names))]) / scale, rcond=None)[0]
+        return float(found[0] / scale[0])
 
-    effect = weight(base)
-    fake = [weight(permuted(base, treatment, by, order, seed + i)) for i in range(placebos)]
-    base.unpersist()
-    beyond = sum(abs(f) >= abs(effect) for f in fake)
-    return df.sparkSession.createDataFrame([(effect, sum(fake) / len(fake), (beyond + 1) / (placebos + 1))], "effect double, placebo_mean double, p_value double")
+    weights = {r["_rep"]: weight(r) for r in sums}
+    effect = weights.pop(-1)
+    beyond = sum(abs(f) >= abs(effect) for f in weights.values())
+    return df.sparkSession.createDataFrame([(effect, sum(weights.values()) / len(weights), (beyond + 1) / (placebos + 1))], "effect double, placebo_mean double, p_value double")

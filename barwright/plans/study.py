@@ -91,7 +91,7 @@ def sta4_drift_points(spark, sf_dir):
 @query()
 def sta5_treatment_effect(spark, sf_dir):
     b = indicators.shifted(bars(spark, sf_dir), {"ret": ("close", "pct", 1), "nxt": ("close", "lead", 1)}).withColumn("next_ret", F.col("nxt") - F.col("close"))
-    return ml.treatment_effect(b, "ret", "next_ret", ["volume"], ["symbol"], ["ts"], placebos=3)
+    return ml.treatment_effect(b, "ret", "next_ret", ["volume"], ["symbol"], ["ts"], placebos=99)
 
 
 @query("SELECT l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER (), 6) AS l_quantity FROM lineitem")

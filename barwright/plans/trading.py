@@ -339,7 +339,7 @@ def snk5_latest_by_key(spark, sf_dir):
 
 @query()
 def rst1_bootstrap_ci(spark, sf_dir):
-    return resample.bootstrap_ci(trade_log(spark, sf_dir).where("action = 'EXIT'"), "ret", ["model_id"], ["ts", "id"], reps=200)
+    return resample.bootstrap_ci(trade_log(spark, sf_dir).where("action = 'EXIT'"), "ret", ["model_id"], ["ts", "id"], reps=1000)
 
 
 @query()
