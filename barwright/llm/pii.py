@@ -4,7 +4,7 @@ Spans of the fixed shapes are the seeds. The words around seeds and around other
 tokens make patterns (a kind and a neighbouring word on one side); patterns and instances form a
 bipartite graph over which Spark passes scores for a few rounds. Instances that trusted patterns
 agree on become spans of their own. Texts are read once; the rounds work on a stored table of
-instances, and only rows of documents with some digit or ``@`` are in it.
+instances, to which only documents with a fixed-shape span, three digits in a row or an ``@`` contribute.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     read = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("h")).withColumn("base", base_spans(F.col("t")))
     token = F.transform(found_spans(F.col("t"), INSTANCE), lambda s: F.struct(F.lit("").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
     free = F.filter(token, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    instances = F.when(F.col("t").rlike("[0-9]{3}|@"), _with_context(F.col("t"), F.concat("base", free))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,text:string,before:string,after:string>>"))
+    instances = F.when((F.size("base") > 0) | F.col("t").rlike("[0-9]{3}|@"), _with_context(F.col("t"), F.concat("base", free))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,text:string,before:string,after:string>>"))
     rows = stored(read.select("id", "h", "base", instances.alias("instances")))
     found = _bootstrap(rows, rounds, min_seeds, min_confidence, min_score)
     own = rows.select("id", "h", "base")
@@ -100,7 +100,8 @@ def _bootstrap(rows: DataFrame, rounds: int, min_seeds: int, min_confidence: flo
     """Spans of instances that trusted patterns agree on: ``fid, fh, found``.
 
     A pattern is (side, word); its trust in a kind is the share of its instances' scores for that
-    kind, given enough distinct seed texts. An instance's score is the noisy-or of its sides.
+    kind, given enough distinct seed texts: those of the fixed shapes, and from the second round on those
+    that scored ``min_score`` in the round before. An instance's score is the noisy-or of its sides.
     """
     exploded = rows.where(F.size("instances") > 0).select("id", "h", F.explode("instances").alias("i"))
     sides = exploded.select(
@@ -110,15 +111,17 @@ def _bootstrap(rows: DataFrame, rounds: int, min_seeds: int, min_confidence: flo
     # one row per pattern and instance text: a text repeated over many copies counts once
     edges = stored(sides.groupBy("pattern", "text", "kind").agg(F.count(F.lit(1)).alias("places")))
     totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    seeds = edges.where("kind <> ''").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
+    fixed = edges.where("kind <> ''").select("pattern", "kind", F.lit(1.0).alias("score"), F.lit(1).alias("seed"))
     scores = None
     for turn in range(rounds):
-        mass = seeds.select("pattern", "kind", F.col("seeds").cast("double").alias("mass"))
+        known = fixed
         if scores is not None:
-            gained = edges.where("kind = ''").select("pattern", "text").join(scores, "text").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
-            mass = mass.unionByName(gained).groupBy("pattern", "kind").agg(F.sum("mass").alias("mass"))
+            # what earlier rounds are sure of is a seed of this one
+            gained = edges.where("kind = ''").select("pattern", "text").join(scores, "text")
+            known = known.unionByName(gained.select("pattern", "kind", "score", (F.col("score") >= min_score).cast("int").alias("seed")))
+        mass = known.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.sum("seed").alias("seeds"))
         trusted = (
-            mass.join(seeds, ["pattern", "kind"]).join(totals, "pattern")
+            mass.join(totals, "pattern")
             .where((F.col("seeds") >= min_seeds) & (F.col("mass") / F.col("n") >= min_confidence))
             .select("pattern", F.col("kind").alias("as_kind"), (F.col("mass") / F.col("n") * (1 - 1 / (F.col("seeds") + 1))).alias("trust"))
         )
