@@ -1,7 +1,7 @@
 """License detection by ordered signature rules, in SQL functions only and without a shuffle.
 
-A rule is a regex with a label, a priority and a keyword. The keywords gate the rules of a text (and
-most texts altogether); matches become intervals, and an interval that lies within one of a better
+A rule is a regex with a label, a priority and keywords. The keywords gate the rules of a text (and
+most texts altogether), on a lower-cased text with single spaces; matches become intervals, and an interval that lies within one of a better
 priority, or within a longer one of its own, is suppressed.
 """
 
@@ -16,11 +16,11 @@ from barwright.llm.common import NON_WORD, found_spans, lower_ascii
 
 #: Word characters of texts that are not lower-cased yet.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: Licence families: identifier prefix, regex of the name, keyword in the text (lower case), versions.
+#: Licence families: identifier prefix, regex of the name, keywords of which every match holds one (lower case, single spaces, ``|`` between them), versions.
 FAMILIES = [
-    ("MIT", r"(?:MIT|Expat|X11)", "mit", [""]),
+    ("MIT", r"(?:MIT|Expat|X11)", "mit|expat|x11", [""]),
     ("Apache", r"Apache", "apache", ["2.0", "1.1", "1.0"]),
-    ("GPL", r"(?:GNU\s+)?(?:General\s+Public|GPL)", "general public", ["3.0", "2.0", "1.0"]),
+    ("GPL", r"(?:GNU\s+)?(?:General\s+Public|GPL)", "general public|gpl", ["3.0", "2.0", "1.0"]),
     ("LGPL", r"(?:GNU\s+)?(?:Lesser|Library)\s+General\s+Public", "general public", ["3.0", "2.1", "2.0"]),
     ("AGPL", r"(?:GNU\s+)?Affero\s+General\s+Public", "affero", ["3.0", "1.0"]),
     ("GFDL", r"(?:GNU\s+)?Free\s+Documentation", "free documentation", ["1.3", "1.2", "1.1"]),
@@ -40,7 +40,7 @@ FAMILIES = [
     ("BUSL", r"Business\s+Source", "business source", ["1.1"]),
     ("SSPL", r"Server\s+Side\s+Public", "server side", ["1.0"]),
     ("Zlib", r"zlib(?:/libpng)?", "zlib", [""]),
-    ("PSF", r"(?:Python\s+Software\s+Foundation|PSF)", "python software", ["2.0"]),
+    ("PSF", r"(?:Python\s+Software\s+Foundation|PSF)", "python software|psf", ["2.0"]),
     ("PHP", r"PHP", "php", ["3.01", "3.0"]),
     ("OFL", r"(?:SIL\s+)?Open\s+Font", "open font", ["1.1", "1.0"]),
     ("WTFPL", r"Do\s+What\s+The\s+Fuck\s+You\s+Want\s+To\s+Public", "do what the", ["2.0"]),
@@ -54,9 +54,9 @@ FAMILIES = [
     ("LPPL", r"LaTeX\s+Project\s+Public", "latex project", ["1.3c", "1.2", "1.0"]),
     ("ODbL", r"Open\s+(?:Data\s+Commons\s+Open\s+)?Database", "database", ["1.0"]),
     ("CC-BY", r"(?:CC[\s-]+BY|Creative\s+Commons\s+Attribution)", "c", ["4.0", "3.0", "2.5", "2.0"]),
-    ("CC-BY-SA", r"(?:CC[\s-]+BY-SA|Creative\s+Commons\s+Attribution-Share\s*Alike)", "sa", ["4.0", "3.0", "2.5", "2.0"]),
+    ("CC-BY-SA", r"(?:CC[\s-]+BY-SA|Creative\s+Commons\s+Attribution-Share\s*Alike)", "sa|share", ["4.0", "3.0", "2.5", "2.0"]),
     ("CC-BY-NC", r"(?:CC[\s-]+BY-NC|Creative\s+Commons\s+Attribution-NonCommercial)", "nc", ["4.0", "3.0", "2.5", "2.0"]),
-    ("CC-BY-ND", r"(?:CC[\s-]+BY-ND|Creative\s+Commons\s+Attribution-NoDerivs?)", "nd", ["4.0", "3.0", "2.5", "2.0"]),
+    ("CC-BY-ND", r"(?:CC[\s-]+BY-ND|Creative\s+Commons\s+Attribution-NoDerivs?)", "nd|noderiv", ["4.0", "3.0", "2.5", "2.0"]),
     ("CC-BY-NC-SA", r"(?:CC[\s-]+BY-NC-SA|Creative\s+Commons\s+Attribution-NonCommercial-Share\s*Alike)", "nc", ["4.0", "3.0", "2.5", "2.0"]),
     ("CC-BY-NC-ND", r"(?:CC[\s-]+BY-NC-ND|Creative\s+Commons\s+Attribution-NonCommercial-NoDerivs?)", "nc", ["4.0", "3.0", "2.5", "2.0"]),
     ("CC0", r"(?:CC0|Creative\s+Commons\s+Zero)", "c", ["1.0"]),
@@ -70,8 +70,8 @@ NOTICES = [
     ("Unlicense", r"This\s+is\s+free\s+and\s+unencumbered\s+software", "unencumbered"),
     ("Proprietary", r"All\s+rights\s+reserved", "all rights reserved"),
 ]
-#: Words of which every text that any rule matches has one (lower case).
-GATES = ["licen", "spdx", "cc by", "cc-by", "cc0", "creative commons", *(k for _, _, k in NOTICES)]
+#: Words of which every text that any rule matches has one (lower case, single spaces).
+GATES = ["licen", "spdx", "cc by", "cc-by", "cc -", "cc- ", "cc--", "cc0", "creative commons", *(k for _, _, k in NOTICES)]
 #: Score of a detection by priority: identifier tag, grant with a version, grant, name with a version, name, notice.
 SCORES = [1.0, 0.98, 0.95, 0.9, 0.8, 0.7]
 
@@ -106,8 +106,8 @@ def rules() -> list[Rule]:
 
 def _detections(text: Column, lowered: Column, chosen: list[Rule]) -> Column:
     """Kept ``array<struct<start,end,priority,label>>`` of one text."""
-    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit("(?i)" + r.regex).alias("regex")) for r in chosen))
-    able = F.filter(table, lambda r: F.contains(lowered, r["keyword"]))
+    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.array(*map(F.lit, r.keyword.split("|"))).alias("keywords"), F.lit("(?i)" + r.regex).alias("regex")) for r in chosen))
+    able = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(lowered, k)))
     each = F.transform(able, lambda r: F.transform(found_spans(text, r["regex"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), r["priority"].alias("priority"), r["label"].alias("label"))))
     # by start, longest first, best priority first: what contains an interval comes before it
     ordered = F.array_sort(F.array_distinct(F.flatten(each)))
@@ -124,6 +124,11 @@ def _detections(text: Column, lowered: Column, chosen: list[Rule]) -> Column:
     return F.aggregate(ordered, F.struct(F.array(*[F.lit(-1)] * levels).alias("ends"), empty.alias("kept")), step, lambda s: s["kept"])
 
 
+def _gated(text: Column) -> Column:
+    """Lower-cased text in which every run of what the rules' ``\\s`` matches is one space."""
+    return F.regexp_replace(F.lower(text), r"[\t\n\x0B\f\r]\s*| \s+", " ")
+
+
 def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), extra_rules: list[Rule] | None = None) -> DataFrame:
     """One row per row of ``docs``: the ``keep`` columns, ``n_words``, ``base`` and ``detections``.
 
@@ -133,8 +138,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     chosen = sorted([*rules(), *(extra_rules or [])], key=lambda r: r.priority)
-    rows = docs.select(*keep, text.alias("_text"), F.lower(text).alias("_low"))
-    gates = [*GATES, *(r.keyword for r in extra_rules or [])]
+    rows = docs.select(*keep, text.alias("_text"), _gated(text).alias("_low"))
+    gates = [*GATES, *(k for r in extra_rules or [] for k in r.keyword.split("|"))]
     gate = F.lit(False)
     for word in gates:
         gate = gate | F.contains("_low", F.lit(word))
