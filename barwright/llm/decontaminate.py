@@ -1,6 +1,6 @@
-"""Benchmark items inside documents: size-partitioned MinHash containment search, in SQL functions only.
+"""Benchmark items inside documents: MinHash containment search by shingle length, in SQL functions only.
 
-Items are partitioned by shingle count. An item's sketch is its bottom-m MinHash values, with m one
+The search is split by shingle length, with one rank bound for each. An item's sketch is its bottom-m MinHash values, with m one
 more than the shingles it may miss at the wanted containment: of the m smallest, at least one stands
 in every document that contains the item, so the search misses none. The largest
 sketch value bounds what a document needs to offer, which discards most of its shingles before the
