@@ -253,12 +253,23 @@ def test_two_for_one_is_tighter():
     assert len(bins) <= 1.02 * sum(lengths) / 2048 + 1
 
 
+def test_word_tokenizer_equals_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path, rnd = packing.tokenizer_path(), random.Random(4)
+    alphabet = "ab'sretvmld  \n\t1\u06632!?'\u00e9\u65e5\u00df\u00b2\u00bd\u00a0\u2003_-.,'S\x1c\x85\u200b\U0001f600"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 25))) for _ in range(5000)]
+    texts += ["", "'", "a'", "'s", "x" * 300 + " y", "a <|endoftext|> b", " " * 700 + "z"]
+    own, other = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    for _ in range(2):  # the second time from its memory
+        assert [x.tolist() for x in own.encode(texts)] == [x.ids for x in other.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     path = packing.tokenizer_path()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     texts = ["It's 12 o'clock  <|endoftext|> né", None, "", "日本語 текст ² x", "word " * 3000, "  lead\n\n\ttabs  "]
     own = docs(spark, texts)
     packed = packing.packed_documents(own, path)
