@@ -20,12 +20,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwright.llm.blocks import linked_blocks
 from barwright.llm.common import components, follow_hot, forget, stored, within_broadcast
+from barwright.llm.hashing import Substrings, U, mix, signed, text_steps
 
 #: Distinct sets that may share a signature before it is hot.
 MAX_COLD = 16
@@ -33,43 +34,12 @@ MAX_COLD = 16
 STEP_BYTES = 1 << 20
 #: Rows of a document's own (identifier, size, fingerprint) travel with the signatures, marked in ``slack``.
 OWN_ROW = -2_000_000_000
-#: Sets of a block of a crowd whose members are held against each other.
-BLOCK_SETS = 512
 SIGNED = "sig bigint, fp bigint, slack int"
 
-_U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Invertible 64-bit finaliser."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class _Powers:
-    """Powers of the word hash's base and of its inverse, up to the longest step seen."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=_U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                steps = np.full(n, base, dtype=_U)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; ``offsets`` delimit the texts in ``data``.
@@ -80,7 +50,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     n = len(data)
     texts = len(offsets) - 1
     if n == 0:
-        return [np.empty(0, dtype=_U)] * texts
+        return [np.empty(0, dtype=U)] * texts
     word = ~_SPACE[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -90,25 +60,22 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _POWERS.get(n)
-    sums = np.zeros(n + 1, dtype=_U)
-    np.cumsum((_LOWER[data].astype(_U) + _U(1)) * up, out=sums[1:])
-    hashes = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    hashes = Substrings(_LOWER[data]).of(starts, ends)
     bounds = np.searchsorted(starts, offsets)
-    factors = [_U(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(k)]
+    factors = [U(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(k)]
     out = []
-    whole = np.zeros(max(0, len(hashes) - k + 1), dtype=_U)
+    whole = np.zeros(max(0, len(hashes) - k + 1), dtype=U)
     for j in range(k):
         whole += hashes[j : j + len(whole)] * factors[j]
-    whole = _mix(whole)
+    whole = mix(whole)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= k:
             out.append(np.unique(whole[a : b - k + 1]))
         elif b > a:
-            own = hashes[a:b] * np.array(factors[: b - a], dtype=_U)
-            out.append(_mix(np.array([np.add.reduce(own)], dtype=_U) + _U(b - a)))
+            own = hashes[a:b] * np.array(factors[: b - a], dtype=U)
+            out.append(mix(np.array([np.add.reduce(own)], dtype=U) + U(b - a)))
         else:
-            out.append(np.empty(0, dtype=_U))
+            out.append(np.empty(0, dtype=U))
     return out
 
 
@@ -139,43 +106,25 @@ class PartEnum:
         for instance in (band, band + 1):
             need = self.differences(instance) + 1
             parts = need + max(2, need // 10 + 1)
-            own = _mix(items * _U(2 * instance + 3))
-            slot = ((own >> _U(32)) * _U(parts)) >> _U(32)
+            own = mix(items * U(2 * instance + 3))
+            slot = ((own >> U(32)) * U(parts)) >> U(32)
             order = np.argsort(slot, kind="stable")
-            slot, sums = slot[order], _mix(own ^ _U(0x5851F42D4C957F2D))[order]
+            slot, sums = slot[order], mix(own ^ U(0x5851F42D4C957F2D))[order]
             at = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
             filled = slot[at]
             found = self._stamp(np.add.reduceat(sums, at), filled, instance)
             if len(filled) < need:
-                rest = np.setdiff1d(np.arange(parts, dtype=_U), filled)
-                found = np.r_[found, self._stamp(np.zeros(len(rest), dtype=_U), rest, instance)]
+                rest = np.setdiff1d(np.arange(parts, dtype=U), filled)
+                found = np.r_[found, self._stamp(np.zeros(len(rest), dtype=U), rest, instance)]
             yield len(filled) - need, found
 
     @staticmethod
     def _stamp(sums: np.ndarray, slot: np.ndarray, instance: int) -> np.ndarray:
-        return _mix(sums + _mix(slot * _U(0x9FB21C651E98DF25) + _U(instance + 1))) & ~_U(255) | _U(instance & 255)
-
-
-def _steps(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of a batch of (key, text): first row, end row, bytes and offsets of their texts (nulls are empty)."""
-    texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.empty(0, dtype=np.uint8)
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, side="right")) - 1)
-        end = min(end, len(texts))
-        yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
-        at = end
+        return mix(sums + mix(slot * U(0x9FB21C651E98DF25) + U(instance + 1))) & ~U(255) | U(instance & 255)
 
 
 def _fingerprint(items: np.ndarray) -> int:
-    return int(_mix(np.array([np.add.reduce(_mix(items))], dtype=_U) + _U(len(items)))[0].astype(np.int64))
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.int64), pa.int64())
+    return int(mix(np.array([np.add.reduce(mix(items))], dtype=U) + U(len(items)))[0].astype(np.int64))
 
 
 def _signature_rows(k: int, num: int, den: int):
@@ -185,10 +134,10 @@ def _signature_rows(k: int, num: int, den: int):
         scheme, seen = PartEnum(num, den), set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for begin, end, data, offsets in _steps(batch):
+            for begin, end, data, offsets in text_steps(batch.column(1), STEP_BYTES):
                 sets = shingle_sets(data, offsets, k)
                 marks = np.array([_fingerprint(x) if len(x) else 0 for x in sets], dtype=np.int64)
-                sigs, fps = [ids[begin:end].astype(np.int64).view(_U)], [marks]
+                sigs, fps = [ids[begin:end].astype(np.int64).view(U)], [marks]
                 slacks = [np.array([OWN_ROW + len(x) for x in sets], dtype=np.int32)]
                 for items, fp in zip(sets, marks.tolist(), strict=True):
                     if not len(items) or fp in seen:
@@ -199,7 +148,7 @@ def _signature_rows(k: int, num: int, den: int):
                         sigs.append(found)
                         fps.append(np.full(len(found), fp, dtype=np.int64))
                         slacks.append(np.full(len(found), slack, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sigs)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(slacks))], ["sig", "fp", "slack"])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(sigs)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(slacks))], ["sig", "fp", "slack"])
 
     return run
 
@@ -275,12 +224,12 @@ def _sets(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, data, offsets in _steps(batch):
+            for at, end, data, offsets in text_steps(batch.column(1), STEP_BYTES):
                 wanted = batch.column(0).slice(at, end - at).to_pylist()
                 found = [(fp, x) for fp, x in zip(wanted, shingle_sets(data, offsets, k), strict=True) if len(x) and _fingerprint(x) == fp]
                 if found:
                     ends = np.cumsum([0, *(len(x) for _, x in found)]).astype(np.int32)
-                    items = pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate([x for _, x in found])))
+                    items = pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate([x for _, x in found])))
                     yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in found], pa.int64()), items], ["fp", "items"])
 
     return run
@@ -356,52 +305,9 @@ def _rarest(chosen: DataFrame, profile: DataFrame, read: DataFrame, k: int, num:
 
 
 def _in_blocks(rows: DataFrame, profile: DataFrame, read: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links ``src, dst`` between different components of ``rows(sig, n, root)``, found block against block.
-
-    A signature's sets fall into blocks of about ``BLOCK_SETS``; each pair of blocks is one group, whose
-    overlaps are a matrix product, and only links that join components leave it. A set is copied once
-    per block of its signature, never once per other set.
-    """
-    nodes = rows.select(F.col("sig").alias("cluster"), "n", F.col("root").alias("own")).distinct()
-    sizes = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("blocks"))
-    owners = nodes.select(F.col("n").alias("fp")).distinct().join(profile.where("fp is not null").groupBy("fp").agg(F.min("id").alias("owner")), "fp")
-    placed = nodes.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("n"), F.col("blocks")))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    full = dealt.join(_items(read, owners, k), F.col("n") == F.col("fp")).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "own", "items")
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        items = rows["items"].to_numpy()
-        sizes = np.array([len(x) for x in items], dtype=np.int64)
-        _, codes = np.unique(np.concatenate(items), return_inverse=True)
-        at = np.repeat(np.arange(len(items)), sizes)
-        # only shingles of several sets matter; each bit of memory is (sets x such shingles) floats, in slices
-        often = np.flatnonzero(np.bincount(codes) > 1)
-        where = np.full(codes.max() + 1, -1)
-        where[often] = np.arange(len(often))
-        column = where[codes]
-        shared = np.zeros((len(items), len(items)), dtype=np.float32)
-        for low in range(0, len(often), 4096):
-            part = (column >= low) & (column < low + 4096)
-            dense = np.zeros((len(items), 4096), dtype=np.float32)
-            dense[at[part], column[part] - low] = 1
-            shared += dense @ dense.T
-        own = rows["own"].to_numpy()
-        near = shared * den >= (sizes[:, None] + sizes[None, :] - shared) * num
-        fps, parent, out = rows["fp"].to_numpy(), {}, []
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            x, y = root(own[a]), root(own[b])
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((fps[a], fps[b]))
-        return pd.DataFrame(out, columns=["src", "dst"], dtype="int64")
-
-    return stored(full.groupBy("cluster", "i", "j").applyInPandas(link, "src bigint, dst bigint"))
+    """Links ``src, dst`` between different components of ``rows(sig, n, root)``, found block against block."""
+    owners = rows.select(F.col("n").alias("fp")).distinct().join(profile.where("fp is not null").groupBy("fp").agg(F.min("id").alias("owner")), "fp")
+    return linked_blocks(rows, _items(read, owners, k), num, den)
 
 
 def _items(read: DataFrame, owners: DataFrame, k: int) -> DataFrame:
@@ -413,7 +319,7 @@ def _items(read: DataFrame, owners: DataFrame, k: int) -> DataFrame:
 def _sizes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [len(x) for _, _, data, offsets in _steps(batch) for x in shingle_sets(data, offsets, k)]
+            sizes = [len(x) for _, _, data, offsets in text_steps(batch.column(1), STEP_BYTES) for x in shingle_sets(data, offsets, k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["id", "n"])
 
     return run

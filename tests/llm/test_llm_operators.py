@@ -138,8 +138,10 @@ def test_line_dedup_follows_every_crowded_band(spark):
         at = rnd.choice([n for n, c in enumerate(hub) if c != " "])
         variants.append(hub[:at] + chr(0x100 + i) + hub[at + 1 :])
     family = [hub, *variants]
-    rows = docs(spark, family).select("doc_id", line_dedup.bands_of("text").alias("bands")).collect()
-    bands = {r.doc_id: set(r.bands) for r in rows}
+    raw = [t.encode() for t in family]
+    own, hashes = line_dedup.band_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert len(own) == len(family)
+    bands = [{*x} for x in hashes.tolist()]
     sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in family]
     with_hub = [i for i in range(1, len(family)) if bands[0] & bands[i] and len(sets[0] & sets[i]) >= 0.8 * len(sets[0] | sets[i])]
     assert len(with_hub) > 50
@@ -157,6 +159,57 @@ def test_line_dedup_signs_long_lines_without_spaces(spark):
     assert got == {24 + i: i for i in range(24)}
 
 
+def line_classes_by_brute_force(lines):
+    """Smallest index of each line's class, and the linked pairs."""
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in lines]
+    root, links = list(range(len(lines))), 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if lines[i] == lines[j] or sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                links += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(lines))], links
+
+
+@pytest.mark.parametrize("max_band", [16, 1])
+def test_line_dedup_against_brute_force(spark, max_band):
+    """Templates whose slots differ, near copies around the threshold, many scripts: recall of at least 0.95 and no false link."""
+    rnd = random.Random(17)
+    lines = []
+    for t in range(5):
+        frame = [words(rnd, 12), words(rnd, 10)]
+        lines += [f"{frame[0]} {words(rnd, 1 + t * 2)} {frame[1]}" for _ in range(50)]
+    for script in ("abcdefghij -", "\u4e00\u4e01\u4e02\u4e03\u4e04\u4e05\u4e06\u4e07", "0123456789\t,"):
+        for _ in range(20):
+            line = "".join(rnd.choice(script) for _ in range(rnd.randint(4, 200)))
+            for _ in range(3):
+                edited = list(line)
+                for _ in range(rnd.randint(0, 3)):
+                    edited[rnd.randrange(len(edited))] = rnd.choice(script)
+                lines.append("".join(edited))
+    rnd.shuffle(lines)
+    lines = [t for t in lines if t.strip()]
+    want, links = line_classes_by_brute_force(lines)
+    classes = {i: r for i, r in enumerate(want) if r != i}
+    got = {r.doc_id: r.first_doc for r in line_dedup.repeated_lines(docs(spark, lines), max_band=max_band).collect()}
+    assert links > 500 and all(i in classes for i in got)
+    assert len(got) >= 0.95 * len(classes)
+    assert sum(got.get(i) == r for i, r in classes.items()) >= 0.9 * len(classes)
+
+
+def test_line_dedup_with_clashing_names(spark):
+    own = spark.createDataFrame([(1, "same line here\nother", "a", "b", "c"), (2, "same line here", "d", "e", "f")], "doc_id long, text string, _id string, _gone string, h string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(own).collect()}
+    assert got[2].text == "" and (got[2]._id, got[2]._gone, got[2].h) == ("d", "e", "f") and got[1].text == "same line here\nother"
+
+
 # benchmark ---------------------------------------------------------------------------------------------------
 
 
