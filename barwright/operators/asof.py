@@ -57,7 +57,7 @@ def _usable(by: list[str]):
     return ok
 
 
-def mtf_align(frames: dict[str, DataFrame], by: list[str], on: str = "ts", availability: str = "close", naming: str = "suffix", drop: tuple[str, ...] = ("open", "high", "low", "close", "volume"), prefixes: dict[str, str] | None = None) -> DataFrame:
+def mtf_align(frames: dict[str, DataFrame], by: list[str], on: str = "ts", availability: str = "close", naming: str = "suffix", drop: tuple[str, ...] = ("open", "high", "low", "close", "volume"), prefixes: dict[str, str] | None = None, chunk: str | None = "day") -> DataFrame:
     """Features of several timeframes on the shortest one's rows.
 
     Higher timeframes lose the ``drop`` columns, are renamed by suffix ``_{tf}`` (or a prefix) and join
@@ -71,7 +71,7 @@ def mtf_align(frames: dict[str, DataFrame], by: list[str], on: str = "ts", avail
             high = high.withColumn(on, F.col(on) + F.expr(f"interval {timeframe_seconds(tf)} seconds"))
         name = (lambda c, tf=tf: f"{c}_{tf}") if naming == "suffix" else (lambda c, tf=tf: f"{(prefixes or {}).get(tf, tf)}_{c}")
         high = high.select(*by, on, *(F.col(c).alias(name(c)) for c in high.columns if c not in [*by, on]))
-        out = asof_join(out, high, on, by).drop(f"{on}_right")
+        out = asof_join(out, high, on, by, chunk=chunk).drop(f"{on}_right")
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.scalar import finite, safe_ratio
+from barwright.operators.scan import running
 
 
 def sanitize(df: DataFrame, cols: list[str], how: str = "null") -> DataFrame:
@@ -19,20 +20,18 @@ def fill(df: DataFrame, cols: list[str], mode: str, by: list[str], order: list[s
 
     ``time`` looks ahead, too; ``ffill`` is the causal choice. A column without any value stays null.
     """
-    past = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    future = Window.partitionBy(*by).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    if mode == "ffill":
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in cols})
-    if mode == "bfill":
-        return df.withColumns({c: F.first(c, ignorenulls=True).over(future) for c in cols})
+    if mode in ("ffill", "bfill"):
+        return running(df, {c: ("last", c) for c in cols}, by, order, ahead=mode == "bfill").select(*df.columns)
     at = F.unix_micros(F.col(time or order[0]).cast("timestamp")).cast("double")
     out = df.withColumn("_at", at)
+    here = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("_at").alias("t"), F.col(c).alias("v"))) for c in cols}
+    out = running(out, {f"_p_{c}": ("last", x) for c, x in here.items()}, by, order)
+    out = running(out, {f"_n_{c}": ("last", x) for c, x in here.items()}, by, order, ahead=True)
     for c in cols:
-        here = F.when(F.col(c).isNotNull(), F.struct(F.col("_at").alias("t"), F.col(c).alias("v")))
-        out = out.withColumns({"_p": F.last(here, ignorenulls=True).over(past), "_n": F.first(here, ignorenulls=True).over(future)})
-        blend = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * safe_ratio(F.col("_at") - F.col("_p.t"), F.col("_n.t") - F.col("_p.t"))
-        out = out.withColumn(c, F.coalesce(F.col(c), blend, F.col("_p.v"), F.col("_n.v"))).drop("_p", "_n")
-    return out.drop("_at")
+        p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
+        blend = p["v"] + (n["v"] - p["v"]) * safe_ratio(F.col("_at") - p["t"], n["t"] - p["t"])
+        out = out.withColumn(c, F.coalesce(F.col(c), blend, p["v"], n["v"]))
+    return out.select(*df.columns)
 
 
 def column_variance(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barwright.functions.scalar import safe_ratio
-from barwright.operators.scan import ewm, over_blocks
+from barwright.operators.scan import block_size, columns_step, ewm, ewm_step, in_blocks, index_rows, indexed, over_blocks, reach, running
 
 BY, ORDER = ["symbol"], ["ts"]
 #: How a rolling statistic is taken over a frame.
@@ -51,20 +51,29 @@ def _maker(c: Column, stat: str, n: int, least: int):
     return lambda w: _over(stat, c, w, n, least)
 
 
-def shifted(df: DataFrame, columns: dict[str, tuple[str, str, int]], by=BY, order=ORDER) -> DataFrame:
-    """Add ``{name: (column, kind, k)}`` with kind ``lag``, ``lead``, ``diff``, ``pct`` or ``log``."""
+def _shift_maker(c: str, kind: str, k: int):
+    c = F.col(c)
+    before = lambda w: F.lag(c, k).over(w)
+    return {
+        "lag": before, "lead": lambda w: F.lead(c, k).over(w), "diff": lambda w: c - before(w),
+        "pct": lambda w: safe_ratio(c, before(w)) - 1, "log": lambda w: F.ln(safe_ratio(c, before(w))),
+    }[kind]
+
+
+def shift_step(columns: dict[str, tuple[str, str, int]]):
+    return columns_step({n: _shift_maker(*v) for n, v in columns.items()})
 
-    def maker(c, kind, k):
-        c = F.col(c)
-        before = lambda w: F.lag(c, k).over(w)
-        return {
-            "lag": before, "lead": lambda w: F.lead(c, k).over(w), "diff": lambda w: c - before(w),
-            "pct": lambda w: safe_ratio(c, before(w)) - 1, "log": lambda w: F.ln(safe_ratio(c, before(w))),
-        }[kind]
 
+def shifted(df: DataFrame, columns: dict[str, tuple[str, str, int]], by=BY, order=ORDER) -> DataFrame:
+    """Add ``{name: (column, kind, k)}`` with kind ``lag``, ``lead``, ``diff``, ``pct`` or ``log``."""
     k = max(k for _, _, k in columns.values())
     lead = max([k for _, kind, k in columns.values() if kind == "lead"], default=0)
-    return over_blocks(df, {n: maker(*v) for n, v in columns.items()}, by, order, before=k, after=lead)
+    return in_blocks(df, [shift_step(columns)], by, order, before=k, after=lead)
+
+
+def _made(columns: dict[str, Column]):
+    """A step of plain columns."""
+    return lambda rows, w: rows.withColumns(columns)
 
 
 def sma(df: DataFrame, c: str, n: int, out: str | None = None, **keys) -> DataFrame:
@@ -82,16 +91,19 @@ def rma(df: DataFrame, c: str, n: int, out: str, by=BY, order=ORDER) -> DataFram
 
 def rsi(df: DataFrame, c: str = "close", n: int = 14, by=BY, order=ORDER) -> DataFrame:
     """``rsi_{n}``: 100 G/(G + L) of Wilder means of rises and falls; null in a key's first row or where both are 0."""
-    moved = shifted(df, {"_d": (c, "diff", 1)}, by, order)
-    means = ewm(moved, {"_g": (F.greatest("_d", F.when(F.col("_d").isNotNull(), 0.0)), 1 / n), "_l": (F.greatest(-F.col("_d"), F.when(F.col("_d").isNotNull(), 0.0)), 1 / n)}, by, order)
-    return means.withColumn(f"rsi_{n}", 100 * safe_ratio(F.col("_g"), F.col("_g") + F.col("_l"))).drop("_d", "_g", "_l")
+    some = F.when(F.col("_d").isNotNull(), 0.0)
+    means = ewm_step({"_g": (F.greatest("_d", some), 1 / n), "_l": (F.greatest(-F.col("_d"), some), 1 / n)})
+    before = reach(1 / n) + 1
+    made = in_blocks(df, [shift_step({"_d": (c, "diff", 1)}), means], by, order, before, size=max(before, block_size(before, 1 / n)))
+    return made.withColumn(f"rsi_{n}", 100 * safe_ratio(F.col("_g"), F.col("_g") + F.col("_l"))).drop("_d", "_g", "_l")
 
 
 def macd(df: DataFrame, c: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, by=BY, order=ORDER) -> DataFrame:
     """``macd, macd_signal, macd_hist`` of first-value-seeded exponential means."""
-    both = ewm(df, {"_f": (c, 2 / (fast + 1)), "_s": (c, 2 / (slow + 1))}, by, order)
+    both = ewm(indexed(df, by, order), {"_f": (c, 2 / (fast + 1)), "_s": (c, 2 / (slow + 1))}, by, order)
     line = both.withColumn("macd", F.col("_f") - F.col("_s")).drop("_f", "_s")
-    return ewm(line, {"macd_signal": ("macd", 2 / (signal + 1))}, by, order).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    made = ewm(line, {"macd_signal": ("macd", 2 / (signal + 1))}, by, order).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    return made if "_ix" in df.columns else made.drop("_ix")
 
 
 def bbands(df: DataFrame, c: str = "close", n: int = 20, k: float = 2.0, ddof: int = 1, **keys) -> DataFrame:
@@ -103,37 +115,47 @@ def bbands(df: DataFrame, c: str = "close", n: int = 20, k: float = 2.0, ddof: i
     return out.withColumns({"bb_width": 100 * safe_ratio(width, F.col("bb_mid")), "bb_pos": safe_ratio(F.col(c) - F.col("bb_low"), width)})
 
 
+def _range_steps(out: str) -> list:
+    wide = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc")))
+    return [shift_step({"_pc": ("close", "lag", 1)}), _made({out: wide}), lambda rows, w: rows.drop("_pc")]
+
+
 def true_range(df: DataFrame, by=BY, order=ORDER, out: str = "true_range") -> DataFrame:
     """High minus low in a key's first row, else the widest of the three ranges."""
-    with_last = shifted(df, {"_pc": ("close", "lag", 1)}, by, order)
-    wide = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc")))
-    return with_last.withColumn(out, wide).drop("_pc")
+    return in_blocks(df, _range_steps(out), by, order, before=1)
 
 
 def atr(df: DataFrame, n: int = 14, by=BY, order=ORDER) -> DataFrame:
     """``atr_{n}``, Wilder's mean of the true range, and ``atr_ratio_{n}``, its share of the close."""
-    wide = true_range(df, by, order, "_tr")
-    made = wide.withColumn(f"atr_{n}", F.col("_tr")) if n == 1 else ewm(wide, {f"atr_{n}": ("_tr", 1 / n)}, by, order)
+    if n == 1:
+        made = in_blocks(df, [*_range_steps("_tr"), _made({"atr_1": F.col("_tr")})], by, order, before=1)
+    else:
+        before = reach(1 / n) + 1
+        made = in_blocks(df, [*_range_steps("_tr"), ewm_step({f"atr_{n}": ("_tr", 1 / n)})], by, order, before, size=max(before, block_size(before, 1 / n)))
     return made.withColumn(f"atr_ratio_{n}", F.col(f"atr_{n}") / (F.col("close") + 1e-9)).drop("_tr")
 
 
 def adx(df: DataFrame, n: int = 14, by=BY, order=ORDER) -> DataFrame:
     """``plus_di, minus_di, adx``: Wilder's directional movement, all means from their first value on."""
-    wide = true_range(df, by, order, "_tr")
-    moved = shifted(wide, {"_up": ("high", "diff", 1), "_dn": ("low", "diff", 1)}, by, order)
     up, down = F.col("_up"), -F.col("_dn")
-    signs = moved.withColumns({"_pdm": F.when((up > down) & (up > 0), up).when(up.isNotNull(), 0.0), "_mdm": F.when((down > up) & (down > 0), down).when(up.isNotNull(), 0.0), "_trd": F.when(up.isNotNull(), F.col("_tr"))})
-    means = ewm(signs, {"_p": ("_pdm", 1 / n), "_m": ("_mdm", 1 / n), "_t": ("_trd", 1 / n)}, by, order)
-    di = means.withColumns({"plus_di": 100 * safe_ratio(F.col("_p"), F.col("_t")), "minus_di": 100 * safe_ratio(F.col("_m"), F.col("_t"))})
+    signs = {"_pdm": F.when((up > down) & (up > 0), up).when(up.isNotNull(), 0.0), "_mdm": F.when((down > up) & (down > 0), down).when(up.isNotNull(), 0.0), "_trd": F.when(up.isNotNull(), F.col("_tr"))}
+    di = {"plus_di": 100 * safe_ratio(F.col("_p"), F.col("_t")), "minus_di": 100 * safe_ratio(F.col("_m"), F.col("_t"))}
     dx = 100 * safe_ratio(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di"))
-    return ewm(di.withColumn("_dx", dx), {"adx": ("_dx", 1 / n)}, by, order).drop("_tr", "_up", "_dn", "_pdm", "_mdm", "_trd", "_p", "_m", "_t", "_dx")
+    steps = [
+        *_range_steps("_tr"), shift_step({"_up": ("high", "diff", 1), "_dn": ("low", "diff", 1)}), _made(signs),
+        ewm_step({"_p": ("_pdm", 1 / n), "_m": ("_mdm", 1 / n), "_t": ("_trd", 1 / n)}), _made(di), _made({"_dx": dx}), ewm_step({"adx": ("_dx", 1 / n)}),
+    ]
+    before = 2 * reach(1 / n) + 1
+    made = in_blocks(df, steps, by, order, before, size=max(before, block_size(before, 1 / n)))
+    return made.drop("_tr", "_up", "_dn", "_pdm", "_mdm", "_trd", "_p", "_m", "_t", "_dx")
 
 
 def volatility(df: DataFrame, n: int = 20, **keys) -> DataFrame:
     """``ret_1``, ``volatility_{n}`` (scaled by the root of n), ``skew_{n}`` and ``momentum_{n}``."""
-    r = shifted(df, {"ret_1": ("close", "pct", 1), f"momentum_{n}": ("close", "pct", n)}, **keys)
+    r = shifted(indexed(df, keys.get("by", BY), keys.get("order", ORDER)), {"ret_1": ("close", "pct", 1), f"momentum_{n}": ("close", "pct", n)}, **keys)
     made = rolling(r, {"_s": ("ret_1", "std", n), f"skew_{n}": ("ret_1", "skew", n)}, **keys)
-    return made.withColumn(f"volatility_{n}", F.col("_s") * math.sqrt(n)).drop("_s")
+    made = made.withColumn(f"volatility_{n}", F.col("_s") * math.sqrt(n)).drop("_s")
+    return made if "_ix" in df.columns else made.drop("_ix")
 
 
 def zscore(df: DataFrame, c: str, n: int, out: str | None = None, **keys) -> DataFrame:
@@ -143,8 +165,9 @@ def zscore(df: DataFrame, c: str, n: int, out: str | None = None, **keys) -> Dat
 
 def smooth_momentum(df: DataFrame, c: str, n: int = 7, out: str = "smooth_momentum", **keys) -> DataFrame:
     """Relative change of the ``n``-row mean."""
-    made = rolling(df, {"_m": (c, "mean", n)}, **keys)
-    return shifted(made, {out: ("_m", "pct", 1)}, **keys).drop("_m")
+    made = rolling(indexed(df, keys.get("by", BY), keys.get("order", ORDER)), {"_m": (c, "mean", n)}, **keys)
+    made = shifted(made, {out: ("_m", "pct", 1)}, **keys).drop("_m")
+    return made if "_ix" in df.columns else made.drop("_ix")
 
 
 def rolling_sharpe(df: DataFrame, c: str, n: int = 50, periods: int = 252, **keys) -> DataFrame:
@@ -169,10 +192,11 @@ def rolling_corr(df: DataFrame, a: str, b: str, n: int, out: str = "corr", by=BY
 
 
 def choppiness(df: DataFrame, n: int = 14, by=BY, order=ORDER) -> DataFrame:
-    wide = true_range(df, by, order, "_tr")
+    wide = true_range(indexed(df, by, order), by, order, "_tr")
     made = rolling(wide, {"_sum": ("_tr", "sum", n), "_hh": ("high", "max", n), "_ll": ("low", "min", n)}, by, order)
     ratio = safe_ratio(F.col("_sum"), F.col("_hh") - F.col("_ll"))
-    return made.withColumn(f"chop_{n}", F.when(ratio > 0, 100 * F.log10(ratio) / math.log10(n))).drop("_tr", "_sum", "_hh", "_ll")
+    made = made.withColumn(f"chop_{n}", F.when(ratio > 0, 100 * F.log10(ratio) / math.log10(n))).drop("_tr", "_sum", "_hh", "_ll")
+    return made if "_ix" in df.columns else made.drop("_ix")
 
 
 def perm_entropy(df: DataFrame, c: str, n: int = 60, out: str = "perm_entropy", by=BY, order=ORDER) -> DataFrame:
@@ -183,8 +207,6 @@ def perm_entropy(df: DataFrame, c: str, n: int = 60, out: str = "perm_entropy",
         code = (x <= y).cast("int") * 4 + (y <= z).cast("int") * 2 + (x <= z).cast("int")
         return F.when(x.isNotNull() & y.isNotNull() & z.isNotNull(), code)
 
-    coded = over_blocks(df, {"_code": pattern}, by, order, before=2)
-
     def entropy(w):
         f = w.rowsBetween(-(n - 3), 0)
         total = F.count("_code").over(f)
@@ -194,13 +216,12 @@ def perm_entropy(df: DataFrame, c: str, n: int = 60, out: str = "perm_entropy",
             terms.append(F.when(p > 0, -p * F.ln(p)).otherwise(0.0))
         return F.when(total >= n - 2, sum(terms) / math.log(6))
 
-    return over_blocks(coded, {out: entropy}, by, order, before=n).drop("_code")
+    return in_blocks(df, [columns_step({"_code": pattern}), columns_step({out: entropy})], by, order, before=n + 2).drop("_code")
 
 
 def drawdown(df: DataFrame, equity: str = "equity", by=BY, order=ORDER) -> DataFrame:
     """``peak`` so far and ``drawdown`` from it, at least 0."""
-    peak = F.max(equity).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("peak", peak).withColumn("drawdown", safe_ratio(F.col("peak") - F.col(equity), F.col("peak")))
+    return running(df, {"peak": ("max", equity)}, by, order).withColumn("drawdown", safe_ratio(F.col("peak") - F.col(equity), F.col("peak")))
 
 
 def sequences(df: DataFrame, cols: list[str], length: int, horizon: int = 0, by=BY, order=ORDER) -> DataFrame:
@@ -212,7 +233,8 @@ def sequences(df: DataFrame, cols: list[str], length: int, horizon: int = 0, by=
     made = {"past": lambda w: F.collect_list(row).over(w.rowsBetween(-(length - 1), 0))}
     if horizon:
         made["future"] = lambda w: F.collect_list(row).over(w.rowsBetween(1, horizon))
-    out = over_blocks(df.withColumn("time_idx", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1), made, by, order, before=length, after=horizon)
+    out = over_blocks(indexed(df, by, order), made, by, order, before=length, after=horizon).withColumn("time_idx", F.col("_ix"))
+    out = out if "_ix" in df.columns else out.drop("_ix")
     full = F.size("past") == length
     return out.where(full & (F.size("future") == horizon) if horizon else full)
 
@@ -220,7 +242,7 @@ def sequences(df: DataFrame, cols: list[str], length: int, horizon: int = 0, by=
 def takens_spread(df: DataFrame, c: str, window: int = 50, dim: int = 3, delay: int = 1, stride: int = 10, history: int = 10, by=BY, order=ORDER) -> DataFrame:
     """Every ``stride``-th full window: ``spread``, the population deviation of distances between its delay vectors,
     ``spread_z`` against the key's earlier spreads (once more than ``history``) and ``unusual`` (above 2)."""
-    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    rows = index_rows(df, by, order).withColumn("_n", F.col("_ix") + 1)
     full = over_blocks(rows, {"_w": lambda w: F.collect_list(c).over(w.rowsBetween(-(window - 1), 0))}, by, order, before=window)
     full = full.where((F.size("_w") == window) & ((F.col("_n") - window) % stride == 0))
     vectors = F.transform(F.sequence(F.lit(0), F.lit(window - 1 - (dim - 1) * delay)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.get("_w", (i + j * delay).cast("int"))))
@@ -231,7 +253,7 @@ def takens_spread(df: DataFrame, c: str, window: int = 50, dim: int = 3, delay:
     mean = F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / F.size("_d")
     withm = dist.withColumn("_m", mean)
     var = F.aggregate(F.transform("_d", lambda x: (x - F.col("_m")) * (x - F.col("_m"))), F.lit(0.0), lambda s, x: s + x) / F.size("_d")
-    spread = withm.withColumn("spread", F.sqrt(var)).drop("_w", "_v", "_d", "_m", "_n")
+    spread = withm.withColumn("spread", F.sqrt(var)).drop("_w", "_v", "_d", "_m", "_n", "_ix")
     earlier = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     z = F.when(F.count("spread").over(earlier) > history, safe_ratio(F.col("spread") - F.avg("spread").over(earlier), F.stddev_pop("spread").over(earlier)))
     return spread.withColumn("spread_z", z).withColumn("unusual", F.coalesce(F.col("spread_z") > 2, F.lit(False)))
@@ -273,10 +295,10 @@ def lz_complexity(df: DataFrame, c: str, window: int = 100, bins: int = 5, every
             out.append((_lempel_ziv(cut.tolist()), max(0.0, 1 - len(zlib.compress(raw)) / len(raw))))
         return pd.DataFrame(out, columns=["lz", "compressibility"])
 
-    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    rows = index_rows(df, by, order).withColumn("_n", F.col("_ix") + 1)
     moves = shifted(rows, {"_r": (c, "pct", 1)}, by, order)
     full = over_blocks(moves, {"_w": lambda w: F.collect_list("_r").over(w.rowsBetween(-(window - 1), 0))}, by, order, before=window)
-    return full.where(F.col("_n") % every == 0).withColumn("_z", measure("_w")).withColumns({"lz": F.col("_z.lz"), "compressibility": F.col("_z.compressibility")}).drop("_n", "_r", "_w", "_z")
+    return full.where(F.col("_n") % every == 0).withColumn("_z", measure("_w")).withColumns({"lz": F.col("_z.lz"), "compressibility": F.col("_z.compressibility")}).drop("_n", "_r", "_w", "_z", "_ix")
 
 
 def risk_multiplier(complexity: str | Column, kind: str = "inverse", low: float = 0.1, high: float = 1.0) -> Column:

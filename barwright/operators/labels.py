@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions.scalar import safe_ratio
 from barwright.operators.indicators import BY, ORDER, atr, bbands, choppiness, ema, rolling, rsi, shifted
-from barwright.operators.scan import index_rows, over_blocks
+from barwright.operators.scan import index_rows, indexed, over_blocks, running
 
 
 def triple_barrier(df: DataFrame, pt: float = 2.0, sl: float = 2.0, horizon: int = 20, width: str = "atr_14", tail: str = "null", by=BY, order=ORDER) -> DataFrame:
@@ -56,9 +56,8 @@ def to_signals(df: DataFrame, condition: Column, by=BY, order=ORDER, out: str =
 
 def position(df: DataFrame, signal: str = "signal", by=BY, order=ORDER, out: str = "position") -> DataFrame:
     """1 from an entry on until the next exit, else 0; repeated entries and exits change nothing."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col(signal) != 0, F.col(signal)), ignorenulls=True).over(w)
-    return df.withColumn(out, F.coalesce((last == 1).cast("int"), F.lit(0)))
+    made = running(df, {"_last": ("last", F.when(F.col(signal) != 0, F.col(signal)))}, by, order)
+    return made.withColumn(out, F.coalesce((F.col("_last") == 1).cast("int"), F.lit(0))).drop("_last")
 
 
 def ma_cross(df: DataFrame, fast: int = 10, slow: int = 30, by=BY, order=ORDER) -> DataFrame:
@@ -74,7 +73,7 @@ def rsi_signal(df: DataFrame, n: int = 14, low: float = 30, high: float = 70, by
 
 def trend_bias(df: DataFrame, fast: int = 50, slow: int = 200, band: float = 0.005, by=BY, order=ORDER) -> DataFrame:
     """One row per key: ``bias`` of the latest bar, LONG or SHORT where the means differ by more than ``band``; NEUTRAL for fewer than ``slow`` rows."""
-    made = ema(ema(df, "close", fast, by=by, order=order), "close", slow, by=by, order=order)
+    made = ema(ema(indexed(df, by, order), "close", fast, by=by, order=order), "close", slow, by=by, order=order)
     last = made.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct(F.col(f"ema_{fast}").alias("f"), F.col(f"ema_{slow}").alias("s")), F.struct(*order)).alias("e"))
     bias = F.when(F.col("n") < slow, "NEUTRAL").when(F.col("e.f") > F.col("e.s") * (1 + band), "LONG").when(F.col("e.f") < F.col("e.s") * (1 - band), "SHORT").otherwise("NEUTRAL")
     return last.select(*by, bias.alias("bias"))
@@ -82,7 +81,7 @@ def trend_bias(df: DataFrame, fast: int = 50, slow: int = 200, band: float = 0.0
 
 def environment(df: DataFrame, n: int = 14, least: int = 50, by=BY, order=ORDER) -> DataFrame:
     """One row per key: ``environment`` from the latest bar's ATR share against its third quartile and choppiness against its median."""
-    made = choppiness(atr(df, n, by, order), n, by, order)
+    made = choppiness(atr(indexed(df, by, order), n, by, order), n, by, order)
     facts = made.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.percentile(f"atr_ratio_{n}", 0.75).alias("v75"), F.percentile(f"chop_{n}", 0.5).alias("c50"),
         F.max_by(F.struct(F.col(f"atr_ratio_{n}").alias("v"), F.col(f"chop_{n}").alias("c")), F.struct(*order)).alias("e"),

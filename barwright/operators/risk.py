@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.scalar import clip, safe_ratio
+from barwright.operators.scan import running
 
 
 def circuit_breaker(equity: DataFrame, daily: float = 0.10, peak: float = 0.30, by: str = "account", ts: str = "ts", value: str = "equity") -> DataFrame:
@@ -13,17 +14,14 @@ def circuit_breaker(equity: DataFrame, daily: float = 0.10, peak: float = 0.30,
 
     The daily loss is against the day's first equity, the peak loss against the highest so far.
     """
-    day = F.to_date(F.col(ts))
-    rows = equity.withColumn("_day", day)
-    in_day = Window.partitionBy(by, "_day").orderBy(ts)
-    life = Window.partitionBy(by).orderBy(ts)
-    upto = (Window.unboundedPreceding, 0)
-    loss = safe_ratio(F.first(value).over(in_day.rowsBetween(*upto)) - F.col(value), F.first(value).over(in_day.rowsBetween(*upto)))
-    top = F.max(value).over(life.rowsBetween(*upto))
-    fall = F.when(top > 0, (top - F.col(value)) / top)
-    flagged = rows.withColumns({"_l": F.coalesce(loss >= daily, F.lit(False)), "_f": F.coalesce(fall >= peak, F.lit(False))})
-    made = flagged.withColumns({"daily_tripped": F.max("_l").over(in_day.rowsBetween(*upto)), "peak_tripped": F.max("_f").over(life.rowsBetween(*upto))})
-    return made.withColumn("allowed", ~F.col("daily_tripped") & ~F.col("peak_tripped")).drop("_day", "_l", "_f")
+    rows = equity.withColumn("_day", F.to_date(F.col(ts)))
+    upto = Window.partitionBy(by, "_day").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.first(value).over(upto)
+    rows = running(rows, {"_top": ("max", value)}, [by], [ts])
+    fall = F.when(F.col("_top") > 0, (F.col("_top") - F.col(value)) / F.col("_top"))
+    flagged = rows.withColumns({"_l": F.coalesce(safe_ratio(start - F.col(value), start) >= daily, F.lit(False)), "_f": F.coalesce(fall >= peak, F.lit(False))})
+    made = running(flagged, {"peak_tripped": ("max", "_f")}, [by], [ts]).withColumn("daily_tripped", F.max("_l").over(upto))
+    return made.withColumn("allowed", ~F.col("daily_tripped") & ~F.col("peak_tripped")).drop("_day", "_top", "_l", "_f")
 
 
 def volatility_gate(df: DataFrame, c: str, cap: float = 0.05) -> DataFrame:
@@ -39,11 +37,11 @@ def kelly(p: str | Column, b: str | Column, fraction: float = 0.2) -> Column:
 
 def trailing_stop(bars: DataFrame, mult: float = 3.0, by=("trade",), order=("ts",), side: str = "side", atr: str = "atr") -> DataFrame:
     """Adds ``stop``: for longs the highest of peak minus ATR multiples so far, for shorts the lowest of trough plus them."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    long = F.col(side) == "long"
-    edge = F.when(long, F.max("high").over(w) - F.col(atr) * mult).otherwise(F.min("low").over(w) + F.col(atr) * mult)
-    made = bars.withColumn("_e", edge)
-    return made.withColumn("stop", F.when(long, F.max("_e").over(w)).otherwise(F.min("_e").over(w))).drop("_e")
+    by, order, long = [*by], [*order], F.col(side) == "long"
+    made = running(bars, {"_hh": ("max", "high"), "_ll": ("min", "low")}, by, order)
+    made = made.withColumn("_e", F.when(long, F.col("_hh") - F.col(atr) * mult).otherwise(F.col("_ll") + F.col(atr) * mult))
+    made = running(made, {"_up": ("max", "_e"), "_dn": ("min", "_e")}, by, order)
+    return made.withColumn("stop", F.when(long, F.col("_up")).otherwise(F.col("_dn"))).drop("_hh", "_ll", "_e", "_up", "_dn")
 
 
 def size_chain(df: DataFrame, least: float = 0.01) -> DataFrame:

@@ -17,11 +17,19 @@ from pyspark.sql import functions as F
 #: Rows of a block, at least; a halo of more rows makes blocks of four halos.
 BLOCK_ROWS = 20_000
 #: A recurrence's weight below exp(-FORGET) is less than double precision can show.
-FORGET = 60.0
+FORGET = 40.0
+#: Halo rows per value that a recurrence needs, as rows without a value do not count.
+SLACK = 2
+#: Largest exponent of a weight within a block.
+MAX_EXPONENT = 600.0
 
 
 def index_rows(df: DataFrame, by: list[str], order: list[str], name: str = "_ix", chunk: str = "day") -> DataFrame:
-    """Number the rows of each key from 0 by ``order``, whose first column is a time; ties beyond ``order`` are arbitrary."""
+    """Number the rows of each key from 0 by ``order``, whose first column is a time; ties beyond ``order`` are arbitrary.
+
+    This reads ``df`` twice. Chains of operators should therefore number their rows once, keep the
+    column ``_ix`` through all steps and drop it at the end: see ``indexed``.
+    """
     rows = df.withColumn("_ix_chunk", F.date_trunc(chunk, F.col(order[0]).cast("timestamp")))
     inside = Window.partitionBy(*by, "_ix_chunk").orderBy(*order)
     across = Window.partitionBy(*by).orderBy(F.col("_ix_chunk").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
@@ -49,53 +57,141 @@ def blocks(df: DataFrame, index: str = "_ix", size: int = BLOCK_ROWS, before: in
     return dealt.withColumns({"_ix_block": F.col("_ix_s.b"), "_ix_own": F.col("_ix_s.own")}).drop("_ix_s")
 
 
-def over_blocks(df: DataFrame, columns: dict[str, Callable[[Window], Column]], by: list[str], order: list[str], before: int = 0, after: int = 0, size: int | None = None) -> DataFrame:
-    """Add window columns whose frames reach at most ``before`` rows back and ``after`` rows ahead.
+def indexed(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` with its rows numbered in ``_ix``, unless an operator before has done so."""
+    return df if "_ix" in df.columns else index_rows(df, by, order)
+
+
+#: A step adds columns to dealt rows, given the window over (key, block) by row number.
+Step = Callable[[DataFrame, Window], DataFrame]
+
 
-    Each function gets a window partitioned by (key, block) and ordered by row number, and must treat
-    a block's edge as the series' end only if its frame would pass it, which the halo prevents.
+def in_blocks(df: DataFrame, steps: list[Step], by: list[str], order: list[str], before: int = 0, after: int = 0, size: int | None = None) -> DataFrame:
+    """Apply ``steps`` one after another to the same blocks: one exchange and one sort for them all.
+
+    ``before`` and ``after`` are the rows that the steps reach in sum. A step must treat a block's
+    edge as the series' end only if its frame would pass it, which the halo prevents.
     """
     size = size or max(BLOCK_ROWS, 4 * max(before, after))
-    dealt = blocks(index_rows(df, by, order), "_ix", size, before, after)
+    dealt = blocks(indexed(df, by, order), "_ix", size, before, after)
     w = Window.partitionBy(*by, "_ix_block").orderBy("_ix")
-    return dealt.withColumns({n: f(w) for n, f in columns.items()}).where("_ix_own").drop("_ix", "_ix_block", "_ix_own")
+    for step in steps:
+        dealt = step(dealt, w)
+    return dealt.where("_ix_own").drop("_ix_block", "_ix_own", *([] if "_ix" in df.columns else ["_ix"]))
+
+
+def columns_step(columns: dict[str, Callable[[Window], Column]]) -> Step:
+    return lambda rows, w: rows.withColumns({n: f(w) for n, f in columns.items()})
+
+
+def over_blocks(df: DataFrame, columns: dict[str, Callable[[Window], Column]], by: list[str], order: list[str], before: int = 0, after: int = 0, size: int | None = None) -> DataFrame:
+    """Add window columns whose frames reach at most ``before`` rows back and ``after`` rows ahead."""
+    return in_blocks(df, [columns_step(columns)], by, order, before, after, size)
 
 
-def ewm(df: DataFrame, columns: dict[str, tuple[str | Column, float]], by: list[str], order: list[str], seed: str = "first", seed_rows: int = 1, size: int | None = None) -> DataFrame:
+def reach(alpha: float, seed_rows: int = 1) -> int:
+    """Rows that an exponential mean looks back."""
+    return SLACK * max(1, math.ceil(FORGET / -math.log(1 - alpha))) + seed_rows
+
+
+def block_size(before: int, alpha: float) -> int:
+    """Rows of a block in which no weight of the mean overflows; less than ``before`` if there is no such block."""
+    return min(max(BLOCK_ROWS, 4 * before), int(MAX_EXPONENT / -math.log(1 - alpha)) - before)
+
+
+def ewm_step(columns: dict[str, tuple[str | Column, float]], seed_rows: int = 1) -> Step:
+    """Exponential means of the rows of a block; the mean of the first ``seed_rows`` values is the first mean.
+
+    In a block after the first, what looks like the seed is only a value whose weight has faded
+    before the block's own rows begin, if the halo has values enough.
+    """
+
+    def step(rows: DataFrame, w: Window) -> DataFrame:
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        for i, (name, (x, alpha)) in enumerate(columns.items()):
+            value, place, rate = f"_ew_x{i}", f"_ew_p{i}", -math.log(1 - alpha)
+            rows = rows.withColumn(value, (F.col(x) if isinstance(x, str) else x).cast("double"))
+            rows = rows.withColumn(place, F.count(value).over(upto).cast("double"))
+            first = F.avg(value).over(upto) if seed_rows > 1 else F.col(value)
+            part = F.when(F.col(place) > seed_rows, F.col(value) * alpha).when((F.col(place) == seed_rows) & F.col(value).isNotNull(), first)
+            rows = rows.withColumn(f"_ew_v{i}", part * F.exp(F.col(place) * rate))
+            rows = rows.withColumn(name, F.sum(f"_ew_v{i}").over(upto) * F.exp(-F.col(place) * rate)).drop(value, place, f"_ew_v{i}")
+        return rows
+
+    return step
+
+
+def ewm(df: DataFrame, columns: dict[str, tuple[str | Column, float]], by: list[str], order: list[str], seed: str = "first", seed_rows: int = 1, size: int | None = None, sparse: bool = False) -> DataFrame:
     """Add exponential means ``y = alpha x + (1 - alpha) y_before`` as ``{name: (x, alpha)}``.
 
     ``seed="first"`` starts at the first value, ``"sma"`` at the mean of the first ``seed_rows`` values
-    (null before). A row without ``x`` is skipped: it shows the mean so far. Weights below
-    exp(-60) are left out, which no double can tell, so blocks need a halo only.
+    (null before). A row without ``x`` is skipped: it shows the mean so far. Values of a weight below
+    exp(-40) are left out, which no double can tell, so blocks need a halo only. The halo is ``SLACK``
+    times that long; where still fewer than one row in ``SLACK`` has a value, the oldest one in
+    reach stands for all before it. ``sparse=True`` numbers the rows with a value by themselves and
+    is exact for any share of missing ones.
+    """
+    least = 1 if seed == "first" else seed_rows
+    out = df if sparse else indexed(df, by, order)
+    if sparse:
+        for name, (x, alpha) in columns.items():
+            out = _sparse(out.withColumn("_ew_x", F.col(x) if isinstance(x, str) else x), name, alpha, by, order, seed, least).drop("_ew_x")
+        return out
+    lasting = {n: x for n, (x, alpha) in columns.items() if alpha >= 1}
+    if lasting:
+        out = running(out, {n: ("last", x) for n, x in lasting.items()}, by, order)
+    rest = sorted(((n, x, a) for n, (x, a) in columns.items() if a < 1), key=lambda c: c[2])
+    while rest:
+        # the slowest mean sets the halo; faster ones join while their weights fit into its blocks
+        before = reach(rest[0][2], least)
+        group = [c for c in rest if block_size(before, c[2]) >= before] or rest[:1]
+        length = size or max(before, min(block_size(before, c[2]) for c in group))
+        out = in_blocks(out, [ewm_step({n: (x, a) for n, x, a in group}, least)], by, order, before=before, size=max(length, before))
+        rest = [c for c in rest if c not in group]
+    return out if "_ix" in df.columns else out.drop("_ix")
+
+
+def _sparse(df: DataFrame, name: str, alpha: float, by: list[str], order: list[str], seed: str, seed_rows: int) -> DataFrame:
+    plain = df.drop("_ix")
+    dense = ewm(plain.where("_ew_x is not null"), {name: ("_ew_x", alpha)}, by, order, seed, seed_rows)
+    missing = plain.where("_ew_x is null").withColumn(name, F.lit(None).cast("double"))
+    return running(dense.unionByName(missing), {name: ("last", name)}, by, order)
+
+
+#: Running aggregates: over the rows of a window, and over the totals of chunks.
+RUNNING = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max, "min": F.min, "sum": F.sum, "count": F.count}
+
+
+def running(df: DataFrame, columns: dict[str, tuple[str, str | Column]], by: list[str], order: list[str], ahead: bool = False, chunk: str = "day") -> DataFrame:
+    """Add ``{name: (kind, x)}``: what the key's rows so far come to, this one included, or with ``ahead`` those from here on.
+
+    Kinds: ``last`` (value that is not null, ``ahead`` the next one), ``max``, ``min``, ``sum``,
+    ``count``. Windows are over (key, time chunk); what earlier chunks come to is a prefix over the
+    table of chunk totals, so no task needs a whole key. The first column of ``order`` is a time.
     """
-    out = df
-    for name, (x, alpha) in columns.items():
-        out = _ewm_one(out.withColumn("_ew_x", (F.col(x) if isinstance(x, str) else x).cast("double")), name, alpha, by, order, seed, seed_rows, size).drop("_ew_x")
-    return out
-
-
-def _ewm_one(df: DataFrame, name: str, alpha: float, by: list[str], order: list[str], seed: str, seed_rows: int, size: int | None) -> DataFrame:
-    first = 0 if seed == "first" else seed_rows - 1
-    if alpha >= 1:
-        return df.withColumn(name, F.last("_ew_x", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order)))
-    rate = -math.log(1 - alpha)
-    halo = max(1, math.ceil(FORGET / rate), first + 1)
-    size = max(size or 0, halo, min(4 * halo, int(400 / rate)))
-    rows = index_rows(df.where("_ew_x is not null"), by, order)
-    dealt = blocks(rows, "_ix", size, halo)
-    w = Window.partitionBy(*by, "_ix_block").orderBy("_ix").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.min("_ix").over(Window.partitionBy(*by, "_ix_block"))
-    value = F.col("_ew_x")
-    if first:
-        value = F.when(F.col("_ix") == first, F.avg("_ew_x").over(w)).when(F.col("_ix") > first, value)
-    dealt = dealt.withColumns({"_ew_p": (F.col("_ix") - start).cast("double"), "_ew_v": value})
-    weight = F.when(F.col("_ix") == first, F.lit(1.0)).otherwise(F.lit(alpha))
-    dealt = dealt.withColumn(name, F.sum(F.col("_ew_v") * weight * F.exp(F.col("_ew_p") * rate)).over(w) * F.exp(-F.col("_ew_p") * rate))
-    done = dealt.where("_ix_own").drop("_ew_p", "_ew_v", "_ix", "_ix_block", "_ix_own")
-    missing = df.where("_ew_x is null")
-    both = done.unionByName(missing.withColumn(name, F.lit(None).cast("double")))
-    return both.withColumn(name, F.last(name, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order))) if not _never_null(df) else both
-
-
-def _never_null(df: DataFrame) -> bool:
-    return not df.schema["_ew_x"].nullable
+    rows = df.withColumn("_rc", F.date_trunc(chunk, F.col(order[0]).cast("timestamp")))
+    rows = rows.withColumns({f"_rx{i}": F.col(x) if isinstance(x, str) else x for i, (_, x) in enumerate(columns.values())})
+    place = F.struct(*order)
+    totals, inside, across, both = [], {}, {}, {}
+    here = Window.partitionBy(*by, "_rc").orderBy(*order).rowsBetween(*((0, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, 0)))
+    over = Window.partitionBy(*by).orderBy(F.col("_rc").asc_nulls_first()).rowsBetween(*((1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)))
+    for i, (name, (kind, _)) in enumerate(columns.items()):
+        x, total, before, now = f"_rx{i}", f"_rt{i}", f"_rb{i}", f"_rn{i}"
+        if kind == "last":
+            edge = F.min_by if ahead else F.max_by
+            totals.append(edge(x, F.when(F.col(x).isNotNull(), place)).alias(total))
+            pick = (lambda c: F.first(c, ignorenulls=True)) if ahead else RUNNING["last"]
+            inside[now], across[before] = pick(x).over(here), pick(total).over(over)
+            both[name] = F.coalesce(now, before)
+        else:
+            totals.append(RUNNING[kind](x).alias(total))
+            inside[now], across[before] = RUNNING[kind](x).over(here), (F.sum if kind == "count" else RUNNING[kind])(total).over(over)
+            join = {"max": F.greatest, "min": F.least}.get(kind)
+            both[name] = join(now, before) if join else F.coalesce(F.col(now) + F.col(before), F.col(now), F.col(before))
+    keys = [*by, "_rc"]
+    side = rows.groupBy(*keys).agg(*totals).withColumns(across).select(*(F.col(c).alias(f"_rk{i}") for i, c in enumerate(keys)), *across)
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_rk{i}"))
+    done = rows.withColumns(inside).join(side, same).withColumns(both)
+    return done.select(*(c for c in df.columns if c not in columns), *columns)
