@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.common import scan
+
 #: Fixed strings of the template.
 OPEN, CLOSE = "<s>[INST ", " [/INST]</s>\n"
 ESCAPE = (r"([<\[])(\\*/?(?:s>|INST))", r"$1\\$2")
@@ -74,13 +76,7 @@ def loss_text(parsed: Column, learned: str = "assistant") -> Column:
 def loss_spans(turns: DataFrame, learned: str = "assistant") -> DataFrame:
     """Result of ``format_chats`` with ``loss_mask``: [start, end) code points of learned texts in ``formatted``."""
     pieces = F.transform(F.split("formatted", r" \[/INST\]</s>\n", -1), lambda p: F.struct(F.length(p).alias("n"), F.length(F.regexp_extract(p, r"^<s>\[INST [^\]]*\] ", 0)).alias("head"), (F.regexp_extract(p, r"^<s>\[INST ([^\]]*)\] ", 1) == learned).alias("learned")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    folded = F.aggregate(
-        pieces, start,
-        lambda s, p: F.struct(
-            (s["at"] + p["n"] + len(CLOSE)).cast("int").alias("at"),
-            F.when(p["learned"], F.concat(s["spans"], F.array(F.struct((s["at"] + p["head"]).cast("int").alias("start"), (s["at"] + p["n"]).cast("int").alias("end"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
+    span = lambda at, p: F.array(F.struct((at + p["head"]).cast("int").alias("start"), (at + p["n"]).cast("int").alias("end")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    folded = scan(pieces, F.lit(0), lambda at, p: (at + p["n"] + len(CLOSE)).cast("int"), lambda at, p: F.when(p["learned"], span(at, p)).otherwise(none), none)
     return turns.withColumn("loss_mask", folded)

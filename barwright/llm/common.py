@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII upper-to-lower pair used with ``translate``: nothing outside A-Z changes.
@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """Folder that every executor sees: ``spark.checkpoint.dir``. Where that is unset, a local one, on a local master only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark, "_own_shared_dir", None) or "file://" + tempfile.mkdtemp(prefix="barwright-")
         spark._own_shared_dir = found
     return found
@@ -103,6 +105,37 @@ def lower_ascii(text):
     return F.translate(text, UPPER, LOWER)
 
 
+#: Elements that ``scan`` folds at a time: each step of a fold copies its state, so what it gathers must stay short.
+SCAN_RUN = 256
+
+
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def scan(rows: Column, zero: Column, following, emitted, empty: Column) -> Column:
+    """What a left-to-right pass over an array emits, in time linear in its length, natively.
+
+    From the state ``s`` (first ``zero``), an element ``x`` emits the array ``emitted(s, x)`` and leaves
+    ``following(s, x)``. ``empty`` is an empty array of the emitted type.
+    """
+
+    def states(chunks: Column) -> Column:
+        return F.aggregate(chunks, F.array(zero), lambda a, c: F.concat(a, F.array(F.aggregate(c, F.element_at(a, -1), following))))
+
+    def run(start: Column, chunk: Column) -> Column:
+        step = lambda a, x: F.struct(following(a["s"], x).alias("s"), F.concat(a["out"], emitted(a["s"], x)).alias("out"))
+        return F.aggregate(chunk, F.struct(start.alias("s"), empty.alias("out")), step, lambda a: a["out"])
+
+    def whole(r: Column) -> Column:
+        last = F.floor((F.size(r) - 1) / SCAN_RUN).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(r, c * SCAN_RUN + 1, F.lit(SCAN_RUN)))
+        return bound(chunks, lambda cs: bound(states(cs), lambda ss: F.flatten(F.transform(cs, lambda c, i: run(F.get(ss, i), c)))))
+
+    return bound(rows, lambda r: F.when(F.size(r) > 0, whole(r)).otherwise(empty))
+
+
 def found_spans(text, regex):
     """All leftmost, non-overlapping matches of ``regex`` as ``array<struct<start,end,text>>`` in code points, natively.
 
@@ -110,17 +143,13 @@ def found_spans(text, regex):
     """
     regex = F.lit(regex) if isinstance(regex, str) else regex
     gaps, hits = F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0))
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    folded = F.aggregate(
-        F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h"))),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["g"]) + F.length(x["h"])).alias("at"),
-            F.concat(s["spans"], F.array(F.struct((s["at"] + F.length(x["g"])).alias("start"), (s["at"] + F.length(x["g"]) + F.length(x["h"])).alias("end"), x["h"].alias("text")))).alias("spans"),
-        ),
-        lambda s: s["spans"],
+    pairs = bound(hits, lambda h: F.zip_with(F.slice(gaps, F.lit(1), F.size(h)), h, lambda g, t: F.struct(F.length(g).alias("gap"), F.length(t).alias("size"), t.alias("text"))))
+    return scan(
+        pairs, F.lit(0),
+        lambda at, x: at + x["gap"] + x["size"],
+        lambda at, x: F.array(F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["text"].alias("text"))),
+        F.array().cast("array<struct<start:int,end:int,text:string>>"),
     )
-    return folded
 
 
 #: Rows of (say) two longs that may be broadcast: some 50 MB as a hash table.

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import NON_WORD, found_spans, lower_ascii
+from barwright.llm.common import NON_WORD, found_spans, lower_ascii, scan
 
 #: Word characters of texts that are not lower-cased yet.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -111,17 +111,14 @@ def _detections(text: Column, lowered: Column, chosen: list[Rule]) -> Column:
     each = F.transform(able, lambda r: F.transform(found_spans(text, r["regex"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), r["priority"].alias("priority"), r["label"].alias("label"))))
     # by start, longest first, best priority first: what contains an interval comes before it
     ordered = F.array_sort(F.array_distinct(F.flatten(each)))
-    levels = len(SCORES)
-    empty = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
-
-    def step(state: Column, d: Column) -> Column:
-        end = -d["back"]
-        inside = F.exists(F.slice(state["ends"], F.lit(1), d["priority"] + 1), lambda e: e >= end)
-        ends = F.transform(state["ends"], lambda e, i: F.when(i == d["priority"], F.greatest(e, end)).otherwise(e))
-        kept = F.struct(d["start"].alias("start"), end.alias("end"), d["priority"].alias("priority"), d["label"].alias("label"))
-        return F.struct(ends.alias("ends"), F.when(inside, state["kept"]).otherwise(F.concat(state["kept"], F.array(kept))).alias("kept"))
-
-    return F.aggregate(ordered, F.struct(F.array(*[F.lit(-1)] * levels).alias("ends"), empty.alias("kept")), step, lambda s: s["kept"])
+    none = F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")
+    inside = lambda ends, d: F.exists(F.slice(ends, F.lit(1), d["priority"] + 1), lambda e: e >= -d["back"])
+    kept = lambda d: F.array(F.struct(d["start"].alias("start"), (-d["back"]).alias("end"), d["priority"].alias("priority"), d["label"].alias("label")))
+    return scan(
+        ordered, F.array(*[F.lit(-1)] * len(SCORES)),
+        lambda ends, d: F.transform(ends, lambda e, i: F.when(i == d["priority"], F.greatest(e, -d["back"])).otherwise(e)),
+        lambda ends, d: F.when(inside(ends, d), none).otherwise(kept(d)), none,
+    )
 
 
 def _gated(text: Column) -> Column:

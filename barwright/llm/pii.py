@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import found_spans, stored
+from barwright.llm.common import bound, found_spans, scan, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The fixed shapes; possessive where giving back could never help, and not tried within a run that failed.
@@ -144,15 +144,15 @@ def _bootstrap(rows: DataFrame, rounds: int, min_seeds: int, min_confidence: flo
 def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``find_pii`` replaced by ``[KIND]``; overlapping spans merge into the first's."""
     marks = spans.select(F.col(id_col).alias("_id"), F.array_sort(F.transform(F.concat("base", "found"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))).alias("_marks")).dropDuplicates(["_id"])
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    folded = F.aggregate(
-        "_marks", state,
-        lambda s, m: F.struct(
-            F.greatest(s["at"], -m["back"]).alias("at"),
-            F.when(m["start"] >= s["at"], F.concat(s["out"], F.substring(text, s["at"] + 1, m["start"] - s["at"]), F.lit("["), F.upper(m["kind"]), F.lit("]"))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
+    joined = docs.alias("d").join(marks.alias("m"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("m._id")), "left")
+    given, found, none = F.col(f"d.`{text_col}`"), F.col("m._marks"), F.array().cast("array<string>")
+    text = F.coalesce(given, F.lit(""))
+    # the text between marks and the marks' names; a mark at the end of the text takes what is left
+    ends = F.concat(found, F.array(F.struct(F.length(text).alias("start"), (-F.length(text)).alias("back"), F.lit(None).cast("string").alias("kind"))))
+    name = lambda m: F.when(m["kind"].isNull(), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(m["kind"]), F.lit("]")))
+    pieces = scan(
+        ends, F.lit(0), lambda at, m: F.greatest(at, -m["back"]),
+        lambda at, m: F.when(m["start"] >= at, F.array(F.substring(text, at + 1, m["start"] - at), name(m))).otherwise(none), none,
     )
-    joined = docs.join(marks, docs[id_col].eqNullSafe(marks["_id"]), "left")
-    return joined.withColumn(text_col, F.when(F.size("_marks") > 0, folded).otherwise(F.col(text_col))).drop("_id", "_marks")
+    new = F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(given).alias(text_col)
+    return joined.select(*(new if c == text_col else F.col(f"d.`{c}`") for c in docs.columns))
