@@ -2,9 +2,10 @@
 
 Sets fall into size bands such that two sets within the threshold stand in one band or in adjacent
 ones; a set takes part in its band's instance and the next one's. In an instance, sets differ in at
-most ``k`` elements if they are similar enough, so of more than ``k`` partitions of the feature domain
-some have no difference: each non-empty partition's content is a signature, and there are a few more
-partitions than needed so that some may go unused.
+most ``d`` elements if they are similar enough. The feature domain is cut into first-level partitions and each
+of these into three second-level ones; every subset of two of the three is a signature: its content. A
+difference spoils two of a partition's three subsets at most, a second one the last, so that with some
+half as many partitions as differences, a few subsets at least stay equal.
 
 A signature that many sets share is *hot*. Similar sets have a least number of signatures in common, of
 which at most their hot ones are not seen as cold pairs; pairs that share fewer are dropped unverified. Sets
@@ -34,6 +35,10 @@ MAX_COLD = 16
 STEP_BYTES = 1 << 20
 #: Rows of a document's own (identifier, size, fingerprint) travel with the signatures, marked in ``slack``.
 OWN_ROW = -2_000_000_000
+#: Second-level subsets of a first-level partition: any two of its three.
+SUBSETS = ((0, 1), (0, 2), (1, 2))
+#: Signatures of similar sets that may go unused, at least.
+SPARE = 1
 SIGNED = "sig bigint, fp bigint, slack int"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -84,6 +89,7 @@ class PartEnum:
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.tops = num, den, [1 * den // num]
+        self.known: dict[int, tuple[int, int]] = {}
 
     def band(self, size: int) -> int:
         """Number of the band that holds ``size`` (from 0); a band's top is the largest size similar to its bottom."""
@@ -97,34 +103,65 @@ class PartEnum:
             self.tops.append((self.tops[-1] + 1) * self.den // self.num)
         return 2 * self.tops[instance] * (self.den - self.num) // (self.den + self.num)
 
-    def signatures(self, items: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For both instances of a set: how many of its signatures may go unused (less than 0: even all are too few), and them.
-
-        Non-empty partitions have a signature each; empty ones only where all are too few.
+    def shape(self, instance: int) -> tuple[int, int]:
+        """First-level partitions of an instance, and the most subsets that its differences can spoil; ``SPARE`` more than one stay."""
+        d = self.differences(instance)
+        parts = 1
+        while len(SUBSETS) * parts - (lost := 2 * min(d, parts) + max(0, d - parts)) < 1 + SPARE:
+            parts += 1
+        return parts, lost
+
+    def _shapes(self, instances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known, at = np.unique(instances, return_inverse=True)
+        for i in known.tolist():
+            if i not in self.known:
+                self.known[i] = self.shape(i)
+        table = np.array([self.known[i] for i in known.tolist()], dtype=np.int64).reshape(-1, 2)
+        return table[at, 0], table[at, 1]
+
+    def signatures(self, items: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For both instances of each of the non-empty sets that ``bounds`` delimit: set numbers, signatures and slacks.
+
+        A slack tells how many of a set's signatures may go unused (less than 0: even all are too few).
+        Non-empty subsets have a signature each; empty ones only where all are too few.
         """
-        band = self.band(len(items))
-        for instance in (band, band + 1):
-            need = self.differences(instance) + 1
-            parts = need + max(2, need // 10 + 1)
-            own = mix(items * U(2 * instance + 3))
-            slot = ((own >> U(32)) * U(parts)) >> U(32)
-            order = np.argsort(slot, kind="stable")
-            slot, sums = slot[order], mix(own ^ U(0x5851F42D4C957F2D))[order]
-            at = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-            filled = slot[at]
-            found = self._stamp(np.add.reduceat(sums, at), filled, instance)
-            if len(filled) < need:
-                rest = np.setdiff1d(np.arange(parts, dtype=U), filled)
-                found = np.r_[found, self._stamp(np.zeros(len(rest), dtype=U), rest, instance)]
-            yield len(filled) - need, found
+        sizes = np.diff(bounds)
+        self.band(int(sizes.max()))
+        bands = np.searchsorted(self.tops, sizes)
+        for instance in (bands, bands + 1):
+            parts, lost = self._shapes(instance)
+            cells = 3 * parts
+            first = np.cumsum(cells) - cells
+            own = mix(items * np.repeat((2 * instance + 3).astype(U), sizes))
+            cell = ((own >> U(32)) * np.repeat(cells.astype(U), sizes) >> U(32)).astype(np.int64) + np.repeat(first, sizes)
+            sums = np.zeros(int(cells.sum()), dtype=U)
+            np.add.at(sums, cell, mix(own ^ U(0x5851F42D4C957F2D)))
+            filled = (np.bincount(cell, minlength=len(sums)) > 0).reshape(-1, 3)
+            sums = sums.reshape(-1, 3)
+            content = np.stack([sums[:, i] + sums[:, j] for i, j in SUBSETS], axis=1).ravel()
+            there = np.stack([filled[:, i] | filled[:, j] for i, j in SUBSETS], axis=1).ravel()
+            of = np.repeat(np.arange(len(sizes)), cells)
+            slack = np.bincount(of[there], minlength=len(sizes)) - lost - 1
+            kept = np.flatnonzero(there | (slack < 0)[of])
+            of, place = of[kept], (kept - first[of[kept]]).astype(U)
+            yield of, self._stamp(content[kept], place, instance[of].astype(U)), slack[of]
 
     @staticmethod
-    def _stamp(sums: np.ndarray, slot: np.ndarray, instance: int) -> np.ndarray:
-        return mix(sums + mix(slot * U(0x9FB21C651E98DF25) + U(instance + 1))) & ~U(255) | U(instance & 255)
+    def _stamp(sums: np.ndarray, place: np.ndarray, instance: np.ndarray) -> np.ndarray:
+        return mix(sums + mix(place * U(0x9FB21C651E98DF25) + instance + U(1))) & ~U(255) | instance & U(255)
+
+
+def _fingerprints(items: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64-bit marks of the sets that ``bounds`` delimit, 0 for empty ones."""
+    out, sizes = np.zeros(len(bounds) - 1, dtype=U), np.diff(bounds)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        out[full] = mix(np.add.reduceat(mix(items), bounds[:-1][full]) + sizes[full].astype(U))
+    return out.astype(np.int64)
 
 
-def _fingerprint(items: np.ndarray) -> int:
-    return int(mix(np.array([np.add.reduce(mix(items))], dtype=U) + U(len(items)))[0].astype(np.int64))
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.empty(0, dtype=U), *sets]), np.cumsum([0, *map(len, sets)])
 
 
 def _signature_rows(k: int, num: int, den: int):
@@ -136,18 +173,20 @@ def _signature_rows(k: int, num: int, den: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for begin, end, data, offsets in text_steps(batch.column(1), STEP_BYTES):
                 sets = shingle_sets(data, offsets, k)
-                marks = np.array([_fingerprint(x) if len(x) else 0 for x in sets], dtype=np.int64)
+                marks = _fingerprints(*_flat(sets))
                 sigs, fps = [ids[begin:end].astype(np.int64).view(U)], [marks]
                 slacks = [np.array([OWN_ROW + len(x) for x in sets], dtype=np.int32)]
-                for items, fp in zip(sets, marks.tolist(), strict=True):
-                    if not len(items) or fp in seen:
-                        continue
-                    if len(seen) < 1 << 20:  # copies beyond it are folded behind the shuffle
-                        seen.add(fp)
-                    for slack, found in scheme.signatures(items):
+                new = []
+                for at, fp in enumerate(marks.tolist()):
+                    if len(sets[at]) and fp not in seen:
+                        new.append(at)
+                        if len(seen) < 1 << 20:  # copies beyond it are folded behind the shuffle
+                            seen.add(fp)
+                if new:
+                    for of, found, slack in scheme.signatures(*_flat([sets[at] for at in new])):
                         sigs.append(found)
-                        fps.append(np.full(len(found), fp, dtype=np.int64))
-                        slacks.append(np.full(len(found), slack, dtype=np.int32))
+                        fps.append(marks[np.array(new)][of])
+                        slacks.append(slack.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([signed(np.concatenate(sigs)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(slacks))], ["sig", "fp", "slack"])
 
     return run
@@ -161,60 +200,62 @@ def _groups(max_cold: int):
     signature is hot if more than ``max_cold`` sets share it, or several with one of too few
     signatures. Holds one batch and the sets of one cold signature.
     """
-    names = ["a", "b", "sig", "slack"]
-
-    def pack(a, b, sig, slack) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.array(sig), pa.array(slack)], names)
-
-    def whole_runs(sig, fp, slack) -> Iterator[pa.RecordBatch]:
+    def pack(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if found:
+            lone = np.concatenate([np.full(len(a), b is None) for a, b, _, _ in found])
+            columns = [np.concatenate([(x[0] if x[1] is None else x[1]) if i == 1 else x[i] for x in found]) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, mask=lone) if i == 1 else pa.array(c) for i, c in enumerate(columns)], ["a", "b", "sig", "slack"])
+
+    def whole_runs(sig, fp, slack) -> list[tuple]:
+        out = []
         start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         count = np.diff(np.r_[start, len(sig)])
         hot = (count > max_cold) | ((np.minimum.reduceat(slack, start) < 0) & (count > 1))
         rows = np.flatnonzero(np.repeat(hot, count))
         if len(rows):
-            yield pack(fp[rows], None, sig[rows], slack[rows])
+            out.append((fp[rows], None, sig[rows], slack[rows]))
         cold = (count > 1) & ~hot
         for size in np.unique(count[cold]).tolist():
             at = start[cold & (count == size)]
             for x in range(size):
                 for y in range(x + 1, size):
-                    yield pack(fp[at + x], fp[at + y], sig[at], np.maximum(slack[at + x], slack[at + y]))
+                    out.append((fp[at + x], fp[at + y], sig[at], np.maximum(slack[at + x], slack[at + y])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last signature's rows so far
         spent = None  # that signature and its last set, once it is known to be hot and its rows went out
         for batch in batches:
             sig, fp, slack = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            out = []
             if len(own := np.flatnonzero(slack < OWN_ROW // 2)):
-                yield pack(fp[own], None, sig[own], slack[own])
+                out.append((fp[own], None, sig[own], slack[own]))
                 rest = np.flatnonzero(slack >= OWN_ROW // 2)
                 sig, fp, slack = sig[rest], fp[rest], slack[rest]
-            if spent is not None:
+            if spent is not None and len(sig):
                 same = int(np.searchsorted(sig, spent[0], side="right"))
                 if same:
                     fresh = np.flatnonzero(fp[:same] != np.r_[spent[1], fp[: same - 1]])
-                    if len(fresh):
-                        yield pack(fp[fresh], None, sig[fresh], slack[fresh])
+                    out.append((fp[fresh], None, sig[fresh], slack[fresh]))
                     spent = (spent[0], fp[same - 1])
                     sig, fp, slack = sig[same:], fp[same:], slack[same:]
-                if not len(sig):
-                    continue
-                spent = None
-            if held is not None:
-                sig, fp, slack = (np.concatenate(x) for x in zip(held, (sig, fp, slack), strict=True))
-            if not len(sig):
-                continue
-            keep = np.r_[True, (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])]
-            sig, fp, slack = sig[keep], fp[keep], slack[keep]
-            last = int(np.searchsorted(sig, sig[-1], side="left"))
-            if last:
-                yield from whole_runs(sig[:last], fp[:last], slack[:last])
-            held = (sig[last:], fp[last:], slack[last:])
-            if len(held[0]) > max_cold:
-                yield pack(held[1], None, held[0], held[2])
-                spent, held = (held[0][-1], held[1][-1]), None
+                if len(sig):
+                    spent = None
+            if len(sig):
+                if held is not None:
+                    sig, fp, slack = (np.concatenate(x) for x in zip(held, (sig, fp, slack), strict=True))
+                keep = np.r_[True, (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])]
+                sig, fp, slack = sig[keep], fp[keep], slack[keep]
+                last = int(np.searchsorted(sig, sig[-1], side="left"))
+                if last:
+                    out += whole_runs(sig[:last], fp[:last], slack[:last])
+                held = (sig[last:], fp[last:], slack[last:])
+                if len(held[0]) > max_cold:
+                    out.append((held[1], None, held[0], held[2]))
+                    spent, held = (held[0][-1], held[1][-1]), None
+            yield from pack(out)
         if held is not None:
-            yield from whole_runs(*held)
+            yield from pack(whole_runs(*held))
 
     return run
 
@@ -226,7 +267,8 @@ def _sets(k: int):
         for batch in batches:
             for at, end, data, offsets in text_steps(batch.column(1), STEP_BYTES):
                 wanted = batch.column(0).slice(at, end - at).to_pylist()
-                found = [(fp, x) for fp, x in zip(wanted, shingle_sets(data, offsets, k), strict=True) if len(x) and _fingerprint(x) == fp]
+                sets = shingle_sets(data, offsets, k)
+                found = [(fp, x) for fp, mark, x in zip(wanted, _fingerprints(*_flat(sets)).tolist(), sets, strict=True) if len(x) and mark == fp]
                 if found:
                     ends = np.cumsum([0, *(len(x) for _, x in found)]).astype(np.int32)
                     items = pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate([x for _, x in found])))
