@@ -1,10 +1,12 @@
-"""Benchmark items inside documents: MinHash containment search by shingle length, in SQL functions only.
-
-The search is split by shingle length, with one rank bound for each. An item's sketch is its bottom-m MinHash values, with m one
-more than the shingles it may miss at the wanted containment: of the m smallest, at least one stands
-in every document that contains the item, so the search misses none. The largest
-sketch value bounds what a document needs to offer, which discards most of its shingles before the
-hash join. Candidates are verified by exact shingle containment.
+"""Benchmark items inside documents: size-partitioned MinHash containment search, in SQL functions only.
+
+Items fall into partitions by their number of shingles (and by shingle length, for items of fewer words
+than a shingle). An item's sketch is its bottom-m MinHash values, with m one more than the shingles it
+may miss at the wanted containment: of the m smallest, at least one stands in every document that
+contains the item, so the search misses none. Each partition has the largest rank of its own sketches
+as its bound, and a document offers a partition only the shingles within it: short items, whose sketches
+reach any rank, do not widen the search for long ones. Candidates are verified by exact shingle
+containment.
 """
 
 from __future__ import annotations
@@ -45,8 +47,9 @@ def _rank(shingle: Column) -> Column:
     return shingle.bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def _below(shingles: str, top: int) -> Column:
-    return F.filter(shingles, lambda x: _rank(x) <= F.lit(top))
+def _offered(shingles: str, part: int, top: int) -> Column:
+    """What a document offers a size partition: its shingles of no larger rank than any of the partition's sketches."""
+    return F.transform(F.filter(shingles, lambda x: _rank(x) <= F.lit(top)), lambda x: F.struct(F.lit(part).alias("part"), x.alias("shingle")))
 
 
 def item_shingles(items: DataFrame, id_col: str, text_col: str, k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
@@ -79,15 +82,17 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     rows of one identifier count as one document, their shingles together. Empty tables give no pairs.
     """
     table = stored(item_shingles(items, item_id, item_text, k, containment))
-    # at most k rows: the lengths in use, each with its sketches' largest rank and its shingle count
-    lengths = sorted(table.groupBy("k").agg(F.max(F.when(F.expr(IN_SKETCH), F.col("rank"))).alias("top"), F.count(F.lit(1)).alias("n")).collect())
+    # at most k rows per size partition: the ones in use, each with its sketches' largest rank and its shingle count
+    used = sorted(table.groupBy("k", "part").agg(F.max(F.when(F.expr(IN_SKETCH), F.col("rank"))).alias("top"), F.count(F.lit(1)).alias("n")).collect())
+    lengths = {size: sum(r["n"] for r in used if r["k"] == size) for size in sorted({r["k"] for r in used})}
     read = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     found = None
-    for size, top, n in lengths:
+    for size, n in lengths.items():
         hashes = read.select("doc", words_of(F.col("text")).alias("w")).select("doc", _shingles("w", size).alias("s"))
-        low = hashes.select("doc", F.explode(_below("s", top)).alias("shingle"))
-        sketch = table.where(IN_SKETCH).where(F.col("k") == size).select("shingle", "item")
-        own = low.join(_small(sketch, n), "shingle").select("doc", "item")
+        offers = F.concat(*(_offered("s", r["part"], r["top"]) for r in used if r["k"] == size))
+        low = hashes.select("doc", F.explode(offers).alias("o")).select("doc", "o.part", "o.shingle")
+        sketch = table.where(IN_SKETCH).where(F.col("k") == size).select("part", "shingle", "item")
+        own = low.join(_small(sketch, n), ["part", "shingle"]).select("doc", "item")
         found = own if found is None else found.union(own)
     if found is None:
         found = read.select("doc").limit(0).crossJoin(table.select("item").limit(0))
@@ -95,7 +100,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     chosen = within_broadcast(stored(candidates.select(F.col("doc").alias("_doc")).distinct()))
     verified = read.join(chosen, F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
     shared = None
-    for size, _, n in lengths:
+    for size, n in lengths.items():
         sets = verified.select("doc", words_of(F.col("text")).alias("w")).select("doc", F.explode(F.array_distinct(_shingles("w", size))).alias("shingle"))
         own = sets.join(_small(table.where(F.col("k") == size).select("shingle", "item", "n", "need"), n), "shingle")
         shared = own if shared is None else shared.union(own)
