@@ -1,10 +1,11 @@
 """Personal data by fixed shapes plus bootstrapped contexts, in SQL functions only.
 
-Spans of the fixed shapes are the seeds. The words around seeds and around other identifier-like
-tokens make patterns (a kind and a neighbouring word on one side); patterns and instances form a
-bipartite graph over which Spark passes scores for a few rounds. Instances that trusted patterns
-agree on become spans of their own. Texts are read once; the rounds work on a stored table of
-instances, to which only documents with a fixed-shape span, three digits in a row or an ``@`` contribute.
+Spans of the fixed shapes, and long keys of mixed letters and digits, are the seeds. The lexemes before
+and after seeds and other identifier-like tokens make patterns: up to three before, up to two after.
+Patterns and instances form a bipartite graph over which Spark passes scores for a few rounds; what a
+round is sure of is a seed of the next. Instances that trusted patterns agree on become spans of their
+own. Texts are read once; the rounds work on a stored table of instances, to which only documents with a
+fixed-shape span, three digits or an ``@`` contribute.
 """
 
 from __future__ import annotations
@@ -24,10 +25,17 @@ SHAPES = {
 }
 #: Text that a shape cannot do without.
 GATES = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-#: An identifier-like token: a run without white space that holds three digits in a row or an ``@``.
-INSTANCE = r"(?<!\S)(?=\S*(?:[0-9]{3}|@))[^\s]++"
-WORD_BEFORE, WORD_AFTER = r"([^\s]{1,40})\s*$", r"^\s*([^\s]{1,40})"
+#: The kind that only contexts prove: its seeds are long keys.
+SECRET, KEY = "secret", r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_-]{32,}$"
+EVERY_KIND = (*KINDS, SECRET)
+#: An identifier-like token: letters, digits and inner joints, with three digits or an ``@``.
+INSTANCE = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9._+/:-]*@|(?:[A-Za-z._+/:-]*[0-9]){3})[A-Za-z0-9](?:[A-Za-z0-9@._+/:-]*[A-Za-z0-9])?+"
+#: What patterns are made of: runs of letters and digits, and single other characters.
+LEXEME = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+BEFORE, AFTER = 3, 2
 REACH = 60
+#: Characters of a piece in which contexts are looked up, as finding a place in a text takes time in proportion to it.
+PIECE = 1024
 ROUNDS = 3
 #: A pattern needs so many distinct seed texts and such a share of its instances; a span such a score.
 MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE = 3, 0.8, 0.9
@@ -67,28 +75,49 @@ def base_spans(text: Column) -> Column:
 
 
 def _with_context(text: Column, spans: Column) -> Column:
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["text"]).alias("text"),
-            F.lower(F.regexp_extract(F.substring(text, F.greatest(F.lit(1), s["start"] - REACH + 1), F.least(s["start"], F.lit(REACH))), WORD_BEFORE, 1)).alias("before"),
-            F.lower(F.regexp_extract(F.substring(text, s["end"] + 1, F.lit(REACH)), WORD_AFTER, 1)).alias("after"),
-        ),
-    )
+    """``spans`` with the last ``BEFORE`` lexemes before and the first ``AFTER`` ones after, lower-cased, nearest first."""
+    padded = F.concat(F.lit(" " * REACH), text)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda i: F.substring(padded, i * PIECE + 1, F.lit(PIECE + 2 * REACH)))
+
+    def lexemes(part: Column) -> Column:
+        return F.regexp_extract_all(F.lower(part), F.lit(LEXEME), F.lit(0))
+
+    def one(ps: Column, s: Column) -> Column:
+        low, high = s["start"], s["end"]
+        ahead = F.substring(F.get(ps, F.floor(low / PIECE).cast("int")), low % PIECE + 1, F.lit(REACH))
+        behind = F.substring(F.get(ps, F.floor(high / PIECE).cast("int")), high % PIECE + REACH + 1, F.lit(REACH))
+        return F.struct(
+            s["kind"].alias("kind"), low.alias("start"), high.alias("end"), F.lower(s["text"]).alias("text"),
+            F.slice(F.reverse(lexemes(ahead)), 1, BEFORE).alias("before"), F.slice(lexemes(behind), 1, AFTER).alias("after"),
+        )
+
+    return bound(pieces, lambda ps: F.transform(spans, lambda s: one(ps, s)))
+
+
+def _free(base: Column, tokens: Column) -> Column:
+    """Those of ``tokens`` that overlap no base span: one pass for those that begin before a token, one, from the end, for the others."""
+    kind = lambda spans, isbase: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(isbase).alias("own"), s["end"].alias("end"), s["text"].alias("text")))
+    none = F.array().cast("array<struct<start:int,own:int,end:int,text:string>>")
+    both = F.array_sort(F.concat(kind(base, 0), kind(tokens, 1)))
+    left = scan(both, F.lit(0), lambda at, x: F.when(x["own"] == 0, F.greatest(at, x["end"])).otherwise(at), lambda at, x: F.when((x["own"] == 0) | (at <= x["start"]), F.array(x)).otherwise(none), none)
+    far = F.lit((1 << 31) - 1)
+    right = scan(F.reverse(left), far, lambda at, x: F.when(x["own"] == 0, x["start"]).otherwise(at), lambda at, x: F.when((x["own"] == 1) & (at >= x["end"]), F.array(x)).otherwise(none), none)
+    named = F.when(F.size(base) > 0, right).otherwise(kind(tokens, 1))
+    return F.transform(named, lambda s: F.struct(F.when(s["text"].rlike(KEY), SECRET).otherwise("").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``base`` and ``found``, arrays of ``(kind, start, end, text)``.
 
     ``base`` holds the fixed shapes' spans, ``found`` the further ones that trusted patterns point
-    to (never overlapping a base span; a tie between kinds goes to the first of ``KINDS``). Null text
+    to (never overlapping a base span; a tie between kinds goes to the first of ``EVERY_KIND``). Null text
     is empty; repeated rows get equal results each. Only the identifier and the text are read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("h")).withColumn("base", base_spans(F.col("t")))
-    token = F.transform(found_spans(F.col("t"), INSTANCE), lambda s: F.struct(F.lit("").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))
-    free = F.filter(token, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    instances = F.when((F.size("base") > 0) | F.col("t").rlike("[0-9]{3}|@"), _with_context(F.col("t"), F.concat("base", free))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,text:string,before:string,after:string>>"))
+    context = "array<struct<kind:string,start:int,end:int,text:string,before:array<string>,after:array<string>>>"
+    every = F.concat("base", _free(F.col("base"), found_spans(F.col("t"), INSTANCE)))
+    instances = F.when((F.size("base") > 0) | F.col("t").rlike("[0-9][^0-9]?[0-9]|@"), _with_context(F.col("t"), every)).otherwise(F.array().cast(context))
     rows = stored(read.select("id", "h", "base", instances.alias("instances")))
     found = _bootstrap(rows, rounds, min_seeds, min_confidence, min_score)
     own = rows.select("id", "h", "base")
@@ -99,15 +128,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
 def _bootstrap(rows: DataFrame, rounds: int, min_seeds: int, min_confidence: float, min_score: float) -> DataFrame:
     """Spans of instances that trusted patterns agree on: ``fid, fh, found``.
 
-    A pattern is (side, word); its trust in a kind is the share of its instances' scores for that
-    kind, given enough distinct seed texts: those of the fixed shapes, and from the second round on those
-    that scored ``min_score`` in the round before. An instance's score is the noisy-or of its sides.
+    A pattern is a side and its nearest lexemes; its trust in a kind is the share of its instances'
+    scores for that kind, given enough distinct seed texts: those of the shapes, and from the second
+    round on those that scored ``min_score`` in the round before. An instance's score is the noisy-or of
+    the most trusted pattern of either side.
     """
     exploded = rows.where(F.size("instances") > 0).select("id", "h", F.explode("instances").alias("i"))
+    grams = lambda mark, lexemes, most: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(F.size(lexemes) >= n, F.concat(F.lit(mark), F.array_join(F.slice(lexemes, F.lit(1), n), " "))))
     sides = exploded.select(
         "id", "h", F.col("i.kind").alias("kind"), F.col("i.start").alias("start"), F.col("i.end").alias("end"), F.col("i.text").alias("text"),
-        F.explode(F.array(F.concat(F.lit("<"), F.col("i.before")), F.concat(F.lit(">"), F.col("i.after")))).alias("pattern"),
-    ).where(F.length("pattern") > 1)
+        F.explode(F.concat(grams("<", F.col("i.before"), BEFORE), grams(">", F.col("i.after"), AFTER))).alias("pattern"),
+    ).where("pattern is not null")
     # one row per pattern and instance text: a text repeated over many copies counts once
     edges = stored(sides.groupBy("pattern", "text", "kind").agg(F.count(F.lit(1)).alias("places")))
     totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
@@ -126,15 +157,12 @@ def _bootstrap(rows: DataFrame, rounds: int, min_seeds: int, min_confidence: flo
             .select("pattern", F.col("kind").alias("as_kind"), (F.col("mass") / F.col("n") * (1 - 1 / (F.col("seeds") + 1))).alias("trust"))
         )
         trusted = stored(trusted)
+        best = lambda mark: F.coalesce(F.max(F.when(F.col("pattern").startswith(mark), F.col("trust"))), F.lit(0.0))
+        score = (1 - (1 - best("<")) * (1 - best(">"))).alias("score")
         if turn < rounds - 1:
-            scores = edges.where("kind = ''").join(trusted, "pattern").groupBy("text", F.col("as_kind").alias("kind")).agg((1 - F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.9999)))))).alias("score"))
-    hits = (
-        sides.where("kind = ''").join(trusted, "pattern")
-        .groupBy("id", "h", "start", "end", "text", "as_kind")
-        .agg((1 - F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.9999)))))).alias("score"))
-        .where(F.col("score") >= min_score)
-    )
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("as_kind"))
+            scores = edges.where("kind = ''").join(trusted, "pattern").groupBy("text", F.col("as_kind").alias("kind")).agg(score)
+    hits = sides.where(F.col("kind").isin("", SECRET)).join(trusted, "pattern").groupBy("id", "h", "start", "end", "text", "as_kind").agg(score).where(F.col("score") >= min_score)
+    order = F.array_position(F.array(*map(F.lit, EVERY_KIND)), F.col("as_kind"))
     best = hits.groupBy("id", "h", "start", "end").agg(F.max_by(F.struct(F.col("as_kind").alias("kind"), "text"), F.struct("score", -order)).alias("b"))
     return best.groupBy(F.col("id").alias("fid"), F.col("h").alias("fh")).agg(
         F.array_sort(F.collect_set(F.struct("start", F.col("b.kind").alias("kind"), "end", F.col("b.text").alias("text")))).alias("f")

@@ -97,11 +97,12 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op6_decontaminate"] = r"""
 WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT item_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
-bs AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b WHERE len(w) >= 5),
+bk AS (SELECT id, w, least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+bs AS (SELECT DISTINCT id, k, unnest(list_transform(range(1, CAST(len(w) - k + 2 AS BIGINT)), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s FROM bk),
 bn AS (SELECT id, count(*) AS n FROM bs GROUP BY id),
-ds AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) >= 5)
+ds AS (SELECT DISTINCT id, k, unnest(list_transform(range(1, CAST(len(w) - k + 2 AS BIGINT)), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s FROM d, (SELECT DISTINCT k FROM bk) WHERE len(w) >= k)
 SELECT ds.id AS doc_id, bs.id AS item_id, CAST(any_value(n) AS INTEGER) AS n_item, count(*) AS n_shared, count(*) / any_value(n) AS containment
-FROM ds JOIN bs USING (s) JOIN bn ON bn.id = bs.id GROUP BY ds.id, bs.id HAVING count(*) >= ceil(any_value(n) * 0.8 - 1e-9)
+FROM ds JOIN bs USING (k, s) JOIN bn ON bn.id = bs.id GROUP BY ds.id, bs.id HAVING count(*) >= ceil(any_value(n) * 0.8 - 1e-9)
 """
 
 
@@ -124,9 +125,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    kinds = F.array(*map(F.lit, pii.KINDS))
+    kinds = F.array(*map(F.lit, pii.EVERY_KIND))
     every = F.array_sort(F.transform(F.concat("base", "found"), lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("order"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans"))
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 #: Rules of the contract: verdict, host, path.
