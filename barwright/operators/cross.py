@@ -11,6 +11,7 @@ from barwright.functions.scalar import safe_ratio
 from barwright.operators.asof import asof_join
 from barwright.operators.indicators import atr, perm_entropy, rolling_corr, rsi, shifted
 from barwright.operators.perf import sample_kurtosis, sample_skew
+from barwright.operators.scan import columns_step, in_blocks, index_rows
 
 
 def pairs_on_time(bars: DataFrame, c: str = "close", ts: str = "ts", by: str = "symbol") -> DataFrame:
@@ -110,22 +111,23 @@ def drift_points(df: DataFrame, c: str, window: int = 200, delta: float = 0.005,
     Adds ``cut`` (``|mean difference| - bound`` of the worst split) and ``drift``; only every ``step``-th
     split is looked at, none before ``grace`` values.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumns({"_i": F.row_number().over(w), "_s": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_v": F.var_pop(c).over(w.rowsBetween(-(window - 1), 0))})
-    start = F.greatest(F.lit(0), F.col("_i") - window)
-    made = rows.withColumn("_a", F.coalesce(F.lag("_s", window).over(w), F.lit(0.0)))
-    worst = None
-    n = F.col("_i") - start
-    for back in range(step, window, step):
+    by, order = [*by], [*order]
+    # sums are from a block's start on, as only their differences count
+    sums = columns_step({"_s": lambda w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_v": lambda w: F.var_pop(c).over(w.rowsBetween(-(window - 1), 0))})
+    splits = [*range(step, window, step)]
+    lags = columns_step({f"_l{back}": (lambda w, back=back: F.lag("_s", back).over(w)) for back in [*splits, window]})
+    made = in_blocks(index_rows(df, by, order), [sums, lags], by, order, before=window + 1).withColumn("_i", F.col("_ix") + 1)
+    n = F.col("_i") - F.greatest(F.lit(0), F.col("_i") - window)
+    worst = []
+    for back in splits:
         n1 = F.lit(float(back))
         n0 = n - back
-        mid = F.lag("_s", back).over(w)
-        m0, m1 = safe_ratio(mid - F.col("_a"), n0), (F.col("_s") - mid) / n1
+        mid = F.col(f"_l{back}")
+        m0, m1 = safe_ratio(mid - F.coalesce(f"_l{window}", F.lit(0.0)), n0), (F.col("_s") - mid) / n1
         m = 1 / (1 / n1 + safe_ratio(F.lit(1.0), n0))
         log = F.lit(math.log(2 / delta)) + F.ln(n)
         bound = F.sqrt(2 / m * F.col("_v") * log) + 2 / (3 * m) * log
-        gap = F.when((n0 > 0) & mid.isNotNull(), F.abs(m0 - m1) - bound)
-        made = made.withColumn(f"_g{back}", gap)
-        worst = [*(worst or []), f"_g{back}"]
+        worst.append(F.when((n0 > 0) & mid.isNotNull(), F.abs(m0 - m1) - bound))
+    helpers = ["_i", "_ix", "_s", "_v", *(f"_l{back}" for back in [*splits, window])]
     out = made.withColumn("cut", F.when(F.col("_i") >= grace, F.greatest(*worst)))
-    return out.withColumn("drift", F.coalesce(F.col("cut") > 0, F.lit(False))).drop("_i", "_s", "_v", "_a", *worst)
+    return out.withColumn("drift", F.coalesce(F.col("cut") > 0, F.lit(False))).drop(*helpers)

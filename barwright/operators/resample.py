@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,11 +52,19 @@ def permutation_importance(df: DataFrame, features: list[str], score: Callable[[
     return out
 
 
-def add_noise(df: DataFrame, cols: list[str], frac: float = 0.01, seed: int = 42, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Gaussian noise of ``frac`` of each column's deviation; the deviations are one row per key, met by a join."""
+def add_noise(df: DataFrame, cols: list[str], frac: float = 0.01, seed: int = 42, by: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """Gaussian noise of ``frac`` of each column's deviation; the deviations are one row per key, met by a join.
+
+    A draw is made of two hashes of (seed, column, key, order), so results do not depend on partitioning.
+    """
     spread = df.groupBy(*by).agg(*(F.stddev_samp(c).alias(f"_s_{c}") for c in cols))
     met = df.join(spread, [*by])
-    return met.withColumns({c: F.col(c) + F.randn(seed + i) * F.coalesce(f"_s_{c}", F.lit(0.0)) * frac for i, c in enumerate(cols)}).drop(*(f"_s_{c}" for c in cols))
+
+    def chance(i: int, part: int) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), F.lit(part), *by, *order), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+
+    normal = lambda i: F.sqrt(-2 * F.ln(chance(i, 0))) * F.cos(2 * math.pi * chance(i, 1))
+    return met.withColumns({c: F.col(c) + normal(i) * F.coalesce(f"_s_{c}", F.lit(0.0)) * frac for i, c in enumerate(cols)}).drop(*(f"_s_{c}" for c in cols))
 
 
 def in_sample_gate(result: DataFrame, min_sharpe: float = 0.5, min_pnl: float = 0.0) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,21 @@ def book_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; a local one on a local master without such a folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or 'file://' + tempfile.mkdtemp(prefix='barwright-')}/{name}-{uuid.uuid4().hex}"
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for what several passes read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 TICKS_SQL = "ticks AS (SELECT event_type AS symbol, ts, event_id AS id, value AS price, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS qty, user_id FROM events)"
 
 

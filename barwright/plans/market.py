@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from barwright.functions import scalar
 from barwright.operators import aggregate, asof, book, clean, indicators, labels
-from barwright.plans.fixtures import BARS_SQL, LEVELS_SQL, TICKS_SQL, bars, bars_sql, book_levels, book_messages, table, ticks
+from barwright.plans.fixtures import BARS_SQL, LEVELS_SQL, TICKS_SQL, TRADES_SQL, bars, bars_sql, book_levels, book_messages, scratch, table, ticks, trade_log
+from barwright.sources import readers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -139,13 +140,14 @@ def jn4_attributes(spark, sf_dir):
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name")
 
 
-@query(f"""WITH {TICKS_SQL}, a AS (SELECT CAST(ts AS DATE) AS day, sum(price) AS tvl FROM ticks WHERE symbol = 'view' AND id % 3 = 0 GROUP BY 1), b AS (SELECT CAST(ts AS DATE) AS day, sum(qty) AS supply FROM ticks WHERE symbol = 'click' AND id % 3 = 1 AND day(ts) % 2 = 0 GROUP BY 1),
+@query(f"""WITH {TICKS_SQL}, a AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS day, sum(price) AS tvl FROM ticks WHERE symbol = 'view' GROUP BY 1), b AS (SELECT CAST(ts AS DATE) AS day, sum(qty) AS supply FROM ticks WHERE symbol = 'click' GROUP BY 1),
 j AS (SELECT coalesce(a.day, b.day) AS day, tvl, supply FROM a FULL JOIN b ON a.day = b.day)
 SELECT day, round(last_value(tvl IGNORE NULLS) OVER w, 6) AS tvl, round(last_value(supply IGNORE NULLS) OVER w, 6) AS supply FROM j WINDOW w AS (ORDER BY day)""")
 def jn5_full_join_filled(spark, sf_dir):
-    t = ticks(spark, sf_dir).withColumn("day", F.to_date("ts"))
-    a = t.where("symbol = 'view' and id % 3 = 0").groupBy("day").agg(F.sum("price").alias("tvl"))
-    b = t.where("symbol = 'click' and id % 3 = 1 and day(ts) % 2 = 0").groupBy("day").agg(F.sum("qty").alias("supply"))
+    """A weekly and a daily series."""
+    t = ticks(spark, sf_dir)
+    a = t.where("symbol = 'view'").groupBy(F.to_date(F.date_trunc("week", "ts")).alias("day")).agg(F.sum("price").alias("tvl"))
+    b = t.where("symbol = 'click'").groupBy(F.to_date("ts").alias("day")).agg(F.sum("qty").alias("supply"))
     return rounded(asof.full_join_filled(a, b, "day"), "tvl", "supply")
 
 
@@ -178,12 +180,61 @@ def jn11_new_rows(spark, sf_dir):
     return asof.new_rows(p.where("p_size > 25").select(F.col("p_brand").alias("formula")), p.where("p_size = 3").select(F.col("p_brand").alias("formula")), ["formula"])
 
 
-@query(f"WITH {TICKS_SQL} SELECT id, symbol, ts FROM ticks WHERE ts > (SELECT max(ts) FROM ticks WHERE id < 5000) OR id < 0")
+@query(f"WITH {TICKS_SQL} SELECT id, symbol, ts FROM ticks WHERE ts > (SELECT max(ts) FROM ticks WHERE ts < TIMESTAMP '2024-01-20')")
 def src7_incremental(spark, sf_dir):
+    """All ticks come in again; those up to the 20th are there already."""
     t = ticks(spark, sf_dir).select("id", "symbol", "ts")
-    seen = t.where("id < 5000")
-    newest = seen.agg(F.max("ts").alias("_t"))
-    return t.join(F.broadcast(newest), F.col("ts") > F.col("_t")).drop("_t").join(seen.select("id"), "id", "left_anti")
+    return readers.incremental(t.where("ts < timestamp '2024-01-20'"), t, "ts", ["id"])
+
+
+@query(f"WITH {TICKS_SQL}, k AS (SELECT user_id, max(ts) AS newest FROM ticks GROUP BY user_id) SELECT user_id, newest, round((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(newest)) / 3.6e9, 6) AS age_hours, newest < TIMESTAMP '2024-02-01' - INTERVAL '240 hours' AS stale FROM k")
+def src7_stale_keys(spark, sf_dir):
+    return rounded(readers.stale_keys(ticks(spark, sf_dir), ["user_id"], "ts", 240, F.lit("2024-02-01").cast("timestamp")), "age_hours")
+
+
+# sources and sinks: written to the shared folder and read back -----------------------------------------
+
+
+@query(BARS_SQL + " SELECT symbol, ts, close, volume FROM bars")
+def src1_bars_from_csv(spark, sf_dir):
+    path = scratch(spark, "bars-csv")
+    b = bars(spark, sf_dir).withColumn("tf", F.lit("1h"))
+    b.select("symbol", "tf", "ts", "open", "high", "low", "close", "volume").write.option("header", True).csv(path)
+    return readers.read_bars(spark, path).select("symbol", "ts", "close", "volume")
+
+
+@query(BARS_SQL + " SELECT symbol, ts, open, close, CAST(ts AS DATE) AS date FROM bars")
+def snk1_bars_by_symbol_and_date(spark, sf_dir):
+    path = scratch(spark, "bars")
+    readers.write_bars(bars(spark, sf_dir), path)
+    return spark.read.parquet(path).select("symbol", "ts", "open", "close", "date")
+
+
+@query(f"WITH {TICKS_SQL} SELECT id, symbol, price, CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour FROM ticks")
+def snk2_ticks_by_hour(spark, sf_dir):
+    path = scratch(spark, "ticks")
+    readers.write_ticks(ticks(spark, sf_dir), path)
+    return spark.read.parquet(path).select("id", "symbol", "price", "date", "hour")
+
+
+@query(TRADES_SQL + " SELECT CAST(model_id AS VARCHAR) AS model_id, symbol, ts, action, round(net_pnl, 4) AS net_pnl FROM trades")
+def src5_snk4_trade_log(spark, sf_dir):
+    path = scratch(spark, "log")
+    t = trade_log(spark, sf_dir).select(F.col("model_id").cast("string").alias("model_id"), "symbol", F.col("ts").alias("timestamp"), "action", F.round("net_pnl", 4).cast("string").alias("net_pnl"))
+    readers.append_trade_log(t.where("action = 'EXIT'"), path)
+    readers.append_trade_log(t.where("action <> 'EXIT'"), path)
+    return readers.read_trade_log(spark, path).select("model_id", "symbol", F.col("timestamp").alias("ts"), "action", F.round(F.col("net_pnl").cast("double"), 4).alias("net_pnl"))
+
+
+@query(LEVELS_SQL + " SELECT CAST(book_id AS VARCHAR) AS symbol, book_id AS u, side, CAST(lvl AS INTEGER) AS pos, price, qty FROM ranked")
+def src4_l2_messages(spark, sf_dir):
+    """Each book as one JSON message, parsed back into level rows."""
+    pair = F.struct(F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price")).alias("o"), F.col("price").cast("string").alias("p"), F.col("qty").cast("string").alias("q"))
+    side = lambda name: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == name, pair))), lambda x: F.array(x["p"], x["q"]))
+    books = book_levels(spark, sf_dir).groupBy("book_id").agg(side("bid").alias("b"), side("ask").alias("a"))
+    data = F.struct(F.col("book_id").cast("string").alias("s"), F.col("book_id").alias("u"), "b", "a")
+    lines = books.select(F.to_json(F.struct(F.lit("orderbook.50.X").alias("topic"), F.lit("snapshot").alias("type"), data.alias("data"))).alias("value"))
+    return readers.read_l2_messages(lines).select("symbol", "u", "side", "pos", "price", "qty")
 
 
 # aggregation ----------------------------------------------------------------------------------------
@@ -217,20 +268,22 @@ def agg8_quantiles(spark, sf_dir):
     return rounded(aggregate.quantiles(bars(spark, sf_dir), "close", ["symbol"]), "q25", "q50", "q75", "iqr")
 
 
-@query("SELECT o_orderkey AS id, o_totalprice AS amount, NULL::INTEGER AS line FROM orders WHERE o_orderkey < 500 UNION ALL SELECT l_orderkey, l_quantity, l_linenumber FROM lineitem WHERE l_orderkey < 500")
-def set1_2_append_aligned(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
-    b = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("amount"), F.col("l_linenumber").alias("line"))
-    return aggregate.concat_all([a, b])
+APPENDED_SQL = "SELECT o_orderkey AS id, o_totalprice AS amount, NULL::INTEGER AS line FROM orders UNION ALL SELECT l_orderkey, l_quantity, l_linenumber FROM lineitem"
 
 
-@query("SELECT o_orderkey AS id, o_totalprice AS amount, NULL::INTEGER AS line FROM orders UNION ALL SELECT l_orderkey, l_quantity, l_linenumber FROM lineitem")
-def set1_2_append_aligned_whole(spark, sf_dir):
+@query(APPENDED_SQL)
+def set1_2_append_aligned(spark, sf_dir):
     a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
     b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("amount"), F.col("l_linenumber").alias("line"))
     return aggregate.concat_all([a, b])
 
 
+@query(APPENDED_SQL)
+def set1_2_append_aligned_whole(spark, sf_dir):
+    """The same under its earlier name."""
+    return set1_2_append_aligned(spark, sf_dir)
+
+
 @query(BARS_SQL + " SELECT symbol, ts, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 24")
 def src2_last_n(spark, sf_dir):
     from barwright.operators.perf import last_n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barwright.operators import cross, indicators, labels, ml
-from barwright.plans.fixtures import BARS_SQL, bars, table
+from barwright.plans.fixtures import BARS_SQL, bars, held, table
 from barwright.plans.market import ATR_SQL, RSI_SQL, rounded
 
 QUERIES: dict = {}
@@ -117,14 +117,14 @@ FEATURES = ["atr_ratio_14", "bb_pos", "volatility_20", "momentum_20"]
 
 @query()
 def ml2_classify(spark, sf_dir):
-    d = labelled(spark, sf_dir).cache()
+    d = held(labelled(spark, sf_dir), "labelled")
     part = lambda p: d.where(F.col("split") == p)
     return ml.classify(part("train"), part("valid"), part("test"), FEATURES).select("symbol", "ts", "label", "probability")
 
 
 @query()
 def ml3_meta_model(spark, sf_dir):
-    d = labelled(spark, sf_dir).withColumn("label", (F.col("label") == 1).cast("int")).cache()
+    d = held(labelled(spark, sf_dir).withColumn("label", (F.col("label") == 1).cast("int")), "labelled")
     return ml.meta_model(d.where("split = 'train'"), d.where("split = 'test'"), FEATURES).select("symbol", "ts", "label", "probability")
 
 
@@ -156,18 +156,22 @@ def ml6_conformal(spark, sf_dir):
     return ml.conformal(p.where("l_orderkey % 2 = 0"), p.where("l_orderkey % 2 = 1"), "pr", "y").select("l_orderkey", "l_linenumber", "set_size")
 
 
-@query("""WITH s AS (SELECT l_orderkey AS k, list(DISTINCT l_partkey % 20) AS s, sum(l_quantity) AS f FROM lineitem WHERE l_orderkey < 1500 GROUP BY 1), p AS (SELECT a.k, a.f, len(list_intersect(a.s, b.s)) AS c, len(a.s) AS n, len(b.s) AS m FROM s a JOIN s b ON true)
-SELECT k AS l_orderkey, count(*) FILTER (c >= 0.7 * (n + m - c)) AS niche, round(any_value(f) / count(*) FILTER (c >= 0.7 * (n + m - c)), 6) AS shared_fitness FROM p GROUP BY k""")
+NICHE_SQL = """WITH i AS (SELECT DISTINCT l_orderkey AS k, l_partkey % 200 AS e FROM lineitem), f AS (SELECT l_orderkey AS k, sum(l_quantity) AS f FROM lineitem GROUP BY 1), n AS (SELECT k, count(*) AS n FROM i GROUP BY k),
+c AS (SELECT a.k, b.k AS other, count(*) AS c FROM i a JOIN i b USING (e) GROUP BY ALL)
+SELECT c.k AS l_orderkey, count(*)::BIGINT AS niche, round(any_value(f) / count(*), 6) AS shared_fitness FROM c JOIN n x ON x.k = c.k JOIN n y ON y.k = c.other JOIN f ON f.k = c.k WHERE c >= 0.7 * (x.n + y.n - c) GROUP BY c.k"""
+
+
+@query(NICHE_SQL)
 def ml7_niche_share(spark, sf_dir):
-    sets = table(spark, sf_dir, "lineitem").where("l_orderkey < 1500").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 20).alias("s"), F.sum("l_quantity").alias("f"))
+    """Orders as sets of their parts, parts in 200 families."""
+    sets = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 200).alias("s"), F.sum("l_quantity").alias("f"))
     return rounded(ml.niche_share(sets, "l_orderkey", "s", "f"), "shared_fitness")
 
 
-@query()
+@query(NICHE_SQL)
 def ml7_niche_share_whole(spark, sf_dir):
-    """Over every order; SQL would compare all orders with all others, so there is no twin."""
-    sets = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 20).alias("s"), F.sum("l_quantity").alias("f"))
-    return rounded(ml.niche_share(sets, "l_orderkey", "s", "f"), "shared_fitness")
+    """The same under its earlier name."""
+    return ml7_niche_share(spark, sf_dir)
 
 
 @query("SELECT l_orderkey, max((l_partkey % 20 = 3)::INT) AS has_3, max((l_partkey % 20 = 7)::INT) AS has_7 FROM lineitem GROUP BY 1")

@@ -229,11 +229,11 @@ def prf6_promote(spark, sf_dir):
     return rounded(perf.promote(scores.withColumn("profit_pct", 100 * (F.col("psr") - 0.5)), scores.where("model_id < 10").select("model_id", F.lit(5.0).alias("profit_pct"))), "profit_pct")
 
 
-BENCH_SQL = TRADES_SQL + ", b AS (SELECT symbol, model_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN avg(CASE WHEN ret > 0 THEN 10 + id % 90 ELSE 1000 END) + 0.5 * stddev_pop(CASE WHEN ret > 0 THEN 10 + id % 90 ELSE 1000 END) ELSE 'infinity'::DOUBLE END AS score FROM trades WHERE id % 7 = 0 GROUP BY symbol, model_id)"
+BENCH_SQL = TRADES_SQL + ", b AS (SELECT symbol, model_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN avg(CASE WHEN ret > 0 THEN 10 + id % 90 ELSE 1000 END) + 0.5 * stddev_pop(CASE WHEN ret > 0 THEN 10 + id % 90 ELSE 1000 END) ELSE 'infinity'::DOUBLE END AS score FROM trades GROUP BY symbol, model_id)"
 
 
 def bench(spark, sf_dir) -> DataFrame:
-    shadow = trade_log(spark, sf_dir).where("id % 7 = 0").select("symbol", "model_id", F.when(F.col("ret") > 0, (10 + F.col("id") % 90).cast("double")).alias("ttt"))
+    shadow = trade_log(spark, sf_dir).select("symbol", "model_id", F.when(F.col("ret") > 0, (10 + F.col("id") % 90).cast("double")).alias("ttt"))
     return perf.bench_score(shadow, ["symbol", "model_id"])
 
 

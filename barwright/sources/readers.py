@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,9 +74,9 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_ticks(ticks: DataFrame, path: str, mode: str = "append", ts: str = "ts") -> None:
-    """Parquet by date and hour."""
+    """Parquet by date and hour, dealt by those first, so each folder gets few files."""
     at = F.col(ts).cast("timestamp")
-    ticks.withColumns({"date": F.to_date(at), "hour": F.hour(at)}).write.mode(mode).partitionBy("date", "hour").parquet(path)
+    ticks.withColumns({"date": F.to_date(at), "hour": F.hour(at)}).repartition("date", "hour").write.mode(mode).partitionBy("date", "hour").parquet(path)
 
 
 def append_trade_log(rows: DataFrame, path: str) -> None:
@@ -91,14 +93,38 @@ def upsert_latest(rows: DataFrame, path: str, key: list[str], order: str, bucket
     """Merge into a Parquet table of one row per key; only key buckets that get new rows are rewritten."""
     spark = rows.sparkSession
     fresh = latest_by_key(rows, key, order).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
-    touched = fresh.select("_bucket").distinct()
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # no table yet
-        old = None
     merged = fresh
-    if old is not None:
-        merged = latest_by_key(fresh.unionByName(old.join(touched, "_bucket", "left_semi").select(*fresh.columns)), key, order)
-    staged = f"{path}_staged"
-    merged.write.mode("overwrite").parquet(staged)
+    if _exists(spark, path):
+        touched = fresh.select("_bucket").distinct()
+        old = spark.read.parquet(path).join(F.broadcast(touched), "_bucket", "left_semi")
+        merged = latest_by_key(fresh.unionByName(old.select(*fresh.columns)), key, order)
+    staged = f"{path}_staged_{uuid.uuid4().hex}"
+    merged.write.parquet(staged)
     spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    _folder(spark, staged, "delete")
+
+
+def _folder(spark: SparkSession, path: str, action: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.delete(where, True) if action == "delete" else store.exists(where)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is stored there; any other trouble with the path is an error of its own."""
+    return _folder(spark, path, "exists")
+
+
+def incremental(existing: DataFrame, incoming: DataFrame, ts: str, key: list[str]) -> DataFrame:
+    """Incoming rows later than everything that exists, each key once; all of them where nothing exists. Rows without a time are left out."""
+    newest = existing.agg(F.max(ts).alias("_t"))
+    later = incoming.join(F.broadcast(newest), F.col(ts) > F.coalesce("_t", F.lit("0001-01-01").cast("timestamp"))).drop("_t")
+    return later.dropDuplicates(key)
+
+
+def stale_keys(df: DataFrame, by: list[str], ts: str, max_hours: float, now: Column | None = None) -> DataFrame:
+    """``newest``, ``age_hours`` and ``stale`` per key: whether its latest row is more than ``max_hours`` old. Keys without a time are stale."""
+    now = F.current_timestamp() if now is None else now
+    age = (F.unix_micros(now) - F.unix_micros(F.col("newest").cast("timestamp"))) / F.lit(3.6e9)
+    newest = df.groupBy(*by).agg(F.max(ts).alias("newest"))
+    return newest.select(*by, "newest", age.alias("age_hours"), F.coalesce(age > max_hours, F.lit(True)).alias("stale"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from barwright.operators.asof import asof_join
 from barwright.sources.readers import upsert_latest
 
 BOOK_OUT = "symbol string, u bigint, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>"
@@ -114,6 +115,11 @@ def each_batch(stream: DataFrame, step: Callable[[DataFrame], DataFrame], sink:
     return stream.writeStream.foreachBatch(run)
 
 
+def asof_stream(stream: DataFrame, reference: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], on: str = "ts", by: list[str] | None = None, **options):
+    """Join each micro-batch as of a reference table that is read anew each time: see ``asof_join`` for ``options``."""
+    return each_batch(stream, lambda rows: asof_join(rows, reference(), on, by, **{"chunk": "day"} | options), sink)
+
+
 def upsert_stream(stream: DataFrame, path: str, key: list[str], order: str):
     """Keep the latest row per key of a stream in a Parquet table."""
     return stream.writeStream.foreachBatch(lambda batch, _: upsert_latest(batch, path, key, order))
