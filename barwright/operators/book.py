@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions.scalar import finite, safe_ratio, sum_levels
 from barwright.operators.clean import fill
-from barwright.operators.scan import ewm, over_blocks
+from barwright.operators.scan import ewm, indexed, over_blocks
 
 
 def book_asof(messages: DataFrame, at=None, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -124,11 +124,11 @@ def l1_features(tops: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 def trade_flow(ticks: DataFrame, price: str = "price", qty: str = "qty", span: int = 30, by=("symbol",), order=("ts",)) -> DataFrame:
     """Adds ``tick_sign`` (tick rule, carried over equal prices, first +1) and ``tfi``, signed over total mean volume."""
     by, order = [*by], [*order]
-    moved = over_blocks(ticks, {"_m": lambda w: F.col(price) - F.lag(price).over(w)}, by, order, before=1)
+    moved = over_blocks(indexed(ticks, by, order), {"_m": lambda w: F.col(price) - F.lag(price).over(w)}, by, order, before=1)
     signed = moved.withColumn("_s", F.when(F.col("_m").isNull(), 1.0).when(F.col("_m") > 0, 1.0).when(F.col("_m") < 0, -1.0))
     carried = fill(signed, ["_s"], "ffill", by, order).withColumnRenamed("_s", "tick_sign")
     means = ewm(carried, {"_a": (F.col("tick_sign") * F.col(qty), 2 / (span + 1)), "_b": (F.col(qty), 2 / (span + 1))}, by, order)
-    return means.withColumn("tfi", F.coalesce(safe_ratio(F.col("_a"), F.col("_b")), F.lit(0.0))).drop("_m", "_a", "_b")
+    return means.withColumn("tfi", F.coalesce(safe_ratio(F.col("_a"), F.col("_b")), F.lit(0.0))).drop("_m", "_a", "_b", *([] if "_ix" in ticks.columns else ["_ix"]))
 
 
 def mce_proxies(df: DataFrame, ofi_col: str = "ofi_l1", spread: str = "spread_l1", n: int = 60, by=("symbol",), order=("ts",)) -> DataFrame:

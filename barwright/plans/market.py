@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions import scalar
 from barwright.operators import aggregate, asof, book, clean, indicators, labels
+from barwright.operators.scan import indexed
 from barwright.plans.fixtures import BARS_SQL, LEVELS_SQL, TICKS_SQL, TRADES_SQL, bars, bars_sql, book_levels, book_messages, scratch, table, ticks, trade_log
 from barwright.sources import readers
 
@@ -571,18 +572,25 @@ def fn_protected_math(spark, sf_dir):
     return rounded(li.select("l_orderkey", "l_linenumber", scalar.protected_div("l_discount", "l_tax").alias("pdiv"), scalar.protected_sqrt(F.col("l_discount") - F.col("l_tax")).alias("psqrt"), scalar.protected_inv("l_tax").alias("pinv"), scalar.clip("l_tax", 0.02, 0.05).alias("clipped"), scalar.gt("l_quantity", F.lit(25)).alias("big")), "pdiv", "psqrt", "pinv", "clipped")
 
 
-FLAGSHIP_SQL = f"""WITH {TICKS_SQL}, {bars_sql('b15', '15 minutes')}, {bars_sql('b60', '1 hour')},
-f60 AS (SELECT symbol, ts + INTERVAL '1 hour' AS ts, CASE WHEN count(*) OVER w = 10 THEN avg(close) OVER w END AS sma_10_1h FROM b60 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING)),
-f AS (SELECT symbol, ts, close, CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END AS mid, CASE WHEN count(*) OVER w = 20 THEN stddev_samp(close) OVER w END AS sd FROM b15 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING))
-SELECT f.symbol, f.ts, f.close, round(mid, 6) AS bb_mid, round(sma_10_1h, 6) AS sma_10_1h, CASE WHEN close < mid - 2 * sd THEN 1 WHEN close > mid + 2 * sd THEN 2 ELSE 0 END AS label
-FROM f ASOF LEFT JOIN f60 ON f.symbol = f60.symbol AND f.ts >= f60.ts"""
+FLAGSHIP_SQL = (
+    BARS_SQL + ", " + bars_sql("b15", "15 minutes") + ATR_SQL.replace("bars", "b15") + RSI_SQL
+    + f""", tm AS (SELECT symbol, ts, volume, close - lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS mv FROM bars),
+ts1 AS (SELECT symbol, ts, volume, last_value(CASE WHEN mv IS NULL OR mv > 0 THEN 1.0 WHEN mv < 0 THEN -1.0 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) * volume AS sv FROM tm),
+tf AS (SELECT symbol, ts, {_ewm_sql('sv', 2 / 31)} / nullif({_ewm_sql('volume', 2 / 31)}, 0) AS tfi FROM ts1),
+hi AS (SELECT symbol, ts + INTERVAL '1 hour' AS known, rsi_14, tfi FROM rsi JOIN tf USING (symbol, ts)),
+lo AS (SELECT symbol, ts, close, atr_14, CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END AS mid, list({{'h': high, 'l': low}}) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS ahead FROM atr WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)),
+hit AS (SELECT *, list_filter(list_transform(ahead, lambda b: CASE WHEN b.h >= close + 2 * atr_14 THEN 1 WHEN b.l <= close - 2 * atr_14 THEN 2 ELSE 0 END), lambda x: x > 0) AS hits FROM lo)
+SELECT hit.symbol, hit.ts, close, round(atr_14, 6) AS atr_14, round(mid, 6) AS bb_mid, round(rsi_14, 6) AS rsi_14_1h, round(tfi, 6) AS tfi_1h, CASE WHEN len(ahead) < 20 OR ahead IS NULL THEN NULL ELSE coalesce(hits[1], 0) END AS label
+FROM hit ASOF LEFT JOIN hi ON hit.symbol = hi.symbol AND hit.ts >= hi.known"""
+)
 
 
 @query(FLAGSHIP_SQL)
 def flagship(spark, sf_dir):
-    """Leak-free features of two timeframes on 15-minute bars, with reversion labels."""
-    low = labels.reversion_label(bars(spark, sf_dir, "15 minutes"))
-    made = asof.mtf_align({"15m": low, "1h": indicators.sma(bars(spark, sf_dir), "close", 10)}, ["symbol"])
-    return rounded(made.select("symbol", "ts", "close", "bb_mid", "sma_10_1h", "label"), "bb_mid", "sma_10_1h")
-
-
+    """Leak-free training table: 15-minute bars with ATR, bands and triple-barrier labels, as of them the last closed hour's RSI and trade flow."""
+    low = indexed(bars(spark, sf_dir, "15 minutes"), indicators.BY, indicators.ORDER)
+    low = labels.triple_barrier(indicators.bbands(indicators.atr(low))).drop("_ix")
+    high = indexed(bars(spark, sf_dir), indicators.BY, indicators.ORDER)
+    high = book.trade_flow(indicators.rsi(high), "close", "volume").select("symbol", "ts", "rsi_14", "tfi")
+    made = asof.mtf_align({"15m": low, "1h": high}, ["symbol"])
+    return rounded(made.select("symbol", "ts", "close", "atr_14", "bb_mid", "rsi_14_1h", "tfi_1h", "label"), "atr_14", "bb_mid", "rsi_14_1h", "tfi_1h")
