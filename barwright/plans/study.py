@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barwright.operators import cross, indicators, labels, ml
 from barwright.plans.fixtures import BARS_SQL, bars, held, table
+from barwright.plans import market
 from barwright.plans.market import ATR_SQL, RSI_SQL, rounded
 
 QUERIES: dict = {}
@@ -47,9 +48,14 @@ def xas3_lag_screen(spark, sf_dir):
     return rounded(cross.lag_screen(moved, "r", ["r", "volume"], 2).select("symbol", "feature", "lag", "n", "corr", "linked"), "corr")
 
 
-@query()
+_W60 = "(PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING)"
+
+
+@query(MOVES_SQL + f""", ld AS (SELECT ts AS lts, r AS lr FROM mv WHERE symbol = 'click'), m AS (SELECT symbol, ts, CASE WHEN lr IS NOT NULL THEN r END AS x, CASE WHEN r IS NOT NULL THEN lr END AS y FROM mv ASOF LEFT JOIN ld ON mv.ts >= lts),
+v AS (SELECT symbol, ts, sqrt(var_pop(x) OVER {_W60} * var_pop(y) OVER {_W60}) AS s, avg(x * y) OVER {_W60} - avg(x) OVER {_W60} * avg(y) OVER {_W60} AS c, count(x) OVER {_W60} AS n FROM m)
+SELECT symbol, ts, round(CASE WHEN symbol = 'click' THEN 0 WHEN n >= 60 AND s > 1e-12 THEN c / s END, 6) AS lead_corr, perm_entropy FROM v JOIN ({market.ORACLES["win19_perm_entropy"]}) USING (symbol, ts)""")
 def xas4_influence_map(spark, sf_dir):
-    return cross.influence_map(bars(spark, sf_dir), "click").select("symbol", "ts", "lead_corr", "perm_entropy")
+    return rounded(cross.influence_map(bars(spark, sf_dir), "click").select("symbol", "ts", "lead_corr", "perm_entropy"), "lead_corr", "perm_entropy")
 
 
 @query(PAIRS_SQL + " SELECT src, dst, count(*) AS n, round(covar_samp(x, y), 4) AS cov FROM pr GROUP BY src, dst UNION ALL SELECT symbol, symbol, count(r), round(var_samp(r), 4) FROM mv GROUP BY symbol")

@@ -141,18 +141,30 @@ def btk2_next_open(spark, sf_dir):
     return rounded(rounded(made.select("symbol", "trade", F.col("entry_bar").cast("long").alias("entry_bar"), F.col("exit_bar").cast("long").alias("exit_bar"), "forced", "ret", "equity"), "ret"), "equity", digits=4)
 
 
-@query()
+CAPPED_SQL = (
+    FILLS_SQL.replace("AS eo, max(open)", "AS eo, max(volume * open) FILTER (nw AND NOT ws) AS liq, max(open)").replace("AS forced, eo", "AS forced, liq, eo")
+    + """, rt AS (SELECT symbol, t, liq, xp / ep * 0.999 - 1.001 AS ret FROM fills),
+cs AS (SELECT symbol, t, ret, list_reduce(list({'r': ret, 'l': liq}) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING), lambda a, x: a + least(a * 0.95, coalesce(x.l * 0.1, a * 0.95)) * x.r, 10000.0::DOUBLE) AS equity FROM rt)
+SELECT symbol, t::BIGINT AS trade, round(ret, 6) AS ret, round(equity, 4) AS equity, round(equity - coalesce(lag(equity) OVER (PARTITION BY symbol ORDER BY t), 10000), 4) AS pnl FROM cs"""
+)
+
+
+@query(CAPPED_SQL)
 def btk2_next_open_capped(spark, sf_dir):
-    return backtest.next_open_capped(backtest.next_open_trades(labels.ma_cross(bars(spark, sf_dir)))).select("symbol", "trade", "ret", "equity", "pnl")
+    made = backtest.next_open_capped(backtest.next_open_trades(labels.ma_cross(bars(spark, sf_dir)))).select("symbol", "trade", "ret", "equity", "pnl")
+    return rounded(rounded(made, "ret"), "equity", "pnl", digits=4)
 
 
-@query()
+@query(WALK_SQL.split("\nSELECT symbol, round(w.cap")[0] + """, r AS (SELECT symbol, w.cap AS fc, w.dd AS dd, CASE WHEN w.stop >= 0 THEN w.stop ELSE n END AS ttt, n AS bars FROM walk), q AS (SELECT *, (fc - 10000) / 10000 AS p, fc >= 10500 AS hit, ttt < bars AS rch FROM r)
+SELECT symbol, round(CASE WHEN hit THEN 1 + (bars - ttt) / bars ELSE p END - dd, 6) AS velocity,
+  round(CASE WHEN rch THEN 10000 - ttt + CASE WHEN p > 0 THEN p * 10000 ELSE -abs(p) * 5000 END WHEN p > 0 THEN p * 10000 - bars * 0.5 ELSE -abs(p) * 10000 - bars END, 4) AS ttt_a,
+  round(CASE WHEN rch THEN CASE WHEN p > 0 THEN -ttt * (1 + p) ELSE -ttt - abs(p) * 10000 END WHEN p > 0 THEN -bars * 0.5 + p * 1000 ELSE -bars + p * 1000 END, 4) AS ttt_b FROM q""")
 def btk4_5_fitness(spark, sf_dir):
     run = backtest.same_open(labels.ma_cross(bars(spark, sf_dir)), target=0.05)
     made = run
     for kind in ("velocity", "ttt_a", "ttt_b"):
         made = backtest.fitness(made, kind, target=0.05).withColumnRenamed("fitness", kind)
-    return made.select("symbol", "velocity", "ttt_a", "ttt_b")
+    return rounded(rounded(made.select("symbol", "velocity", "ttt_a", "ttt_b"), "velocity"), "ttt_a", "ttt_b", digits=4)
 
 
 @query(TRADES_SQL + ", e AS (SELECT model_id, row_number() OVER w AS bar, 100000 + sum(net_pnl) OVER w AS equity FROM trades WINDOW w AS (PARTITION BY model_id ORDER BY ts, id)) SELECT model_id, min(bar) FILTER (equity >= 300000) AS time_to_target FROM e GROUP BY model_id")
