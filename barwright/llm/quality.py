@@ -1,7 +1,7 @@
 """Co-trained quality classifier: a text view and a metadata view teach each other.
 
-The text view sees proportions measured on whole texts, the metadata view hashed categories of the
-other columns. Both start from labelled rows; in each round, each view's calibrated and confident
+The text view sees proportions measured on whole texts and the shares of their character trigrams,
+hashed, the metadata view hashed categories of the other columns. Both start from labelled rows; in each round, each view's calibrated and confident
 labels of all unlabelled documents join the other's training rows. The final probabilities are Platt
 calibrated on held-out labels and combined as independent evidence. Scoring is a narrow map: no
 document crosses a shuffle.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -40,7 +41,18 @@ BYTE_CLASSES = {
     "symbol": b"#$%&*@^~=+<>{}[]\\_",
     "line": b"\n",
 }
-N_TEXT = len(BYTE_CLASSES) + 8
+#: Buckets of hashed character trigrams, as a power of two.
+LEXICAL_BITS = 6
+N_TEXT = len(BYTE_CLASSES) + 8 + (1 << LEXICAL_BITS)
+
+
+def lexical(raw: bytes) -> list[float]:
+    """Roots of the shares of a text's lower-cased byte trigrams in each bucket."""
+    b = np.frombuffer(raw.lower(), dtype=np.uint8).astype(np.uint32)
+    if len(b) < 3:
+        return [0.0] * (1 << LEXICAL_BITS)
+    codes = ((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761) >> np.uint32(32 - LEXICAL_BITS)
+    return np.sqrt(np.bincount(codes, minlength=1 << LEXICAL_BITS) / len(codes)).tolist()
 
 
 def measure(text: str) -> list[float]:
@@ -59,10 +71,11 @@ def measure(text: str) -> list[float]:
         min(2.0, len(text) / n / 10),
         1 - len(set(lines)) / len(lines),
         1 - len(raw.translate(None, bytes(range(128)))) / size,
+        *lexical(raw),
     ]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def text_features(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: measure(t or ""))
 
@@ -88,8 +101,8 @@ class View:
 
     def dense(self, features: Column) -> Column:
         """Calibrated log odds from an array of features."""
-        terms = [features[i] * w for i, w in enumerate(self.weights)]
-        return (sum(terms, F.lit(self.intercept))) * self.slope + self.shift
+        terms = F.zip_with(features, F.array(*map(F.lit, self.weights)), lambda x, w: x * w)
+        return F.aggregate(terms, F.lit(self.intercept), lambda s, x: s + x) * self.slope + self.shift
 
     def sparse(self, slots: Column) -> Column:
         """Calibrated log odds from slots; a slot that occurs twice counts once."""
@@ -125,12 +138,14 @@ class CoTrained:
         if self.text is None or self.meta is None:
             none = F.lit(None).cast("double")
             return docs.select(*kept, none.alias("text_score"), none.alias("meta_score"), none.alias("quality_score"), F.lit(True).alias("accepted"))
+        # the given columns travel in one struct, so that no name of theirs can clash
+        own = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row")
         slots = meta_slots([f"_m{i}" for i in range(len(self.meta_cols))])
-        seen = docs.select(*kept, *_meta_columns(docs, self.meta_cols), text_features(text_col).alias("_f"))
-        logits = seen.select(*kept, self.text.dense(F.col("_f")).alias("_t"), self.meta.sparse(slots).alias("_m"))
+        seen = docs.select(own, *_meta_columns(docs, self.meta_cols), text_features(F.col(f"`{text_col}`")).alias("_f"))
+        logits = seen.select("_row", self.text.dense(F.col("_f")).alias("_t"), self.meta.sparse(slots).alias("_m"))
         chance = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
         score = chance(F.col("_t") + F.col("_m") - F.lit(_odds(self.prior)))
-        return logits.select(*kept, chance(F.col("_t")).alias("text_score"), chance(F.col("_m")).alias("meta_score"), score.alias("quality_score"), (score >= keep_from).alias("accepted"))
+        return logits.select("_row.*", chance(F.col("_t")).alias("text_score"), chance(F.col("_m")).alias("meta_score"), score.alias("quality_score"), (score >= keep_from).alias("accepted"))
 
 
 def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, confident: float = CONFIDENT) -> CoTrained:
