@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.common import NON_WORD, found_spans, lower_ascii, scan
+from barwright.llm.license_signatures import NOTICES
 
 #: Word characters of texts that are not lower-cased yet.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -53,25 +54,19 @@ FAMILIES = [
     ("Vim", r"Vim", "vim", [""]),
     ("LPPL", r"LaTeX\s+Project\s+Public", "latex project", ["1.3c", "1.2", "1.0"]),
     ("ODbL", r"Open\s+(?:Data\s+Commons\s+Open\s+)?Database", "database", ["1.0"]),
-    ("CC-BY", r"(?:CC[\s-]+BY|Creative\s+Commons\s+Attribution)", "c", ["4.0", "3.0", "2.5", "2.0"]),
-    ("CC-BY-SA", r"(?:CC[\s-]+BY-SA|Creative\s+Commons\s+Attribution-Share\s*Alike)", "sa|share", ["4.0", "3.0", "2.5", "2.0"]),
-    ("CC-BY-NC", r"(?:CC[\s-]+BY-NC|Creative\s+Commons\s+Attribution-NonCommercial)", "nc", ["4.0", "3.0", "2.5", "2.0"]),
-    ("CC-BY-ND", r"(?:CC[\s-]+BY-ND|Creative\s+Commons\s+Attribution-NoDerivs?)", "nd|noderiv", ["4.0", "3.0", "2.5", "2.0"]),
-    ("CC-BY-NC-SA", r"(?:CC[\s-]+BY-NC-SA|Creative\s+Commons\s+Attribution-NonCommercial-Share\s*Alike)", "nc", ["4.0", "3.0", "2.5", "2.0"]),
-    ("CC-BY-NC-ND", r"(?:CC[\s-]+BY-NC-ND|Creative\s+Commons\s+Attribution-NonCommercial-NoDerivs?)", "nc", ["4.0", "3.0", "2.5", "2.0"]),
-    ("CC0", r"(?:CC0|Creative\s+Commons\s+Zero)", "c", ["1.0"]),
-]
-#: Whole-notice signatures that name no licence: label, regex, keyword.
-NOTICES = [
-    ("MIT", r"Permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person", "permission is hereby"),
-    ("ISC", r"Permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software", "permission to use"),
-    ("BSD", r"Redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", "redistribution and use"),
-    ("Public-Domain", r"(?:released|dedicated|placed)\s+(?:in|in?to)\s+the\s+public\s+domain", "public domain"),
-    ("Unlicense", r"This\s+is\s+free\s+and\s+unencumbered\s+software", "unencumbered"),
-    ("Proprietary", r"All\s+rights\s+reserved", "all rights reserved"),
+    ("CC-BY", r"(?:CC[\s-]+BY|Creative\s+Commons\s+Attribution)", "cc by|cc-by|cc -|cc- |cc--|commons attribution", ["4.0", "3.0", "2.5", "2.0"]),
+    ("CC-BY-SA", r"(?:CC[\s-]+BY-SA|Creative\s+Commons\s+Attribution-Share\s*Alike)", "by-sa|attribution-share", ["4.0", "3.0", "2.5", "2.0"]),
+    ("CC-BY-NC", r"(?:CC[\s-]+BY-NC|Creative\s+Commons\s+Attribution-NonCommercial)", "by-nc|attribution-noncommercial", ["4.0", "3.0", "2.5", "2.0"]),
+    ("CC-BY-ND", r"(?:CC[\s-]+BY-ND|Creative\s+Commons\s+Attribution-NoDerivs?)", "by-nd|attribution-noderiv", ["4.0", "3.0", "2.5", "2.0"]),
+    ("CC-BY-NC-SA", r"(?:CC[\s-]+BY-NC-SA|Creative\s+Commons\s+Attribution-NonCommercial-Share\s*Alike)", "by-nc-sa|noncommercial-share", ["4.0", "3.0", "2.5", "2.0"]),
+    ("CC-BY-NC-ND", r"(?:CC[\s-]+BY-NC-ND|Creative\s+Commons\s+Attribution-NonCommercial-NoDerivs?)", "by-nc-nd|noncommercial-noderiv", ["4.0", "3.0", "2.5", "2.0"]),
+    ("CC0", r"(?:CC0|Creative\s+Commons\s+Zero)", "cc0|commons zero", ["1.0"]),
 ]
 #: Words of which every text that any rule matches has one (lower case, single spaces).
-GATES = ["licen", "spdx", "cc by", "cc-by", "cc -", "cc- ", "cc--", "cc0", "creative commons", *(k for _, _, k in NOTICES)]
+GATES = [
+    "licen", "spdx", "cc by", "cc-by", "cc -", "cc- ", "cc--", "cc0", "creative commons", "creativecommons", "permission", "redistribut", "public domain", "unencumbered", "rights reserved", "eupl",
+    "warrant", "copying", "buy me a beer", "x consortium", "rail-m", "sublicense", "open government", "software", "disclaims copyright", "waived all copyright", "copyright holder",
+]
 #: Score of a detection by priority: identifier tag, grant with a version, grant, name with a version, name, notice.
 SCORES = [1.0, 0.98, 0.95, 0.9, 0.8, 0.7]
 
@@ -100,7 +95,7 @@ def rules() -> list[Rule]:
             if v:
                 found += [Rule(label, 1, keyword, grant + shape + tail + exact), Rule(label, 3, keyword, shape + tail + exact)]
         found += [Rule(name, 2, keyword, grant + shape + tail + end), Rule(name, 4, keyword, r"(?<![A-Za-z])" + shape + tail + end)]
-    found += [Rule(label, 5, keyword, shape) for label, shape, keyword in NOTICES]
+    found += [Rule(label, 5, keyword, shape.replace(" ", r"\s+")) for label, shape, keyword in NOTICES]
     return sorted(found, key=lambda r: r.priority)
 
 

@@ -16,6 +16,10 @@ def spellings(parsed):
     for op, arg in parsed:
         if op is C.LITERAL:
             parts.append([chr(arg)])
+        elif op in (C.NOT_LITERAL, C.ANY) or op is C.IN and arg[0][0] is C.NEGATE:
+            parts.append(["x"])
+        elif op is C.IN and arg[0][0] is C.RANGE:
+            parts.append([chr(arg[0][1][0])])
         elif op is C.IN:
             parts.append(["\n\n", " "] + [chr(a) for o, a in arg if o is C.LITERAL] if (C.CATEGORY, C.CATEGORY_SPACE) in arg else [chr(a) for o, a in arg if o is C.LITERAL] or ["x"])
         elif op is C.BRANCH:
