@@ -572,6 +572,45 @@ def fn_protected_math(spark, sf_dir):
     return rounded(li.select("l_orderkey", "l_linenumber", scalar.protected_div("l_discount", "l_tax").alias("pdiv"), scalar.protected_sqrt(F.col("l_discount") - F.col("l_tax")).alias("psqrt"), scalar.protected_inv("l_tax").alias("pinv"), scalar.clip("l_tax", 0.02, 0.05).alias("clipped"), scalar.gt("l_quantity", F.lit(25)).alias("big")), "pdiv", "psqrt", "pinv", "clipped")
 
 
+_T = f"1 / (1 + {scalar.PHI_P} * abs(z))"
+_PHI = "exp(-z * z / 2) * 0.3989422804014327 * t * (" + " + t * (".join(map(str, scalar.PHI_B)) + ")" * len(scalar.PHI_B)
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_discount, l_tax, (l_quantity - 25) / 10 AS z FROM lineitem), y AS (SELECT *, {_T} AS t FROM x), n AS (SELECT *, {_PHI} AS u FROM y)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN abs(l_tax) <= 1e-3 THEN 0 ELSE ln(abs(l_tax)) END, 6) AS plog, round(CASE WHEN z >= 0 THEN 1 - u ELSE u END, 6) AS cdf, CAST(l_tax < l_discount AS INTEGER) AS small,
+  CAST(l_tax <> 0 AND l_discount <> 0 AS INTEGER) AS both_set, CAST(l_tax <> 0 OR l_discount <> 0 AS INTEGER) AS either_set, CAST(l_tax = 0 AS INTEGER) AS untaxed, round(exp(l_tax) / (exp(l_tax) + exp(l_discount)), 6) AS soft FROM n""")
+def fn_logs_and_logic(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    made = li.select(
+        "l_orderkey", "l_linenumber", scalar.protected_log("l_tax").alias("plog"), scalar.normal_cdf(scalar.finite((F.col("l_quantity") - 25) / 10)).alias("cdf"), scalar.lt("l_tax", "l_discount").alias("small"),
+        scalar.both("l_tax", "l_discount").alias("both_set"), scalar.either("l_tax", "l_discount").alias("either_set"), scalar.negate("l_tax").alias("untaxed"), F.get(scalar.softmax(F.array("l_tax", "l_discount")), F.lit(0)).alias("soft"),
+    )
+    return rounded(made, "plog", "cdf", "soft")
+
+
+@query("SELECT c_custkey, replace(split_part(n_name || '/' || r_name || ':' || r_name, ':', 1), '/', '') AS symbol, regexp_replace(regexp_replace('f(' || n_name || ' + 1)', '[^A-Za-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS ident FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def fn_strings(spark, sf_dir):
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    met = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    pair = F.concat("n_name", F.lit("/"), "r_name", F.lit(":"), "r_name")
+    return met.select("c_custkey", scalar.clean_symbol(pair).alias("symbol"), scalar.identifier(F.concat(F.lit("f("), "n_name", F.lit(" + 1)"))).alias("ident"))
+
+
+@query("SELECT event_id, make_timestamp(epoch_us(ts) // 1000000 * 1000000) AS second, make_timestamp(epoch_us(ts) // 1000 * 1000) AS milli, date_trunc('day', ts)::TIMESTAMP AS day, round((epoch_us(ts) - epoch_us(date_trunc('day', ts)::TIMESTAMP)) / 60e6, 6) AS minutes, ts - INTERVAL '2 hours' AS utc, CAST(900 AS INTEGER) AS width FROM events")
+def fn_times(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    made = e.select(
+        "event_id", scalar.from_epoch_s(F.unix_seconds("ts")).alias("second"), scalar.from_epoch_ms(F.unix_millis("ts")).alias("milli"), scalar.day_of("ts").alias("day"),
+        scalar.minutes_between("ts", scalar.day_of("ts")).alias("minutes"), scalar.to_utc("ts", "GMT+2").alias("utc"), F.lit(scalar.timeframe_seconds("15m")).alias("width"),
+    )
+    return rounded(made, "minutes")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, coalesce(TRY_CAST(json_extract_string(props, '$.missing') AS DOUBLE), -1) AS missing FROM events")
+def fn_json(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalar.nested("props", "$.k", "double").alias("k"), scalar.nested("props", "$.missing", "double", -1.0).alias("missing"))
+
+
 FLAGSHIP_SQL = (
     BARS_SQL + ", " + bars_sql("b15", "15 minutes") + ATR_SQL.replace("bars", "b15") + RSI_SQL
     + f""", tm AS (SELECT symbol, ts, volume, close - lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS mv FROM bars),
