@@ -89,9 +89,21 @@ def sta3_param_sweep(spark, sf_dir):
     return rounded(cross.param_sweep(b, grid, observed).select("symbol", "low", "high", "fit"), "fit")
 
 
-@query()
+def _split_sql(back: int) -> str:
+    """How far the means before and after the last ``back`` values are beyond their bound."""
+    n0 = f"(n - {back})"
+    scale = f"(1.0 / {back} + 1.0 / {n0})"
+    return f"CASE WHEN n > {back} AND l{back} IS NOT NULL THEN abs((l{back} - a) / {n0} - (s - l{back}) / {back}) - (sqrt(2 * {scale} * v * g) + 2 * {scale} / 3 * g) END"
+
+
+_SPLITS = [*range(10, 200, 10)]
+
+
+@query(BARS_SQL + f""", r AS (SELECT symbol, ts, row_number() OVER w AS i, sum(close) OVER w AS s, var_pop(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 199 PRECEDING) AS v FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+l AS (SELECT *, coalesce(lag(s, 200) OVER w, 0) AS a, {", ".join(f"lag(s, {b}) OVER w AS l{b}" for b in _SPLITS)}, least(i, 200) AS n, ln(2 / 0.005) + ln(least(i, 200)) AS g FROM r WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+c AS (SELECT symbol, ts, CASE WHEN i >= 100 THEN greatest({", ".join(map(_split_sql, _SPLITS))}) END AS cut FROM l) SELECT symbol, ts, round(cut, 4) AS cut, coalesce(cut > 0, false) AS drift FROM c""")
 def sta4_drift_points(spark, sf_dir):
-    return cross.drift_points(bars(spark, sf_dir), "close").select("symbol", "ts", "cut", "drift")
+    return rounded(cross.drift_points(bars(spark, sf_dir), "close").select("symbol", "ts", "cut", "drift"), "cut", digits=4)
 
 
 @query()
