@@ -37,8 +37,6 @@ STEP_BYTES = 1 << 20
 OWN_ROW = -2_000_000_000
 #: Second-level subsets of a first-level partition: any two of its three.
 SUBSETS = ((0, 1), (0, 2), (1, 2))
-#: Signatures of similar sets that may go unused, at least.
-SPARE = 1
 SIGNED = "sig bigint, fp bigint, slack int"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -104,10 +102,13 @@ class PartEnum:
         return 2 * self.tops[instance] * (self.den - self.num) // (self.den + self.num)
 
     def shape(self, instance: int) -> tuple[int, int]:
-        """First-level partitions of an instance, and the most subsets that its differences can spoil; ``SPARE`` more than one stay."""
+        """First-level partitions of an instance, and the most subsets that its differences can spoil.
+
+        At least three stay, more for larger sets: what may go unused while they are hot.
+        """
         d = self.differences(instance)
-        parts = 1
-        while len(SUBSETS) * parts - (lost := 2 * min(d, parts) + max(0, d - parts)) < 1 + SPARE:
+        parts, spare = 1, max(2, d // 10 + 1)
+        while len(SUBSETS) * parts - (lost := 2 * min(d, parts) + max(0, d - parts)) < 1 + spare:
             parts += 1
         return parts, lost
 
