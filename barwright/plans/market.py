@@ -512,7 +512,7 @@ def book9_l1_features(spark, sf_dir):
 
 @query(BARS_SQL + f""", m AS (SELECT symbol, ts, volume, close - lag(close) OVER w AS mv FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
 s AS (SELECT symbol, ts, volume, last_value(CASE WHEN mv IS NULL OR mv > 0 THEN 1.0 WHEN mv < 0 THEN -1.0 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) AS sg FROM m),
-x AS (SELECT symbol, ts, sg, sg * volume AS sv, volume FROM s) SELECT symbol, ts, sg::DOUBLE AS tick_sign, round({_ewm_sql('sv', 2 / 31)} / nullif({_ewm_sql('volume', 2 / 31)}, 0), 6) AS tfi FROM x""")
+x AS (SELECT symbol, ts, sg, sg * volume AS sv, volume FROM s) SELECT symbol, ts, sg::DOUBLE AS tick_sign, round(coalesce({_ewm_sql('sv', 2 / 31)} / nullif({_ewm_sql('volume', 2 / 31)}, 0), 0), 6) AS tfi FROM x""")
 def book10_trade_flow(spark, sf_dir):
     return rounded(book.trade_flow(bars(spark, sf_dir), "close", "volume").select("symbol", "ts", "tick_sign", "tfi"), "tfi")
 
@@ -615,7 +615,7 @@ FLAGSHIP_SQL = (
     BARS_SQL + ", " + bars_sql("b15", "15 minutes") + ATR_SQL.replace("bars", "b15") + RSI_SQL
     + f""", tm AS (SELECT symbol, ts, volume, close - lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS mv FROM bars),
 ts1 AS (SELECT symbol, ts, volume, last_value(CASE WHEN mv IS NULL OR mv > 0 THEN 1.0 WHEN mv < 0 THEN -1.0 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) * volume AS sv FROM tm),
-tf AS (SELECT symbol, ts, {_ewm_sql('sv', 2 / 31)} / nullif({_ewm_sql('volume', 2 / 31)}, 0) AS tfi FROM ts1),
+tf AS (SELECT symbol, ts, coalesce({_ewm_sql('sv', 2 / 31)} / nullif({_ewm_sql('volume', 2 / 31)}, 0), 0) AS tfi FROM ts1),
 hi AS (SELECT symbol, ts + INTERVAL '1 hour' AS known, rsi_14, tfi FROM rsi JOIN tf USING (symbol, ts)),
 lo AS (SELECT symbol, ts, close, atr_14, CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END AS mid, list({{'h': high, 'l': low}}) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS ahead FROM atr WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING)),
 hit AS (SELECT *, list_filter(list_transform(ahead, lambda b: CASE WHEN b.h >= close + 2 * atr_14 THEN 1 WHEN b.l <= close - 2 * atr_14 THEN 2 ELSE 0 END), lambda x: x > 0) AS hits FROM lo)
