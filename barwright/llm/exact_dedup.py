@@ -157,10 +157,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .groupBy("n_bytes", "text_sha256")
         .agg(F.min("low").alias("keep_id"), F.sum("copies").alias("group_size"))
     )
+    # only groups of several rows meet their rows again; stored, so that the join's sides are plain exchanges, which split at a hot text
+    several = within_broadcast(stored(owners.where("group_size > 1")))
     keyed = own.select("id", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
-    return keyed.join(owners, ["n_bytes", "text_sha256"], "left").select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    keep = F.when(F.col("group_size").isNull(), F.col("id").cast("bigint")).otherwise(F.col("keep_id"))
+    met = keyed.join(several, ["n_bytes", "text_sha256"], "left").withColumn("keep_id", keep)
+    return met.select(F.col("id").alias(id_col), "keep_id", F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
