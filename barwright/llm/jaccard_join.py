@@ -32,7 +32,7 @@ from barwright.llm.hashing import Substrings, U, mix, signed, text_steps
 #: Distinct sets that may share a signature before it is hot.
 MAX_COLD = 16
 #: Bytes of text that one step of a task works on; a longer single text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 #: Rows of a document's own (identifier, size, fingerprint) travel with the signatures, marked in ``slack``.
 OWN_ROW = -2_000_000_000
 #: Second-level subsets of a first-level partition: any two of its three.
@@ -181,7 +181,7 @@ def _signature_rows(k: int, num: int, den: int):
                 for at, fp in enumerate(marks.tolist()):
                     if len(sets[at]) and fp not in seen:
                         new.append(at)
-                        if len(seen) < 1 << 20:  # copies beyond it are folded behind the shuffle
+                        if len(seen) < 1 << 17:  # copies beyond it are folded behind the shuffle
                             seen.add(fp)
                 if new:
                     for of, found, slack in scheme.signatures(*_flat([sets[at] for at in new])):

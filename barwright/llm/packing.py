@@ -26,9 +26,9 @@ SEQUENCE = 2048
 END_ID = 0
 SHARD_ROWS = 50_000
 #: Words whose ids a Python worker remembers (some 40 bytes each) before it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 #: Characters that one step of a task works on; a longer single text is a step of its own.
-STEP_CHARS = 1 << 19
+STEP_CHARS = 1 << 18
 #: Longer words, and texts with characters that are not in ``character_classes``, take the tokenizer itself.
 MAX_WORD = 256
 OTHER, LETTER, NUMBER, BLANK, UNKNOWN = range(5)

@@ -42,7 +42,7 @@ BYTE_CLASSES = {
     "line": b"\n",
 }
 #: Buckets of hashed character trigrams, as a power of two.
-LEXICAL_BITS = 6
+LEXICAL_BITS = 4
 N_TEXT = len(BYTE_CLASSES) + 8 + (1 << LEXICAL_BITS)
 
 
