@@ -89,6 +89,10 @@ def scaled_share(count: np.ndarray, total: np.ndarray | int) -> np.ndarray:
 
 
 def _divergences(key: tuple, rows: pa.Table, groups: pa.Table) -> pa.Table:
+    return shard_divergences(key[0].as_py(), rows, groups)
+
+
+def shard_divergences(lang: str, rows: pa.Table, groups: pa.Table, piece: int = CELLS) -> pa.Table:
     """A shard's pair sums (``other`` set) and best terms (``term`` set) of each source of a language."""
     names = groups.column("source").combine_chunks()
     order = pc.sort_indices(names)
@@ -101,7 +105,7 @@ def _divergences(key: tuple, rows: pa.Table, groups: pa.Table) -> pa.Table:
     by_term = np.argsort(term, kind="stable")
     term, source, count, lang_count = term[by_term], source[by_term], rows.column("count").to_numpy()[by_term], rows.column("lang_count").to_numpy()[by_term]
     # pairs: dense pieces of terms by sources, absent ones with a count of 0
-    step = max(1, CELLS // max(1, s))
+    step = max(1, piece // max(1, s))
     for low in range(0, len(coded.dictionary), step):
         a, b = np.searchsorted(term, [low, low + step])
         cells = np.zeros((min(step, len(coded.dictionary) - low), s), dtype=np.int64)
@@ -121,7 +125,7 @@ def _divergences(key: tuple, rows: pa.Table, groups: pa.Table) -> pa.Table:
         words = coded.dictionary.take(pa.array(term[more]))
         out.append(pa.table({"source": names.take(pa.array(source[more])), "other": none(pa.string(), len(more)), "term": words, "value": (p - q) * (p - q) // q}))
     whole = pa.concat_tables(out)
-    return whole.append_column("lang", pa.array([key[0].as_py()] * whole.num_rows, pa.string()))
+    return whole.append_column("lang", pa.array([lang] * whole.num_rows, pa.string()))
 
 
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:

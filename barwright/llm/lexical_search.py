@@ -24,9 +24,20 @@ from barwright.llm.hashing import Substrings, text_steps
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Item terms (with repeats) of a block, on average: what the driver and each worker hold of the items.
 BLOCK_TERMS = 200_000
-ITEM_TILE, DOC_TILE, TERM_TILE = 256, 1024, 2048
-HELD_TILES = 4
-STEP_BYTES = 1 << 21
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Items, documents and terms of a tile; item tiles that a task makes once; bytes of text of a step."""
+
+    items: int = 256
+    docs: int = 1024
+    terms: int = 2048
+    held: int = 4
+    step_bytes: int = 1 << 21
+
+
+SIZES = Sizes()
 #: Scale of an impact, and a bound of it: ``SCALE * tf div (1000 * tf + 12 * m)`` is at most a thousandth of it.
 SCALE = 1_000_000_000
 #: Largest sum of an item's weights in one product: times an impact it stays below 2^53.
@@ -94,7 +105,7 @@ def _block(rows: DataFrame) -> Block:
     return Block(ids.dictionary, at, terms.indices.to_numpy(zero_copy_only=False)[order], got.column("_often").to_numpy()[order], terms.dictionary.to_pylist())
 
 
-def count_terms(docs: DataFrame, block: Block, id_col: str, text_col: str) -> DataFrame:
+def count_terms(docs: DataFrame, block: Block, id_col: str, text_col: str, sizes: Sizes = SIZES) -> DataFrame:
     """``doc, n, terms, tf``: per document row its number of terms and how often it has those of the block's vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast(block.hashes())
 
@@ -102,7 +113,7 @@ def count_terms(docs: DataFrame, block: Block, id_col: str, text_col: str) -> Da
         hashes, numbers = shared.value
         size = max(1, len(hashes))
         for batch in batches:
-            for low, high, data, offsets in text_steps(batch.column(1), STEP_BYTES):
+            for low, high, data, offsets in text_steps(batch.column(1), sizes.step_bytes):
                 start, end, text = term_spans(data, offsets)
                 n = np.bincount(text, minlength=high - low)
                 found = Substrings(LOWERED[data]).of(start, end)
@@ -117,14 +128,14 @@ def count_terms(docs: DataFrame, block: Block, id_col: str, text_col: str) -> Da
 
 
 class Tiles:
-    """Dense weight tiles of a block's items; those of the first ``HELD_TILES * ITEM_TILE`` items are made once a task."""
+    """Dense weight tiles of a block's items; those of the first ``sizes.held`` item tiles are made once a task."""
 
-    def __init__(self, block: Block, weights: np.ndarray):
-        self.block, self.weights = block, weights
+    def __init__(self, block: Block, weights: np.ndarray, sizes: Sizes = SIZES):
+        self.block, self.weights, self.sizes = block, weights, sizes
         self.held: dict[int, list] = {}
 
     def of(self, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]] | list:
-        if first >= HELD_TILES * ITEM_TILE:
+        if first >= self.sizes.held * self.sizes.items:
             return self.made(first)
         if first not in self.held:
             self.held[first] = list(self.made(first))
@@ -133,7 +144,7 @@ class Tiles:
     def made(self, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For the items from ``first`` on: terms, and a matrix of terms by items whose columns sum to ``MAX_WEIGHTS`` at most."""
         b = self.block
-        last = min(first + ITEM_TILE, len(b.items))
+        last = min(first + self.sizes.items, len(b.items))
         low, high = b.at[first], b.at[last]
         terms, row = np.unique(b.term[low:high], return_inverse=True)
         column = np.repeat(np.arange(last - first), np.diff(b.at[first : last + 1]))
@@ -148,7 +159,7 @@ class Tiles:
         names = np.repeat(terms, parts)
         at = 0
         while at < len(names):
-            top = min(at + TERM_TILE, len(names))
+            top = min(at + self.sizes.terms, len(names))
             tile = (rows >= at) & (rows < top)
             dense = np.zeros((top - at, last - first), dtype=np.int64)
             dense[rows[tile] - at, columns[tile]] = values[tile]
@@ -183,27 +194,27 @@ class Best:
         self.item, self.score, self.doc, self.known = item[place < self.k], score[order], doc[order], known[order]
 
 
-def score_tiles(counted: DataFrame, block: Block, weights: np.ndarray, documents: int, terms: int, k: int) -> DataFrame:
+def score_tiles(counted: DataFrame, block: Block, weights: np.ndarray, documents: int, terms: int, k: int, sizes: Sizes = SIZES) -> DataFrame:
     """``item, doc, score``: the k best documents of each item in each task. ``item`` is a place in ``block.items``."""
     shared, items = counted.sparkSession.sparkContext.broadcast((block, weights)), len(block.items)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles, best = Tiles(*shared.value), [Best(k) for _ in range(0, items, ITEM_TILE)]
+        tiles, best = Tiles(*shared.value, sizes), [Best(k) for _ in range(0, items, sizes.items)]
         place = np.full(len(tiles.weights), -1, dtype=np.int64)
         for batch in batches:
             doc, n, cuts = batch.column(0), batch.column(1).to_numpy(), batch.column(2).offsets.to_numpy()
             term, tf = batch.column(2).values.to_numpy(), batch.column(3).values.to_numpy()
             m = 75 + (25 * n * documents) // max(1, terms)
             known, doc = doc.is_valid().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy()
-            for low in range(0, len(n), DOC_TILE):
-                high = min(low + DOC_TILE, len(n))
+            for low in range(0, len(n), sizes.docs):
+                high = min(low + sizes.docs, len(n))
                 a, b = cuts[low], cuts[high]
                 row = np.repeat(np.arange(high - low), np.diff(cuts[low : high + 1]))
                 own, often = term[a:b], tf[a:b]
                 impact = (SCALE * often) // (1000 * often + 12 * m[low:high][row])
                 for number, top in enumerate(best):
                     total = None
-                    for names, dense in tiles.of(number * ITEM_TILE):
+                    for names, dense in tiles.of(number * sizes.items):
                         # a term in parts has several places: the last is found here, the others are copies
                         place[names] = np.arange(len(names))
                         at = place[own]
@@ -221,13 +232,13 @@ def score_tiles(counted: DataFrame, block: Block, weights: np.ndarray, documents
                             top.add(i, total[d, i], doc[low + d], known[low + d])
         for number, top in enumerate(best):
             if len(top.item):
-                columns = [pa.array(top.item + number * ITEM_TILE), pa.array(top.doc, mask=~top.known), pa.array(top.score)]
+                columns = [pa.array(top.item + number * sizes.items), pa.array(top.doc, mask=~top.known), pa.array(top.score)]
                 yield pa.RecordBatch.from_arrays(columns, ["item", "doc", "score"])
 
     return counted.where(F.size("terms") > 0).mapInArrow(score, "item bigint, doc bigint, score bigint")
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 20, item_id: str = "item_id", doc_id: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 20, item_id: str = "item_id", doc_id: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS, sizes: Sizes = SIZES) -> DataFrame:
     """``item_id, rank, doc_id, score``: each item's ``k`` best documents of a score above 0, equal scores by ascending ``doc_id``.
 
     Terms are runs of ASCII letters, digits and all other characters beyond ASCII, A-Z lower-cased. A
@@ -245,13 +256,13 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, item_id: str = "item_
     found = None
     for number in range(count):
         block = _block(wanted.where(F.pmod(F.xxhash64("_id"), F.lit(count)) == number) if count > 1 else wanted)
-        counted = stored(count_terms(docs, block, doc_id, text_col))
+        counted = stored(count_terms(docs, block, doc_id, text_col, sizes))
         documents, terms = counted.agg(F.count(F.when(F.col("n") > 0, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         df = counted.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # of the block's vocabulary, each once
         held = np.zeros(len(block.vocabulary), dtype=np.int64)
         held[df.column("t").to_numpy()] = df.column("count").to_numpy()
         weights = np.floor(1000 * np.log((2 * documents + 2) / (2 * held + 1))).astype(np.int64)
-        best = score_tiles(counted, block, weights, documents, terms, k)
+        best = score_tiles(counted, block, weights, documents, terms, k, sizes)
         names = docs.sparkSession.createDataFrame(pa.table({"item": pa.array(np.arange(len(block.items))), "_id": block.items}))
         rows = stored(best.join(F.broadcast(names), "item").select("_id", "doc", "score"))
         forget(counted)

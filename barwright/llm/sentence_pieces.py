@@ -252,14 +252,18 @@ class PieceModel:
         return ids, np.r_[0, ends][np.searchsorted(start, bounds)]
 
     def decode_ids(self, ids: np.ndarray) -> str:
-        """Text of one list of ids. Control ids show nothing, the first blank is the dummy prefix, a byte that is not UTF-8 becomes U+FFFD."""
+        """Text of one list of ids. Control ids show nothing, the first blank is the dummy prefix, a byte that is not UTF-8, by itself or with its neighbours, becomes U+FFFD."""
         if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
             raise ValueError("an id is not in the vocabulary")
-        ids = ids[~self.is_control[ids]]
+        hidden = np.flatnonzero(self.is_control[ids])
+        runs = [r for r in (ids[a + 1 : b] for a, b in zip([-1, *hidden], [*hidden, len(ids)], strict=True)) if len(r)]
+        return "".join(self._shown(run, opening=not i) for i, run in enumerate(runs))
+
+    def _shown(self, ids: np.ndarray, opening: bool) -> str:
         sizes = self.shown_size[ids]
         ends = np.cumsum(sizes)
-        raw = self.shown[np.repeat(self.shown_at[ids] - (ends - sizes), sizes) + np.arange(ends[-1])] if len(ids) else self.shown[:0]
-        if len(ids) and self.opens[ids[0]]:
+        raw = self.shown[np.repeat(self.shown_at[ids] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        if opening and self.opens[ids[0]]:
             raw = raw[1:]
         raw = raw.tobytes()
         try:
