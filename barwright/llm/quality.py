@@ -1,7 +1,7 @@
 """Co-trained quality classifier: a text view and a metadata view teach each other.
 
-The text view sees proportions measured on whole texts and the shares of their character trigrams,
-hashed, the metadata view hashed categories of the other columns. Both start from labelled rows; in each round, each view's calibrated and confident
+The text view sees proportions measured on whole texts and which words they hold, hashed into sparse
+slots, the metadata view hashed categories of the other columns. Both start from labelled rows; in each round, each view's calibrated and confident
 labels of all unlabelled documents join the other's training rows. The final probabilities are Platt
 calibrated on held-out labels and combined as independent evidence. Scoring is a narrow map: no
 document crosses a shuffle.
@@ -10,17 +10,19 @@ document crosses a shuffle.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barwright.llm.common import forget, stored
+from barwright.llm.hashing import Substrings, U, text_steps
+from barwright.llm.lexical_search import LOWERED, term_spans
 
 #: At most about so many labelled rows are used, chosen by a hash of their identifier.
 MAX_LABELLED = 100_000
@@ -29,6 +31,9 @@ ROUNDS = 2
 CONFIDENT = 0.97
 PSEUDO_WEIGHT = 0.5
 META_SIZE = 128
+REGULAR = 1e-3
+#: Proportions are so many times larger in the text view's vectors, next to words at unit length.
+DENSE_SCALE = 10.0
 KEEP_FROM = 0.5
 
 #: Bytes counted for each proportion of the text view.
@@ -41,25 +46,18 @@ BYTE_CLASSES = {
     "symbol": b"#$%&*@^~=+<>{}[]\\_",
     "line": b"\n",
 }
-#: Buckets of hashed character trigrams, as a power of two.
-LEXICAL_BITS = 4
-N_TEXT = len(BYTE_CLASSES) + 8 + (1 << LEXICAL_BITS)
-
-
-def lexical(raw: bytes) -> list[float]:
-    """Roots of the shares of a text's lower-cased byte trigrams in each bucket."""
-    b = np.frombuffer(raw.lower(), dtype=np.uint8).astype(np.uint32)
-    if len(b) < 3:
-        return [0.0] * (1 << LEXICAL_BITS)
-    codes = ((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761) >> np.uint32(32 - LEXICAL_BITS)
-    return np.sqrt(np.bincount(codes, minlength=1 << LEXICAL_BITS) / len(codes)).tolist()
+#: Slots of hashed words, as a power of two; a document has those of its distinct words, each of a weight of 1 by the root of their number.
+LEXICAL_BITS = 14
+N_DENSE = len(BYTE_CLASSES) + 8
+#: Bytes of text that one step of a task works on; a longer single text is a step of its own.
+STEP_BYTES = 1 << 19
 
 
 def measure(text: str) -> list[float]:
-    """Features of one whole text, each within a small range; an empty text has zeros."""
+    """Proportions of one whole text, each within a small range; an empty text has zeros."""
     raw = text.encode()
     if not raw:
-        return [0.0] * N_TEXT
+        return [0.0] * N_DENSE
     size, words, lines = len(raw), text.split(), text.split("\n")
     n = max(1, len(words))
     shares = [1 - len(raw.translate(None, c)) / size for c in BYTE_CLASSES.values()]
@@ -71,13 +69,36 @@ def measure(text: str) -> list[float]:
         min(2.0, len(text) / n / 10),
         1 - len(set(lines)) / len(lines),
         1 - len(raw.translate(None, bytes(range(128)))) / size,
-        *lexical(raw),
     ]
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def text_features(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: measure(t or ""))
+def word_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct slots of the words of each text of a step, in a row, and how many each has."""
+    start, end, text = term_spans(data, offsets)
+    slot = (Substrings(LOWERED[data]).of(start, end) >> U(64 - LEXICAL_BITS)).astype(np.int64)
+    found = np.unique((text.astype(np.int64) << LEXICAL_BITS) | slot)
+    return (found & ((1 << LEXICAL_BITS) - 1)).astype(np.int32), np.bincount(found >> LEXICAL_BITS, minlength=len(offsets) - 1)
+
+
+def _measured(texts: pa.Array):
+    """Steps of an array of texts: proportions (rows by measure), slots and their counts."""
+    for low, high, data, offsets in text_steps(texts, STEP_BYTES):
+        yield np.array([measure(t or "") for t in texts.slice(low, high - low).to_pylist()], dtype=np.float32), *word_slots(data, offsets)
+
+
+def text_features(text: Column | str) -> Column:
+    """``struct<f: array<float>, w: array<int>>``: a whole text's proportions and the slots of its words."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        steps = [*_measured(texts)]
+        dense = np.concatenate([np.empty((0, N_DENSE), dtype=np.float32), *(d for d, _, _ in steps)])
+        slots, counts = np.concatenate([np.empty(0, dtype=np.int32), *(s for _, s, _ in steps)]), np.concatenate([np.empty(0, dtype=np.int64), *(c for _, _, c in steps)])
+        f = pa.ListArray.from_arrays(pa.array(np.arange(len(dense) + 1, dtype=np.int32) * N_DENSE), pa.array(dense.ravel()))
+        w = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(slots))
+        return pa.StructArray.from_arrays([f, w], ["f", "w"])
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "f array<float>, w array<int>")(text)
 
 
 def meta_slots(columns: list[str], size: int = META_SIZE) -> Column:
@@ -94,25 +115,67 @@ def _meta_columns(docs: DataFrame, columns: list[str]) -> list[Column]:
 
 @dataclass
 class View:
+    """A fitted view: raw log odds are linear in its features, calibrated ones linear in those."""
+
     weights: list[float]
     intercept: float
     slope: float = 1.0
     shift: float = 0.0
 
-    def dense(self, features: Column) -> Column:
-        """Calibrated log odds from an array of features."""
-        terms = F.zip_with(features, F.array(*map(F.lit, self.weights)), lambda x, w: x * w)
-        return F.aggregate(terms, F.lit(self.intercept), lambda s, x: s + x) * self.slope + self.shift
+    def _linear(self):
+        dense, lexical, base = DENSE_SCALE * np.array(self.weights[:N_DENSE]), np.array(self.weights[N_DENSE:]), self.intercept
+
+        def raw(proportions: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
+            of = np.repeat(np.arange(len(counts)), counts)
+            words = np.bincount(of, weights=lexical[slots], minlength=len(counts))
+            return base + proportions.astype(np.float64) @ dense + words / np.sqrt(np.maximum(counts, 1))
+
+        return raw
+
+    def of_text(self, text: Column | str) -> Column:
+        """Calibrated log odds of whole texts; their features stay within the task."""
+        raw = self._linear()
+
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array(np.concatenate([np.empty(0), *(raw(*step) for step in _measured(texts))]))
+
+        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        return F.arrow_udf(run, "double")(text) * self.slope + self.shift
 
-    def sparse(self, slots: Column) -> Column:
+    def of_features(self, f: Column | str = "f", w: Column | str = "w") -> Column:
+        """Calibrated log odds from the features of ``text_features``."""
+        raw = self._linear()
+
+        def run(f: pa.Array, w: pa.Array) -> pa.Array:
+            counts = np.diff(w.offsets.to_numpy())
+            return pa.array(raw(f.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_DENSE), w.flatten().to_numpy(zero_copy_only=False), counts))
+
+        run.__annotations__ = {"f": pa.Array, "w": pa.Array, "return": pa.Array}
+        return F.arrow_udf(run, "double")(f, w) * self.slope + self.shift
+
+    def of_slots(self, slots: Column | str = "slots") -> Column:
         """Calibrated log odds from slots; a slot that occurs twice counts once."""
         table = F.array(*map(F.lit, self.weights))
         return F.aggregate(F.array_distinct(slots), F.lit(self.intercept), lambda s, i: s + F.get(table, i)) * self.slope + self.shift
 
 
-def _fit(rows: DataFrame, features: Column) -> tuple[list[float], float]:
-    model = LogisticRegression(maxIter=25, regParam=1e-3, tol=1e-5, weightCol="weight").fit(rows.select(features.alias("features"), F.col("label").cast("double").alias("label"), "weight"))
-    return [float(w) for w in model.coefficients], float(model.intercept)
+def _text_vectors(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``features``: proportions, then a sparse vector of the slots."""
+    words = CountVectorizerModel.from_vocabulary([str(i) for i in range(1 << LEXICAL_BITS)], inputCol="_slots", outputCol="_lexical").setBinary(True).setMinTF(0.0)
+    made = words.transform(rows.withColumns({"_dense": array_to_vector(F.transform("f", lambda x: x * DENSE_SCALE)), "_slots": F.col("w").cast("array<string>")}))
+    unit = Normalizer(inputCol="_lexical", outputCol="_unit").transform(made)
+    return VectorAssembler(inputCols=["_dense", "_unit"], outputCol="features").transform(unit).drop("_dense", "_slots", "_lexical", "_unit")
+
+
+def _meta_vectors(rows: DataFrame) -> DataFrame:
+    one_hot = F.transform(F.sequence(F.lit(0), F.lit(META_SIZE - 1)), lambda i: F.array_contains("slots", i).cast("double"))
+    return rows.withColumn("features", array_to_vector(one_hot))
+
+
+def _fit(rows: DataFrame) -> tuple[list[float], float]:
+    """Weights and intercept. Features are not standardised, as that would make rare words heavy."""
+    model = LogisticRegression(maxIter=25, regParam=REGULAR, tol=1e-5, weightCol="weight", standardization=False).fit(rows.select("features", F.col("label").cast("double").alias("label"), "weight"))
+    return [float(w) for w in model.coefficients.toArray()], float(model.intercept)
 
 
 def _odds(p: float) -> float:
@@ -121,12 +184,16 @@ def _odds(p: float) -> float:
 
 @dataclass
 class CoTrained:
-    """Fitted views; ``score`` adds columns to any documents without a shuffle."""
+    """Fitted views; ``score`` adds columns to any documents without a shuffle.
+
+    ``given`` counts each round's pseudo-labels by the view that learns from them.
+    """
 
     text: View | None
     meta: View | None
     prior: float
     meta_cols: list[str]
+    given: list[dict[str, int]] = field(default_factory=list)
 
     def score(self, docs: DataFrame, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
         """``docs`` with ``text_score, meta_score, quality_score`` (0 to 1) and ``accepted``.
@@ -141,8 +208,8 @@ class CoTrained:
         # the given columns travel in one struct, so that no name of theirs can clash
         own = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row")
         slots = meta_slots([f"_m{i}" for i in range(len(self.meta_cols))])
-        seen = docs.select(own, *_meta_columns(docs, self.meta_cols), text_features(F.col(f"`{text_col}`")).alias("_f"))
-        logits = seen.select("_row", self.text.dense(F.col("_f")).alias("_t"), self.meta.sparse(slots).alias("_m"))
+        seen = docs.select(own, *_meta_columns(docs, self.meta_cols), self.text.of_text(F.col(f"`{text_col}`")).alias("_t"))
+        logits = seen.select("_row", "_t", self.meta.of_slots(slots).alias("_m"))
         chance = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
         score = chance(F.col("_t") + F.col("_m") - F.lit(_odds(self.prior)))
         return logits.select("_row.*", chance(F.col("_t")).alias("text_score"), chance(F.col("_m")).alias("meta_score"), score.alias("quality_score"), (score >= keep_from).alias("accepted"))
@@ -158,38 +225,38 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     meta_cols = [c for c in meta_cols if c in docs.columns]
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     slots = meta_slots([f"_m{i}" for i in range(len(meta_cols))])
-    seen = docs.select(F.col(id_col).alias("_id"), *_meta_columns(docs, meta_cols), text_features(text_col).alias("f"))
-    rows = stored(seen.select("_id", "f", slots.alias("slots")).join(marks, "_id", "left").withColumn("draw", F.pmod(F.xxhash64("_id"), F.lit(1_000_000))))
+    seen = docs.select(F.col(id_col).alias("_id"), *_meta_columns(docs, meta_cols), text_features(F.col(text_col)).alias("seen"))
+    rows = stored(seen.select("_id", "seen.f", "seen.w", slots.alias("slots")).join(marks, "_id", "left").withColumn("draw", F.pmod(F.xxhash64("_id"), F.lit(1_000_000))))
     n, good = rows.where("label is not null").agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < good < n:
         forget(rows)
         return CoTrained(None, None, 0.5, meta_cols)
-    prior = min(0.999, max(0.001, good / n))
-    chosen = rows.where(f"label is not null and draw < {int(1e6 * min(1.0, max_labelled / n))}").withColumn("weight", F.lit(1.0))
-    held = chosen.where("draw % 4 = 0").cache()
-    own, other = chosen.where("draw % 4 <> 0"), rows.where("label is null")
+    columns = ["f", "w", "slots", "label", "weight"]
+    chosen = stored(rows.where(f"label is not null and draw < {int(1e6 * min(1.0, max_labelled / n))}").withColumn("weight", F.lit(1.0)))
+    held, own, other = chosen.where("draw % 4 = 0"), chosen.where("draw % 4 <> 0"), rows.where("label is null")
     if held.select("label").distinct().count() < 2 or own.select("label").distinct().count() < 2:
         held, own = chosen, chosen  # a handful of labels: nothing can be held out
-    dense = array_to_vector(F.col("f"))
-    one_hot = array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(META_SIZE - 1)), lambda i: F.array_contains("slots", i).cast("double")))
-    columns = ["f", "slots", "label", "weight"]
-    to_text = to_meta = own.select(*columns)
+    own = own.select(*columns)
+    to_text = to_meta = own
+    given: list[dict[str, int]] = []
+
+    def pseudo(logit: Column) -> DataFrame:
+        marked = other.select("f", "w", "slots", logit.alias("_l")).where(F.abs("_l") >= _odds(confident))
+        return marked.select("f", "w", "slots", (F.col("_l") > 0).cast("int").alias("label"), F.lit(PSEUDO_WEIGHT).alias("weight"))
+
     for turn in range(rounds + 1):
-        views = []
-        for given, features, raw in ((to_text, dense, "dense"), (to_meta, one_hot, "sparse")):
-            view = View(*_fit(given, features))
-            margin = getattr(view, raw)(F.col("f" if raw == "dense" else "slots"))
-            slope, shift = _fit(held, array_to_vector(F.array(margin)))
-            views.append(View(view.weights, view.intercept, slope[0], shift))
-        text, meta = views
+        text, meta = View(*_fit(_text_vectors(to_text))), View(*_fit(_meta_vectors(to_meta)))
+        for view, logit in ((text, text.of_features()), (meta, meta.of_slots())):
+            (slope,), view.shift = _fit(held.withColumn("features", array_to_vector(F.array(logit))))
+            view.slope = slope
         if turn < rounds:
-            edge = _odds(confident)
-            pseudo = lambda logit: other.select("f", "slots", (logit > 0).cast("int").alias("label"), F.lit(PSEUDO_WEIGHT).alias("weight"), logit.alias("_l")).where(F.abs("_l") >= edge).drop("_l")
-            to_meta = own.select(*columns).union(pseudo(text.dense(F.col("f"))))
-            to_text = own.select(*columns).union(pseudo(meta.sparse(F.col("slots"))))
-    held.unpersist()
+            for_meta, for_text = pseudo(text.of_features()), pseudo(meta.of_slots())
+            given.append({"meta": for_meta.count(), "text": for_text.count()})
+            to_meta, to_text = own.union(for_meta), own.union(for_text)
+    forget(chosen)
     forget(rows)
-    return CoTrained(text, meta, prior, meta_cols)
+    prior = min(0.999, max(0.001, good / n))
+    return CoTrained(text, meta, prior, meta_cols, given)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
