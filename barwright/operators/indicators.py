@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barwright.functions.scalar import safe_ratio
-from barwright.operators.scan import block_size, columns_step, ewm, ewm_step, in_blocks, index_rows, indexed, over_blocks, reach, running
+from barwright.operators.scan import chunked, columns_step, ewm, in_blocks, index_rows, indexed, over_blocks, running
 
 BY, ORDER = ["symbol"], ["ts"]
 #: How a rolling statistic is taken over a frame.
@@ -71,11 +71,6 @@ def shifted(df: DataFrame, columns: dict[str, tuple[str, str, int]], by=BY, orde
     return in_blocks(df, [shift_step(columns)], by, order, before=k, after=lead)
 
 
-def _made(columns: dict[str, Column]):
-    """A step of plain columns."""
-    return lambda rows, w: rows.withColumns(columns)
-
-
 def sma(df: DataFrame, c: str, n: int, out: str | None = None, **keys) -> DataFrame:
     return rolling(df, {out or f"sma_{n}": (c, "mean", n)}, **keys)
 
@@ -91,19 +86,18 @@ def rma(df: DataFrame, c: str, n: int, out: str, by=BY, order=ORDER) -> DataFram
 
 def rsi(df: DataFrame, c: str = "close", n: int = 14, by=BY, order=ORDER) -> DataFrame:
     """``rsi_{n}``: 100 G/(G + L) of Wilder means of rises and falls; null in a key's first row or where both are 0."""
-    some = F.when(F.col("_d").isNotNull(), 0.0)
-    means = ewm_step({"_g": (F.greatest("_d", some), 1 / n), "_l": (F.greatest(-F.col("_d"), some), 1 / n)})
-    before = reach(1 / n) + 1
-    made = in_blocks(df, [shift_step({"_d": (c, "diff", 1)}), means], by, order, before, size=max(before, block_size(before, 1 / n)))
-    return made.withColumn(f"rsi_{n}", 100 * safe_ratio(F.col("_g"), F.col("_g") + F.col("_l"))).drop("_d", "_g", "_l")
+    rise = lambda now, was: F.when(was[c].isNotNull() & now[c].isNotNull(), F.greatest(now[c] - was[c], F.lit(0.0)))
+    fall = lambda now, was: rise(was, now)
+    made = ewm(df, {"_g": (rise, 1 / n), "_l": (fall, 1 / n)}, by, order, back=(c,))
+    return made.withColumn(f"rsi_{n}", 100 * safe_ratio(F.col("_g"), F.col("_g") + F.col("_l"))).drop("_g", "_l")
 
 
 def macd(df: DataFrame, c: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, by=BY, order=ORDER) -> DataFrame:
     """``macd, macd_signal, macd_hist`` of first-value-seeded exponential means."""
-    both = ewm(indexed(df, by, order), {"_f": (c, 2 / (fast + 1)), "_s": (c, 2 / (slow + 1))}, by, order)
+    both = ewm(chunked(df, by, order), {"_f": (c, 2 / (fast + 1)), "_s": (c, 2 / (slow + 1))}, by, order)
     line = both.withColumn("macd", F.col("_f") - F.col("_s")).drop("_f", "_s")
     made = ewm(line, {"macd_signal": ("macd", 2 / (signal + 1))}, by, order).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
-    return made if "_ix" in df.columns else made.drop("_ix")
+    return made if "_ck" in df.columns else made.drop("_ck")
 
 
 def bbands(df: DataFrame, c: str = "close", n: int = 20, k: float = 2.0, ddof: int = 1, **keys) -> DataFrame:
@@ -115,39 +109,36 @@ def bbands(df: DataFrame, c: str = "close", n: int = 20, k: float = 2.0, ddof: i
     return out.withColumns({"bb_width": 100 * safe_ratio(width, F.col("bb_mid")), "bb_pos": safe_ratio(F.col(c) - F.col("bb_low"), width)})
 
 
-def _range_steps(out: str) -> list:
-    wide = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc")))
-    return [shift_step({"_pc": ("close", "lag", 1)}), _made({out: wide}), lambda rows, w: rows.drop("_pc")]
+def _range(now, was) -> Column:
+    """True range of a bar; high minus low without a bar before."""
+    return F.greatest(now["high"] - now["low"], F.abs(now["high"] - was["close"]), F.abs(now["low"] - was["close"]))
 
 
 def true_range(df: DataFrame, by=BY, order=ORDER, out: str = "true_range") -> DataFrame:
     """High minus low in a key's first row, else the widest of the three ranges."""
-    return in_blocks(df, _range_steps(out), by, order, before=1)
+    bar = F.struct("high", "low", "close")
+    return over_blocks(df, {out: lambda w: _range(bar, F.lag(bar).over(w))}, by, order, before=1)
 
 
 def atr(df: DataFrame, n: int = 14, by=BY, order=ORDER) -> DataFrame:
     """``atr_{n}``, Wilder's mean of the true range, and ``atr_ratio_{n}``, its share of the close."""
-    if n == 1:
-        made = in_blocks(df, [*_range_steps("_tr"), _made({"atr_1": F.col("_tr")})], by, order, before=1)
-    else:
-        before = reach(1 / n) + 1
-        made = in_blocks(df, [*_range_steps("_tr"), ewm_step({f"atr_{n}": ("_tr", 1 / n)})], by, order, before, size=max(before, block_size(before, 1 / n)))
-    return made.withColumn(f"atr_ratio_{n}", F.col(f"atr_{n}") / (F.col("close") + 1e-9)).drop("_tr")
+    made = true_range(df, by, order, "atr_1") if n == 1 else ewm(df, {f"atr_{n}": (_range, 1 / n)}, by, order, back=("high", "low", "close"))
+    return made.withColumn(f"atr_ratio_{n}", F.col(f"atr_{n}") / (F.col("close") + 1e-9))
 
 
 def adx(df: DataFrame, n: int = 14, by=BY, order=ORDER) -> DataFrame:
     """``plus_di, minus_di, adx``: Wilder's directional movement, all means from their first value on."""
-    up, down = F.col("_up"), -F.col("_dn")
-    signs = {"_pdm": F.when((up > down) & (up > 0), up).when(up.isNotNull(), 0.0), "_mdm": F.when((down > up) & (down > 0), down).when(up.isNotNull(), 0.0), "_trd": F.when(up.isNotNull(), F.col("_tr"))}
-    di = {"plus_di": 100 * safe_ratio(F.col("_p"), F.col("_t")), "minus_di": 100 * safe_ratio(F.col("_m"), F.col("_t"))}
+    up, down = (lambda now, was: now["high"] - was["high"]), (lambda now, was: was["low"] - now["low"])
+
+    def movement(mine, other):
+        known = lambda now, was: F.when(up(now, was).isNotNull(), 0.0)
+        return lambda now, was: F.when((mine(now, was) > other(now, was)) & (mine(now, was) > 0), mine(now, was)).otherwise(known(now, was))
+
+    ranged = lambda now, was: F.when(up(now, was).isNotNull(), _range(now, was))
+    means = ewm(chunked(df, by, order), {"_p": (movement(up, down), 1 / n), "_m": (movement(down, up), 1 / n), "_t": (ranged, 1 / n)}, by, order, back=("high", "low", "close"))
+    made = means.withColumns({"plus_di": 100 * safe_ratio(F.col("_p"), F.col("_t")), "minus_di": 100 * safe_ratio(F.col("_m"), F.col("_t"))})
     dx = 100 * safe_ratio(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di"))
-    steps = [
-        *_range_steps("_tr"), shift_step({"_up": ("high", "diff", 1), "_dn": ("low", "diff", 1)}), _made(signs),
-        ewm_step({"_p": ("_pdm", 1 / n), "_m": ("_mdm", 1 / n), "_t": ("_trd", 1 / n)}), _made(di), _made({"_dx": dx}), ewm_step({"adx": ("_dx", 1 / n)}),
-    ]
-    before = 2 * reach(1 / n) + 1
-    made = in_blocks(df, steps, by, order, before, size=max(before, block_size(before, 1 / n)))
-    return made.drop("_tr", "_up", "_dn", "_pdm", "_mdm", "_trd", "_p", "_m", "_t", "_dx")
+    return ewm(made, {"adx": (dx, 1 / n)}, by, order).drop("_p", "_m", "_t", *([] if "_ck" in df.columns else ["_ck"]))
 
 
 def volatility(df: DataFrame, n: int = 20, **keys) -> DataFrame:

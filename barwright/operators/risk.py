@@ -6,22 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.scalar import clip, safe_ratio
-from barwright.operators.scan import running
+from barwright.operators.scan import carried, chunked, earlier
 
 
 def circuit_breaker(equity: DataFrame, daily: float = 0.10, peak: float = 0.30, by: str = "account", ts: str = "ts", value: str = "equity") -> DataFrame:
     """Adds ``daily_tripped`` (latched to the end of the day), ``peak_tripped`` (latched for good) and ``allowed``.
 
-    The daily loss is against the day's first equity, the peak loss against the highest so far.
+    The daily loss is against the day's first equity, the peak loss (a share of 1 at most) against the highest so far.
+
+    Both latches take one pass: a day trips on a peak before it exactly if its own rows do among
+    themselves, or its lowest equity does against that peak.
     """
-    rows = equity.withColumn("_day", F.to_date(F.col(ts)))
-    upto = Window.partitionBy(by, "_day").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    if peak > 1:
+        raise ValueError("a peak loss is a share of the peak")
+    rows = chunked(equity, [by], [ts])
+    upto = Window.partitionBy("_ck").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    fell = lambda top, now: F.coalesce(F.when(top > 0, (top - now) / top) >= peak, F.lit(False))
     start = F.first(value).over(upto)
-    rows = running(rows, {"_top": ("max", value)}, [by], [ts])
-    fall = F.when(F.col("_top") > 0, (F.col("_top") - F.col(value)) / F.col("_top"))
-    flagged = rows.withColumns({"_l": F.coalesce(safe_ratio(start - F.col(value), start) >= daily, F.lit(False)), "_f": F.coalesce(fall >= peak, F.lit(False))})
-    made = running(flagged, {"peak_tripped": ("max", "_f")}, [by], [ts]).withColumn("daily_tripped", F.max("_l").over(upto))
-    return made.withColumn("allowed", ~F.col("daily_tripped") & ~F.col("peak_tripped")).drop("_day", "_top", "_l", "_f")
+    rows = rows.withColumn("_hh", F.max(value).over(upto))
+    rows = rows.withColumns({"_l": F.coalesce(safe_ratio(start - F.col(value), start) >= daily, F.lit(False)), "_f": fell(F.col("_hh"), F.col(value))})
+    tops = {"_top": lambda w: F.max("_h").over(earlier(w))}
+    trips = {"_top": lambda w: F.col("_top"), "_gone": lambda w: F.max(F.col("_t") | fell(F.col("_top"), F.col("_low"))).over(earlier(w))}
+    rows = carried(rows, [F.max(value).alias("_h"), F.min(value).alias("_low"), F.max("_f").alias("_t")], [tops, trips], [by])
+    rows = rows.withColumn("_f", fell(F.greatest("_hh", "_top"), F.col(value)))
+    made = rows.withColumns({"peak_tripped": F.coalesce("_gone", F.lit(False)) | F.max("_f").over(upto), "daily_tripped": F.max("_l").over(upto)})
+    made = made.withColumn("allowed", ~F.col("daily_tripped") & ~F.col("peak_tripped"))
+    return made.drop("_hh", "_top", "_l", "_f", "_gone", *([] if "_ck" in equity.columns else ["_ck"]))
 
 
 def volatility_gate(df: DataFrame, c: str, cap: float = 0.05) -> DataFrame:
@@ -36,12 +46,25 @@ def kelly(p: str | Column, b: str | Column, fraction: float = 0.2) -> Column:
 
 
 def trailing_stop(bars: DataFrame, mult: float = 3.0, by=("trade",), order=("ts",), side: str = "side", atr: str = "atr") -> DataFrame:
-    """Adds ``stop``: for longs the highest of peak minus ATR multiples so far, for shorts the lowest of trough plus them."""
-    by, order, long = [*by], [*order], F.col(side) == "long"
-    made = running(bars, {"_hh": ("max", "high"), "_ll": ("min", "low")}, by, order)
-    made = made.withColumn("_e", F.when(long, F.col("_hh") - F.col(atr) * mult).otherwise(F.col("_ll") + F.col(atr) * mult))
-    made = running(made, {"_up": ("max", "_e"), "_dn": ("min", "_e")}, by, order)
-    return made.withColumn("stop", F.when(long, F.col("_up")).otherwise(F.col("_dn"))).drop("_hh", "_ll", "_e", "_up", "_dn")
+    """Adds ``stop``: for longs the highest of peak minus ATR multiples so far, for shorts the lowest of trough plus them.
+
+    Both are nested extremes, yet one pass: against a peak before a chunk, its best stop is the peak
+    less its smallest ATR multiple, or what its own rows make.
+    """
+    by, order, long, wide = [*by], [*order], F.col(side) == "long", F.col(atr) * mult
+    rows = chunked(bars, by, order)
+    upto = Window.partitionBy("_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_hh": F.max("high").over(upto), "_ll": F.min("low").over(upto)})
+    totals = [F.max("high").alias("_h"), F.min("low").alias("_l"), F.min(wide).alias("_w"), F.max(F.col("_hh") - wide).alias("_eh"), F.min(F.col("_ll") + wide).alias("_el")]
+    ends = {"_top": lambda w: F.max("_h").over(earlier(w)), "_low": lambda w: F.min("_l").over(earlier(w))}
+    stops = {
+        "_top": lambda w: F.col("_top"), "_low": lambda w: F.col("_low"),
+        "_up": lambda w: F.max(F.greatest(F.col("_eh"), F.col("_top") - F.col("_w"))).over(earlier(w)), "_dn": lambda w: F.min(F.least(F.col("_el"), F.col("_low") + F.col("_w"))).over(earlier(w)),
+    }
+    rows = carried(rows, totals, [ends, stops], by)
+    up, down = F.max(F.greatest("_hh", "_top") - wide).over(upto), F.min(F.least("_ll", "_low") + wide).over(upto)
+    made = rows.withColumns({"_su": up, "_sd": down}).withColumn("stop", F.when(long, F.greatest("_up", "_su")).otherwise(F.least("_dn", "_sd")))
+    return made.drop("_hh", "_ll", "_top", "_low", "_up", "_dn", "_su", "_sd", *([] if "_ck" in bars.columns else ["_ck"]))
 
 
 def size_chain(df: DataFrame, least: float = 0.01) -> DataFrame:

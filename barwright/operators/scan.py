@@ -1,9 +1,12 @@
-"""Row blocks with halos: windows over long keys without one task per key.
+"""Windows and recurrences over long keys without one task per key.
 
-Rows of a key are numbered without sorting the whole key in one task: time chunks are numbered
-within, and a prefix sum over the (small) table of chunk counts gives their offsets. Blocks of equal row
-counts then carry the last rows of the block before as a halo, so that any bounded frame, and any
-recurrence that forgets, is computed within (key, block).
+Bounded frames run over row blocks with halos: rows of a key are numbered without sorting the whole key in one
+task (time chunks are numbered within, and a prefix sum over the small table of chunk counts gives their
+offsets), and blocks of equal row counts carry the last rows of the block before.
+
+Unbounded ones (running aggregates, exponential means) run over (key, time chunk): each chunk comes to a
+summary, a prefix over the small table of summaries gives what is carried into a chunk, and one join brings it
+back to the chunk's rows.
 """
 
 from __future__ import annotations
@@ -16,12 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, at least; a halo of more rows makes blocks of four halos.
 BLOCK_ROWS = 20_000
-#: A recurrence's weight below exp(-FORGET) is less than double precision can show.
-FORGET = 40.0
-#: Halo rows per value that a recurrence needs, as rows without a value do not count.
-SLACK = 2
-#: Largest exponent of a weight within a block.
-MAX_EXPONENT = 600.0
+#: Largest exponent of a weight within a unit of rows: far from overflow, and precise to 1e-13.
+EXPONENT = 300.0
 
 
 def index_rows(df: DataFrame, by: list[str], order: list[str], name: str = "_ix", chunk: str = "day") -> DataFrame:
@@ -89,79 +88,162 @@ def over_blocks(df: DataFrame, columns: dict[str, Callable[[Window], Column]], b
     return in_blocks(df, [columns_step(columns)], by, order, before, after, size)
 
 
-def reach(alpha: float, seed_rows: int = 1) -> int:
-    """Rows that an exponential mean looks back."""
-    return SLACK * max(1, math.ceil(FORGET / -math.log(1 - alpha))) + seed_rows
+def chunk_key(by: list[str], order: list[str], chunk: str = "day") -> Column:
+    """A struct of the key and the time chunk. It is never null itself, so that joins on it are plain ones, and null keys are equal."""
+    return F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), F.date_trunc(chunk, F.col(order[0]).cast("timestamp")).alias("at"))
+
+
+def chunked(df: DataFrame, by: list[str], order: list[str], chunk: str = "day") -> DataFrame:
+    """``df`` with ``_ck``, the ``chunk_key`` of its rows, unless an operator before has added it.
+
+    Chains of operators that keep it deal their rows once, as all work over its values; it is dropped at the end.
+    """
+    return df if "_ck" in df.columns else df.withColumn("_ck", chunk_key(by, order, chunk))
+
 
+def chunk_table(totals: DataFrame, by: list[str]) -> DataFrame:
+    """Summaries by ``_ck`` with the key and the time as columns of their own, so that all windows over them share one exchange."""
+    return totals.withColumns({**{f"_k{i}": F.col(f"_ck.k{i}") for i in range(len(by))}, "_at": F.col("_ck.at")})
 
-def block_size(before: int, alpha: float) -> int:
-    """Rows of a block in which no weight of the mean overflows; less than ``before`` if there is no such block."""
-    return min(max(BLOCK_ROWS, 4 * before), int(MAX_EXPONENT / -math.log(1 - alpha)) - before)
 
+def over_chunks(by: list[str], *more: str):
+    """Window over the chunks of a key in time order, on a ``chunk_table``."""
+    return Window.partitionBy(*(f"_k{i}" for i in range(len(by)))).orderBy(F.col("_at").asc_nulls_first(), *more)
 
-def ewm_step(columns: dict[str, tuple[str | Column, float]], seed_rows: int = 1) -> Step:
-    """Exponential means of the rows of a block; the mean of the first ``seed_rows`` values is the first mean.
 
-    In a block after the first, what looks like the seed is only a value whose weight has faded
-    before the block's own rows begin, if the halo has values enough.
+def decayed(rows: DataFrame, name: str, part: Column, count: str, rate: float, keys: list[str], order: list) -> DataFrame:
+    """Adds ``name``: the sum of ``part`` so far, each weighted by ``exp(-rate * (count here - count there))``; ``count`` does not fall.
+
+    Rows fall into segments within which no weight overflows. Of the segments before, only the last
+    one is seen: what lies beyond it has faded by exp(-EXPONENT).
     """
+    length = max(1, int(EXPONENT / rate))
+    at = F.floor(F.col(count) / length)
+    here = F.exp((F.col(count) - at * length) * rate)
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_dg": at, "_dp": F.coalesce(part, F.lit(0.0)) * here, "_dw": here})
+    rows = rows.withColumn("_do", F.sum("_dp").over(Window.partitionBy(*keys, "_dg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) / F.col("_dw"))
+    rows = rows.withColumn("_de", F.when(F.lead("_dg").over(whole) != F.col("_dg"), F.struct(F.col("_do").alias("y"), F.col(count).alias("n"))))
+    rows = rows.withColumn("_db", F.last("_de", ignorenulls=True).over(before))
+    carried = F.coalesce(F.col("_db.y") * F.exp((F.col("_db.n") - F.col(count)) * rate), F.lit(0.0))
+    return rows.withColumn(name, F.col("_do") + carried).drop("_dg", "_dp", "_dw", "_do", "_de", "_db")
 
-    def step(rows: DataFrame, w: Window) -> DataFrame:
-        upto = w.rowsBetween(Window.unboundedPreceding, 0)
-        for i, (name, (x, alpha)) in enumerate(columns.items()):
-            value, place, rate = f"_ew_x{i}", f"_ew_p{i}", -math.log(1 - alpha)
-            rows = rows.withColumn(value, (F.col(x) if isinstance(x, str) else x).cast("double"))
-            rows = rows.withColumn(place, F.count(value).over(upto).cast("double"))
-            first = F.avg(value).over(upto) if seed_rows > 1 else F.col(value)
-            part = F.when(F.col(place) > seed_rows, F.col(value) * alpha).when((F.col(place) == seed_rows) & F.col(value).isNotNull(), first)
-            rows = rows.withColumn(f"_ew_v{i}", part * F.exp(F.col(place) * rate))
-            rows = rows.withColumn(name, F.sum(f"_ew_v{i}").over(upto) * F.exp(-F.col(place) * rate)).drop(value, place, f"_ew_v{i}")
-        return rows
 
-    return step
+#: What a mean is taken of: a column, or a function of this row and the row before (structs of the columns in ``back``, the latter null in a key's first row).
+Averaged = str | Column | Callable[[Column, Column], Column]
 
 
-def ewm(df: DataFrame, columns: dict[str, tuple[str | Column, float]], by: list[str], order: list[str], seed: str = "first", seed_rows: int = 1, size: int | None = None, sparse: bool = False) -> DataFrame:
+def ewm(df: DataFrame, columns: dict[str, tuple[Averaged, float]], by: list[str], order: list[str], seed: str = "first", seed_rows: int = 1, back: tuple[str, ...] = (), chunk: str = "day", run: int | None = None) -> DataFrame:
     """Add exponential means ``y = alpha x + (1 - alpha) y_before`` as ``{name: (x, alpha)}``.
 
     ``seed="first"`` starts at the first value, ``"sma"`` at the mean of the first ``seed_rows`` values
-    (null before). A row without ``x`` is skipped: it shows the mean so far. Values of a weight below
-    exp(-40) are left out, which no double can tell, so blocks need a halo only. The halo is ``SLACK``
-    times that long; where still fewer than one row in ``SLACK`` has a value, the oldest one in
-    reach stands for all before it. ``sparse=True`` numbers the rows with a value by themselves and
-    is exact for any share of missing ones.
+    (null before). A row without ``x`` is skipped: it shows the mean so far. ``x`` may compare a row with the one before it, see
+    ``Averaged``. The first column of ``order`` is a time.
+
+    Rows of (key, time chunk) fall into units of ``run`` rows at most. A unit turns the mean before it into
+    the mean behind it by an affine map, ``decay * y + own``; a prefix composes those maps over the table of units. So the
+    result is exact for gaps of any length, and a task needs one chunk of a key.
     """
-    least = 1 if seed == "first" else seed_rows
-    out = df if sparse else indexed(df, by, order)
-    if sparse:
-        for name, (x, alpha) in columns.items():
-            out = _sparse(out.withColumn("_ew_x", F.col(x) if isinstance(x, str) else x), name, alpha, by, order, seed, least).drop("_ew_x")
-        return out
-    lasting = {n: x for n, (x, alpha) in columns.items() if alpha >= 1}
-    if lasting:
-        out = running(out, {n: ("last", x) for n, x in lasting.items()}, by, order)
-    rest = sorted(((n, x, a) for n, (x, a) in columns.items() if a < 1), key=lambda c: c[2])
-    while rest:
-        # the slowest mean sets the halo; faster ones join while their weights fit into its blocks
-        before = reach(rest[0][2], least)
-        group = [c for c in rest if block_size(before, c[2]) >= before] or rest[:1]
-        length = size or max(before, min(block_size(before, c[2]) for c in group))
-        out = in_blocks(out, [ewm_step({n: (x, a) for n, x, a in group}, least)], by, order, before=before, size=max(length, before))
-        rest = [c for c in rest if c not in group]
-    return out if "_ix" in df.columns else out.drop("_ix")
-
-
-def _sparse(df: DataFrame, name: str, alpha: float, by: list[str], order: list[str], seed: str, seed_rows: int) -> DataFrame:
-    plain = df.drop("_ix")
-    dense = ewm(plain.where("_ew_x is not null"), {name: ("_ew_x", alpha)}, by, order, seed, seed_rows)
-    missing = plain.where("_ew_x is null").withColumn(name, F.lit(None).cast("double"))
-    return running(dense.unionByName(missing), {name: ("last", name)}, by, order)
+    by, order = [*by], [*order]
+    if lasting := {n: x for n, (x, alpha) in columns.items() if alpha >= 1}:
+        df = running(df, {n: ("last", x) for n, x in lasting.items()}, by, order, chunk=chunk)
+    items = [(n, x, a, -math.log(1 - a)) for n, (x, a) in columns.items() if a < 1]
+    if not items:
+        return df
+    kept = [c for c in df.columns if c not in columns or c in lasting]
+    rows = df
+    if seed != "first" and seed_rows > 1:
+        if any(callable(x) and not isinstance(x, Column) for _, x, _, _ in items):
+            raise ValueError("a mean of several first rows needs plain columns")
+        rows, items = _seeded(rows, items, seed_rows, by, order, chunk)
+    w = Window.partitionBy("_ck").orderBy(*order)
+    made = chunked(rows, by, order, chunk).withColumn("_er", F.row_number().over(w))
+    now = F.struct(*back) if back else None
+    if back:
+        made = made.withColumn("_ew", F.lag(now).over(w))
+    compared = [callable(x) and not isinstance(x, Column) for _, x, _, _ in items]
+    values = {}
+    for i, (_, x, _, _) in enumerate(items):  # what a chunk's first row is compared with is not in the chunk: see below
+        values[f"_ex{i}"] = F.when(F.col("_er") > 1, x(now, F.col("_ew")).cast("double")) if compared[i] else (F.col(x) if isinstance(x, str) else x).cast("double")
+    run = run or max(1, int(EXPONENT / max(rate for *_, rate in items)))
+    made = made.withColumns(values).withColumn("_es", F.floor((F.col("_er") - 1) / run).cast("int"))
+    upto = Window.partitionBy("_ck", "_es").orderBy("_er").rowsBetween(Window.unboundedPreceding, 0)
+    made = made.withColumns({f"_en{i}": F.count(f"_ex{i}").over(upto) for i in range(len(items))})
+    local = {}
+    for i, (_, _, alpha, rate) in enumerate(items):
+        place = F.col(f"_en{i}") * rate
+        local[f"_eo{i}"] = F.coalesce(F.sum(alpha * F.col(f"_ex{i}") * F.exp(place)).over(upto), F.lit(0.0)) * F.exp(-place)
+        local[f"_ef{i}"] = F.first(f"_ex{i}", ignorenulls=True).over(upto)
+    made = made.withColumns(local)
+
+    # units, then what is carried into each
+    last = F.col("_er")
+    totals = [F.max_by(F.struct(*(F.col(f"_e{k}{i}") for i in range(len(items)) for k in "nof")), last).alias("u")]
+    if back:
+        totals += [F.min_by(now, last).alias("top"), F.max_by(now, last).alias("end")]
+    units = chunk_table(made.groupBy("_ck", "_es").agg(*totals), by)
+    over = over_chunks(by, "_es")
+    so_far, before = over.rowsBetween(Window.unboundedPreceding, 0), over.rowsBetween(Window.unboundedPreceding, -1)
+    keys, place = [f"_k{i}" for i in range(len(by))], [F.col("_at").asc_nulls_first(), F.col("_es")]
+    if back:
+        units = units.withColumn("was", F.lag("end").over(over))
+    carry = []
+    for i, (_, x, alpha, rate) in enumerate(items):
+        n, own, first = (F.col(f"u._e{k}{i}") for k in "nof")
+        edge = F.when(F.col("_es") == 0, x(F.col("top"), F.col("was")).cast("double")) if compared[i] else F.lit(None).cast("double")
+        units = units.withColumn("v", edge)
+        units = units.withColumns({"b": own + F.coalesce(alpha * F.col("v") * F.exp(-n * rate), F.lit(0.0)), "c": n + F.col("v").isNotNull().cast("long"), "f": F.coalesce("v", first)})
+        units = units.withColumns({"n": F.sum("c").over(so_far), "f": F.first("f", ignorenulls=True).over(before)})
+        units = decayed(units, "d", F.col("b"), "n", rate, keys, place)
+        units = units.withColumns({"n": F.lag("n").over(over), "d": F.lag("d").over(over)})
+        y = F.when(F.col("n") > 0, F.col("d") + F.col("f") * F.exp(-F.col("n") * rate))  # the first value of all has the full weight
+        y = F.when(F.col("v").isNull(), y).otherwise(F.coalesce(alpha * F.col("v") + (1 - alpha) * y, F.col("v")))
+        units = units.withColumn(f"y{i}", y)
+        carry.append(f"y{i}")
+    side = units.groupBy("_ck").agg(F.array_sort(F.collect_list(F.struct("_es", *carry))).alias("_ec")).withColumnRenamed("_ck", "_cs")
+    met = made.join(side, F.col("_ck") == F.col("_cs"))
+    done = {}
+    for i, (name, _, _, rate) in enumerate(items):
+        before_unit = F.get("_ec", F.col("_es"))[f"y{i}"]
+        done[name] = F.col(f"_eo{i}") + F.coalesce(before_unit, F.col(f"_ef{i}")) * F.exp(-F.col(f"_en{i}") * rate)
+    return met.select(*(F.col(f"`{c}`") for c in kept), *(c.alias(n) for n, c in done.items()))
+
+
+def _seeded(rows: DataFrame, items: list, seed_rows: int, by: list[str], order: list[str], chunk: str) -> tuple[DataFrame, list]:
+    """The columns of ``items`` with null for values before the ``seed_rows``-th one, which becomes the mean of them all."""
+    given = rows.withColumns({f"_sx{i}": (F.col(x) if isinstance(x, str) else x).cast("double") for i, (_, x, _, _) in enumerate(items)})
+    sums = {f"_s{k}{i}": (kind, f"_sx{i}") for i in range(len(items)) for k, kind in (("n", "count"), ("s", "sum"))}
+    seen = running(given, sums, by, order, chunk=chunk)
+    out = []
+    for i, (name, _, alpha, rate) in enumerate(items):
+        n = F.col(f"_sn{i}")
+        out.append((name, F.when(n > seed_rows, F.col(f"_sx{i}")).when((n == seed_rows) & F.col(f"_sx{i}").isNotNull(), F.col(f"_ss{i}") / seed_rows), alpha, rate))
+    return seen, out
 
 
 #: Running aggregates: over the rows of a window, and over the totals of chunks.
 RUNNING = {"last": lambda c: F.last(c, ignorenulls=True), "max": F.max, "min": F.min, "sum": F.sum, "count": F.count}
 
 
+def carried(rows: DataFrame, totals: list[Column], across: list[dict[str, Callable]], by: list[str]) -> DataFrame:
+    """``rows`` (see ``chunked``) with prefixes over their chunks.
+
+    ``totals`` are aggregates of a chunk; each entry of ``across`` adds columns to the table of chunks, given
+    the window of a key's chunks in time order. Those of the last entry come back to the rows.
+    """
+    side = chunk_table(rows.groupBy("_ck").agg(*totals), by)
+    for made in across:
+        side = side.withColumns({n: f(over_chunks(by)) for n, f in made.items()})
+    side = side.select(F.col("_ck").alias("_cs"), *across[-1])
+    return rows.join(side, F.col("_ck") == F.col("_cs")).drop("_cs")
+
+
+def earlier(w, ahead: bool = False):
+    """Frame of the chunks before this one, or with ``ahead`` of those after it."""
+    return w.rowsBetween(*((1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)))
+
+
 def running(df: DataFrame, columns: dict[str, tuple[str, str | Column]], by: list[str], order: list[str], ahead: bool = False, chunk: str = "day") -> DataFrame:
     """Add ``{name: (kind, x)}``: what the key's rows so far come to, this one included, or with ``ahead`` those from here on.
 
@@ -169,29 +251,25 @@ def running(df: DataFrame, columns: dict[str, tuple[str, str | Column]], by: lis
     ``count``. Windows are over (key, time chunk); what earlier chunks come to is a prefix over the
     table of chunk totals, so no task needs a whole key. The first column of ``order`` is a time.
     """
-    rows = df.withColumn("_rc", F.date_trunc(chunk, F.col(order[0]).cast("timestamp")))
+    by = [*by]
+    rows = chunked(df, by, order, chunk)
     rows = rows.withColumns({f"_rx{i}": F.col(x) if isinstance(x, str) else x for i, (_, x) in enumerate(columns.values())})
     place = F.struct(*order)
     totals, inside, across, both = [], {}, {}, {}
-    here = Window.partitionBy(*by, "_rc").orderBy(*order).rowsBetween(*((0, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, 0)))
-    over = Window.partitionBy(*by).orderBy(F.col("_rc").asc_nulls_first()).rowsBetween(*((1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)))
+    here = Window.partitionBy("_ck").orderBy(*order).rowsBetween(*((0, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, 0)))
     for i, (name, (kind, _)) in enumerate(columns.items()):
         x, total, before, now = f"_rx{i}", f"_rt{i}", f"_rb{i}", f"_rn{i}"
         if kind == "last":
             edge = F.min_by if ahead else F.max_by
             totals.append(edge(x, F.when(F.col(x).isNotNull(), place)).alias(total))
             pick = (lambda c: F.first(c, ignorenulls=True)) if ahead else RUNNING["last"]
-            inside[now], across[before] = pick(x).over(here), pick(total).over(over)
+            inside[now], across[before] = pick(x).over(here), (lambda w, pick=pick, total=total: pick(total).over(earlier(w, ahead)))
             both[name] = F.coalesce(now, before)
         else:
             totals.append(RUNNING[kind](x).alias(total))
-            inside[now], across[before] = RUNNING[kind](x).over(here), (F.sum if kind == "count" else RUNNING[kind])(total).over(over)
+            fold = F.sum if kind == "count" else RUNNING[kind]
+            inside[now], across[before] = RUNNING[kind](x).over(here), (lambda w, fold=fold, total=total: fold(total).over(earlier(w, ahead)))
             join = {"max": F.greatest, "min": F.least}.get(kind)
             both[name] = join(now, before) if join else F.coalesce(F.col(now) + F.col(before), F.col(now), F.col(before))
-    keys = [*by, "_rc"]
-    side = rows.groupBy(*keys).agg(*totals).withColumns(across).select(*(F.col(c).alias(f"_rk{i}") for i, c in enumerate(keys)), *across)
-    same = F.lit(True)
-    for i, c in enumerate(keys):
-        same = same & F.col(c).eqNullSafe(F.col(f"_rk{i}"))
-    done = rows.withColumns(inside).join(side, same).withColumns(both)
+    done = carried(rows.withColumns(inside), totals, [across], by).withColumns(both)
     return done.select(*(c for c in df.columns if c not in columns), *columns)

@@ -40,10 +40,10 @@ def test_asof_never_looks_ahead_and_chunks_agree(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, chunked.collect()))
 
 
-def test_ewm_blocks_match_a_loop(spark):
+def test_ewm_units_match_a_loop(spark):
     values = [((i * 7919) % 101) / 10 for i in range(3000)]
     df = spark.createDataFrame([("x", at(i), v if i % 50 else None) for i, v in enumerate(values)], "symbol string, ts timestamp, v double")
-    got = {r.ts: r.y for r in scan.ewm(df, {"y": ("v", 0.3)}, ["symbol"], ["ts"], size=400).collect()}
+    got = {r.ts: r.y for r in scan.ewm(df, {"y": ("v", 0.3)}, ["symbol"], ["ts"], run=400).collect()}
     mean = None
     for i, v in enumerate(values):
         if i % 50:

@@ -1,6 +1,7 @@
 """Readers, writers and stream helpers on small inputs."""
 
 import datetime
+import random
 import json
 import os
 
@@ -110,10 +111,16 @@ def test_sampled_books_and_complete_windows(spark, tmp_path):
     assert [r.bucket for r in streams.complete_windows(both, 2).collect()] == [DAY]
 
 
-def test_recurrences_nest_in_one_pass(spark):
+def exchanges(df):
+    """Exchanges and scans of a plan before anything is reused."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("Scan ExistingRDD")
+
+
+def test_recurrences_deal_rows_once_a_level(spark):
     bars = spark.createDataFrame([("a", at(i), 10.0 + i % 7, 11.0 + i % 5, 9.0, 10.0 + (i * i) % 11, 1.0) for i in range(60)], "symbol string, ts timestamp, open double, high double, low double, close double, volume double")
-    plan = indicators.adx(bars)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") <= 6 and plan.count("Scan ExistingRDD") <= 2
+    assert exchanges(indicators.rsi(bars)) <= (4, 2) and exchanges(indicators.atr(bars)) <= (4, 2)
+    assert exchanges(indicators.adx(bars)) <= (10, 4)
 
 
 def brute_ewm(values, alpha):
@@ -125,13 +132,58 @@ def brute_ewm(values, alpha):
     return out
 
 
-@pytest.mark.parametrize("sparse", [False, True])
-def test_ewm_over_many_blocks_and_gaps(spark, sparse):
-    values = [None if i < 40 or i % 3 == 0 else float((i * 37) % 101) for i in range(900)]
-    rows = spark.createDataFrame([("a", at(i), v) for i, v in enumerate(values)], "symbol string, ts timestamp, x double")
-    got = scan.ewm(rows, {"slow": ("x", 0.3), "fast": ("x", 0.9)}, ["symbol"], ["ts"], size=300, sparse=sparse).orderBy("ts").collect()
-    for name, alpha in (("slow", 0.3), ("fast", 0.9)):
-        assert [r[name] for r in got] == [None if w is None else pytest.approx(w, rel=1e-12) for w in brute_ewm(values, alpha)]
+@pytest.mark.parametrize("run", [None, 1, 7])
+def test_ewm_over_many_units_and_gaps(spark, run):
+    values = [None if i < 40 or i % 3 == 0 or 300 < i < 700 else float((i * 37) % 101) for i in range(900)]
+    rows = spark.createDataFrame([("a", at(i * 17), v) for i, v in enumerate(values)] + [(None, at(5), 1.0), (None, at(9000), 2.0)], "symbol string, ts timestamp, x double")
+    got = scan.ewm(rows, {"slow": ("x", 0.001), "mid": ("x", 0.3), "fast": ("x", 0.9999), "last": ("x", 1.0)}, ["symbol"], ["ts"], run=run).orderBy("ts").collect()
+    for name, alpha in (("slow", 0.001), ("mid", 0.3), ("fast", 0.9999), ("last", 1.0)):
+        assert [r[name] for r in got if r.symbol] == [None if w is None else pytest.approx(w, rel=1e-12) for w in brute_ewm(values, alpha)]
+    assert [r.mid for r in got if r.symbol is None] == [1.0, pytest.approx(1.3)]
+
+
+def test_ewm_across_a_gap_that_forgets_and_no_overflow(spark):
+    values = [float(i % 13) for i in range(3000)] + [None] * 4000 + [float(i % 7) for i in range(3000)]
+    rows = spark.createDataFrame([("a", at(i / 10), v) for i, v in enumerate(values)], "symbol string, ts timestamp, x double")
+    got = scan.ewm(rows, {"y": ("x", 2 / 15), "z": ("x", 0.99)}, ["symbol"], ["ts"]).orderBy("ts").collect()
+    for name, alpha in (("y", 2 / 15), ("z", 0.99)):
+        assert [r[name] for r in got] == [pytest.approx(w, rel=1e-12, abs=1e-200) for w in brute_ewm(values, alpha)]
+
+
+def test_ewm_seeded_by_a_mean_of_values(spark):
+    values = [None if i % 4 == 1 else float((i * 29) % 23) for i in range(80)]
+    rows = spark.createDataFrame([("a", at(i * 90), v) for i, v in enumerate(values)], "symbol string, ts timestamp, x double")
+    got = [r.y for r in scan.ewm(rows, {"y": ("x", 0.2)}, ["symbol"], ["ts"], "sma", 10).orderBy("ts").collect()]
+    seen, want, y = [], [], None
+    for v in values:
+        if v is not None:
+            seen.append(v)
+            y = sum(seen) / 10 if len(seen) == 10 else 0.2 * v + 0.8 * y if len(seen) > 10 else None
+        want.append(y)
+    assert got == [None if w is None else pytest.approx(w, rel=1e-12) for w in want]
+
+
+def test_means_of_changes_match_a_loop_over_days_and_gaps(spark):
+    rng = random.Random(8)
+    bars = [(f"{'ab'[i % 2]}", at(i * 13), *(None if rng.random() < 0.1 else 50 + rng.random() * 9 for _ in range(3))) for i in range(700)]
+    df = spark.createDataFrame(bars, "symbol string, ts timestamp, high double, low double, close double")
+    got = {(r.symbol, r.ts): r for r in indicators.atr(indicators.rsi(df, n=9), n=5).collect()}
+    for symbol in "ab":
+        was, g, lo, tr = None, None, None, None
+        for s, ts, high, low, close in bars:
+            if s != symbol:
+                continue
+            if was is not None and was[2] is not None and close is not None:
+                d = close - was[2]
+                g = max(d, 0.0) if g is None else g + (max(d, 0.0) - g) / 9
+                lo = max(-d, 0.0) if lo is None else lo + (max(-d, 0.0) - lo) / 9
+            wide = [x - y if y is low else abs(x - y) for x, y in ((high, low), (high, was and was[2]), (low, was and was[2])) if x is not None and y is not None]
+            if wide:
+                tr = max(wide) if tr is None else tr + (max(wide) - tr) / 5
+            r = got[symbol, ts]
+            want = 100 * g / (g + lo) if g is not None and g + lo > 0 else None
+            assert r.rsi_9 == (None if want is None else pytest.approx(want, rel=1e-10)) and r.atr_5 == (None if tr is None else pytest.approx(tr, rel=1e-10))
+            was = (high, low, close)
 
 
 @pytest.mark.parametrize("ahead", [False, True])
