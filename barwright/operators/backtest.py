@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.scalar import safe_ratio
+from barwright.operators.scan import carried, chunk_table, chunked, earlier, over_chunks, running
 
 
 @dataclass(frozen=True)
@@ -21,94 +23,146 @@ class Costs:
     atr_slip: float = 0.0
 
 
-def _states(df: DataFrame, signal: str, by: list[str], order: list[str]) -> DataFrame:
-    """Adds bar number ``_b``, ``_in`` (enters here), ``_out`` (leaves here), ``_held`` (in position before the bar) and trade number ``_t``."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    numbered = df.withColumn("_b", F.row_number().over(w) - 1)
-    real = F.when(F.col(signal) != 0, F.col(signal))
-    marked = numbered.withColumn("_sig", F.when(F.col("_b") > 0, real))
-    made = marked.withColumns({"_now": F.last("_sig", ignorenulls=True).over(upto), "_was": F.last("_sig", ignorenulls=True).over(before)})
-    on, off = F.coalesce(F.col("_now") == 1, F.lit(False)), F.coalesce(F.col("_was") == 1, F.lit(False))
-    flagged = made.withColumns({"_in": on & ~off, "_out": ~on & off, "_held": off})
-    return flagged.withColumn("_t", F.sum(F.col("_in").cast("long")).over(upto)).drop("_sig", "_now", "_was")
+#: The signal that counts at a bar, of structs of this row and the row before (null in a key's first row).
+Signal = Callable[[Column, Column], Column]
+
+
+def _own(signal: str) -> Signal:
+    """A bar's own signal; that of a key's first bar does not count."""
+    return lambda now, was: F.when(was.isNotNull(), now[signal])
+
 
+def _states(df: DataFrame, signal: Signal, columns: list[str], by: list[str], order: list[str], chunk: str = "day") -> DataFrame:
+    """Adds bar number ``_b``, ``_in`` (enters here), ``_out`` (leaves here), ``_held`` (in position before the bar), trade number
+    ``_t``, and structs of ``columns``: ``_prev``, the row before, and ``_entry``, the latest entry's row.
 
-def extract_trades(df: DataFrame, signal: str = "signal", by=("symbol",), order=("ts",)) -> DataFrame:
+    A chunk of bars is a transition: being in or out before it, and the row before it, decide its first bar's
+    signal and whether its first entry is one; all else is its own. So its summary is a few values, and
+    a prefix over the table of chunks gives the state, the bars and the trades before each.
+    """
+    w = Window.partitionBy("_ck").orderBy(*order)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    now = F.struct(*columns)
+    real = lambda s: F.when(s != 0, s)
+    is_on = lambda s: F.coalesce(s == 1, F.lit(False))
+    rows = chunked(df, by, order, chunk).withColumn("_r", F.row_number().over(w)).withColumn("_lag", F.lag(now).over(w))
+    rows = rows.withColumn("_sig", F.when(F.col("_r") > 1, real(signal(now, F.col("_lag")))))
+    # entries of the chunk's later rows if it begins out of position
+    rows = rows.withColumn("_own", is_on(F.last("_sig", ignorenulls=True).over(upto)) & ~is_on(F.last("_sig", ignorenulls=True).over(before)))
+    some = F.when(F.col("_sig").isNotNull(), F.col("_r"))
+    totals = [
+        F.count(F.lit(1)).alias("_n"), F.min_by(now, "_r").alias("_top"), F.max_by(now, "_r").alias("_end"), F.min_by("_sig", some).alias("_first"), F.max_by("_sig", some).alias("_last"),
+        F.sum(F.col("_own").cast("long")).alias("_ins"), F.max_by(now, F.when(F.col("_own"), F.col("_r"))).alias("_mine"),
+    ]
+    edge, on, later = F.col("_edge"), is_on(F.col("_state")), F.col("_ins") - (is_on(F.coalesce("_edge", "_state")) & is_on(F.col("_first"))).cast("long")
+    opens = is_on(edge) & ~on
+    across = [
+        {"_before": lambda w: F.lag("_end").over(w)},
+        {"_edge": lambda w: real(signal(F.col("_top"), F.col("_before")))},
+        {"_state": lambda w: F.last(F.coalesce("_last", "_edge"), ignorenulls=True).over(earlier(w))},
+        {"_new": lambda w: later + opens.cast("long"), "_kept": lambda w: F.when(later > 0, F.col("_mine")).when(opens, F.col("_top"))},
+        {"_before": lambda w: F.col("_before"), "_edge": lambda w: edge, "_state": lambda w: F.col("_state"), "_bars": lambda w: F.coalesce(F.sum("_n").over(earlier(w)), F.lit(0)), "_trades": lambda w: F.coalesce(F.sum("_new").over(earlier(w)), F.lit(0)), "_kept": lambda w: F.last("_kept", ignorenulls=True).over(earlier(w))},
+    ]
+    met = carried(rows, totals, across, by)
+    met = met.withColumns({"_b": F.col("_bars") + F.col("_r") - 1, "_prev": F.coalesce("_lag", "_before"), "_sig": F.coalesce("_sig", F.when(F.col("_r") == 1, edge))})
+    met = met.withColumns({"_on": is_on(F.coalesce(F.last("_sig", ignorenulls=True).over(upto), F.col("_state"))), "_held": is_on(F.coalesce(F.last("_sig", ignorenulls=True).over(before), F.col("_state")))})
+    met = met.withColumns({"_in": F.col("_on") & ~F.col("_held"), "_out": ~F.col("_on") & F.col("_held")})
+    met = met.withColumns({"_t": F.col("_trades") + F.sum(F.col("_in").cast("long")).over(upto), "_entry": F.coalesce(F.last(F.when(F.col("_in"), now), ignorenulls=True).over(upto), F.col("_kept"))})
+    return met.drop("_r", "_lag", "_sig", "_own", "_before", "_edge", "_state", "_bars", "_trades", "_kept", "_on")
+
+
+def extract_trades(df: DataFrame, signal: str = "signal", by=("symbol",), order=("ts",), chunk: str = "day") -> DataFrame:
     """One row per trade: ``trade, entry_bar, exit_bar`` and their times; an open trade has no exit. The first bar's signal does not count."""
     by, order = [*by], [*order]
-    s = _states(df, signal, by, order).where("_in or _out")
+    s = _states(df, _own(signal), [signal], by, order, chunk).where("_in or _out")
     trade = F.col("_t")
     pick = lambda c, flag: F.max(F.when(F.col(flag), F.col(c)))
     return s.groupBy(*by, trade.alias("trade")).agg(pick("_b", "_in").alias("entry_bar"), pick("_b", "_out").alias("exit_bar"), pick(order[0], "_in").alias("entry_ts"), pick(order[0], "_out").alias("exit_ts"))
 
 
-def same_open(df: DataFrame, signal: str = "signal", capital: float = 10_000.0, target: float = 0.1, costs: Costs = Costs(), by=("symbol",), order=("ts",)) -> DataFrame:
+def same_open(df: DataFrame, signal: str = "signal", capital: float = 10_000.0, target: float = 0.1, costs: Costs = Costs(), by=("symbol",), order=("ts",), chunk: str = "day") -> DataFrame:
     """All-in trades at the signal bar's open, marked at closes; one row per key.
 
     ``final_capital, trades, max_drawdown, time_to_target, bars``. The run stops at the first bar whose
     marked capital reaches ``(1 + target) * capital``; without one, ``time_to_target`` is the number of
     bars. An entry is first marked against its own bar's close.
+
+    Chunks come to sums of log returns, then to what their bars up to their first hit amount to;
+    those of a key are folded up to the first chunk with a hit.
     """
     by, order = [*by], [*order]
-    s = _states(df, signal, by, order)
+    s = _states(df, _own(signal), [signal, "open", "close"], by, order, chunk)
     cross = costs.spread + costs.slippage
-    per_trade = Window.partitionBy(*by, "_t")
-    at = lambda c, flag: F.max(F.when(F.col(flag), F.col(c))).over(per_trade)
-    priced = s.withColumns({"_eo": at("open", "_in") * (1 + cross), "_ec": at("close", "_in")})
-    gain = (1 - costs.fee) ** 2 * F.col("open") * (1 - cross) / F.col("_eo")
-    w = Window.partitionBy(*by).orderBy(*order)
-    log = F.when(F.col("_out"), F.ln(gain)).otherwise(0.0)
-    closed = priced.withColumns({"_before": F.exp(F.coalesce(F.sum(log).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))), "_after": F.exp(F.sum(log).over(w.rowsBetween(Window.unboundedPreceding, 0)))})
-    units = (1 - costs.fee) / F.col("_eo")
-    marked = F.lit(capital) * F.col("_before") * F.when(F.col("_held"), 1 + units * (F.col("close") - F.col("_ec"))).otherwise(1.0)
-    run = closed.withColumn("_cap", F.when(F.col("_b") == 0, F.lit(capital)).otherwise(marked))
-    stop = F.min(F.when((F.col("_cap") >= capital * (1 + target)) & (F.col("_b") > 0), F.col("_b"))).over(Window.partitionBy(*by))
-    run = run.withColumn("_stop", stop).where("_stop is null or _b <= _stop")
-    peak = F.greatest(F.lit(capital), F.max("_cap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("_dd", F.when(peak > 0, (peak - F.col("_cap")) / peak).otherwise(0.0))
-    end = F.when(F.col("_stop").isNotNull(), F.col("_cap")).when(F.col("_out"), F.lit(capital) * F.col("_after")).otherwise(F.col("_cap"))
-    entered = F.col("_in") & (F.col("_stop").isNull() | (F.col("_b") < F.col("_stop")))
-    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("bars"))
-    out = run.groupBy(*by).agg(F.max_by(end, F.col("_b")).alias("final_capital"), F.sum(entered.cast("long")).alias("trades"), F.max("_dd").alias("max_drawdown"), F.max("_stop").alias("_stop"))
-    return out.join(total, by).select(*by, "final_capital", "trades", "max_drawdown", F.coalesce("_stop", "bars").cast("long").alias("time_to_target"), "bars")
-
-
-def next_open_trades(df: DataFrame, signal: str = "signal", costs: Costs = Costs(), by=("symbol",), order=("ts",), atr: str | None = None, commission_on: float = 0.0) -> DataFrame:
+    paid = F.col("_entry")["open"] * (1 + cross)
+    gain = (1 - costs.fee) ** 2 * F.col("open") * (1 - cross) / paid
+    w = Window.partitionBy("_ck").orderBy(*order)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_log", F.when(F.col("_out"), F.ln(gain)).otherwise(0.0))
+    s = carried(s, [F.sum("_log").alias("_sum")], [{"_sum": lambda w: F.coalesce(F.sum("_sum").over(earlier(w)), F.lit(0.0))}], by)
+    mark = F.when(F.col("_held"), 1 + (1 - costs.fee) / paid * (F.col("close") - F.col("_entry")["close"])).otherwise(1.0)
+    run = s.withColumns({"_was": F.exp(F.col("_sum") + F.coalesce(F.sum("_log").over(before), F.lit(0.0))), "_after": F.exp(F.col("_sum") + F.sum("_log").over(upto))})
+    run = run.withColumn("_cap", F.when(F.col("_b") == 0, F.lit(capital)).otherwise(capital * F.col("_was") * mark))
+    run = run.withColumn("_hit", F.coalesce((F.col("_cap") >= capital * (1 + target)) & (F.col("_b") > 0), F.lit(False)))
+    run = run.withColumn("_done", F.coalesce(F.max("_hit").over(before), F.lit(False)))
+    run = run.withColumn("_live", F.when(~F.col("_done"), F.col("_cap"))).withColumn("_peak", F.max("_live").over(upto))
+    end = F.when(F.col("_out") & ~F.col("_hit"), capital * F.col("_after")).otherwise(F.col("_cap"))
+    # by running peak, as the one before the chunk may be higher: a drawdown is against the higher of both
+    records = run.groupBy("_ck", "_peak").agg(
+        F.count(F.lit(1)).alias("n"), F.min("_live").alias("low"), F.min(F.when(F.col("_hit"), F.col("_b"))).alias("hit"), F.sum((F.col("_in") & ~F.col("_done") & ~F.col("_hit")).cast("long")).alias("ins"),
+        F.max(F.when(~F.col("_done"), F.struct("_b", end.alias("cap")))).alias("end"),
+    )
+    parts = chunk_table(records.groupBy("_ck").agg(F.sum("n").alias("n"), F.max("_peak").alias("top"), F.collect_list(F.struct("_peak", "low")).alias("records"), F.min("hit").alias("hit"), F.sum("ins").alias("ins"), F.max("end").alias("end")), by)
+    over = over_chunks(by)
+    parts = parts.withColumns({"peak": F.greatest(F.lit(capital), F.max("top").over(earlier(over))), "over": F.coalesce(F.max(F.col("hit").isNotNull()).over(earlier(over)), F.lit(False))})
+    own = lambda c: F.when(~F.col("over"), c)
+    top = lambda r: F.greatest(r["_peak"], F.col("peak"))
+    deepest = F.array_max(F.transform("records", lambda r: (top(r) - r["low"]) / top(r)))
+    names = [F.col(f"_k{i}").alias(c) for i, c in enumerate(by)]
+    out = parts.groupBy(*names).agg(
+        F.max(own(F.col("end")))["cap"].alias("final_capital"), F.sum(own(F.col("ins"))).alias("trades"), F.max(own(deepest)).alias("max_drawdown"),
+        F.coalesce(F.min("hit"), F.sum("n")).cast("long").alias("time_to_target"), F.sum("n").alias("bars"),
+    )
+    return out.select(*by, "final_capital", "trades", "max_drawdown", "time_to_target", "bars")
+
+
+def next_open_trades(df: DataFrame, signal: str = "signal", costs: Costs = Costs(), by=("symbol",), order=("ts",), atr: str | None = None, commission_on: float = 0.0, chunk: str = "day") -> DataFrame:
     """Trades filled at the open after the signal: ``trade, entry_bar, exit_bar, entry_price, exit_price, liquidity, forced``.
 
     Prices include spread, slippage and ATR slippage; ``liquidity`` is the value traded in the entry bar.
     A position that is still open leaves at the last close (``forced``). The last bar's signals find no fill.
     """
     by, order = [*by], [*order]
-    w = Window.partitionBy(*by).orderBy(*order)
     slip = F.coalesce(F.col(atr), F.lit(0.0)) * costs.atr_slip if atr else F.lit(0.0)
     cross = costs.spread + costs.slippage
-    rows = df.withColumns({"_n": F.lead("open").over(w), "_v": F.lead("volume").over(w) * F.lead("open").over(w), "_slip": slip, "_usable": F.when(F.lead("open").over(w).isNotNull(), F.col(signal)).otherwise(0)})
-    shifted_signal = rows.withColumn("_s", F.lag("_usable").over(w))  # filled on this bar
-    placed = _states(shifted_signal.withColumn("_s", F.coalesce("_s", F.lit(0))).withColumns({"_pslip": F.lag("_slip").over(w), "_pv": F.lag("_v").over(w)}), "_s", by, order)
-    last = placed.groupBy(*by).agg(F.max_by(F.struct(F.col("close").alias("c"), F.col("_slip").alias("s"), F.col("_b").alias("b")), "_b").alias("_last"))
+    rows = df.withColumn("_slip", slip)
+    filled = lambda now, was: F.when(now["open"].isNotNull(), was[signal])
+    placed = _states(rows, filled, [signal, "open", "_slip"], by, order, chunk)
+    last = rows.groupBy(*by).agg(F.max_by(F.struct(F.col("close").alias("c"), F.col("_slip").alias("s")), F.struct(*order)).alias("_last"), (F.count(F.lit(1)) - 1).alias("_bars"))
     pick = lambda c, flag: F.max(F.when(F.col(flag), c))
+    before = F.col("_prev")["_slip"]
     trades = placed.where("_in or _out").groupBy(*by, F.col("_t").alias("trade")).agg(
-        pick(F.col("_b"), "_in").alias("entry_bar"), pick(F.col("_b"), "_out").alias("exit_bar"), pick(F.col("open") * (1 + cross) + F.col("_pslip"), "_in").alias("entry_price"),
-        pick(F.col("open") * (1 - cross) - F.col("_pslip"), "_out").alias("exit_price"), pick(F.col("_pv"), "_in").alias("liquidity"),
+        pick(F.col("_b"), "_in").alias("entry_bar"), pick(F.col("_b"), "_out").alias("exit_bar"), pick(F.col("open") * (1 + cross) + before, "_in").alias("entry_price"),
+        pick(F.col("open") * (1 - cross) - before, "_out").alias("exit_price"), pick(F.col("volume") * F.col("open"), "_in").alias("liquidity"),
     )
     met = trades.join(last, by)
     forced = F.col("exit_bar").isNull()
-    return met.select(*by, "trade", "entry_bar", F.coalesce("exit_bar", "_last.b").alias("exit_bar"), "entry_price", F.coalesce("exit_price", F.col("_last.c") * (1 - cross) - F.col("_last.s")).alias("exit_price"), "liquidity", forced.alias("forced"))
+    return met.select(*by, "trade", "entry_bar", F.coalesce("exit_bar", "_bars").alias("exit_bar"), "entry_price", F.coalesce("exit_price", F.col("_last.c") * (1 - cross) - F.col("_last.s")).alias("exit_price"), "liquidity", forced.alias("forced"))
+
+
+#: Trades of a chunk of a key.
+CHUNK_TRADES = 50_000
 
 
-def next_open(trades: DataFrame, capital: float = 10_000.0, fee: float = 0.001, share: float = 0.95, by=("symbol",)) -> DataFrame:
+def next_open(trades: DataFrame, capital: float = 10_000.0, fee: float = 0.001, share: float = 0.95, by=("symbol",), chunk: int = CHUNK_TRADES) -> DataFrame:
     """Equity after each trade of ``next_open_trades`` without a liquidity cap: a running product of factors.
 
     Adds ``ret`` (of the invested value), ``equity`` and ``pnl``.
     """
-    w = Window.partitionBy(*by).orderBy("trade")
     ratio = F.col("exit_price") / F.col("entry_price")
     factor = 1 - share * (1 + fee) + share * (1 - fee) * ratio
     grown = trades.withColumns({"ret": ratio * (1 - fee) - (1 + fee), "_f": factor})
-    equity = grown.withColumn("equity", capital * F.exp(F.sum(F.ln("_f")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    return equity.withColumn("pnl", F.col("equity") - F.col("equity") / F.col("_f")).drop("_f")
+    equity = running(grown, {"_g": ("sum", F.ln("_f"))}, [*by], ["trade"], chunk=chunk).withColumn("equity", capital * F.exp("_g"))
+    return equity.withColumn("pnl", F.col("equity") - F.col("equity") / F.col("_f")).drop("_f", "_g")
 
 
 def next_open_capped(trades: DataFrame, capital: float = 10_000.0, fee: float = 0.001, share: float = 0.95, participation: float = 0.1, by=("symbol",)) -> DataFrame:

@@ -88,12 +88,16 @@ def over_blocks(df: DataFrame, columns: dict[str, Callable[[Window], Column]], b
     return in_blocks(df, [columns_step(columns)], by, order, before, after, size)
 
 
-def chunk_key(by: list[str], order: list[str], chunk: str = "day") -> Column:
-    """A struct of the key and the time chunk. It is never null itself, so that joins on it are plain ones, and null keys are equal."""
-    return F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), F.date_trunc(chunk, F.col(order[0]).cast("timestamp")).alias("at"))
+def chunk_key(by: list[str], order: list[str], chunk: str | int = "day") -> Column:
+    """A struct of the key and the chunk: a unit of time, or so many numbers where the first column of ``order`` is one.
+
+    It is never null itself, so that joins on it are plain ones, and null keys are equal.
+    """
+    at = F.floor(F.col(order[0]) / chunk) if isinstance(chunk, int) else F.date_trunc(chunk, F.col(order[0]).cast("timestamp"))
+    return F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), at.alias("at"))
 
 
-def chunked(df: DataFrame, by: list[str], order: list[str], chunk: str = "day") -> DataFrame:
+def chunked(df: DataFrame, by: list[str], order: list[str], chunk: str | int = "day") -> DataFrame:
     """``df`` with ``_ck``, the ``chunk_key`` of its rows, unless an operator before has added it.
 
     Chains of operators that keep it deal their rows once, as all work over its values; it is dropped at the end.
@@ -244,12 +248,12 @@ def earlier(w, ahead: bool = False):
     return w.rowsBetween(*((1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)))
 
 
-def running(df: DataFrame, columns: dict[str, tuple[str, str | Column]], by: list[str], order: list[str], ahead: bool = False, chunk: str = "day") -> DataFrame:
+def running(df: DataFrame, columns: dict[str, tuple[str, str | Column]], by: list[str], order: list[str], ahead: bool = False, chunk: str | int = "day") -> DataFrame:
     """Add ``{name: (kind, x)}``: what the key's rows so far come to, this one included, or with ``ahead`` those from here on.
 
     Kinds: ``last`` (value that is not null, ``ahead`` the next one), ``max``, ``min``, ``sum``,
     ``count``. Windows are over (key, time chunk); what earlier chunks come to is a prefix over the
-    table of chunk totals, so no task needs a whole key. The first column of ``order`` is a time.
+    table of chunk totals, so no task needs a whole key. The first column of ``order`` is a time, or a number and ``chunk`` too.
     """
     by = [*by]
     rows = chunked(df, by, order, chunk)
