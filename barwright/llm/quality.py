@@ -26,6 +26,8 @@ from barwright.llm.lexical_search import LOWERED, term_spans
 
 #: At most about so many labelled rows are used, chosen by a hash of their identifier.
 MAX_LABELLED = 100_000
+#: At most about so many pseudo-labelled rows teach the other view in a round, chosen by hash of all that are confident: what a fit takes does not grow with the corpus.
+MAX_PSEUDO = 50_000
 ROUNDS = 2
 #: Calibrated probability from which a pseudo-label is passed on to the other view.
 CONFIDENT = 0.97
@@ -159,9 +161,12 @@ class View:
         return F.aggregate(F.array_distinct(slots), F.lit(self.intercept), lambda s, i: s + F.get(table, i)) * self.slope + self.shift
 
 
-def _text_vectors(rows: DataFrame) -> DataFrame:
+def _slot_vectors() -> CountVectorizerModel:
+    return CountVectorizerModel.from_vocabulary([str(i) for i in range(1 << LEXICAL_BITS)], inputCol="_slots", outputCol="_lexical").setBinary(True).setMinTF(0.0)
+
+
+def _text_vectors(rows: DataFrame, words: CountVectorizerModel) -> DataFrame:
     """``rows`` with ``features``: proportions, then a sparse vector of the slots."""
-    words = CountVectorizerModel.from_vocabulary([str(i) for i in range(1 << LEXICAL_BITS)], inputCol="_slots", outputCol="_lexical").setBinary(True).setMinTF(0.0)
     made = words.transform(rows.withColumns({"_dense": array_to_vector(F.transform("f", lambda x: x * DENSE_SCALE)), "_slots": F.col("w").cast("array<string>")}))
     unit = Normalizer(inputCol="_lexical", outputCol="_unit").transform(made)
     return VectorAssembler(inputCols=["_dense", "_unit"], outputCol="features").transform(unit).drop("_dense", "_slots", "_lexical", "_unit")
@@ -172,9 +177,9 @@ def _meta_vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", array_to_vector(one_hot))
 
 
-def _fit(rows: DataFrame) -> tuple[list[float], float]:
+def _fit(rows: DataFrame, steps: int = 25) -> tuple[list[float], float]:
     """Weights and intercept. Features are not standardised, as that would make rare words heavy."""
-    model = LogisticRegression(maxIter=25, regParam=REGULAR, tol=1e-5, weightCol="weight", standardization=False).fit(rows.select("features", F.col("label").cast("double").alias("label"), "weight"))
+    model = LogisticRegression(maxIter=steps, regParam=REGULAR, tol=1e-5, weightCol="weight", standardization=False).fit(rows.select("features", F.col("label").cast("double").alias("label"), "weight"))
     return [float(w) for w in model.coefficients.toArray()], float(model.intercept)
 
 
@@ -186,7 +191,7 @@ def _odds(p: float) -> float:
 class CoTrained:
     """Fitted views; ``score`` adds columns to any documents without a shuffle.
 
-    ``given`` counts each round's pseudo-labels by the view that learns from them.
+    ``given`` counts each round's confident pseudo-labels by the view that learns from them.
     """
 
     text: View | None
@@ -215,12 +220,15 @@ class CoTrained:
         return logits.select("_row.*", chance(F.col("_t")).alias("text_score"), chance(F.col("_m")).alias("meta_score"), score.alias("quality_score"), (score >= keep_from).alias("accepted"))
 
 
-def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, confident: float = CONFIDENT) -> CoTrained:
+def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, confident: float = CONFIDENT, max_pseudo: int = MAX_PSEUDO) -> CoTrained:
     """Fit both views on ``labels(id_col, label_col in 0/1)`` and all of ``docs``.
 
     Null identifiers or labels are no labels; several labels of a document count by their majority
     (a tie is a 1). Repeated document rows each count. Labels without a document are ignored. Where
     either class has no labelled document, the model is empty and accepts everything.
+
+    Every unlabelled document is a candidate in each round; of those from whose log odds a view is
+    ``confident``, the other view learns from some ``max_pseudo``.
     """
     meta_cols = [c for c in meta_cols if c in docs.columns]
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
@@ -240,18 +248,21 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     to_text = to_meta = own
     given: list[dict[str, int]] = []
 
-    def pseudo(logit: Column) -> DataFrame:
-        marked = other.select("f", "w", "slots", logit.alias("_l")).where(F.abs("_l") >= _odds(confident))
-        return marked.select("f", "w", "slots", (F.col("_l") > 0).cast("int").alias("label"), F.lit(PSEUDO_WEIGHT).alias("weight"))
+    def pseudo(logit: Column) -> tuple[DataFrame, int]:
+        marked = other.select("f", "w", "slots", "draw", logit.alias("_l")).where(F.abs("_l") >= _odds(confident))
+        count = marked.count()
+        taught = marked.where(F.col("draw") < int(1e6 * min(1.0, max_pseudo / max(1, count))))
+        return taught.select("f", "w", "slots", (F.col("_l") > 0).cast("int").alias("label"), F.lit(PSEUDO_WEIGHT).alias("weight")), count
 
+    words = _slot_vectors()
     for turn in range(rounds + 1):
-        text, meta = View(*_fit(_text_vectors(to_text))), View(*_fit(_meta_vectors(to_meta)))
+        text, meta = View(*_fit(_text_vectors(to_text, words))), View(*_fit(_meta_vectors(to_meta)))
         for view, logit in ((text, text.of_features()), (meta, meta.of_slots())):
-            (slope,), view.shift = _fit(held.withColumn("features", array_to_vector(F.array(logit))))
+            (slope,), view.shift = _fit(held.withColumn("features", array_to_vector(F.array(logit))), steps=10)
             view.slope = slope
         if turn < rounds:
-            for_meta, for_text = pseudo(text.of_features()), pseudo(meta.of_slots())
-            given.append({"meta": for_meta.count(), "text": for_text.count()})
+            (for_meta, n_meta), (for_text, n_text) = pseudo(text.of_features()), pseudo(meta.of_slots())
+            given.append({"meta": n_meta, "text": n_text})
             to_meta, to_text = own.union(for_meta), own.union(for_text)
     forget(chosen)
     forget(rows)
