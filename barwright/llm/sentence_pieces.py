@@ -63,11 +63,15 @@ class PieceModel:
         scores = np.array([library.get_score(i) for i in range(self.size)])
         rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
         pairs = sorted((normal[p[:i]] * self.size + normal[p[i:]], m) for p, m in normal.items() for i in range(1, len(p)) if p[:i] in normal and p[i:] in normal)
-        self.pair_keys = np.array([k for k, _ in pairs] or [0], dtype=np.int64)
-        self.pair_into = np.array([m for _, m in pairs] or [0], dtype=np.int32)
-        self.pair_rank = rank[self.pair_into]
-        if not pairs:
-            self.pair_rank = np.array([NONE])
+        self.slots = 64 - max(4, (4 * len(pairs)).bit_length())
+        size = 1 << (64 - self.slots)
+        self.pair_keys = np.full(size, -1, dtype=np.int64)
+        self.pair_rank, self.pair_into = np.full(size, NONE, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        wanted = self._slot(np.array([k for k, _ in pairs], dtype=np.int64)).tolist()
+        for (key, into), at in zip(pairs, wanted, strict=True):
+            while self.pair_keys[at] >= 0:
+                at = (at + 1) % size
+            self.pair_keys[at], self.pair_rank[at], self.pair_into[at] = key, rank[into], into
 
         # decoding: what each id stands for; blanks are spaces
         self.is_control = np.array([library.is_control(i) for i in range(self.size)])
@@ -84,72 +88,80 @@ class PieceModel:
 
     # merging ----------------------------------------------------------------------------------------
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.slots)).astype(np.int64)
+
     def ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (or ``NONE``) and merged symbol of pairs of symbols."""
-        keys = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        found = (self.pair_keys[at] == keys) & (left >= 0) & (right >= 0)
-        return np.where(found, self.pair_rank[at], NONE), self.pair_into[at]
+        """Rank (or ``NONE``) and merged symbol of pairs of symbols, from a table with open addressing."""
+        keys = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.size + right, -2)
+        slot = self._slot(keys)
+        found = self.pair_keys[slot]
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % len(self.pair_keys)
+            found[open_] = self.pair_keys[slot[open_]]
+            open_ = open_[(found[open_] != keys[open_]) & (found[open_] >= 0)]
+        return np.where(found == keys, self.pair_rank[slot], NONE), self.pair_into[slot]
 
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merged symbols of many words and the word each belongs to, words in order."""
-        done_symbols, done_word = [], []
+        done_symbols, done_word = [symbols[:0]], [word[:0]]
         long = np.bincount(word)[word] > LONG_WORD if len(word) else np.zeros(0, dtype=bool)
         if long.any():
             self._one_by_one(symbols[long], word[long], done_symbols, done_word)
             symbols, word = symbols[~long], word[~long]
+        rank, into = np.full(len(symbols), NONE, dtype=np.int32), np.zeros(len(symbols), dtype=np.int32)
+        self._rank_at(np.arange(len(symbols)), symbols, word, rank, into)
         while len(symbols):
-            n = len(symbols)
-            rank = np.full(n, NONE, dtype=np.int32)
-            into = np.zeros(n, dtype=np.int32)
-            same = np.flatnonzero(word[1:] == word[:-1])
-            rank[same], into[same] = self.ranked(symbols[same], symbols[same + 1])
             begins = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            sizes = np.diff(np.r_[begins, n])
+            sizes = np.diff(np.r_[begins, len(symbols)])
             least = np.minimum.reduceat(rank, begins)
             # words without a pair are done
             live = np.repeat(least < NONE, sizes)
+            best = np.repeat(least, sizes)
             if not live.all():
                 done_symbols.append(symbols[~live])
                 done_word.append(word[~live])
-            symbols, word, rank, into, best = symbols[live], word[live], rank[live], into[live], np.repeat(least, sizes)[live]
-            if not len(symbols):
-                break
+                symbols, word, rank, into, best = symbols[live], word[live], rank[live], into[live], best[live]
+                if not len(symbols):
+                    break
             # of overlapping occurrences every other one, from the left
             hit = rank == best
             at = np.arange(len(hit))
             first = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], at, 0))
             chosen = np.flatnonzero(hit & ((at - first) % 2 == 0))
-            merged = symbols.copy()
-            merged[chosen] = into[chosen]
+            before, before_word = symbols, word
             keep = np.ones(len(symbols), dtype=bool)
             keep[chosen + 1] = False
-            odd = self._disturbed(symbols, merged, word, best, chosen)
-            if len(odd):  # merges that change what is best at once: these words go on from here pair by pair
-                apart = np.isin(word, odd)
-                self._one_by_one(symbols[apart], word[apart], done_symbols, done_word)
-                keep &= ~apart
-            symbols, word = merged[keep], word[keep]
-        if not done_symbols:
-            return symbols, word
+            symbols = symbols.copy()
+            symbols[chosen] = into[chosen]
+            # a merged symbol makes pairs with both neighbours; the right one as it was counts, too, if it has just been merged itself
+            twice = chosen[:-1][(np.diff(chosen) == 2) & (word[chosen[1:]] == word[chosen[:-1]])]
+            odd = [word[twice[self.ranked(symbols[twice], before[twice + 2])[0] <= best[twice]]]]
+            symbols, word, rank, into, best = symbols[keep], word[keep], rank[keep], into[keep], best[keep]
+            here = chosen - np.arange(len(chosen))
+            changed = np.zeros(len(symbols), dtype=bool)
+            changed[here] = True
+            changed[here[here > 0] - 1] = True
+            fresh = np.flatnonzero(changed)
+            self._rank_at(fresh, symbols, word, rank, into)
+            odd = np.unique(np.concatenate([*odd, word[fresh[(rank[fresh] <= best[fresh])]]]))
+            # a fresh pair as good as the one just merged, or better, would have come first: such words start again, pair by pair
+            if len(odd):
+                apart = np.isin(before_word, odd)
+                self._one_by_one(before[apart], before_word[apart], done_symbols, done_word)
+                stay = ~np.isin(word, odd)
+                symbols, word, rank, into = symbols[stay], word[stay], rank[stay], into[stay]
         symbols, word = np.concatenate(done_symbols), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         return symbols[order], word[order]
 
-    def _disturbed(self, before: np.ndarray, after: np.ndarray, word: np.ndarray, best: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """Words in which a merged symbol and a neighbour are as good a pair as the one just merged, or better."""
-        # left neighbour as it is once all merges to the left are made, right neighbour as it is before
-        gone = np.zeros(len(before) + 2, dtype=bool)
-        gone[chosen + 1] = True
-        left = chosen - 1 - gone[np.maximum(chosen - 1, 0)]
-        right = chosen + 2
-        bad = np.zeros(len(chosen), dtype=bool)
-        ok = (left >= 0) & (word[np.maximum(left, 0)] == word[chosen])
-        bad[ok] = self.ranked(after[left[ok]], after[chosen[ok]])[0] <= best[chosen[ok]]
-        ok = right < len(before)
-        ok[ok] = word[right[ok]] == word[chosen[ok]]
-        bad[ok] |= self.ranked(after[chosen[ok]], before[right[ok]])[0] <= best[chosen[ok]]
-        return np.unique(word[chosen[bad]])
+    def _rank_at(self, at: np.ndarray, symbols: np.ndarray, word: np.ndarray, rank: np.ndarray, into: np.ndarray) -> None:
+        """Sets rank and merged symbol of the pairs that start at ``at``."""
+        nxt = np.minimum(at + 1, len(symbols) - 1)
+        inside = (nxt > at) & (word[nxt] == word[at])
+        rank[at] = NONE
+        rank[at[inside]], into[at[inside]] = self.ranked(symbols[at[inside]], symbols[nxt[inside]])
 
     def _one_by_one(self, symbols: np.ndarray, word: np.ndarray, out_symbols: list, out_word: list) -> None:
         """Merges of a few words by a queue of pairs, the best and then leftmost first."""
