@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,26 +164,68 @@ def next_open(trades: DataFrame, capital: float = 10_000.0, fee: float = 0.001,
     return equity.withColumn("pnl", F.col("equity") - F.col("equity") / F.col("_f")).drop("_f", "_g")
 
 
-def next_open_capped(trades: DataFrame, capital: float = 10_000.0, fee: float = 0.001, share: float = 0.95, participation: float = 0.1, by=("symbol",)) -> DataFrame:
-    """As ``next_open``, with each position at most ``participation`` of its entry bar's traded value.
+#: Trades whose effects on capital are composed into one map.
+RUN_TRADES = 128
 
-    Sizes depend on the path, so each key's trades (not bars) are walked in an Arrow batch.
+
+def _compose(trades: Column, share: float) -> Column:
+    """What a run of trades makes of the capital before it, as ``x, y`` (corners of a piecewise-linear, rising map from 0 on) and the slope ``s`` behind them.
+
+    A trade of return ``r`` multiplies a capital up to ``k`` by ``1 + share r``; beyond ``k``, where its position
+    is capped, it adds ``share k r``. So each trade bends the map at the capital that arrives at ``k``, once.
     """
+    start = F.struct(F.array(F.lit(0.0)).alias("x"), F.array(F.lit(0.0)).alias("y"), F.lit(1.0).alias("s"))
+
+    def trade(m: Column, t: Column) -> Column:
+        grow, k = 1 + share * t["r"], t["k"]
+        below = F.size(F.filter(m["y"], lambda y: y <= k))  # the first corner is at 0, so 1 at least
+        x, y, n = m["x"], m["y"], F.size(m["x"])
+        x0, y0, x1, y1 = F.get(x, below - 1), F.get(y, below - 1), F.get(x, below), F.get(y, below)
+        at = x0 + F.when(below < n, (k - y0) * (x1 - x0) / (y1 - y0)).otherwise((k - y0) / m["s"])
+        bent = F.struct(
+            F.concat(F.slice(x, F.lit(1), below), F.array(at), F.slice(x, below + 1, n)).alias("x"),
+            F.concat(F.transform(F.slice(y, F.lit(1), below), lambda v: v * grow), F.array(k * grow), F.transform(F.slice(y, below + 1, n), lambda v: v + share * k * t["r"])).alias("y"), m["s"].alias("s"),
+        )
+        return F.when(k.isNull(), F.struct(x.alias("x"), F.transform(y, lambda v: v * grow).alias("y"), (m["s"] * grow).alias("s"))).otherwise(bent)
+
+    return F.aggregate(trades, start, trade)
+
+
+def _mapped(m: Column, cash: Column) -> Column:
+    """A composed map's value."""
+    below = F.size(F.filter(m["x"], lambda x: x <= cash))
+    x0, y0, x1, y1 = F.get(m["x"], below - 1), F.get(m["y"], below - 1), F.get(m["x"], below), F.get(m["y"], below)
+    return y0 + F.when(below < F.size(m["x"]), (cash - x0) * (y1 - y0) / (x1 - x0)).otherwise((cash - x0) * m["s"])
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("trade", kind="stable").reset_index(drop=True)
-        cash, rets, equities, pnls = capital, [], [], []
-        for entry, leave, liquid in zip(rows["entry_price"], rows["exit_price"], rows["liquidity"], strict=True):
-            value = min(cash * share, liquid * participation) if pd.notna(liquid) else cash * share
-            ret = leave / entry * (1 - fee) - (1 + fee)
-            cash += value * ret
-            rets.append(ret)
-            equities.append(cash)
-            pnls.append(value * ret)
-        return rows.assign(ret=rets, equity=equities, pnl=pnls)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trades.schema) + ", ret double, equity double, pnl double"
-    return trades.groupBy(*by).applyInPandas(walk, schema)
+
+def next_open_capped(trades: DataFrame, capital: float = 10_000.0, fee: float = 0.001, share: float = 0.95, participation: float = 0.1, by=("symbol",), run: int = RUN_TRADES) -> DataFrame:
+    """As ``next_open``, with each position at most ``participation`` of its entry bar's traded value (of any size where that is null).
+
+    Runs of ``run`` trades come to one piecewise-linear map each, in their own tasks; a pass over a key's
+    maps gives the capital before each run, and runs then walk their trades. The table of maps has at most two numbers a
+    trade. Invested capital and its fee must be less than the capital, so that no trade loses more.
+    """
+    if not 0 < share * (1 + fee) < 1 or participation <= 0:
+        raise ValueError("share and its fee must be below 1, participation above 0")
+    by, own = [*by], F.struct(*trades.columns)
+    ret = F.col("exit_price") / F.col("entry_price") * (1 - fee) - (1 + fee)
+    dealt = trades.withColumns({"_kk": F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by))), "_run": F.floor(F.col("trade") / run)})
+    each = F.struct(F.col("trade").alias("n"), ret.alias("r"), (F.col("liquidity") * participation / share).alias("k"), own.alias("own"))
+    runs = dealt.groupBy("_kk", "_run").agg(F.array_sort(F.collect_list(each)).alias("trades"))
+    maps = runs.select("_kk", "_run", _compose(F.col("trades"), share).alias("m")).groupBy("_kk").agg(F.array_sort(F.collect_list(F.struct("_run", "m"))).alias("maps"))
+    opened = F.aggregate(
+        "maps", F.struct(F.lit(capital).alias("cash"), F.array().cast("array<struct<run:bigint,cash:double>>").alias("out")),
+        lambda a, m: F.struct(_mapped(m["m"], a["cash"]).alias("cash"), F.concat(a["out"], F.array(F.struct(m["_run"].alias("run"), a["cash"].alias("cash")))).alias("out")), lambda a: a["out"],
+    )
+    openings = maps.select(F.col("_kk").alias("_ko"), F.explode(opened).alias("o")).select("_ko", F.col("o.run").alias("_ro"), F.col("o.cash").alias("_open"))
+    met = runs.join(openings, (F.col("_kk") == F.col("_ko")) & (F.col("_run") == F.col("_ro")))
+    gain = lambda cash, t: F.coalesce(F.least(cash, t["k"]) * share * t["r"], F.lit(0.0))
+    kind = f"array<struct<own:{trades.schema.simpleString()},ret:double,equity:double,pnl:double>>"
+    walked = F.aggregate(
+        "trades", F.struct(F.col("_open").alias("cash"), F.array().cast(kind).alias("out")),
+        lambda a, t: F.struct((a["cash"] + gain(a["cash"], t)).alias("cash"), F.concat(a["out"], F.array(F.struct(t["own"].alias("own"), t["r"].alias("ret"), (a["cash"] + gain(a["cash"], t)).alias("equity"), gain(a["cash"], t).alias("pnl")))).alias("out")), lambda a: a["out"],
+    )
+    return met.select(F.explode(walked).alias("w")).select("w.own.*", "w.ret", "w.equity", "w.pnl")
 
 
 def fitness(result: DataFrame, variant: str = "velocity", capital: float = 10_000.0, target: float = 0.1) -> DataFrame:

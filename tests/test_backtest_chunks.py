@@ -106,3 +106,25 @@ def test_next_open_trades(spark, bars, chunk):
     whole = backtest.next_open(backtest.next_open_trades(df, chunk=chunk))
     small = backtest.next_open(backtest.next_open_trades(df, chunk=chunk), chunk=2)
     assert [r.equity for r in whole.orderBy("symbol", "trade").collect()] == [pytest.approx(r.equity) for r in small.orderBy("symbol", "trade").collect()]
+
+
+@pytest.mark.parametrize("run", [1, 7, 128])
+def test_capped_positions_match_the_walk(spark, run):
+    rng = random.Random(3)
+    rows = []
+    for symbol, scale in (("deep", 1e6), ("thin", 2e3), ("mixed", 1e5), (None, 5e4)):
+        for n in range(1, 61):
+            entry = rng.uniform(1, 100)
+            rows.append((symbol, n, entry, entry * rng.uniform(0.6, 1.6), None if rng.random() < 0.1 else scale * rng.random()))
+    df = spark.createDataFrame(rows, "symbol string, trade long, entry_price double, exit_price double, liquidity double").repartition(3)
+    got = {(r.symbol, r.trade): r for r in backtest.next_open_capped(df, run=run).collect()}
+    cash = {}
+    for symbol, n, entry, leave, liquid in rows:
+        now, ret = cash.get(symbol, 10_000.0), leave / entry * 0.999 - 1.001
+        value = min(now * 0.95, liquid * 0.1) if liquid is not None else now * 0.95
+        cash[symbol] = now + value * ret
+        r = got.pop((symbol, n))
+        assert (r.ret, r.equity, r.pnl, r.liquidity) == (pytest.approx(ret), pytest.approx(cash[symbol], rel=1e-9), pytest.approx(value * ret, rel=1e-9, abs=1e-9), liquid)
+    assert not got
+    with pytest.raises(ValueError, match="share"):
+        backtest.next_open_capped(df, share=1.0)
