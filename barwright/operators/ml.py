@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from barwright.functions.scalar import both, either, gt, lt, negate, protected_div, protected_inv, protected_log, protected_sqrt, safe_ratio
 from barwright.operators.asof import new_rows
 from barwright.operators.clean import sanitize
+from barwright.operators.resample import numbered, shuffled_place
 
 
 def scale_stats(df: DataFrame, cols: list[str], kind: str) -> DataFrame:
@@ -246,27 +247,26 @@ def text_complexity(df: DataFrame, column: str) -> DataFrame:
 
 
 def treatment_effect(df: DataFrame, treatment: str, outcome: str, confounders: list[str], by: list[str], order: list[str], placebos: int = 99, seed: int = 42) -> DataFrame:
-    """One row ``effect, placebo_mean, p_value``: least-squares weight of the treatment, against treatments hash-permuted within each key.
+    """One row ``effect, placebo_mean, p_value``: least-squares weight of the treatment, against treatments permuted within each key.
 
-    All placebos are one job: the treatment is dealt anew once per replicate, and the normal equations are sums per replicate.
+    All placebos are one job: each replicate looks treatments up at other places of its key, and the normal equations are sums per replicate.
     """
     names = [treatment, *confounders]
-    base = df.dropna(subset=[*names, outcome]).select(*dict.fromkeys([*by, *order, *names, outcome])).cache()
+    base = df.dropna(subset=[*names, outcome]).select(*dict.fromkeys([*by, *order, *names, outcome]))
     middle = base.agg(*(F.avg(c).alias(c) for c in [*names, outcome])).first()
     centred = lambda c: F.col(c).cast("double") - F.lit(middle[c])
-    place = Window.partitionBy(*by).orderBy(*order)
-    placed = base.select(*by, F.row_number().over(place).alias("_i"), centred(treatment).alias("_x0"), *(centred(c).alias(f"_x{i}") for i, c in enumerate(confounders, 1)), centred(outcome).alias("_y"))
-    fake = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(placebos - 1))).alias("_rep"))
-    deal = Window.partitionBy(*by, "_rep").orderBy(F.xxhash64(F.lit(seed) + F.col("_rep"), *order), *order)
-    dealt = fake.select(*by, "_rep", F.row_number().over(deal).alias("_i"), centred(treatment).alias("_x0"))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "_i"]]
-    matched = placed.drop("_x0").alias("l").join(dealt.alias("r"), same).select("r._rep", "r._x0", *(f"l._x{i}" for i in range(1, len(names))), "l._y")
-    own = placed.select(F.lit(-1).alias("_rep"), "_x0", *(f"_x{i}" for i in range(1, len(names))), "_y")
+    placed = numbered(base, by, order).select(F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by))).alias("_k"), "_i", "_n", *(centred(c).alias(f"_x{i}") for i, c in enumerate(names)), centred(outcome).alias("_y"))
+    given = placed.select(F.col("_k").alias("_kg"), F.col("_i").alias("_j"), F.col("_x0").alias("_fake"))
+    # a permuted treatment is a look-up of the place that the replicate's permutation names, no sort of a copy
+    copies = placed.drop("_x0").withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(placebos - 1))))
+    there = shuffled_place(F.col("_i"), F.col("_n"), F.lit(seed) + F.col("_rep"), F.col("_k"))
+    matched = copies.withColumn("_there", there).join(given, (F.col("_k") == F.col("_kg")) & (F.col("_there") == F.col("_j")))
+    rest = [*(f"_x{i}" for i in range(1, len(names))), "_y"]
+    both = matched.select("_rep", F.col("_fake").alias("_x0"), *rest).union(placed.select(F.lit(-1).alias("_rep"), "_x0", *rest))
     cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = matched.union(own).groupBy("_rep").agg(
+    sums = both.groupBy("_rep").agg(
         *(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"s{i}_{j}") for i, j in cells), *(F.sum(F.col(f"_x{i}") * F.col("_y")).alias(f"y{i}") for i in range(len(names)))
     ).collect()
-    base.unpersist()
 
     def weight(row) -> float:
         gram = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))])
