@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwright.operators import selection
 from barwright.operators.clean import fill
 
 
@@ -52,11 +53,13 @@ def elite_stats(elite: DataFrame, profit: str = "profit_pct", dna: str = "has_dn
 
 
 def quantiles(df: DataFrame, c: str, by: list[str], approximate: bool = False) -> DataFrame:
-    """``q25, q50, q75, iqr``; exact with linear interpolation, or approximate for large groups."""
-    qs = [0.25, 0.5, 0.75]
-    made = F.approx_percentile(c, qs, 10_000) if approximate else F.percentile(c, F.array(*map(F.lit, qs)))
-    rows = df.groupBy(*by).agg(made.alias("_q"))
-    return rows.select(*by, *(F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "q50", "q75")))).withColumn("iqr", F.col("q75") - F.col("q25"))
+    """``q25, q50, q75, iqr``; exact with linear interpolation (see ``selection``), or approximate in one pass."""
+    names = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    if approximate:
+        rows = df.groupBy(*by).agg(F.approx_percentile(c, [*names.values()], 10_000).alias("_q")).select(*by, *(F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    else:
+        rows = selection.quantiles(df, {n: (c, q) for n, q in names.items()}, by)
+    return rows.withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
 def append_aligned(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barwright.functions.scalar import both, either, gt, lt, negate, protected_div, protected_inv, protected_log, protected_sqrt, safe_ratio
+from barwright.operators import selection
 from barwright.operators.asof import new_rows
 from barwright.operators.clean import sanitize
 from barwright.operators.resample import numbered, shuffled_place
@@ -33,8 +34,8 @@ def scale_stats(df: DataFrame, cols: list[str], kind: str) -> DataFrame:
         elif kind == "minmax":
             made += [F.min(c).cast("double").alias(f"{c}__c"), (F.max(c) - F.min(c)).cast("double").alias(f"{c}__w")]
         else:
-            made += [F.percentile(c, 0.5).alias(f"{c}__c"), (F.percentile(c, 0.75) - F.percentile(c, 0.25)).alias(f"{c}__w")]
-    row = df.agg(*made)
+            made += [F.col(f"{c}__m").alias(f"{c}__c"), (F.col(f"{c}__h") - F.col(f"{c}__l")).alias(f"{c}__w")]
+    row = selection.quantiles(df, {f"{c}__{n}": (c, q) for c in cols for n, q in (("l", 0.25), ("m", 0.5), ("h", 0.75))}, []).select(*made) if kind == "robust" else df.agg(*made)
     return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"{c}__c").alias("center"), F.col(f"{c}__w").alias("width")) for c in cols))).alias("s")).select("s.*")
 
 
@@ -109,8 +110,7 @@ def conformal(calibration: DataFrame, scored: DataFrame, probs: str, label: str,
     """``scored`` with ``set_size``: classes until their sorted probabilities reach the calibrated cumulative quantile."""
     top = lambda c: F.sort_array(c, asc=False)
     upto = F.aggregate(F.filter(probs, lambda p: p >= F.get(probs, F.col(label))), F.lit(0.0), lambda s, p: s + p)
-    n = F.count(F.lit(1))
-    q = calibration.agg(F.collect_set(F.lit(0)).alias("_x"), F.percentile(upto, 1 - alpha).alias("_q"), n.alias("_n")).select("_q")
+    q = selection.quantiles(calibration.select(upto.alias("_u")), {"_q": ("_u", 1 - alpha)}, [])
     met = scored.crossJoin(F.broadcast(q))
     size = F.aggregate(
         top(F.col(probs)), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions.scalar import normal_cdf, safe_ratio, softmax
 from barwright.operators.scan import ewm
+from barwright.operators.selection import ranked_values
 
 
 def sample_skew(c: str | Column) -> Column:
@@ -76,21 +77,33 @@ def key_trades(trades: DataFrame, by: list[str], pnl: str, order: list[str], key
     return ranked.where(f"_top <= {k} or _low <= {k} or _new <= {k}").drop("_top", "_low", "_new")
 
 
+#: Parts in which ties at a cut are numbered before the first rows of each meet.
+TIE_SALTS = 64
+
+
 def top_fraction(df: DataFrame, score: str, key: str, frac: float = 0.02, floor: int = 10, by: list[str] | None = None) -> DataFrame:
-    """The best ``max(floor, frac of rows)`` rows per key (or of all) by score, ties to the smaller ``key``."""
-    by = by or []
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    met = df.join(n, by) if by else df.crossJoin(F.broadcast(n))
-    take = F.greatest(F.lit(floor), F.floor(F.col("_n") * frac))
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc(), key) if by else Window.orderBy(F.col(score).desc(), key)
+    """The best ``max(floor, frac of rows)`` rows per key (or of all) by score, ties to the smaller ``key``; missing scores come last.
+
+    Without ``by``, the score at the cut is selected without sorting: all above it stay, and its ties, which
+    meet in one task unless they are more than are wanted, fill up by ``key``.
+    """
     if by:
-        return met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= take).drop("_r", "_n")
-    # without a key, rows at or above the cut are found by a rank over score counts, not by one sorted partition of rows
-    sizes = df.groupBy(score).agg(F.count(F.lit(1)).alias("_c"))
-    cuts = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    placed = met.join(cuts, score).where(F.col("_before") < take)
-    inside = Window.partitionBy(score).orderBy(key)
-    return placed.withColumn("_r", F.col("_before") + F.row_number().over(inside)).where(F.col("_r") <= take).drop("_r", "_n", "_before")
+        met = df.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc(), key))
+        return met.withColumn("_r", rank).where(F.col("_r") <= F.greatest(F.lit(floor), F.floor(F.col("_n") * frac))).drop("_r", "_n")
+    now = F.col(score).cast("double")
+    facts = df.agg(F.count(F.lit(1)).alias("_n"), F.count(now).alias("_m")).withColumn("_take", F.greatest(F.lit(floor), F.floor(F.col("_n") * frac)))
+    place = F.struct(F.lit(0).alias("k0")).alias("_k")
+    wanted = facts.where("_take < _m").select(place, F.lit("cut").alias("name"), (F.col("_m") - F.col("_take")).cast("bigint").alias("rank"))
+    cut = ranked_values(df.select(place, now.alias("v")).where("v is not null"), F.broadcast(wanted), few_keys=True).select(F.col("value").alias("_cut"))
+    # one row each; no cut if all known scores stay
+    held = df.crossJoin(F.broadcast(facts.select("_take"))).join(F.broadcast(cut), F.lit(True), "left")
+    above = held.where(F.when(F.col("_cut").isNull(), now.isNotNull()).otherwise(now > F.col("_cut")))
+    tied = held.where(now.eqNullSafe(F.col("_cut"))).crossJoin(F.broadcast(above.agg(F.count(F.lit(1)).alias("_a"))))
+    order = [F.col(score).desc(), F.col(key)]
+    few = tied.withColumn("_r", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(TIE_SALTS))).orderBy(*order))).where(F.col("_r") <= F.col("_take") - F.col("_a"))
+    last = few.withColumn("_r", F.row_number().over(Window.orderBy(*order))).where(F.col("_r") <= F.col("_take") - F.col("_a"))
+    return above.select(*df.columns).unionByName(last.select(*df.columns))
 
 
 def last_n(df: DataFrame, n: int, by: list[str], order: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from barwright.operators.scan import carried, chunked, earlier
 
 #: Rounds of the keyed permutation; pairs of places are as good as random after some twice the logarithm of their number.
-ROUNDS = 48
+ROUNDS = 24
 #: Trades of a chunk that draws for itself, on average; replicates that travel together.
 CHUNK_TRADES, REP_BLOCK = 4096, 100
 
