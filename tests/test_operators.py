@@ -132,7 +132,7 @@ def test_stream_bars_and_breaker(spark, tmp_path):
     equity = spark.createDataFrame([("a", at(0), 100.0), ("a", at(1), 89.0), ("a", at(1440), 100.0)], "account string, ts timestamp, equity double")
     equity.write.parquet(str(tmp_path / "eq"))
     out = []
-    streams.breaker_stream(spark.readStream.schema(equity.schema).parquet(str(tmp_path / "eq"))).writeStream.option("checkpointLocation", str(tmp_path / "c2")).foreachBatch(lambda d, n: out.extend(d.collect())).trigger(availableNow=True).start().awaitTermination()
+    streams.breaker_stream(spark.readStream.schema(equity.schema).parquet(str(tmp_path / "eq")), late="0 seconds").writeStream.option("checkpointLocation", str(tmp_path / "c2")).foreachBatch(lambda d, n: out.extend(d.collect())).trigger(availableNow=True).start().awaitTermination()
     assert [r.allowed for r in sorted(out, key=lambda r: r.ts)] == [True, False, True]
 
 
