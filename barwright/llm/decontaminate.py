@@ -123,4 +123,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """``docs`` without those that hold a benchmark item; rows of a null identifier stay unless one of them does."""
     gone = contained_items(docs, items, id_col, text_col, **options).select(F.col(id_col).alias("_gone")).distinct()
     gone = within_broadcast(stored(gone))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")

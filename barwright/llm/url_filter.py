@@ -71,9 +71,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defaul
     """
     host, path = split_url(url_col)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    parts = pages.select(*kept, host.alias("host"), path.alias("path"))
+    # the given columns travel in one struct, so that no name of theirs can clash
+    parts = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"), host.alias("host"), path.alias("path"))
     if len(rules) > max_broadcast:
-        return _judge_by_join(parts, rules, kept, default)
+        return _judge_by_join(parts, rules, default)
     trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules))
 
     @F.pandas_udf("rule string, verdict string")
@@ -81,10 +82,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defaul
         return pd.DataFrame([trie.value.find(h, p) for h, p in zip(host, path, strict=True)], columns=["rule", "verdict"], dtype=object)
 
     found = parts.withColumn("_found", look("host", "path"))
-    return found.select(*kept, "host", "path", F.col("_found.rule").alias("rule"), F.coalesce("_found.verdict", F.lit(default)).alias("verdict"))
+    return found.select("_row.*", "host", "path", F.col("_found.rule").alias("rule"), F.coalesce("_found.verdict", F.lit(default)).alias("verdict"))
 
 
-def _judge_by_join(parts: DataFrame, rules: list[Rule], kept: list[str], default: str) -> DataFrame:
+def _judge_by_join(parts: DataFrame, rules: list[Rule], default: str) -> DataFrame:
     """The same verdicts by equi-join, for rule lists too large to broadcast.
 
     Only distinct (host, path) pairs are expanded, into host suffixes and those path prefixes whose
@@ -105,4 +106,4 @@ def _judge_by_join(parts: DataFrame, rules: list[Rule], kept: list[str], default
         .join(table, ["_h", "_p"])
         .groupBy("host", "path").agg(F.max(F.struct("_n", "_len", F.concat("_h", "_p").alias("rule"), F.col("_v").alias("verdict"))).alias("_best"))
     )
-    return parts.join(best, ["host", "path"], "left").select(*kept, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+    return parts.join(best, ["host", "path"], "left").select("_row.*", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))

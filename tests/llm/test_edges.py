@@ -161,3 +161,15 @@ def test_spans_of_many_matches(spark):
     spans = frame(spark, [text, "", None]).select("doc_id", common.found_spans(F.coalesce("text", F.lit("")), "[0-9]+").alias("s")).collect()
     assert [(s.start, s.end) for s in spans[0].s] == [m.span() for m in re.finditer("[0-9]+", text)]
     assert json.dumps([r.s for r in spans[1:]]) == "[[], []]"
+
+
+def test_clashing_names_of_helpers(spark):
+    from barwright.llm import decontaminate
+
+    pages = spark.createDataFrame([(1, "http://a.example.net/en/x", "kept", "too", "three")], "page_id long, url string, _found string, _best string, _row string")
+    for options in ({}, {"max_broadcast": 0}):
+        (r,) = url_filter.judge_urls(pages, registry.URL_RULES, **options).collect()
+        assert (r.rule, r.verdict, r._found, r._best, r._row) == ("example.net/en/", "allow", "kept", "too", "three")
+    docs = spark.createDataFrame([(1, "one two three four five six", "x", 5), (2, "other words here", "y", 6)], "doc_id long, text string, _gone string, doc int")
+    items = spark.createDataFrame([(9, "One two three four five six")], "item_id long, text string")
+    assert [(r.doc_id, r._gone) for r in decontaminate.drop_contaminated(docs, items).collect()] == [(2, "y")]
