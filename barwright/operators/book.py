@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions.scalar import finite, safe_ratio, sum_levels
 from barwright.operators.clean import fill
-from barwright.operators.scan import ewm, indexed, over_blocks
+from barwright.operators.scan import carried, chunked, earlier, ewm, over_blocks
 
 
 def book_asof(messages: DataFrame, at=None, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -121,14 +121,37 @@ def l1_features(tops: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return fill(made, names, "ffill", by, order).fillna(0.0, names)
 
 
+def tick_signs(ticks: DataFrame, price: str = "price", by=("symbol",), order=("ts",)) -> DataFrame:
+    """Adds ``tick_sign``: the tick rule, carried over equal prices, +1 in a key's first row and next to a missing price."""
+    by, order = [*by], [*order]
+    w = Window.partitionBy("_ck").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    sign = lambda now, was: F.when((now - was).isNull() | (now > was), 1.0).when(now < was, -1.0)
+    rows = chunked(ticks, by, order).withColumn("_r", F.row_number().over(w))
+    rows = rows.withColumn("_s", F.when(F.col("_r") > 1, sign(F.col(price), F.lag(price).over(w))))
+    totals = [F.min_by(price, "_r").alias("_top"), F.max_by(F.col(price), F.col("_r")).alias("_end"), F.max_by("_s", F.when(F.col("_s").isNotNull(), F.col("_r"))).alias("_last")]
+    across = [
+        {"_edge": lambda w: sign(F.col("_top"), F.lag("_end").over(w))},  # of a chunk's first row, against the chunk before
+        {"_edge": lambda w: F.coalesce("_edge", F.last(F.coalesce("_last", "_edge"), ignorenulls=True).over(earlier(w)))},
+    ]
+    made = carried(rows, totals, across, by).withColumn("tick_sign", F.coalesce(F.last("_s", ignorenulls=True).over(upto), "_edge"))
+    return made.drop("_r", "_s", "_edge", *([] if "_ck" in ticks.columns else ["_ck"]))
+
+
+def flow_means(qty: str = "qty", span: int = 30) -> dict:
+    """Columns for ``ewm`` over ``tick_signs`` from which ``flow_of`` takes its value: means of signed and of all volume."""
+    return {"_a": (F.col("tick_sign") * F.col(qty), 2 / (span + 1)), "_b": (F.col(qty), 2 / (span + 1))}
+
+
+def flow_of(df: DataFrame) -> DataFrame:
+    return df.withColumn("tfi", F.coalesce(safe_ratio(F.col("_a"), F.col("_b")), F.lit(0.0))).drop("_a", "_b")
+
+
 def trade_flow(ticks: DataFrame, price: str = "price", qty: str = "qty", span: int = 30, by=("symbol",), order=("ts",)) -> DataFrame:
     """Adds ``tick_sign`` (tick rule, carried over equal prices, first +1) and ``tfi``, signed over total mean volume."""
     by, order = [*by], [*order]
-    moved = over_blocks(indexed(ticks, by, order), {"_m": lambda w: F.col(price) - F.lag(price).over(w)}, by, order, before=1)
-    signed = moved.withColumn("_s", F.when(F.col("_m").isNull(), 1.0).when(F.col("_m") > 0, 1.0).when(F.col("_m") < 0, -1.0))
-    carried = fill(signed, ["_s"], "ffill", by, order).withColumnRenamed("_s", "tick_sign")
-    means = ewm(carried, {"_a": (F.col("tick_sign") * F.col(qty), 2 / (span + 1)), "_b": (F.col(qty), 2 / (span + 1))}, by, order)
-    return means.withColumn("tfi", F.coalesce(safe_ratio(F.col("_a"), F.col("_b")), F.lit(0.0))).drop("_m", "_a", "_b", *([] if "_ix" in ticks.columns else ["_ix"]))
+    made = flow_of(ewm(tick_signs(chunked(ticks, by, order), price, by, order), flow_means(qty, span), by, order))
+    return made if "_ck" in ticks.columns else made.drop("_ck")
 
 
 def mce_proxies(df: DataFrame, ofi_col: str = "ofi_l1", spread: str = "spread_l1", n: int = 60, by=("symbol",), order=("ts",)) -> DataFrame:

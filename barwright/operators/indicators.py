@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,12 +84,19 @@ def rma(df: DataFrame, c: str, n: int, out: str, by=BY, order=ORDER) -> DataFram
     return ewm(df, {out: (c, 1 / n)}, by, order)
 
 
+def rsi_means(c: str = "close", n: int = 14) -> dict:
+    """Columns for ``ewm`` (with ``back=(c,)``) from which ``rsi_of`` takes its value: means of rises and of falls."""
+    rise = lambda now, was: F.when(was[c].isNotNull() & now[c].isNotNull(), F.greatest(now[c] - was[c], F.lit(0.0)))
+    return {"_g": (rise, 1 / n), "_l": (lambda now, was: rise(was, now), 1 / n)}
+
+
+def rsi_of(df: DataFrame, n: int = 14) -> DataFrame:
+    return df.withColumn(f"rsi_{n}", 100 * safe_ratio(F.col("_g"), F.col("_g") + F.col("_l"))).drop("_g", "_l")
+
+
 def rsi(df: DataFrame, c: str = "close", n: int = 14, by=BY, order=ORDER) -> DataFrame:
     """``rsi_{n}``: 100 G/(G + L) of Wilder means of rises and falls; null in a key's first row or where both are 0."""
-    rise = lambda now, was: F.when(was[c].isNotNull() & now[c].isNotNull(), F.greatest(now[c] - was[c], F.lit(0.0)))
-    fall = lambda now, was: rise(was, now)
-    made = ewm(df, {"_g": (rise, 1 / n), "_l": (fall, 1 / n)}, by, order, back=(c,))
-    return made.withColumn(f"rsi_{n}", 100 * safe_ratio(F.col("_g"), F.col("_g") + F.col("_l"))).drop("_g", "_l")
+    return rsi_of(ewm(df, rsi_means(c, n), by, order, back=(c,)), n)
 
 
 def macd(df: DataFrame, c: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, by=BY, order=ORDER) -> DataFrame:
@@ -245,9 +252,17 @@ def takens_spread(df: DataFrame, c: str, window: int = 50, dim: int = 3, delay:
     withm = dist.withColumn("_m", mean)
     var = F.aggregate(F.transform("_d", lambda x: (x - F.col("_m")) * (x - F.col("_m"))), F.lit(0.0), lambda s, x: s + x) / F.size("_d")
     spread = withm.withColumn("spread", F.sqrt(var)).drop("_w", "_v", "_d", "_m", "_n", "_ix")
-    earlier = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    z = F.when(F.count("spread").over(earlier) > history, safe_ratio(F.col("spread") - F.avg("spread").over(earlier), F.stddev_pop("spread").over(earlier)))
-    return spread.withColumn("spread_z", z).withColumn("unusual", F.coalesce(F.col("spread_z") > 2, F.lit(False)))
+    # moments of earlier spreads: running sums about the key's mean, which keeps them stable, less the row's own
+    key = F.struct(*(F.col(b).alias(f"k{i}") for i, b in enumerate(by)))
+    middle = spread.groupBy(key.alias("_km")).agg(F.avg("spread").alias("_mid"))
+    off = spread.withColumn("_kk", key).join(middle, F.col("_kk") == F.col("_km")).withColumn("_o", F.col("spread") - F.col("_mid"))
+    seen = running(off, {"_n": ("count", "_o"), "_s": ("sum", "_o"), "_q": ("sum", F.col("_o") * F.col("_o"))}, [*by], [*order])
+    own = F.coalesce("_o", F.lit(0.0))
+    n, s, q = F.col("_n") - F.col("_o").isNotNull().cast("long"), F.col("_s") - own, F.col("_q") - own * own
+    mean = F.try_divide(s, n)
+    z = F.when(n > history, safe_ratio(F.col("_o") - mean, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(q, n) - mean * mean))))
+    made = seen.withColumn("spread_z", z).drop("_kk", "_km", "_mid", "_o", "_n", "_s", "_q")
+    return made.withColumn("unusual", F.coalesce(F.col("spread_z") > 2, F.lit(False)))
 
 
 def _lempel_ziv(symbols: list[int]) -> float:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.scalar import normal_cdf, safe_ratio, softmax
-from barwright.operators.scan import ewm
+from barwright.operators.scan import chunk_table, chunked, earlier, ewm, over_chunks
 from barwright.operators.selection import ranked_values
 
 
@@ -36,15 +36,25 @@ def psr(returns: DataFrame, c: str, by: list[str], min_obs: int = 20, ddof: int
     return facts.select(*by, "n", "sharpe", F.when(F.col("n") < min_obs, 0.0).otherwise(F.coalesce(value, F.lit(0.0))).alias("psr"))
 
 
-def performance(returns: DataFrame, c: str, by: list[str], order: list[str], periods: int = 252, ddof: int = 0) -> DataFrame:
-    """``n, total, sharpe, sortino, max_drawdown, calmar`` of period returns; ratios are null without spread or drawdown."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    curve = returns.where(F.col(c).isNotNull()).withColumn("_e", F.exp(F.sum(F.log1p(c)).over(w)))
-    run = curve.withColumn("_p", F.greatest(F.lit(1.0), F.max("_e").over(w))).withColumn("_d", (F.col("_p") - F.col("_e")) / F.col("_p"))
+def performance(returns: DataFrame, c: str, by: list[str], order: list[str], periods: int = 252, ddof: int = 0, chunk: str = "day") -> DataFrame:
+    """``n, total, sharpe, sortino, max_drawdown, calmar`` of period returns; ratios are null without spread or drawdown.
+
+    The drawdown is folded over time chunks: each comes to its log return, its highest and lowest point and its own deepest fall.
+    """
+    known = returns.where(F.col(c).isNotNull()).withColumn("_k", F.struct(*(F.col(b).alias(f"k{i}") for i, b in enumerate(by))))
     std = F.stddev_samp if ddof else F.stddev_pop
     low = std(F.when(F.col(c) < 0, F.col(c)))
-    facts = run.groupBy(*by).agg(F.count(c).alias("n"), (F.exp(F.sum(F.log1p(c))) - 1).alias("total"), (safe_ratio(F.avg(c), std(c)) * math.sqrt(periods)).alias("sharpe"), (safe_ratio(F.avg(c), low) * math.sqrt(periods)).alias("sortino"), F.max("_d").alias("max_drawdown"))
-    return facts.withColumn("calmar", safe_ratio(F.col("total"), F.col("max_drawdown")))
+    facts = known.groupBy("_k").agg(F.count(c).alias("n"), (F.exp(F.sum(F.log1p(c))) - 1).alias("total"), (safe_ratio(F.avg(c), std(c)) * math.sqrt(periods)).alias("sharpe"), (safe_ratio(F.avg(c), low) * math.sqrt(periods)).alias("sortino"))
+    upto = Window.partitionBy("_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    curve = chunked(known, [*by], [*order], chunk).withColumn("_l", F.sum(F.log1p(c)).over(upto)).withColumn("_p", F.max("_l").over(upto))
+    parts = chunk_table(curve.groupBy("_ck").agg(F.sum(F.log1p(c)).alias("sum"), F.max("_l").alias("top"), F.min("_l").alias("low"), F.max(F.col("_p") - F.col("_l")).alias("fall")), [*by])
+    before = earlier(over_chunks([*by]))
+    parts = parts.withColumn("start", F.coalesce(F.sum("sum").over(before), F.lit(0.0))).withColumn("peak", F.greatest(F.lit(0.0), F.max(F.col("start") + F.col("top")).over(before)))
+    keys = F.struct(*(F.col(f"_k{i}").alias(f"k{i}") for i in range(len(by))))
+    falls = parts.groupBy(keys.alias("_kf")).agg(F.max(F.greatest("fall", F.col("peak") - F.col("start") - F.col("low"))).alias("_fall"))
+    met = facts.join(falls, F.col("_k") == F.col("_kf")).withColumn("max_drawdown", F.greatest(F.lit(0.0), -F.expm1(-F.col("_fall"))))
+    names = [F.col(f"_k.k{i}").alias(b) for i, b in enumerate(by)]
+    return met.select(*names, "n", "total", "sharpe", "sortino", "max_drawdown", safe_ratio(F.col("total"), F.col("max_drawdown")).alias("calmar"))
 
 
 def trade_stats(trades: DataFrame, pnl: str, by: list[str]) -> DataFrame:

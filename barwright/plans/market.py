@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions import scalar
 from barwright.operators import aggregate, asof, book, clean, indicators, labels
-from barwright.operators.scan import indexed
+from barwright.operators.scan import chunked, ewm, indexed
 from barwright.plans.fixtures import BARS_SQL, LEVELS_SQL, TICKS_SQL, TRADES_SQL, bars, bars_sql, book_levels, book_messages, scratch, table, ticks, trade_log
 from barwright.sources import readers
 
@@ -629,7 +629,9 @@ def flagship(spark, sf_dir):
     """Leak-free training table: 15-minute bars with ATR, bands and triple-barrier labels, as of them the last closed hour's RSI and trade flow."""
     low = indexed(bars(spark, sf_dir, "15 minutes"), indicators.BY, indicators.ORDER)
     low = labels.triple_barrier(indicators.bbands(indicators.atr(low))).drop("_ix")
-    high = indexed(bars(spark, sf_dir), indicators.BY, indicators.ORDER)
-    high = book.trade_flow(indicators.rsi(high), "close", "volume").select("symbol", "ts", "rsi_14", "tfi")
+    # signs first, then all means of the hour in one pass
+    signed = book.tick_signs(chunked(bars(spark, sf_dir), indicators.BY, indicators.ORDER), "close")
+    means = ewm(signed, {**indicators.rsi_means("close"), **book.flow_means("volume")}, indicators.BY, indicators.ORDER, back=("close",))
+    high = book.flow_of(indicators.rsi_of(means)).select("symbol", "ts", "rsi_14", "tfi")
     made = asof.mtf_align({"15m": low, "1h": high}, ["symbol"])
     return rounded(made.select("symbol", "ts", "close", "atr_14", "bb_mid", "rsi_14_1h", "tfi_1h", "label"), "atr_14", "bb_mid", "rsi_14_1h", "tfi_1h")
