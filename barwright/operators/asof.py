@@ -15,9 +15,11 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = "ts", by: list[str] |
     Adds the right columns other than the keys (with ``suffix``), and the matched time as ``{on}_right``.
     Rows of a null key or time match nothing but stay. Right rows that tie in time: the greatest
     ``right_tie`` (smallest for ``forward``) wins. With ``chunk`` (such as ``"day"``), keys are also dealt
-    by time chunk, and the last row before a chunk is carried in, so that a few long keys still spread.
+    by time chunk, and the last row before a chunk is carried in, so that a few long keys still spread;
+    without a key that is by day at least.
     """
     by = by or []
+    chunk = chunk or (None if by else "day")
     back = direction == "backward"
     values = [c for c in right.columns if c not in by and c != on]
     packed = F.struct(F.col(on).alias(f"{on}_right"), *(F.col(c).alias(c + suffix) for c in values))

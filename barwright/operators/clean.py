@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.functions.scalar import finite, safe_ratio
-from barwright.operators.scan import running
+from barwright.operators.scan import index_rows, over_blocks, running
 
 
 def sanitize(df: DataFrame, cols: list[str], how: str = "null") -> DataFrame:
@@ -64,17 +64,13 @@ def validate_bars(df: DataFrame, by: list[str], order: list[str], max_null: floa
     Checks: largest null ratio of ``cols``; number of prices at or below zero; whether the last
     ``stale`` close changes are all zero (a missing change counts as zero); largest absolute relative close change.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    newest = Window.partitionBy(*by).orderBy(*(F.col(c).desc() for c in order))
-    rows = df.withColumns({
-        "_move": F.col("close") - F.lag("close").over(w),
-        "_jump": F.abs(safe_ratio(F.col("close"), F.lag("close").over(w)) - 1),
-        "_age": F.row_number().over(newest),
-    })
+    moved = over_blocks(index_rows(df, by, order), {"_was": lambda w: F.lag("close").over(w)}, by, order, before=1)
+    moved = moved.withColumns({"_move": F.col("close") - F.col("_was"), "_jump": F.abs(safe_ratio(F.col("close"), F.col("_was")) - 1)})
     nulls = F.greatest(*(F.avg(F.col(c).isNull().cast("double")) for c in cols))
     low = sum(F.sum(F.coalesce((F.col(c) <= 0).cast("long"), F.lit(0))) for c in cols)
-    still = F.min((F.coalesce("_move", F.lit(0.0)) == 0).cast("double") + F.when(F.col("_age") > stale, 1).otherwise(0))
-    facts = rows.groupBy(*by).agg(nulls.alias("null_ratio"), low.cast("double").alias("non_positive"), F.when(still >= 1, 1.0).otherwise(0.0).alias("stale"), F.coalesce(F.max("_jump"), F.lit(0.0)).alias("spike"))
+    # still since before the last rows: its latest change is earlier
+    still = F.coalesce(F.max(F.when(F.col("_move") != 0, F.col("_ix"))), F.lit(-1)) < F.greatest(F.count(F.lit(1)) - stale, F.lit(0))
+    facts = moved.groupBy(*by).agg(nulls.alias("null_ratio"), low.cast("double").alias("non_positive"), F.when(still, 1.0).otherwise(0.0).alias("stale"), F.coalesce(F.max("_jump"), F.lit(0.0)).alias("spike"))
     long = facts.unpivot(by, ["null_ratio", "non_positive", "stale", "spike"], "check", "value")
     limit = F.when(F.col("check") == "null_ratio", max_null).when(F.col("check") == "spike", max_spike).otherwise(0.0)
     return long.select(*by, "check", (F.col("value") <= limit).alias("passed"), "value")

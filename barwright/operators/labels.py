@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.functions.scalar import safe_ratio
 from barwright.operators.indicators import BY, ORDER, atr, bbands, choppiness, ema, rolling, rsi, shifted
+from barwright.operators.resample import numbered
 from barwright.operators.scan import index_rows, indexed, over_blocks, running
 
 
@@ -121,7 +122,5 @@ def walk_forward(df: DataFrame, train: int, test: int, folds: int = 3, shrink: f
 def regime_tasks(df: DataFrame, regime: str = "regime", min_rows: int = 20, by=BY, order=ORDER) -> DataFrame:
     """Adds ``part``: the first half of each (key, regime) is support, the rest query; regime -1 and small groups go."""
     keys = [*by, regime]
-    count = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    made = df.where(F.col(regime) != -1).withColumns({"_n": count, "_r": rank}).where(F.col("_n") >= min_rows)
-    return made.withColumn("part", F.when(F.col("_r") <= F.floor(F.col("_n") / 2), "support").otherwise("query")).drop("_n", "_r")
+    made = numbered(df.where(F.col(regime) != -1), keys, [*order]).where(F.col("_n") >= min_rows)
+    return made.withColumn("part", F.when(F.col("_i") < F.floor(F.col("_n") / 2), "support").otherwise("query")).drop("_i", "_n")

@@ -23,6 +23,7 @@ from barwright.operators import selection
 from barwright.operators.asof import new_rows
 from barwright.operators.clean import sanitize
 from barwright.operators.resample import numbered, shuffled_place
+from barwright.operators.scan import over_blocks
 
 
 def scale_stats(df: DataFrame, cols: list[str], kind: str) -> DataFrame:
@@ -81,8 +82,8 @@ def regimes(df: DataFrame, features: list[str], k: int = 4, seed: int = 42) -> D
 
 def transitions(df: DataFrame, regime: str, by: list[str], order: list[str]) -> DataFrame:
     """``src, dst, p``: shares of moves between consecutive rows' regimes."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    moves = df.withColumn("_n", F.lead(regime).over(w)).where("_n is not null").groupBy(F.col(regime).alias("src"), F.col("_n").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    led = over_blocks(df, {"_n": lambda w: F.lead(regime).over(w)}, by, order, after=1)
+    moves = led.where("_n is not null").groupBy(F.col(regime).alias("src"), F.col("_n").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
     total = moves.groupBy("src").agg(F.sum("n").alias("_t"))
     return moves.join(total, "src").select("src", "dst", (F.col("n") / F.col("_t")).alias("p"))
 
