@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,22 +16,56 @@ from barwright.operators.perf import sample_kurtosis, sample_skew
 from barwright.operators.scan import columns_step, in_blocks, index_rows
 
 
-def pairs_on_time(bars: DataFrame, c: str = "close", ts: str = "ts", by: str = "symbol") -> DataFrame:
-    """``ts, src, dst, x, y`` for each unordered pair of symbols with a row at the same time.
+#: Blocks that symbols fall into; each pair of blocks is one matrix product a chunk of time.
+SYMBOL_BLOCKS = 8
 
-    Symbols per time are packed first, so each time's pairs come from one small array instead of a self-join.
-    """
-    packed = bars.groupBy(ts).agg(F.sort_array(F.collect_list(F.struct(F.col(by).alias("s"), F.col(c).alias("v")))).alias("_a"))
-    each = F.flatten(F.transform("_a", lambda a, i: F.transform(F.slice("_a", i + 2, F.size("_a")), lambda b: F.struct(a["s"].alias("src"), b["s"].alias("dst"), a["v"].alias("x"), b["v"].alias("y")))))
-    return packed.select(ts, F.explode(each).alias("p")).select(ts, "p.*")
 
+def pair_sums(rows: DataFrame, c: str, ts: str = "ts", by: str = "symbol", chunk: str = "month", blocks: int = SYMBOL_BLOCKS) -> DataFrame:
+    """``src, dst, at, n, sx, sy, sxy``: per unordered pair of symbols and time chunk, sums over the times that both have.
 
-def corr_edges(bars: DataFrame, n: int = 30, least: float = 0.1, c: str = "close", ts: str = "ts") -> DataFrame:
-    """``src, dst, weight`` in both directions: latest rolling correlation of relative changes, beyond ``least`` in size."""
-    moved = shifted(bars, {"_r": (c, "pct", 1)}, ["symbol"], [ts]).where("_r is not null")
-    met = rolling_corr(pairs_on_time(moved, "_r", ts), "x", "y", n, "weight", ["src", "dst"], [ts])
-    last = met.groupBy("src", "dst").agg(F.max_by("weight", ts).alias("weight")).where(F.abs("weight") > least)
-    return last.unionByName(last.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    Values of a block of symbols in a chunk are a matrix of times by symbols, and a pair of blocks is four matrix
+    products; so a pair costs a row per chunk, not one per time. A symbol's rows go to ``blocks`` groups. Rows are unique by symbol and time.
+    """
+
+    def products(key: tuple, rows: pa.Table) -> pa.Table:
+        times = rows.column("t").combine_chunks().dictionary_encode()
+        names = rows.column("s").combine_chunks().dictionary_encode()
+        at, who = times.indices.to_numpy(zero_copy_only=False), names.indices.to_numpy(zero_copy_only=False)
+        value = np.zeros((len(times.dictionary), len(names.dictionary)))
+        there = np.zeros_like(value)
+        value[at, who], there[at, who] = rows.column("v").to_numpy(), 1.0
+        own = np.zeros(len(names.dictionary), dtype=np.int64)
+        own[who] = rows.column("b").to_numpy()
+        text = np.array(names.dictionary.to_pylist(), dtype=object)
+        n = there.T @ there
+        # each pair once: within a block, or of this group's two blocks
+        i, j = key[1].as_py(), key[2].as_py()
+        wanted = (n > 0) & (text[:, None] < text[None, :]) & ((own[:, None] != own[None, :]) | (i == j))
+        a, b = np.nonzero(wanted)
+        sums = {"n": n, "sx": value.T @ there, "sy": there.T @ value, "sxy": value.T @ value}
+        return pa.table({"src": pa.array(text[a], pa.string()), "dst": pa.array(text[b], pa.string()), "at": pa.array([key[0].as_py()] * len(a), pa.timestamp("us", "UTC")), **{k: v[a, b].astype(np.int64 if k == "n" else np.float64) for k, v in sums.items()}})
+
+    own = F.pmod(F.xxhash64(by), F.lit(blocks)).alias("b")
+    dealt = rows.where(F.col(c).isNotNull()).select(F.date_trunc(chunk, F.col(ts).cast("timestamp")).alias("at"), F.col(ts).cast("timestamp").alias("t"), F.col(by).alias("s"), own, F.col(c).cast("double").alias("v"))
+    cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("at", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "t", "s", "b", "v")
+    return cells.groupBy("at", "i", "j").applyInArrow(products, "src string, dst string, at timestamp, n bigint, sx double, sy double, sxy double")
+
+
+def corr_edges(bars: DataFrame, n: int = 30, least: float = 0.1, c: str = "close", ts: str = "ts", chunk: str = "day") -> DataFrame:
+    """``src, dst, weight`` in both directions: correlation of relative changes over a pair's last ``n`` common times, beyond ``least`` in size.
+
+    Common times are counted per chunk; only chunks that hold a pair's last ones are read row by row.
+    """
+    moved = shifted(bars, {"_r": (c, "pct", 1)}, ["symbol"], [ts]).where("_r is not null").select("symbol", F.col(ts).cast("timestamp").alias("t"), F.date_trunc(chunk, F.col(ts).cast("timestamp")).alias("at"), F.col("_r").alias("r"))
+    later = F.coalesce(F.sum("n").over(Window.partitionBy("src", "dst").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    needed = pair_sums(moved, "r", "t", chunk=chunk).withColumn("_later", later).where(F.col("_later") < n).select("src", "dst", "at")
+    x = needed.join(moved.select(F.col("symbol").alias("src"), "at", "t", F.col("r").alias("x")), ["src", "at"])
+    both = x.join(moved.select(F.col("symbol").alias("dst"), "at", "t", F.col("r").alias("y")), ["dst", "at", "t"])
+    last = both.withColumn("_n", F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.col("t").desc()))).where(F.col("_n") <= n)
+    spread = F.sqrt(F.var_pop("x") * F.var_pop("y"))
+    weight = F.when((F.count("x") >= n) & (spread > 1e-12), F.try_divide(F.covar_pop("x", "y"), spread))
+    edges = last.groupBy("src", "dst").agg(weight.alias("weight")).where(F.abs("weight") > least)
+    return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
 def influence(edges: DataFrame) -> DataFrame:
@@ -65,12 +101,14 @@ def influence_map(bars: DataFrame, leader: str, n: int = 60, ts: str = "ts", c:
     return perm_entropy(made, c, n).drop("_r", "_lr")
 
 
-def covariance(bars: DataFrame, c: str = "close", ts: str = "ts") -> DataFrame:
+def covariance(bars: DataFrame, c: str = "close", ts: str = "ts", chunk: str = "month") -> DataFrame:
     """``src, dst, n, cov`` of relative changes for pairs, and of each symbol with itself."""
     moved = shifted(bars, {"_r": (c, "pct", 1)}, ["symbol"], [ts]).where("_r is not null")
-    off = pairs_on_time(moved, "_r", ts).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.covar_samp("x", "y").alias("cov"))
-    own = moved.groupBy(F.col("symbol").alias("src"), F.col("symbol").alias("dst")).agg(F.count("_r").alias("n"), F.var_samp("_r").alias("cov"))
-    return off.unionByName(own)
+    facts = moved.groupBy("symbol").agg(F.avg("_r").alias("_m"), F.count("_r").alias("n"), F.var_samp("_r").alias("cov"))
+    off = moved.join(facts.select("symbol", "_m"), "symbol").withColumn("_o", F.col("_r") - F.col("_m"))  # about the mean, so that sums of products stay precise
+    sums = pair_sums(off, "_o", ts, chunk=chunk).groupBy("src", "dst").agg(*(F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxy")))
+    pairs = sums.select("src", "dst", "n", F.when(F.col("n") > 1, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)).alias("cov"))
+    return pairs.unionByName(facts.select(F.col("symbol").alias("src"), F.col("symbol").alias("dst"), "n", "cov"))
 
 
 def market_signature(bars: DataFrame, n: int = 14) -> DataFrame:

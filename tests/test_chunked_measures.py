@@ -60,3 +60,28 @@ def test_spreads_against_earlier_ones_far_from_zero(spark):
             assert r.spread_z is None and not r.unusual
         seen.append(r.spread)
     assert len(seen) == 77
+
+
+def test_pairs_with_calendars_of_their_own(spark):
+    import numpy as np
+
+    from barwright.operators import cross
+
+    rng = random.Random(3)
+    rows = [(f"s{k}", at(i, 60), 100 + rng.gauss(0, 1)) for i in range(160) for k in range(9) if rng.random() < 0.3 + 0.07 * k]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, close double").repartition(3)
+    moves = {}
+    for k in range(9):
+        own = sorted((t, c) for s, t, c in rows if s == f"s{k}")
+        moves[f"s{k}"] = {t: c / p - 1 for (_, p), (t, c) in zip(own, own[1:], strict=False)}
+    covs = {(r.src, r.dst): r for r in cross.covariance(df, chunk="day").collect()}
+    edges = {(r.src, r.dst): r.weight for r in cross.corr_edges(df, 20, 0.05).collect()}
+    assert len(covs) == 9 * 8 // 2 + 9
+    for a in moves:
+        for b in moves:
+            if a < b:
+                common = sorted(moves[a].keys() & moves[b].keys())
+                x, y = np.array([moves[a][t] for t in common]), np.array([moves[b][t] for t in common])
+                assert covs[a, b].n == len(common) and covs[a, b].cov == pytest.approx(np.cov(x, y)[0, 1], rel=1e-9)
+                w = np.corrcoef(x[-20:], y[-20:])[0, 1] if len(common) >= 20 else None
+                assert edges.get((a, b)) == edges.get((b, a)) == (pytest.approx(w, rel=1e-9) if w is not None and abs(w) > 0.05 else None)
