@@ -115,23 +115,28 @@ def over_chunks(by: list[str], *more: str):
     return Window.partitionBy(*(f"_k{i}" for i in range(len(by)))).orderBy(F.col("_at").asc_nulls_first(), *more)
 
 
-def decayed(rows: DataFrame, name: str, part: Column, count: str, rate: float, keys: list[str], order: list) -> DataFrame:
-    """Adds ``name``: the sum of ``part`` so far, each weighted by ``exp(-rate * (count here - count there))``; ``count`` does not fall.
+def decayed(rows: DataFrame, sums: dict[str, tuple[Column, str, float]], keys: list[str], order: list) -> DataFrame:
+    """Adds ``{name: (part, count, rate)}``: the sum of ``part`` so far, each weighted by ``exp(-rate * (count here - count there))``; ``count`` does not fall.
 
     Rows fall into segments within which no weight overflows. Of the segments before, only the last
     one is seen: what lies beyond it has faded by exp(-EXPONENT).
     """
-    length = max(1, int(EXPONENT / rate))
-    at = F.floor(F.col(count) / length)
-    here = F.exp((F.col(count) - at * length) * rate)
     whole = Window.partitionBy(*keys).orderBy(*order)
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"_dg": at, "_dp": F.coalesce(part, F.lit(0.0)) * here, "_dw": here})
-    rows = rows.withColumn("_do", F.sum("_dp").over(Window.partitionBy(*keys, "_dg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) / F.col("_dw"))
-    rows = rows.withColumn("_de", F.when(F.lead("_dg").over(whole) != F.col("_dg"), F.struct(F.col("_do").alias("y"), F.col(count).alias("n"))))
-    rows = rows.withColumn("_db", F.last("_de", ignorenulls=True).over(before))
-    carried = F.coalesce(F.col("_db.y") * F.exp((F.col("_db.n") - F.col(count)) * rate), F.lit(0.0))
-    return rows.withColumn(name, F.col("_do") + carried).drop("_dg", "_dp", "_dw", "_do", "_de", "_db")
+    steps: list[dict[str, Column]] = [{}, {}, {}, {}, {}]
+    for i, (name, (part, count, rate)) in enumerate(sums.items()):
+        length = max(1, int(EXPONENT / rate))
+        at = F.floor(F.col(count) / length)
+        here = F.exp((F.col(count) - at * length) * rate)
+        own = Window.partitionBy(*keys, f"_dg{i}").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        steps[0] |= {f"_dg{i}": at, f"_dp{i}": F.coalesce(part, F.lit(0.0)) * here, f"_dw{i}": here}
+        steps[1][f"_do{i}"] = F.sum(f"_dp{i}").over(own) / F.col(f"_dw{i}")
+        steps[2][f"_de{i}"] = F.when(F.lead(f"_dg{i}").over(whole) != F.col(f"_dg{i}"), F.struct(F.col(f"_do{i}").alias("y"), F.col(count).alias("n")))
+        steps[3][f"_db{i}"] = F.last(f"_de{i}", ignorenulls=True).over(before)
+        steps[4][name] = F.col(f"_do{i}") + F.coalesce(F.col(f"_db{i}.y") * F.exp((F.col(f"_db{i}.n") - F.col(count)) * rate), F.lit(0.0))
+    for step in steps:
+        rows = rows.withColumns(step)
+    return rows.drop(*(f"_d{k}{i}" for k in "gpwoeb" for i in range(len(sums))))
 
 
 #: What a mean is taken of: a column, or a function of this row and the row before (structs of the columns in ``back``, the latter null in a key's first row).
@@ -162,18 +167,15 @@ def ewm(df: DataFrame, columns: dict[str, tuple[Averaged, float]], by: list[str]
             raise ValueError("a mean of several first rows needs plain columns")
         rows, items = _seeded(rows, items, seed_rows, by, order, chunk)
     w = Window.partitionBy("_ck").orderBy(*order)
-    made = chunked(rows, by, order, chunk).withColumn("_er", F.row_number().over(w))
     now = F.struct(*back) if back else None
-    if back:
-        made = made.withColumn("_ew", F.lag(now).over(w))
+    made = chunked(rows, by, order, chunk).withColumns({"_er": F.row_number().over(w)} | ({"_ew": F.lag(now).over(w)} if back else {}))
     compared = [callable(x) and not isinstance(x, Column) for _, x, _, _ in items]
-    values = {}
+    run = run or max(1, int(EXPONENT / max(rate for *_, rate in items)))
+    values = {"_es": F.floor((F.col("_er") - 1) / run).cast("int")}
     for i, (_, x, _, _) in enumerate(items):  # what a chunk's first row is compared with is not in the chunk: see below
         values[f"_ex{i}"] = F.when(F.col("_er") > 1, x(now, F.col("_ew")).cast("double")) if compared[i] else (F.col(x) if isinstance(x, str) else x).cast("double")
-    run = run or max(1, int(EXPONENT / max(rate for *_, rate in items)))
-    made = made.withColumns(values).withColumn("_es", F.floor((F.col("_er") - 1) / run).cast("int"))
     upto = Window.partitionBy("_ck", "_es").orderBy("_er").rowsBetween(Window.unboundedPreceding, 0)
-    made = made.withColumns({f"_en{i}": F.count(f"_ex{i}").over(upto) for i in range(len(items))})
+    made = made.withColumns(values).withColumns({f"_en{i}": F.count(f"_ex{i}").over(upto) for i in range(len(items))})
     local = {}
     for i, (_, _, alpha, rate) in enumerate(items):
         place = F.col(f"_en{i}") * rate
@@ -192,20 +194,21 @@ def ewm(df: DataFrame, columns: dict[str, tuple[Averaged, float]], by: list[str]
     keys, place = [f"_k{i}" for i in range(len(by))], [F.col("_at").asc_nulls_first(), F.col("_es")]
     if back:
         units = units.withColumn("was", F.lag("end").over(over))
-    carry = []
+    steps: list[dict[str, Column]] = [{}, {}, {}, {}, {}]
     for i, (_, x, alpha, rate) in enumerate(items):
-        n, own, first = (F.col(f"u._e{k}{i}") for k in "nof")
-        edge = F.when(F.col("_es") == 0, x(F.col("top"), F.col("was")).cast("double")) if compared[i] else F.lit(None).cast("double")
-        units = units.withColumn("v", edge)
-        units = units.withColumns({"b": own + F.coalesce(alpha * F.col("v") * F.exp(-n * rate), F.lit(0.0)), "c": n + F.col("v").isNotNull().cast("long"), "f": F.coalesce("v", first)})
-        units = units.withColumns({"n": F.sum("c").over(so_far), "f": F.first("f", ignorenulls=True).over(before)})
-        units = decayed(units, "d", F.col("b"), "n", rate, keys, place)
-        units = units.withColumns({"n": F.lag("n").over(over), "d": F.lag("d").over(over)})
-        y = F.when(F.col("n") > 0, F.col("d") + F.col("f") * F.exp(-F.col("n") * rate))  # the first value of all has the full weight
-        y = F.when(F.col("v").isNull(), y).otherwise(F.coalesce(alpha * F.col("v") + (1 - alpha) * y, F.col("v")))
-        units = units.withColumn(f"y{i}", y)
-        carry.append(f"y{i}")
-    side = units.groupBy("_ck").agg(F.array_sort(F.collect_list(F.struct("_es", *carry))).alias("_ec")).withColumnRenamed("_ck", "_cs")
+        n, own, first, v = (*(F.col(f"u._e{k}{i}") for k in "nof"), F.col(f"v{i}"))
+        steps[0][f"v{i}"] = F.when(F.col("_es") == 0, x(F.col("top"), F.col("was")).cast("double")) if compared[i] else F.lit(None).cast("double")
+        steps[1] |= {f"b{i}": own + F.coalesce(alpha * v * F.exp(-n * rate), F.lit(0.0)), f"c{i}": n + v.isNotNull().cast("long"), f"f{i}": F.coalesce(v, first)}
+        steps[2] |= {f"n{i}": F.sum(f"c{i}").over(so_far), f"f{i}": F.first(f"f{i}", ignorenulls=True).over(before)}
+        steps[3] |= {f"n{i}": F.lag(f"n{i}").over(over), f"d{i}": F.lag(f"d{i}").over(over)}
+        y = F.when(F.col(f"n{i}") > 0, F.col(f"d{i}") + F.col(f"f{i}") * F.exp(-F.col(f"n{i}") * rate))  # the first value of all has the full weight
+        steps[4][f"y{i}"] = F.when(v.isNull(), y).otherwise(F.coalesce(alpha * v + (1 - alpha) * y, v))
+    for step in steps[:3]:
+        units = units.withColumns(step)
+    units = decayed(units, {f"d{i}": (F.col(f"b{i}"), f"n{i}", rate) for i, (*_, rate) in enumerate(items)}, keys, place)
+    for step in steps[3:]:
+        units = units.withColumns(step)
+    side = units.groupBy("_ck").agg(F.array_sort(F.collect_list(F.struct("_es", *steps[4]))).alias("_ec")).withColumnRenamed("_ck", "_cs")
     met = made.join(side, F.col("_ck") == F.col("_cs"))
     done = {}
     for i, (name, _, _, rate) in enumerate(items):
