@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import math
 import re
+from fractions import Fraction
+from itertools import combinations
 from pathlib import Path
 
 import numpy as np
@@ -120,27 +123,71 @@ def conformal(calibration: DataFrame, scored: DataFrame, probs: str, label: str,
     return met.withColumn("set_size", size).drop("_q")
 
 
+#: Sets that have at most so many subsets to share with a similar one are counted by these, longer ones met in pairs.
+MAX_SUBSETS = 4_000
+
+
+def _least_shared(n: int, m: int, share: Fraction) -> int:
+    """Items that sets of ``n`` and ``m`` have in common at least where their Jaccard similarity reaches ``share``."""
+    return max(1, math.ceil(share * (n + m) / (1 + share)))
+
+
+def _subset_tables(share: Fraction) -> tuple[int, list, list]:
+    """Longest counted size, places ``(n, j, keep)`` of subsets of ``j`` out of ``n``, and weights ``(n, m, j, c)``.
+
+    Over the sets of ``m`` that hold each subset of ``j``, the weights sum up to how many share ``t`` items or more
+    (inclusion and exclusion): ``sum over j >= t of (-1)^(j - t) * C(j - 1, t - 1)``.
+    """
+    least = lambda n: max(1, math.ceil(share * n))
+    longest = 1
+    while longest < 20 and sum(math.comb(longest + 1, j) for j in range(least(longest + 1), longest + 2)) <= MAX_SUBSETS:
+        longest += 1
+    sizes = range(1, longest + 1)
+    places = [(n, j, [*keep]) for n in sizes for j in range(least(n), n + 1) for keep in combinations(range(n), j)]
+    weights = [(n, m, j, (-1) ** (j - t) * math.comb(j - 1, t - 1)) for n in sizes for m in sizes for t in [_least_shared(n, m, share)] for j in range(t, min(n, m) + 1)]
+    return longest, places, weights
+
+
 def niche_share(sets: DataFrame, key: str, items: str, fitness: str, threshold: float = 0.7) -> DataFrame:
     """``key, niche, shared_fitness``: fitness over the number of sets (itself included) of Jaccard similarity at least ``threshold``.
 
-    Equal sets fold first. Distinct sets meet in their rarest items: similar ones share one of the first
+    Equal sets fold first. Similar sets share a subset that lacks few items of either, so each set counts the sets
+    that hold its subsets, and no two sets meet: the work grows with the sets. Sets with more than ``MAX_SUBSETS``
+    such subsets meet others in their rarest items instead: similar ones share one of the first
     ``n - ceil(threshold * n) + 1`` each, and are compared at the first they share. Empty sets have a niche of one.
     """
+    spark, share = sets.sparkSession, Fraction(str(threshold))
+    if not 0 < share <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    longest, places, weights = _subset_tables(share)
     rows = sets.select(key, F.array_sort(F.array_distinct(F.array_compact(items))).alias("_s"), fitness)
     folded = rows.where(F.size("_s") > 0).groupBy("_s").agg(F.count(F.lit(1)).alias("_w"))
+    places = F.broadcast(spark.createDataFrame(places, "_n int, _j int, _keep array<int>"))
+    weights = F.broadcast(spark.createDataFrame(weights, "_n int, _m int, _j int, _c long"))
+    parts = folded.withColumn("_n", F.size("_s")).join(places, "_n").select("_s", "_w", "_n", "_j", F.transform("_keep", lambda i: F.get("_s", i)).alias("_p"))
+    held = parts.groupBy("_p", F.col("_n").alias("_m")).agg(F.sum("_w").alias("_h"))
+    counted = parts.drop("_w").join(held, "_p").join(weights, ["_n", "_m", "_j"]).groupBy("_s").agg(F.sum(F.col("_c") * F.col("_h")).alias("niche"))
+    met = _met_in_rare(folded, share, longest)
+    niche = counted.unionByName(met).groupBy("_s").agg(F.sum("niche").alias("niche"))
+    return rows.join(niche, "_s", "left").select(key, F.coalesce("niche", F.lit(1)).cast("long").alias("niche"), (F.col(fitness) / F.coalesce("niche", F.lit(1))).alias("shared_fitness"))
+
+
+def _met_in_rare(folded: DataFrame, share: Fraction, longest: int) -> DataFrame:
+    """``_s, niche`` over pairs of similar sets of which at least one has more than ``longest`` items."""
+    up, down = share.numerator, share.denominator
+    folded = folded.where(F.size("_s") * down >= up * (longest + 1))  # shorter ones are not similar to any such set
     long = folded.select("_s", "_w", F.explode("_s").alias("_e"))
     rare = long.groupBy("_e").agg(F.count(F.lit(1)).alias("_f"))
     ranked = long.join(rare, "_e").groupBy("_s", "_w").agg(F.sort_array(F.collect_list(F.struct("_f", "_e"))).alias("_r"))
-    first = (F.size("_s") - F.ceil(threshold * F.size("_s") - 1e-9) + 1).cast("int")
+    first = (F.floor(F.size("_s") - F.ceil(F.size("_s") * up / down - 1e-9)) + 1).cast("int")
     left = ranked.select("_s", "_w", F.slice(F.transform("_r", lambda x: x["_e"]), F.lit(1), first).alias("_p"))
     left = left.select("*", F.explode("_p").alias("_e"))
     right = left.toDF("_s2", "_w2", "_p2", "_e")
     n, m = F.size("_s"), F.size("_s2")
     shared = F.size(F.array_intersect("_s", "_s2"))
-    near = (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.get(F.array_intersect("_p", "_p2"), F.lit(0)) == F.col("_e"))
-    alike = left.join(right, "_e").where(near & (shared >= threshold * (n + m - shared)))
-    niche = alike.groupBy("_s").agg(F.sum("_w2").alias("niche"))
-    return rows.join(niche, "_s", "left").select(key, F.coalesce("niche", F.lit(1)).cast("long").alias("niche"), (F.col(fitness) / F.coalesce("niche", F.lit(1))).alias("shared_fitness"))
+    near = (F.greatest(n, m) > longest) & (F.least(n, m) * down >= up * F.greatest(n, m)) & (F.get(F.array_intersect("_p", "_p2"), F.lit(0)) == F.col("_e"))
+    alike = left.join(right, "_e").where(near & (shared * down >= up * (n + m - shared)))
+    return alike.groupBy("_s").agg(F.sum("_w2").alias("niche"))
 
 
 def multi_hot(df: DataFrame, items: str, names: list) -> DataFrame:
