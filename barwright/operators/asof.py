@@ -23,25 +23,26 @@ def asof_join(left: DataFrame, right: DataFrame, on: str = "ts", by: list[str] |
     back = direction == "backward"
     values = [c for c in right.columns if c not in by and c != on]
     packed = F.struct(F.col(on).alias(f"{on}_right"), *(F.col(c).alias(c + suffix) for c in values))
-    tie = F.col(right_tie).cast("string") if right_tie else F.lit("")
+    tie = F.col(right_tie) if right_tie else F.lit(None).cast("int")
     usable = F.col(on).isNotNull()
     for c in by:
         usable = usable & F.col(c).isNotNull()
     r = right.where(usable).select(*by, F.col(on).cast("timestamp").alias("_t"), F.lit(0 if allow_exact == back else 1).alias("_side"), tie.alias("_tie"), packed.alias("_r"), F.lit(None).cast(left.schema).alias("_l"))
     whole = F.struct(*(F.col(c) for c in left.columns))
     l_side = F.lit(1 if allow_exact == back else 0)
-    left_rows = left.select(*by, F.col(on).cast("timestamp").alias("_t"), l_side.alias("_side"), F.lit("").alias("_tie"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), whole.alias("_l"))
+    left_rows = left.select(*by, F.col(on).cast("timestamp").alias("_t"), l_side.alias("_side"), F.lit(None).cast(r.schema["_tie"].dataType).alias("_tie"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), whole.alias("_l"))
     rows = r.unionByName(left_rows)
     keys = [*by]
     if chunk:
         rows = rows.withColumn("_chunk", F.date_trunc(chunk, "_t"))
         edges = rows.groupBy(*by, "_chunk").agg((F.max_by if back else F.min_by)("_r", F.when(F.col("_r").isNotNull(), F.struct("_t", "_tie"))).alias("_e"))
-        over = Window.partitionBy(*by).orderBy("_chunk")
-        carried = edges.withColumn("_c", F.last("_e", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)) if back else F.first("_e", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)))
+        over = Window.partitionBy(*by).orderBy(F.col("_chunk") if back else F.col("_chunk").desc())
+        carried = edges.withColumn("_c", F.last("_e", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
         keys.append("_chunk")
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    w = w.orderBy("_t", "_side", "_tie")
-    found = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if back else F.first("_r", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # forward in falling order: a frame that ends with the key would be gone through again for every row
+    w = w.orderBy(*(F.col(c) if back else F.col(c).desc() for c in ("_t", "_side", "_tie")))
+    found = F.last("_r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     out = rows.withColumn("_m", found).where("_l is not null")
     if chunk:
         edge = carried.select(*(F.col(c).alias(f"_k_{c}") for c in by), F.col("_chunk").alias("_kc"), "_c")

@@ -110,9 +110,10 @@ def chunk_table(totals: DataFrame, by: list[str]) -> DataFrame:
     return totals.withColumns({**{f"_k{i}": F.col(f"_ck.k{i}") for i in range(len(by))}, "_at": F.col("_ck.at")})
 
 
-def over_chunks(by: list[str], *more: str):
-    """Window over the chunks of a key in time order, on a ``chunk_table``."""
-    return Window.partitionBy(*(f"_k{i}" for i in range(len(by)))).orderBy(F.col("_at").asc_nulls_first(), *more)
+def over_chunks(by: list[str], *more: str, falling: bool = False):
+    """Window over the chunks of a key in time order, or the reverse of it, on a ``chunk_table``."""
+    at = F.col("_at").desc_nulls_last() if falling else F.col("_at").asc_nulls_first()
+    return Window.partitionBy(*(f"_k{i}" for i in range(len(by)))).orderBy(at, *more)
 
 
 def decayed(rows: DataFrame, sums: dict[str, tuple[Column, str, float]], keys: list[str], order: list) -> DataFrame:
@@ -246,9 +247,9 @@ def carried(rows: DataFrame, totals: list[Column], across: list[dict[str, Callab
     return rows.join(side, F.col("_ck") == F.col("_cs")).drop("_cs")
 
 
-def earlier(w, ahead: bool = False):
-    """Frame of the chunks before this one, or with ``ahead`` of those after it."""
-    return w.rowsBetween(*((1, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, -1)))
+def earlier(w):
+    """Frame of the chunks before this one in the window's order."""
+    return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def running(df: DataFrame, columns: dict[str, tuple[str, str | Column]], by: list[str], order: list[str], ahead: bool = False, chunk: str | int = "day") -> DataFrame:
@@ -257,25 +258,26 @@ def running(df: DataFrame, columns: dict[str, tuple[str, str | Column]], by: lis
     Kinds: ``last`` (value that is not null, ``ahead`` the next one), ``max``, ``min``, ``sum``,
     ``count``. Windows are over (key, time chunk); what earlier chunks come to is a prefix over the
     table of chunk totals, so no task needs a whole key. The first column of ``order`` is a time, or a number and ``chunk`` too.
+    ``ahead`` goes through the rows backwards: frames that end with a chunk would be gone through again for every row.
     """
     by = [*by]
     rows = chunked(df, by, order, chunk)
     rows = rows.withColumns({f"_rx{i}": F.col(x) if isinstance(x, str) else x for i, (_, x) in enumerate(columns.values())})
     place = F.struct(*order)
     totals, inside, across, both = [], {}, {}, {}
-    here = Window.partitionBy("_ck").orderBy(*order).rowsBetween(*((0, Window.unboundedFollowing) if ahead else (Window.unboundedPreceding, 0)))
+    here = Window.partitionBy("_ck").orderBy(*(F.col(c).desc() if ahead else c for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+    chunks = earlier(over_chunks(by, falling=ahead))
     for i, (name, (kind, _)) in enumerate(columns.items()):
         x, total, before, now = f"_rx{i}", f"_rt{i}", f"_rb{i}", f"_rn{i}"
         if kind == "last":
             edge = F.min_by if ahead else F.max_by
             totals.append(edge(x, F.when(F.col(x).isNotNull(), place)).alias(total))
-            pick = (lambda c: F.first(c, ignorenulls=True)) if ahead else RUNNING["last"]
-            inside[now], across[before] = pick(x).over(here), (lambda w, pick=pick, total=total: pick(total).over(earlier(w, ahead)))
+            inside[now], across[before] = RUNNING["last"](x).over(here), (lambda w, total=total: RUNNING["last"](total).over(chunks))
             both[name] = F.coalesce(now, before)
         else:
             totals.append(RUNNING[kind](x).alias(total))
             fold = F.sum if kind == "count" else RUNNING[kind]
-            inside[now], across[before] = RUNNING[kind](x).over(here), (lambda w, fold=fold, total=total: fold(total).over(earlier(w, ahead)))
+            inside[now], across[before] = RUNNING[kind](x).over(here), (lambda w, fold=fold, total=total: fold(total).over(chunks))
             join = {"max": F.greatest, "min": F.least}.get(kind)
             both[name] = join(now, before) if join else F.coalesce(F.col(now) + F.col(before), F.col(now), F.col(before))
     done = carried(rows.withColumns(inside), totals, [across], by).withColumns(both)

@@ -116,7 +116,7 @@ SELECT l.id, l.ts, r.view_id, r.ts AS ts_right FROM l ASOF LEFT JOIN r ON l.ts <
 def jn1_asof_forward_chunked(spark, sf_dir):
     t = ticks(spark, sf_dir)
     left = t.where("symbol = 'purchase'").select("id", "ts")
-    right = t.where("symbol = 'view'").select("ts", F.col("id").alias("view_id"))
+    right = t.where("symbol = 'view'").groupBy("ts").agg(F.max("id").alias("view_id"))
     return asof.asof_join(left, right, "ts", [], "forward", allow_exact=False, chunk="day")
 
 
