@@ -27,6 +27,10 @@ def test_forward_asof_goes_through_a_chunk_once(spark, chunk):
     assert {r.id: r.v for r in found.collect()} == {i: i + 1 if i < 8 else None for i in range(9)}
 
 
+def test_event_flags_go_through_a_day_once(spark):
+    assert "unboundedfollowing" not in plan(asof.event_flags(times(spark, 9), times(spark, 9)))
+
+
 def test_running_ahead_goes_through_a_chunk_once(spark):
     rows = times(spark, 90, "1 hour").withColumn("k", F.lit("a"))
     made = scan.running(rows, {"s": ("sum", "id"), "next": ("last", F.when(F.col("id") % 7 == 0, F.col("id")))}, ["k"], ["ts"], ahead=True)
