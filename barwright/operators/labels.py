@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,14 +95,14 @@ def environment(df: DataFrame, n: int = 14, least: int = 50, by=BY, order=ORDER)
 
 
 def chrono_split(df: DataFrame, fractions: dict[str, float], by=BY, order=ORDER) -> DataFrame:
-    """Adds ``split``: names in time order, each with its share of a key's rows (bounds round down)."""
+    """Adds ``split``: names in time order, each with its share of a key's rows (bounds are exact and round down)."""
     rows = index_rows(df, by, order)
-    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    total = df.groupBy(*by).agg(F.count(F.lit(1)).cast("decimal(20,0)").alias("_n"))
     met = rows.join(total, by)
-    out, edge = F.lit([*fractions][-1]), 1.0
+    out, edge = F.lit([*fractions][-1]), Decimal(1)
     for name, share in reversed([*fractions.items()]):
-        out = F.when(F.col("_ix") < F.floor(F.col("_n") * F.lit(round(edge, 9))), name).otherwise(out) if edge < 1 else F.lit(name)
-        edge -= share
+        out = F.when(F.col("_ix") < F.floor(F.col("_n") * F.lit(edge)), name).otherwise(out) if edge < 1 else F.lit(name)
+        edge -= round(Decimal(str(share)), 15)  # in doubles, 720 rows times 0.7 come to less than 504
     return met.withColumn("split", out).drop("_ix", "_n")
 
 

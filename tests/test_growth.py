@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.operators import asof, scan
+from barwright.operators import asof, labels, scan
 from barwright.plans import market
 
 T0 = dt.datetime(2024, 1, 1)
@@ -48,3 +48,15 @@ def test_forward_asof_query_takes_the_greatest_of_equal_times(spark, tmp_path):
     rows = [(1, T0, 1, "purchase", 1.0, "{}"), *((i, T0 + dt.timedelta(hours=1), 1, "view", 1.0, "{}") for i in (9, 12, 10))]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert [r.view_id for r in market.jn1_asof_forward_chunked(spark, str(tmp_path)).collect()] == [12]
+
+
+@pytest.mark.parametrize("n, counts", [(720, [504, 144, 72]), (10, [7, 2, 1]), (7, [4, 2, 1]), (1, [0, 0, 1])])
+def test_split_bounds_are_exact(spark, n, counts):
+    rows = times(spark, n).withColumn("symbol", F.lit("a"))
+    got = {r.split: r["count"] for r in labels.chrono_split(rows, {"train": 0.7, "valid": 0.2, "test": 0.1}).groupBy("split").count().collect()}
+    assert [got.get(s, 0) for s in ("train", "valid", "test")] == counts
+
+
+def test_split_by_thirds(spark):
+    rows = times(spark, 9).withColumn("symbol", F.lit("a"))
+    assert sorted(r["count"] for r in labels.chrono_split(rows, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}).groupBy("split").count().collect()) == [3, 3, 3]
