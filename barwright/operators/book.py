@@ -23,8 +23,12 @@ def book_asof(messages: DataFrame, at=None, by: tuple[str, ...] = ("symbol",)) -
     seen = messages if at is None else messages.where(F.col("ts") <= F.lit(at))
     keys = [*by]
     last = seen.where("type = 'snapshot'").groupBy(*keys).agg(F.max("u").alias("_s"))
-    live = seen.where("price is not null").join(last, keys).where((F.col("u") > F.col("_s")) | ((F.col("u") == F.col("_s")) & (F.col("type") == "snapshot")))
-    levels = live.groupBy(*keys, "side", "price").agg(F.max_by("qty", F.struct("u", "pos")).alias("qty")).where("qty > 0")
+    # a level's last snapshot row and last delta, whichever is live: messages fold before they meet their key's snapshot
+    latest = lambda kind: F.max(F.when(kind, F.struct("u", "pos", "qty")))
+    reset = F.coalesce(F.col("type") == "snapshot", F.lit(False))
+    ends = seen.where("price is not null").groupBy(*keys, "side", "price").agg(latest(reset).alias("_a"), latest(~reset).alias("_b"))
+    live = F.when(F.col("_b.u") > F.col("_s"), F.col("_b.qty")).when(F.col("_a.u") == F.col("_s"), F.col("_a.qty"))
+    levels = ends.join(last, keys).select(*keys, "side", "price", live.alias("qty")).where("qty > 0")
     return pack(levels, by)
 
 

@@ -1,11 +1,12 @@
 """Steps whose work must not outgrow their rows, and bounds that must be exact."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.operators import asof, labels, scan
+from barwright.operators import asof, book, labels, scan
 from barwright.plans import market
 
 T0 = dt.datetime(2024, 1, 1)
@@ -60,3 +61,14 @@ def test_split_bounds_are_exact(spark, n, counts):
 def test_split_by_thirds(spark):
     rows = times(spark, 9).withColumn("symbol", F.lit("a"))
     assert sorted(r["count"] for r in labels.chrono_split(rows, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}).groupBy("split").count().collect()) == [3, 3, 3]
+
+
+def test_book_messages_fold_before_they_meet_their_snapshot(spark):
+    rows = [
+        ("a", 1, 0, "delta", "bid", 1.0, 9.0), ("a", 5, 0, "snapshot", "bid", 1.0, 2.0), ("a", 5, 1, "snapshot", "bid", 2.0, 3.0), ("a", 5, 7, "delta", "bid", 2.0, 8.0),
+        ("a", 6, 0, "delta", "bid", 3.0, 4.0), ("a", 7, 0, "delta", "bid", 3.0, 5.0), ("a", 3, 0, "snapshot", "ask", 4.0, 6.0), ("a", 8, 0, "delta", "bid", 1.0, 0.0),
+        ("a", 9, 0, None, "ask", 5.0, 1.0), ("b", 1, 0, "delta", "bid", 1.0, 1.0), ("a", 9, 1, "delta", "ask", None, 1.0),
+    ]
+    made = book.book_asof(spark.createDataFrame(rows, "symbol string, u long, pos long, type string, side string, price double, qty double"))
+    assert re.search(r"aggregate \[symbol#\d+, side#\d+, price", plan(made).split("join inner", 1)[1])
+    assert sorted((r.symbol, r.side, r.price, r.qty) for r in book.unpack(made).collect()) == [("a", "ask", 5.0, 1.0), ("a", "bid", 2.0, 3.0), ("a", "bid", 3.0, 5.0)]
