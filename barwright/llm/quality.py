@@ -21,8 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.common import forget, stored
-from barwright.llm.hashing import Substrings, U, text_steps
-from barwright.llm.lexical_search import LOWERED, term_spans
+from barwright.llm.text_view import LEXICAL_BITS, N_DENSE, measure, measured, word_slots  # noqa: F401
 
 #: At most about so many labelled rows are used, chosen by a hash of their identifier.
 MAX_LABELLED = 100_000
@@ -38,61 +37,12 @@ REGULAR = 1e-3
 DENSE_SCALE = 10.0
 KEEP_FROM = 0.5
 
-#: Bytes counted for each proportion of the text view.
-BYTE_CLASSES = {
-    "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "digit": b"0123456789",
-    "stop": b".,;:?",
-    "shout": b"!",
-    "bar": b"|",
-    "symbol": b"#$%&*@^~=+<>{}[]\\_",
-    "line": b"\n",
-}
-#: Slots of hashed words, as a power of two; a document has those of its distinct words, each of a weight of 1 by the root of their number.
-LEXICAL_BITS = 14
-N_DENSE = len(BYTE_CLASSES) + 8
-#: Bytes of text that one step of a task works on; a longer single text is a step of its own.
-STEP_BYTES = 1 << 19
-
-
-def measure(text: str) -> list[float]:
-    """Proportions of one whole text, each within a small range; an empty text has zeros."""
-    raw = text.encode()
-    if not raw:
-        return [0.0] * N_DENSE
-    size, words, lines = len(raw), text.split(), text.split("\n")
-    n = max(1, len(words))
-    shares = [1 - len(raw.translate(None, c)) / size for c in BYTE_CLASSES.values()]
-    return [
-        *shares,
-        *(math.sqrt(s) for s in shares[3:6]),
-        math.log1p(len(words)) / 10,
-        len(set(words)) / n,
-        min(2.0, len(text) / n / 10),
-        1 - len(set(lines)) / len(lines),
-        1 - len(raw.translate(None, bytes(range(128)))) / size,
-    ]
-
-
-def word_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct slots of the words of each text of a step, in a row, and how many each has."""
-    start, end, text = term_spans(data, offsets)
-    slot = (Substrings(LOWERED[data]).of(start, end) >> U(64 - LEXICAL_BITS)).astype(np.int64)
-    found = np.unique((text.astype(np.int64) << LEXICAL_BITS) | slot)
-    return (found & ((1 << LEXICAL_BITS) - 1)).astype(np.int32), np.bincount(found >> LEXICAL_BITS, minlength=len(offsets) - 1)
-
-
-def _measured(texts: pa.Array):
-    """Steps of an array of texts: proportions (rows by measure), slots and their counts."""
-    for low, high, data, offsets in text_steps(texts, STEP_BYTES):
-        yield np.array([measure(t or "") for t in texts.slice(low, high - low).to_pylist()], dtype=np.float32), *word_slots(data, offsets)
-
 
 def text_features(text: Column | str) -> Column:
     """``struct<f: array<float>, w: array<int>>``: a whole text's proportions and the slots of its words."""
 
     def run(texts: pa.Array) -> pa.Array:
-        steps = [*_measured(texts)]
+        steps = [*measured(texts)]
         dense = np.concatenate([np.empty((0, N_DENSE), dtype=np.float32), *(d for d, _, _ in steps)])
         slots, counts = np.concatenate([np.empty(0, dtype=np.int32), *(s for _, s, _ in steps)]), np.concatenate([np.empty(0, dtype=np.int64), *(c for _, _, c in steps)])
         f = pa.ListArray.from_arrays(pa.array(np.arange(len(dense) + 1, dtype=np.int32) * N_DENSE), pa.array(dense.ravel()))
@@ -139,7 +89,7 @@ class View:
         raw = self._linear()
 
         def run(texts: pa.Array) -> pa.Array:
-            return pa.array(np.concatenate([np.empty(0), *(raw(*step) for step in _measured(texts))]))
+            return pa.array(np.concatenate([np.empty(0), *(raw(*step) for step in measured(texts))]))
 
         run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
         return F.arrow_udf(run, "double")(text) * self.slope + self.shift
@@ -234,7 +184,7 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     slots = meta_slots([f"_m{i}" for i in range(len(meta_cols))])
     seen = docs.select(F.col(id_col).alias("_id"), *_meta_columns(docs, meta_cols), text_features(F.col(text_col)).alias("seen"))
-    rows = stored(seen.select("_id", "seen.f", "seen.w", slots.alias("slots")).join(marks, "_id", "left").withColumn("draw", F.pmod(F.xxhash64("_id"), F.lit(1_000_000))))
+    rows = stored(seen.select("_id", "seen.f", "seen.w", slots.alias("slots")).join(marks, "_id", "left").withColumn("draw", F.pmod(F.xxhash64("_id"), F.lit(1_000_000))), small_batches=True)
     n, good = rows.where("label is not null").agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < good < n:
         forget(rows)

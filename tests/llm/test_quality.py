@@ -2,12 +2,16 @@
 
 import math
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.llm import quality
+from barwright.llm import common, quality
 
 GOOD, BAD = [f"w{1000 + 2 * i}" for i in range(120)], [f"w{1001 + 2 * i}" for i in range(120)]
 
@@ -71,3 +75,22 @@ def test_empty_table_very_long_and_repeated_texts(spark):
     assert model.score(docs).count() == 6 and model.score(docs).where("quality_score is null").count() == 0
     assert model.score(docs.where("false")).count() == 0
     assert quality.classify(docs.where("false"), labels).count() == 0
+
+
+def test_text_view_loads_no_spark_ml():
+    """Each Python worker holds what the module of its function imports."""
+    code = "import sys, barwright.llm.text_view; sys.exit('pyspark.ml' in sys.modules or 'pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2]).returncode == 0
+
+
+def test_small_batches_are_small_and_leave_the_session_alone(spark):
+    texts = spark.range(40).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    whole, small = (max(r.n for r in common.stored(texts.coalesce(1).mapInArrow(size, "n long"), small_batches=s).collect()) for s in (False, True))
+    assert small < 8 << 20 < whole
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
