@@ -167,7 +167,7 @@ FROM n JOIN p USING (id)""")
 def jn7_9_event_flags(spark, sf_dir):
     t = ticks(spark, sf_dir)
     made = asof.event_flags(t.where("symbol = 'purchase'").select("id", "ts"), t.where("symbol = 'error' and id % 50 < 3").select("ts"))
-    return rounded(made, "minutes_to_next")
+    return made.withColumn("minutes_to_next", F.round(F.col("minutes_to_next") * 1e6) / 1e6)  # halves go as in SQL
 
 
 @query(BARS_SQL + " SELECT ts, max(CASE WHEN symbol = 'click' THEN close END) AS click, max(CASE WHEN symbol = 'error' THEN close END) AS error, max(CASE WHEN symbol = 'view' THEN close END) AS view FROM bars WHERE symbol IN ('click', 'error', 'view') GROUP BY ts")

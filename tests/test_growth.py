@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,16 @@ def test_event_flags_go_through_a_day_once(spark):
     assert "unboundedfollowing" not in plan(asof.event_flags(times(spark, 9), times(spark, 9)))
 
 
+@pytest.mark.parametrize("us", [59850, 478590, 7716810, 60_000_030])
+def test_event_flags_query_rounds_halves_as_its_sql(spark, tmp_path, us):
+    rows = [(1001, T0, 1, "purchase", 1.0, "{}"), (1002, T0 + dt.timedelta(microseconds=us), 1, "error", 1.0, "{}"), (1003, T0 + dt.timedelta(hours=1), 1, "purchase", 1.0, "{}")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as duck:
+        duck.execute(f"create view events as select * replace (cast(ts as timestamp) as ts) from '{tmp_path}/events.parquet/*.parquet'")
+        want = dict(duck.execute(f"select id, minutes_to_next from ({market.ORACLES['jn7_9_event_flags']})").fetchall())
+    assert {r.id: r.minutes_to_next for r in market.jn7_9_event_flags(spark, str(tmp_path)).collect()} == want
+
+
 def test_running_ahead_goes_through_a_chunk_once(spark):
     rows = times(spark, 90, "1 hour").withColumn("k", F.lit("a"))
     made = scan.running(rows, {"s": ("sum", "id"), "next": ("last", F.when(F.col("id") % 7 == 0, F.col("id")))}, ["k"], ["ts"], ahead=True)
