@@ -12,8 +12,9 @@ which at most their hot ones are not seen as cold pairs; pairs that share fewer
 whose hot signatures could hide a partner altogether meet again by their rarest shingles among such sets:
 each set's first shingles by rarity are as many as leave too few for a partner without any of them. What
 is still hot there is a crowd of near copies: they are held against pivots first, and only sets that are
-still in different components of a hot shingle are paired. Equal sets count once throughout. Similarity
-is verified on the sets themselves.
+still in different components of a hot shingle are paired. Equal sets count once throughout. Before sets
+are moved, pairs and crowds go through a sieve of parity bits, some thirtieth of a set: two sets differ in at
+least as many elements as their bits do. Similarity is verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.blocks import linked_blocks
+from barwright.llm.blocks import linked_blocks, sieved_blocks
 from barwright.llm.common import components, follow_hot, forget, stored, within_broadcast
 from barwright.llm.hashing import Substrings, U, mix, signed, text_steps
 
@@ -261,8 +262,23 @@ def _groups(max_cold: int):
     return run
 
 
-def _sets(k: int):
-    """Sets of texts that have the wanted fingerprint: ``fp, items``."""
+def parity_bits(items: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the sets that ``bounds`` delimit, words of bits that tell whether an odd number of elements fall on them, and where each set's words begin.
+
+    A set has a power of two of 64-bit words, at least two bits an element; the halves of a longer one,
+    xor-ed, are what the set has in half as many.
+    """
+    sizes = np.diff(bounds)
+    words = 1 << np.ceil(np.log2(np.maximum(sizes, 32) / 32)).astype(np.int64)
+    first = np.cumsum(words) - words
+    word = ((items >> U(6)).astype(np.int64) & np.repeat(words - 1, sizes)) + np.repeat(first, sizes)
+    out = np.zeros(int(words.sum()), dtype=U)
+    np.bitwise_xor.at(out, word, U(1) << (items & U(63)))
+    return out, np.r_[first, len(out)]
+
+
+def _sets(k: int, bits: bool = False):
+    """Sets of texts that have the wanted fingerprint: ``fp, items``; with ``bits``, their parity bits instead: ``fp, n, bits``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,7 +286,11 @@ def _sets(k: int):
                 wanted = batch.column(0).slice(at, end - at).to_pylist()
                 sets = shingle_sets(data, offsets, k)
                 found = [(fp, x) for fp, mark, x in zip(wanted, _fingerprints(*_flat(sets)).tolist(), sets, strict=True) if len(x) and mark == fp]
-                if found:
+                if found and bits:
+                    words, ends = parity_bits(*_flat([x for _, x in found]))
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), signed(words))
+                    yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int32()), lists], ["fp", "n", "bits"])
+                elif found:
                     ends = np.cumsum([0, *(len(x) for _, x in found)]).astype(np.int32)
                     items = pa.ListArray.from_arrays(pa.array(ends), signed(np.concatenate([x for _, x in found])))
                     yield pa.RecordBatch.from_arrays([pa.array([fp for fp, _ in found], pa.int64()), items], ["fp", "items"])
@@ -286,16 +306,32 @@ def _verified(pairs: DataFrame, profile: DataFrame, read: DataFrame, k: int, num
         .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     )
     near = stored(near)
-    wanted = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(owners, "fp").select("fp", "owner")
-    sets = stored(_items(read, wanted, k))
-    both = near.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("fp").alias("b"), F.col("items").alias("ib")), "b")
+    of = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(owners, "fp").select("fp", "owner")
+    marks = stored(_bits(read, of(near), k))
+    sided = near.join(marks.select(F.col("fp").alias("a"), F.col("bits").alias("xa")), "a").join(marks.select(F.col("fp").alias("b"), F.col("bits").alias("xb")), "b")
+    close = stored(sided.where(_apart("xa", "xb") * (den + num) <= (F.col("na") + F.col("nb")) * (den - num)).select("a", "b", "na", "nb"))
+    forget(near)
+    forget(marks)
+    sets = stored(_items(read, of(close), k))
+    both = close.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("fp").alias("b"), F.col("items").alias("ib")), "b")
     shared = F.size(F.array_intersect("ia", "ib"))
     links = stored(both.withColumn("s", shared).where(F.col("s") * den >= (F.col("na") + F.col("nb") - F.col("s")) * num).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    forget(near)
+    forget(close)
     forget(sets)
     return links
 
 
+def _apart(x: str, y: str):
+    """In how many parity bits two sets differ, in as many words as the shorter has; sets differ in as many elements at least."""
+    fewer = F.least(F.size(x), F.size(y))
+
+    def folded(c: str):
+        parts = F.transform(F.sequence(F.lit(0), (F.size(c) / fewer).cast("int") - 1), lambda i: F.slice(c, i * fewer + 1, fewer))
+        return F.when(F.size(c) == fewer, F.col(c)).otherwise(F.aggregate(parts, F.array_repeat(F.lit(0).cast("bigint"), fewer), lambda a, p: F.zip_with(a, p, lambda u, v: u.bitwiseXOR(v))))
+
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda a, n: a + n)
+
+
 def _grouped(signed: DataFrame, max_cold: int) -> DataFrame:
     return stored(signed.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(_groups(max_cold), "a bigint, b bigint, sig bigint, slack int"))
 
@@ -348,15 +384,25 @@ def _rarest(chosen: DataFrame, profile: DataFrame, read: DataFrame, k: int, num:
 
 
 def _in_blocks(rows: DataFrame, profile: DataFrame, read: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links ``src, dst`` between different components of ``rows(sig, n, root)``, found block against block."""
-    owners = rows.select(F.col("n").alias("fp")).distinct().join(profile.where("fp is not null").groupBy("fp").agg(F.min("id").alias("owner")), "fp")
-    return linked_blocks(rows, _items(read, owners, k), num, den)
+    """Links ``src, dst`` between different components of ``rows(sig, n, root)``, found block against block: of all bits, then of the sets left."""
+    owners = profile.where("fp is not null").groupBy("fp").agg(F.min("id").alias("owner"))
+    of = lambda rows: rows.select(F.col("n").alias("fp")).distinct().join(owners, "fp")
+    left = sieved_blocks(rows, _bits(read, of(rows), k), num, den)
+    return linked_blocks(left, _items(read, of(left), k), num, den)
+
+
+def _wanted(read: DataFrame, owners: DataFrame) -> DataFrame:
+    return read.join(within_broadcast(stored(owners)), F.col("id") == F.col("owner")).select("fp", "text")
 
 
 def _items(read: DataFrame, owners: DataFrame, k: int) -> DataFrame:
     """Sets ``fp, items`` of ``owners(fp, owner)``, each once."""
-    texts = read.join(within_broadcast(stored(owners)), F.col("id") == F.col("owner")).select("fp", "text")
-    return texts.mapInArrow(_sets(k), "fp bigint, items array<bigint>").dropDuplicates(["fp"])
+    return _wanted(read, owners).mapInArrow(_sets(k), "fp bigint, items array<bigint>").dropDuplicates(["fp"])
+
+
+def _bits(read: DataFrame, owners: DataFrame, k: int) -> DataFrame:
+    """Sizes and parity bits ``fp, n, bits`` of the sets of ``owners(fp, owner)``, each once."""
+    return _wanted(read, owners).mapInArrow(_sets(k, bits=True), "fp bigint, n int, bits array<bigint>").dropDuplicates(["fp"])
 
 
 def _sizes(k: int):

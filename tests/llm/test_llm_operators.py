@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barwright.llm import chat_format, common, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, packing, pii, quality, url_filter
+from barwright.llm import blocks, chat_format, common, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, packing, pii, quality, url_filter
 
 DOCS = "doc_id long, text string, lang string, gone string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -103,6 +103,54 @@ def test_jaccard_components_match_brute_force(spark, k, num, den, cold):
     assert got == dict(enumerate(brute_components(texts, k, num, den)))
 
 
+def test_jaccard_moves_no_sets_of_pairs_that_parity_bits_tell_apart(spark, monkeypatch):
+    """Variants of a text that share enough signatures to meet, near and far from the threshold: the far ones' sets are never made."""
+    rnd, moved, items = random.Random(3), [], jaccard_join._items
+    base = words(rnd, 300).split()
+    texts = [" ".join([*base[: 300 - 60 * j], *words(rnd, 60 * j).split()]) for j in range(4)]
+    texts += [f"{texts[0]} more", f"{texts[3]} more"]
+
+    def counted(read, owners, k):
+        moved.append(owners.count())
+        return items(read, owners, k)
+
+    monkeypatch.setattr(jaccard_join, "_items", counted)
+    found = jaccard_join._verified(
+        spark.createDataFrame([(a, b) for b in range(6) for a in range(b)], "a int, b int").join(marks := fingerprints(spark, texts), F.col("id") == F.col("a")).drop("a", "id").withColumnRenamed("fp", "x")
+        .join(marks, F.col("id") == F.col("b")).select(F.col("x").alias("a"), F.col("fp").alias("b")),
+        marks.withColumn("n", F.lit(300).cast("bigint")), docs(spark, texts).select(F.col("doc_id").alias("id"), "text"), 4, 85, 100,
+    )
+    assert found.count() == 2 and moved == [4]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(docs(spark, texts), k=4, num=85, den=100).collect()}
+    assert got == dict(enumerate(brute_components(texts, 4, 85, 100)))
+
+
+def fingerprints(spark, texts):
+    sets = [jaccard_join.shingle_sets(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]), 4)[0] for t in texts]
+    return spark.createDataFrame([(i, int(jaccard_join._fingerprints(x, np.array([0, len(x)]))[0])) for i, x in enumerate(sets)], "id long, fp long")
+
+
+@pytest.mark.parametrize("num", [85, 40])
+def test_parity_bits_lose_no_similar_set(spark, num):
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(0, 2**63, 400).astype(np.uint64))]
+    for n in (1, 30, 31, 60, 64, 129, 300, 1000):
+        base = rnd.integers(0, 2**63, n).astype(np.uint64)
+        sets += [np.unique(np.r_[base[rnd.random(n) > share], rnd.integers(0, 2**63, int(n * share)).astype(np.uint64)]) for share in (0, 0.03, 0.08, 0.1, 0.3, 0.6)]
+    sets = [x for x in sets if len(x)]
+    words, first = jaccard_join.parity_bits(*jaccard_join._flat(sets))
+    marks = spark.createDataFrame([(i, len(x), words[first[i] : first[i + 1]].astype(np.int64).tolist()) for i, x in enumerate(sets)], "fp long, n int, bits array<bigint>")
+    differ = lambda x, y: len(x) + len(y) - 2 * len(np.intersect1d(x, y))
+    pairs = marks.alias("x").join(marks.alias("y"), F.col("x.fp") < F.col("y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.bits").alias("xa"), F.col("y.bits").alias("xb"))
+    apart = {(r.a, r.b): r.d for r in pairs.select("a", "b", jaccard_join._apart("xa", "xb").alias("d")).collect()}
+    assert all(d <= differ(sets[a], sets[b]) for (a, b), d in apart.items())
+    like = {i for p in apart for i in p if differ(sets[p[0]], sets[p[1]]) * (100 + num) <= (len(sets[p[0]]) + len(sets[p[1]])) * (100 - num)}
+    rows = spark.createDataFrame([(7, i, i) for i in range(len(sets))], "sig long, n long, root long")
+    for size in (512, 8):
+        left = sorted(r.n for r in blocks.sieved_blocks(rows, marks, num, 100, size).collect())
+        assert len(left) == len(set(left)) and like <= set(left) and (0 in left) == (num < 50)
+
+
 def test_jaccard_without_identifier_or_rows(spark):
     got = jaccard_join.similar_components(docs(spark, ["a b c d e f", "NOID", "a b c d e f"])).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in got if r.doc_id is not None) == [(0, 0), (2, 0)]
