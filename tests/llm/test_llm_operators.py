@@ -252,6 +252,28 @@ def test_line_dedup_against_brute_force(spark, max_band):
     assert sum(got.get(i) == r for i, r in classes.items()) >= 0.9 * len(classes)
 
 
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """Crowded bands, the last step's blocks included, without Python on the executors; short lines and lines that nothing cuts are signed by runs."""
+
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    frame = spark.range(0)
+    for kind, names in ((type(frame), ("mapInArrow", "mapInPandas")), (type(frame.groupBy()), ("applyInPandas", "applyInArrow"))):
+        for name in names:
+            monkeypatch.setattr(kind, name, refused)
+    rnd = random.Random(19)
+    hub = words(rnd, 40)
+    places = [n for n, c in enumerate(hub) if c != " "]
+    edited = lambda text, *at: "".join("#" if i in at else c for i, c in enumerate(text))
+    family = [hub, *(edited(hub, rnd.choice(places[10:])) for _ in range(30))]
+    uncut = "".join(rnd.choice("bcdefghij") for _ in range(90))
+    texts = [*family, uncut, edited(uncut, 45), "twelve chars!", "twelve chars", "c" * 30, "c" * 50]
+    want, _ = line_classes_by_brute_force(texts)
+    got = {r.doc_id: r.first_doc for r in line_dedup.repeated_lines(docs(spark, texts), max_band=1).collect()}
+    assert got == {i: r for i, r in enumerate(want) if r != i} and len(got) >= 32
+
+
 def test_line_dedup_with_clashing_names(spark):
     own = spark.createDataFrame([(1, "same line here\nother", "a", "b", "c"), (2, "same line here", "d", "e", "f")], "doc_id long, text string, _id string, _gone string, h string")
     got = {r.doc_id: r for r in line_dedup.dedup_lines(own).collect()}
