@@ -274,6 +274,19 @@ def test_line_dedup_runs_no_python(spark, monkeypatch):
     assert got == {i: r for i, r in enumerate(want) if r != i} and len(got) >= 32
 
 
+def test_line_dedup_bands_hold_features_only(spark):
+    """Lines of eight features, one of them common to all, share no band: a band of fewer features would bring them all together."""
+    rnd = random.Random(23)
+    common_one = rnd.randrange(1 << 62)
+    rows = [(i, [common_one, *(rnd.randrange(1 << 62) for _ in range(7))]) for i in range(200)]
+    signed = line_dedup._banded(spark.createDataFrame(rows, "h long, features array<long>"), F.col("features"), 0, 9, 4).collect()
+    held = defaultdict(set)
+    for r in signed:
+        for sig in r.sigs:
+            held[sig].add(r.h)
+    assert len(signed) == 200 and max(map(len, held.values())) == 1
+
+
 def test_line_dedup_with_clashing_names(spark):
     own = spark.createDataFrame([(1, "same line here\nother", "a", "b", "c"), (2, "same line here", "d", "e", "f")], "doc_id long, text string, _id string, _gone string, h string")
     got = {r.doc_id: r for r in line_dedup.dedup_lines(own).collect()}
